@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from tessera.llm.decontaminate import op5_decontaminate
 from tessera.llm.quality import op8_quality
+from tessera.llm.toxicity import op7_toxicity
 
-QUERIES = {"op8_quality": op8_quality}
+QUERIES = {"op5_decontaminate": op5_decontaminate, "op7_toxicity": op7_toxicity, "op8_quality": op8_quality}
 ORACLES: dict[str, str] = {}
