@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
+from tessera.llm.chat import OP4_SQL, op4_chat
 from tessera.llm.decontaminate import op5_decontaminate
+from tessera.llm.licences import op10_licenses
 from tessera.llm.quality import op8_quality
+from tessera.llm.secrets import op2_secrets
 from tessera.llm.toxicity import op7_toxicity
 
-QUERIES = {"op5_decontaminate": op5_decontaminate, "op7_toxicity": op7_toxicity, "op8_quality": op8_quality}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op2_secrets": op2_secrets,
+    "op4_chat": op4_chat,
+    "op5_decontaminate": op5_decontaminate,
+    "op7_toxicity": op7_toxicity,
+    "op8_quality": op8_quality,
+    "op10_licenses": op10_licenses,
+}
+ORACLES: dict[str, str] = {"op4_chat": OP4_SQL}
