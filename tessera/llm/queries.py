@@ -5,11 +5,13 @@ from __future__ import annotations
 from tessera.llm.chat import OP4_SQL, op4_chat
 from tessera.llm.decontaminate import op5_decontaminate
 from tessera.llm.licences import op10_licenses
+from tessera.llm.media import op1_media
 from tessera.llm.quality import op8_quality
 from tessera.llm.secrets import op2_secrets
 from tessera.llm.toxicity import op7_toxicity
 
 QUERIES = {
+    "op1_media": op1_media,
     "op2_secrets": op2_secrets,
     "op4_chat": op4_chat,
     "op5_decontaminate": op5_decontaminate,
