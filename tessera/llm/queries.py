@@ -6,6 +6,7 @@ from tessera.llm.chat import OP4_SQL, op4_chat
 from tessera.llm.decontaminate import op5_decontaminate
 from tessera.llm.licences import op10_licenses
 from tessera.llm.media import op1_media
+from tessera.llm.neardup import op9_neardup
 from tessera.llm.pieces import op6_sentencepiece
 from tessera.llm.quality import op8_quality
 from tessera.llm.secrets import op2_secrets
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_sentencepiece": op6_sentencepiece,
     "op7_toxicity": op7_toxicity,
     "op8_quality": op8_quality,
+    "op9_neardup": op9_neardup,
     "op10_licenses": op10_licenses,
 }
 ORACLES: dict[str, str] = {"op4_chat": OP4_SQL}
