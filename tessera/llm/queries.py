@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from tessera.llm.chat import OP4_SQL, op4_chat
 from tessera.llm.decontaminate import op5_decontaminate
 from tessera.llm.licences import op10_licenses
@@ -9,12 +10,14 @@ from tessera.llm.media import op1_media
 from tessera.llm.neardup import op9_neardup
 from tessera.llm.pieces import op6_sentencepiece
 from tessera.llm.quality import op8_quality
+from tessera.llm.repeats import op3_substrings
 from tessera.llm.secrets import op2_secrets
 from tessera.llm.toxicity import op7_toxicity
 
 QUERIES = {
     "op1_media": op1_media,
     "op2_secrets": op2_secrets,
+    "op3_substrings": op3_substrings,
     "op4_chat": op4_chat,
     "op5_decontaminate": op5_decontaminate,
     "op6_sentencepiece": op6_sentencepiece,
@@ -22,5 +25,6 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_neardup": op9_neardup,
     "op10_licenses": op10_licenses,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {"op4_chat": OP4_SQL}
