@@ -135,17 +135,21 @@ def _first_cue(c: Column, cues: Sequence[str]) -> Column:
 def route(has_image: Column, text: Column, terms: Sequence[str] = ()) -> Column:
     """struct of intent and signals.  A bare `with` names a companion only if a category term follows it; terms
     stand in for the catalog's parser (X1)."""
-    q = normal_query(text)
-    question, phrase = _first_match(q, K.PROPERTY_PATTERNS), _first_match(q, K.COMPANION_PATTERNS)
-    after = F.regexp_extract(q, r"\bwith\b(.*)$", 1)
-    term = F.coalesce(*[F.when(has_term(after, t), F.lit(t)) for t in terms]) if terms else F.lit(None).cast("string")
-    with_text = has_image & (q != "")
-    intent = (
-        F.when(~has_image & (q == ""), "unroutable").when(~has_image, "search").when(q == "", "identify").when(question.isNotNull(), "brand")
-        .when(phrase.isNotNull() | term.isNotNull(), "compose").otherwise("identify")
-    )
-    signal = lambda x: F.when(with_text, x)
-    return F.struct(intent.alias("intent"), signal(question).alias("property_question"), signal(F.coalesce(phrase, F.when(term.isNotNull(), "with"))).alias("companion_cue"), signal(_first_cue(q, K.EXACTNESS_CUES)).alias("exactness_cue"), signal(_first_cue(q, K.SIMILARITY_CUES)).alias("similarity_cue"))
+    # A lambda's variable is computed once, however often the rules look at it.
+    def decide(x: Column) -> Column:
+        q, has_image = x["q"], x["image"]
+        question, phrase = _first_match(q, K.PROPERTY_PATTERNS), _first_match(q, K.COMPANION_PATTERNS)
+        after = F.regexp_extract(q, r"\bwith\b(.*)$", 1)
+        term = F.coalesce(*[F.when(has_term(after, t), F.lit(t)) for t in terms]) if terms else F.lit(None).cast("string")
+        with_text = has_image & (q != "")
+        intent = (
+            F.when(~has_image & (q == ""), "unroutable").when(~has_image, "search").when(q == "", "identify").when(question.isNotNull(), "brand")
+            .when(phrase.isNotNull() | term.isNotNull(), "compose").otherwise("identify")
+        )
+        signal = lambda c: F.when(with_text, c)
+        return F.struct(intent.alias("intent"), signal(question).alias("property_question"), signal(F.coalesce(phrase, F.when(term.isNotNull(), "with"))).alias("companion_cue"), signal(_first_cue(q, K.EXACTNESS_CUES)).alias("exactness_cue"), signal(_first_cue(q, K.SIMILARITY_CUES)).alias("similarity_cue"))
+
+    return F.get(F.transform(F.array(F.struct(normal_query(text).alias("q"), has_image.alias("image"))), decide), F.lit(0))
 
 
 def json_in(c: Column) -> Column:

@@ -17,5 +17,5 @@ def register(name: str, query: Callable, sql: str | None = None) -> None:
 
 
 def load() -> None:
-    for module in ("cooccurrence", "relational", "retrieval", "curation"):
+    for module in ("cooccurrence", "relational", "retrieval", "curation", "sources"):
         import_module(f"tessera.plans.{module}")
