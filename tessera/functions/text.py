@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 from tessera.functions import constants as K
 
@@ -64,7 +65,7 @@ def primary(values: Column) -> Column:
     return F.get(values, F.lit(0))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold_accents(c: pd.Series) -> pd.Series:
     """compatibility decomposition without marks, lower case, other characters than letters and digits as blanks."""
 
@@ -84,7 +85,7 @@ def candidates(line: Column) -> Column:
     return F.array_distinct(F.concat(F.array(line), words, pairs))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """200 * longest common subsequence / both lengths; 100 for two empty texts."""
 

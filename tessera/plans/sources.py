@@ -46,8 +46,8 @@ register("S14_variants", lambda s, d: X.variants(_product_pages(s, d)).select("p
 register("S15_list_items", lambda s, d: table(s, d, "pages").select("page_id", F.posexplode(X.list_items(F.col("html"))).alias("k", "item")), r"SELECT page_id, (k - 1)::INT k, item FROM (SELECT page_id, unnest(x) item, generate_subscripts(x, 1) k FROM (SELECT page_id, [y FOR y IN [trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(t, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '" + '"' + r"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) FOR t IN regexp_extract_all(regexp_extract(html, '(?s)<ul>(.*?)</ul>', 1), '(?s)<li>(.*?)</li>', 1)] IF length(y) > 0] x FROM pages))")
 register("S17_image_urls", lambda s, d: table(s, d, "pages").select("page_id", F.array_join(X.image_urls(F.when(F.col("page_id") % 3 == 0, F.array(F.lit("g1"), F.lit("g2"))).otherwise(F.expr("CAST(array() AS ARRAY<STRING>)")), F.when(F.col("page_id") % 2 == 0, F.concat("url", F.lit(".jpg"))).otherwise(F.col("url")), F.when(F.col("page_id") % 5 == 0, F.lit("p"))), ",").alias("urls")), "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'g1,g2' WHEN page_id % 2 = 0 THEN url || '.jpg' WHEN page_id % 5 = 0 THEN 'p' ELSE '' END urls FROM pages")
 register("S18_group_by_link", lambda s, d: items(s, d).groupBy(F.coalesce(F.when(F.col("code") % 3 == 0, F.col("brand")), F.col("category")).alias("link")).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.slice(F.array_sort(F.collect_set(F.struct("post", "ix", "code"))), 1, 3), lambda x: x["code"].cast("string")), ",").alias("first")), W + "SELECT link, count(*) n, (SELECT string_agg(code::VARCHAR, ',' ORDER BY post, ix, code) FROM (SELECT DISTINCT post, ix, code FROM items i WHERE coalesce(CASE WHEN i.code % 3 = 0 THEN i.brand END, i.category) = link ORDER BY ALL LIMIT 3)) AS first FROM (SELECT coalesce(CASE WHEN code % 3 = 0 THEN brand END, category) link FROM items) GROUP BY 1")
-_HOST, _ID = X.host_and_id(F.col("url"), (r"/item/(\d+)", r"/p/([a-z0-9]+)"))
-register("S19_host_and_id", lambda s, d: table(s, d, "pages").select("page_id", _HOST.alias("host"), _ID.alias("id")), r"SELECT page_id, regexp_replace(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1), '^www\.', '') host, coalesce(nullif(regexp_extract(url, '/item/(\d+)', 1), ''), nullif(regexp_extract(url, '/p/([a-z0-9]+)', 1), ''), substr(sha1(url), 1, 16)) id FROM pages")
+_HOST_ID = lambda: [c.alias(n) for c, n in zip(X.host_and_id(F.col("url"), (r"/item/(\d+)", r"/p/([a-z0-9]+)")), ("host", "id"))]
+register("S19_host_and_id", lambda s, d: table(s, d, "pages").select("page_id", *_HOST_ID()), r"SELECT page_id, regexp_replace(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1), '^www\.', '') host, coalesce(nullif(regexp_extract(url, '/item/(\d+)', 1), ''), nullif(regexp_extract(url, '/p/([a-z0-9]+)', 1), ''), substr(sha1(url), 1, 16)) id FROM pages")
 register("S20_upgrades", lambda s, d: table(s, d, "pages").select("page_id", F.array_join(X.upgrades(F.col("url"), (("^http:", "https:"), (r"\d+$", "0"))), " ").alias("tries")), r"SELECT page_id, concat_ws(' ', a, CASE WHEN b <> a THEN b END, CASE WHEN url <> a AND url <> b THEN url END) tries FROM (SELECT *, regexp_replace(url, '^http:', 'https:', 'g') a, regexp_replace(url, '\d+$', '0', 'g') b FROM pages)")
 register("S21_common_schema", lambda s, d: table(s, d, "pages").select(F.lit("pages").alias("source"), F.col("page_id").alias("source_id"), "url").unionByName(table(s, d, "documents").select("source", F.col("doc_id").alias("source_id")), allowMissingColumns=True).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count("url").alias("urls")), "SELECT source, count(*) n, count(url) urls FROM (SELECT 'pages' AS source, url FROM pages UNION ALL SELECT source, NULL FROM documents) GROUP BY 1")
 register("S22_quota", lambda s, d: X.quota(table(s, d, "documents").select("doc_id", "lang", F.md5("text").alias("h")), "lang", "h", "doc_id", 200, ("de",)).select("doc_id", "lang"), "WITH o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id, lang) k FROM documents) WHERE k = 1) SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) j FROM o) WHERE j <= CASE WHEN lang = 'de' THEN 25 ELSE 50 END")
@@ -64,8 +64,8 @@ register("F1_normalize_text", lambda s, d: table(s, d, "documents").select("doc_
 register("F2_normalize_label", lambda s, d: table(s, d, "part").select("p_partkey", T.normalize_label(F.concat(F.lit(" The  "), "p_name")).alias("label")), "SELECT p_partkey, lower(p_name) AS label FROM part")
 register("F3_display_brand", lambda s, d: table(s, d, "part").select("p_partkey", T.display_brand(F.lower("p_name"), {"red ring": "RED Ring"}).alias("brand")), "SELECT p_partkey, CASE WHEN lower(p_name) = 'red ring' THEN 'RED Ring' ELSE upper(substr(p_name, 1, 1)) || lower(substr(split_part(p_name, ' ', 1), 2)) || ' ' || upper(substr(split_part(p_name, ' ', 2), 1, 1)) || lower(substr(split_part(p_name, ' ', 2), 2)) END brand FROM part")
 register("F4_brand_key", lambda s, d: table(s, d, "part").select("p_partkey", T.brand_key(F.col("p_brand")).alias("k")), "SELECT p_partkey, regexp_replace(lower(p_brand), '[^a-z0-9]', '', 'g') k FROM part")
-_RGB = [(F.col("p_partkey") * k % 256).cast("double") for k in (7, 11, 13)]
-_LAB = C.rgb_to_lab(*_RGB)
+_RGB = lambda: [(F.col("p_partkey") * k % 256).cast("double") for k in (7, 11, 13)]
+_LAB = lambda: C.rgb_to_lab(*_RGB())
 _F = lambda t: f"CASE WHEN {t} > power(6.0 / 29, 3) THEN cbrt({t}) ELSE {t} * power(29.0 / 6, 2) / 3 + 4.0 / 29 END"
 _LINE = "line AS (SELECT p_partkey, " + ", ".join(f"CASE WHEN p_partkey * {k} % 256 / 255.0 > 0.04045 THEN power((p_partkey * {k} % 256 / 255.0::DOUBLE + 0.055) / 1.055, 2.4) ELSE p_partkey * {k} % 256 / 255.0::DOUBLE / 12.92 END {c}" for k, c in ((7, "r"), (11, "g"), (13, "b"))) + " FROM part)"
 
@@ -76,12 +76,12 @@ def _lab_sql(m):
 
 
 for _n, _m in (("F6", C.SRGB_7), ("F7", C.SRGB_4)):
-    register(f"{_n}_lab", lambda s, d, m=_m: table(s, d, "part").select("p_partkey", C.rgb_to_lab(*_RGB, m).alias("x")).select("p_partkey", *[r6(f"x.{c}").alias(c) for c in "Lab"]), _lab_sql(_m) + " SELECT p_partkey, round(L, 6) \"L\", round(a, 6) a, round(b, 6) b FROM lab")
-register("F9_colour_similarity", lambda s, d: table(s, d, "part").select("p_partkey", r6(C.similarity(_LAB, F.struct(F.lit(50.0).alias("L"), F.lit(10.0).alias("a"), F.lit(-5.0).alias("b")))).alias("sim")), _lab_sql(C.SRGB_7) + " SELECT p_partkey, round(exp(-power(sqrt(power(L - 50, 2) + power(a - 10, 2) + power(b + 5, 2)) / 25, 2)), 6) sim FROM lab")
-register("F5_ciede2000", lambda s, d: table(s, d, "part").select("p_partkey", _LAB.alias("x")).select("p_partkey", r6(C.ciede2000(F.col("x"), F.struct(F.lit(50.0).alias("L"), F.lit(10.0).alias("a"), F.lit(-5.0).alias("b")))).alias("delta")))
-register("F8_hex", lambda s, d: table(s, d, "part").select("p_partkey", _LAB.alias("x")).select("p_partkey", C.lab_to_hex(F.col("x")).alias("hex")), "SELECT p_partkey, printf('#%02x%02x%02x', p_partkey * 7 % 256, p_partkey * 11 % 256, p_partkey * 13 % 256) hex FROM part")
-register("F10_nearest_swatch", lambda s, d: table(s, d, "part").select("p_partkey", _LAB.alias("x")).select("p_partkey", C.nearest_swatch(F.col("x")).alias("swatch")).groupBy("swatch").agg(F.count(F.lit(1)).alias("n")))
-register("V23_colour_search", lambda s, d: table(s, d, "part").select("p_partkey", _LAB.alias("x"), F.struct(F.lit(50.0).alias("L"), F.lit(10.0).alias("a"), F.lit(-5.0).alias("b")).alias("q")).orderBy(C.delta_76(F.col("x"), F.col("q")), "p_partkey").limit(50).select("p_partkey", r6(C.ciede2000(F.col("x"), F.col("q"))).alias("delta")).orderBy("delta", "p_partkey").limit(10))
+    register(f"{_n}_lab", lambda s, d, m=_m: table(s, d, "part").select("p_partkey", C.rgb_to_lab(*_RGB(), m).alias("x")).select("p_partkey", *[r6(f"x.{c}").alias(c) for c in "Lab"]), _lab_sql(_m) + " SELECT p_partkey, round(L, 6) \"L\", round(a, 6) a, round(b, 6) b FROM lab")
+register("F9_colour_similarity", lambda s, d: table(s, d, "part").select("p_partkey", r6(C.similarity(_LAB(), F.struct(F.lit(50.0).alias("L"), F.lit(10.0).alias("a"), F.lit(-5.0).alias("b")))).alias("sim")), _lab_sql(C.SRGB_7) + " SELECT p_partkey, round(exp(-power(sqrt(power(L - 50, 2) + power(a - 10, 2) + power(b + 5, 2)) / 25, 2)), 6) sim FROM lab")
+register("F5_ciede2000", lambda s, d: table(s, d, "part").select("p_partkey", _LAB().alias("x")).select("p_partkey", r6(C.ciede2000(F.col("x"), F.struct(F.lit(50.0).alias("L"), F.lit(10.0).alias("a"), F.lit(-5.0).alias("b")))).alias("delta")))
+register("F8_hex", lambda s, d: table(s, d, "part").select("p_partkey", _LAB().alias("x")).select("p_partkey", C.lab_to_hex(F.col("x")).alias("hex")), "SELECT p_partkey, printf('#%02x%02x%02x', p_partkey * 7 % 256, p_partkey * 11 % 256, p_partkey * 13 % 256) hex FROM part")
+register("F10_nearest_swatch", lambda s, d: table(s, d, "part").select("p_partkey", _LAB().alias("x")).select("p_partkey", C.nearest_swatch(F.col("x")).alias("swatch")).groupBy("swatch").agg(F.count(F.lit(1)).alias("n")))
+register("V23_colour_search", lambda s, d: table(s, d, "part").select("p_partkey", _LAB().alias("x"), F.struct(F.lit(50.0).alias("L"), F.lit(10.0).alias("a"), F.lit(-5.0).alias("b")).alias("q")).orderBy(C.delta_76(F.col("x"), F.col("q")), "p_partkey").limit(50).select("p_partkey", r6(C.ciede2000(F.col("x"), F.col("q"))).alias("delta")).orderBy("delta", "p_partkey").limit(10))
 register("F14_canonical_colour", lambda s, d: table(s, d, "part").select("p_partkey", T.canonical_colour(F.concat(F.lit("Dusty "), "p_name")).alias("colour")).groupBy("colour").agg(F.count(F.lit(1)).alias("n")), "SELECT colour, count(*) n FROM (SELECT CASE WHEN contains(p_name, 'blue') THEN 'blue' WHEN contains(p_name, 'red') THEN 'red' WHEN contains(lower(p_name), 'gold') THEN 'gold' END colour FROM part) GROUP BY 1")
 register("F16_canonical_facet", lambda s, d: table(s, d, "part").select("p_partkey", T.canonical_facet(F.concat(F.col("p_size").cast("string"), F.lit(" inch inseam")), "length").alias("length")), "SELECT p_partkey, CASE WHEN p_size <= 20 THEN 'short inseam' ELSE 'full length' END AS length FROM part")
 register("F17_primary", lambda s, d: table(s, d, "part").select("p_partkey", T.primary(F.split("p_name", " ")).alias("label")), "SELECT p_partkey, split_part(p_name, ' ', 1) AS label FROM part")
@@ -96,8 +96,8 @@ register("F23_category_match", lambda s, d: table(s, d, "part").select("p_partke
 register("F24_F25_attribute_match", lambda s, d: table(s, d, "part").select("p_partkey", F.explode(T.tokens(F.col("p_name"))).alias("token")).join(R.token_index(table(s, d, "part"), ["p_name"]).groupBy("token").agg(F.sum("n").alias("evidence")), "token").withColumn("k", F.row_number().over(R.Window.partitionBy("p_partkey").orderBy(F.desc("evidence"), "token"))).where("k <= 5").select("p_partkey", "token", "k"), "WITH t AS (SELECT p_partkey, unnest([split_part(p_name, ' ', 1), split_part(p_name, ' ', 2)]) token FROM part), e AS (SELECT token, count(*) evidence FROM t GROUP BY 1) SELECT p_partkey, token, row_number() OVER (PARTITION BY p_partkey ORDER BY evidence DESC, token) k FROM t JOIN e USING (token) WHERE length(token) >= 3")
 register("F26_clauses", lambda s, d: table(s, d, "part").select("p_partkey", F.array_join(T.clauses(F.concat_ws(" with ", F.concat_ws(" and ", "p_name", "p_type"), F.concat_ws(", ", "p_brand", "p_name"))), "|").alias("c")), "SELECT p_partkey, lower(concat_ws('|', p_name, p_type, p_brand, p_name)) c FROM part")
 register("F27_text_attributes", lambda s, d: table(s, d, "part").select("p_partkey", T.first_rule(F.col("p_name"), [(w, w.upper()) for w in ("widget", "plate", "gizmo", "anvil", "gear", "bolt", "ring", "rod")]).alias("category"), T.canonical_colour(F.col("p_name")).alias("colour")), "SELECT p_partkey, upper(split_part(p_name, ' ', 2)) category, CASE WHEN contains(p_name, 'blue') THEN 'blue' WHEN contains(p_name, 'red') THEN 'red' WHEN contains(lower(p_name), 'gold') THEN 'gold' END colour FROM part")
-_ASK = F.concat_ws(" ", F.element_at(F.array(*map(F.lit, ["what brand is this", "pair this with", "this exact", "something like this", "a shirt with", ""])), (F.col("p_partkey") % 6 + 1).cast("int")), F.when(F.col("p_partkey") % 6 < 5, F.split("p_name", " ")[1]))
-register("F29_router", lambda s, d: table(s, d, "part").select(T.route(F.col("p_partkey") % 7 > 0, _ASK, ("gear", "bolt")).alias("r")).groupBy("r.intent").agg(F.count(F.lit(1)).alias("n"), F.count("r.exactness_cue").alias("exact"), F.count("r.similarity_cue").alias("similar")), "SELECT intent, count(*) n, count(*) FILTER (WHERE i AND k = 2) exact, count(*) FILTER (WHERE i AND k = 3) \"similar\" FROM (SELECT p_partkey % 7 > 0 i, p_partkey % 6 k, CASE WHEN NOT i AND k = 5 THEN 'unroutable' WHEN NOT i THEN 'search' WHEN k = 0 THEN 'brand' WHEN k = 1 THEN 'compose' WHEN k = 4 AND split_part(p_name, ' ', 2) IN ('gear', 'bolt') THEN 'compose' ELSE 'identify' END intent FROM part) GROUP BY 1")
+_ASK = lambda: F.concat_ws(" ", F.element_at(F.array(*map(F.lit, ["what brand is this", "pair this with", "this exact", "something like this", "a shirt with", ""])), (F.col("p_partkey") % 6 + 1).cast("int")), F.when(F.col("p_partkey") % 6 < 5, F.split("p_name", " ")[1]))
+register("F29_router", lambda s, d: table(s, d, "part").select(T.route(F.col("p_partkey") % 7 > 0, _ASK(), ("gear", "bolt")).alias("r")).groupBy("r.intent").agg(F.count(F.lit(1)).alias("n"), F.count("r.exactness_cue").alias("exact"), F.count("r.similarity_cue").alias("similar")), "SELECT intent, count(*) n, count(*) FILTER (WHERE i AND k = 2) exact, count(*) FILTER (WHERE i AND k = 3) \"similar\" FROM (SELECT p_partkey % 7 > 0 i, p_partkey % 6 k, CASE WHEN NOT i AND k = 5 THEN 'unroutable' WHEN NOT i THEN 'search' WHEN k = 0 THEN 'brand' WHEN k = 1 THEN 'compose' WHEN k = 4 AND split_part(p_name, ' ', 2) IN ('gear', 'bolt') THEN 'compose' ELSE 'identify' END intent FROM part) GROUP BY 1")
 register("F30_normal_query", lambda s, d: table(s, d, "conversations").select("conv_id", "turn", F.md5(T.normal_query(F.col("text"))).alias("h")), r"SELECT conv_id, turn, md5(trim(regexp_replace(trim(lower(coalesce(text, ''))), '\s+', ' ', 'g'), ' .!?,;:')) h FROM conversations")
 register("F31_json_in", lambda s, d: table(s, d, "events").select("event_id", F.get_json_object(T.json_in(F.concat(F.lit("Here:\n```json\n"), "props", F.lit("\n```"))), "$.k").alias("k")), "SELECT event_id, json_extract_string(props, '$.k') k FROM events")
 register("F33_description", lambda s, d: table(s, d, "documents").select("doc_id", F.length(F.substring(F.concat_ws("\n", "source", "lang", "text"), 1, 2000)).alias("n")), "SELECT doc_id, length(substr(concat_ws(chr(10), source, lang, text), 1, 2000))::INT n FROM documents")
