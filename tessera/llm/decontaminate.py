@@ -200,7 +200,7 @@ def keep_clean(documents: DataFrame, benchmark: DataFrame, block_bytes: int = BL
     parts = list(blocks(benchmark, block_bytes))
     if len(parts) > 1:
         dirty = contamination(documents, benchmark, block_bytes).where(contaminated()).select(F.col("doc_id").alias("_id"), "text_hash").distinct()
-        return documents.join(dirty, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("text_hash")), "left_anti")
+        return documents.join(dirty, documents["doc_id"].eqNullSafe(dirty["_id"]) & (F.xxhash64(documents["text"]) == dirty["text_hash"]), "left_anti")
     ids, texts = parts[0] if parts else ([], [])
     shared = documents.sparkSession.sparkContext.broadcast(_counted(documents, WindowIndex(ids, texts)))
 
@@ -222,3 +222,16 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     names = F.array_sort(F.transform("items", lambda i: i.cast("string")))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", names), 256).alias("items_sha256"), contaminated().alias("contaminated"))
+
+
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM documents),
+ b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM benchmark),
+ iw AS (SELECT item_id, k, array_to_string(w[i:i + k - 1], ' ') s FROM (SELECT *, least(13, len(w)) k FROM b WHERE len(w) > 0) x, unnest(range(1, len(x.w) - x.k + 2)) t(i)),
+ dw AS (SELECT doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') s FROM (SELECT * FROM d, (SELECT DISTINCT k FROM iw) ks) x, unnest(range(1, len(x.w) - x.k + 2)) t(i)),
+ h AS (SELECT doc_id, i, k, item_id FROM dw JOIN iw USING (k, s)),
+ hw AS (SELECT doc_id, count(DISTINCT p) n_hit FROM (SELECT DISTINCT doc_id, i, k FROM h) x, unnest(range(x.i, x.i + x.k)) t(p) GROUP BY 1),
+ hi AS (SELECT doc_id, count(DISTINCT item_id) n, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) s FROM h GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT n_words, coalesce(n_hit, 0) n_hit, coalesce(n, 0) n_items, sha256(coalesce(s, '')) items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)
+"""

@@ -68,16 +68,18 @@ def _increasing(values: list[int]) -> list[int]:
     return out[::-1]
 
 
-def align(a: list, b: list) -> list[tuple[int, int]]:
-    """Matched positions (in a, in b), increasing in both."""
+def align(a: list, b: list, open_ends: bool = False) -> list[tuple[int, int]]:
+    """Matched positions (in a, in b), increasing in both.  Equal words at an end are taken along, unless the end is
+    open: a may then go on into other text there."""
     pairs: list[tuple[int, int]] = []
     todo = [(0, len(a), 0, len(b))]
     while todo:
         a0, a1, b0, b1 = todo.pop()
-        while a0 < a1 and b0 < b1 and a[a0] == b[b0]:
+        left, right = not (open_ends and a0 == 0), not (open_ends and a1 == len(a))
+        while left and a0 < a1 and b0 < b1 and a[a0] == b[b0]:
             pairs.append((a0, b0))
             a0, b0 = a0 + 1, b0 + 1
-        while a0 < a1 and b0 < b1 and a[a1 - 1] == b[b1 - 1]:
+        while right and a0 < a1 and b0 < b1 and a[a1 - 1] == b[b1 - 1]:
             a1, b1 = a1 - 1, b1 - 1
             pairs.append((a1, b1))
         if a0 == a1 or b0 == b1:
@@ -107,7 +109,12 @@ class Scanner:
         seeds = []
         for t, (a, n, k) in enumerate(zip(w.bounds, w.counts(), width)):
             at = np.arange(a, a + n - k + 1) if n else np.zeros(0, np.int64)
-            seeds += [(int(h), t, int(i - a), int(k)) for h, i in zip(T.grams(w.hash, int(k), at), at)]
+            own = T.grams(w.hash, int(k), at)
+            # A run that the template repeats would point at wrong places.
+            values, count = np.unique(own, return_counts=True)
+            once = np.isin(own, values[count == 1])
+            use = once if once.any() else ~once
+            seeds += [(int(h), t, int(i - a), int(k)) for h, i in zip(own[use], at[use])]
         seeds.sort()
         self.seed = np.array([s[0] for s in seeds], np.uint64)
         self.entry = np.array([s[1:] for s in seeds], np.int64).reshape(-1, 3)
@@ -116,7 +123,7 @@ class Scanner:
         self.maybe[self.seed & np.uint64(0xFFFF)] = True
 
     def regions(self, w: T.Words) -> Iterator[tuple[int, int, int, int]]:
-        """(row, template, from word, to word) of the places that seeds point at, seeds near each other as one."""
+        """(row, template, first word, end) of the places that seeds point at, seeds near each other as one."""
         rows = w.rows()
         found = []
         for width in self.widths:
@@ -138,18 +145,21 @@ class Scanner:
             while i < len(hits) and hits[i][:2] == [row, t] and hits[i][2] - last <= max(2, size // 4):
                 last = hits[i][2]
                 i += 1
-            slack = 2 + size // 4
-            yield row, t, max(start - slack, int(w.bounds[row])), min(last + size + slack, int(w.bounds[row + 1]))
+            yield row, t, start, last + size
 
     def scan(self, texts: pa.Array) -> tuple[np.ndarray, list[list[Finding]]]:
         """Words of each text, and its findings in order."""
         w = T.words(texts, T.ALNUM, lower=True)
         all_found: list[list[Finding]] = [[] for _ in range(len(texts))]
-        for row, t, a, b in self.regions(w):
-            pairs = align(w.hash[a:b].tolist(), self.words[t])
-            if pairs and len(pairs) >= self.least * len(self.words[t]):
-                base = a - int(w.bounds[row])
-                all_found[row].append(Finding(self.names[t], base + pairs[0][0], base + pairs[-1][0] + 1, len(pairs), len(pairs) / len(self.words[t])))
+        for row, t, start, end in self.regions(w):
+            low, high, size = int(w.bounds[row]), int(w.bounds[row + 1]), len(self.words[t])
+            slack = 2 + size // 4
+            # With some room around, where words may have been put in; or just the place, whose ends are the template's.
+            for room in (slack, 0):
+                a, b = max(start - room, low), min(end + room, high)
+                pairs = align(w.hash[a:b].tolist(), self.words[t], room > 0)
+                if pairs and len(pairs) >= self.least * size:
+                    all_found[row].append(Finding(self.names[t], a - low + pairs[0][0], a - low + pairs[-1][0] + 1, len(pairs), len(pairs) / size))
         for row, found in enumerate(all_found):
             kept: list[Finding] = []
             for f in sorted(set(found), key=lambda f: (-f.matched, -f.coverage, f.license, f.start)):

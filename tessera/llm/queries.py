@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import corpus_pipeline
 from tessera.llm.chat import OP4_SQL, op4_chat
-from tessera.llm.decontaminate import op5_decontaminate
+from tessera.llm.decontaminate import OP5_SQL, op5_decontaminate
 from tessera.llm.licences import op10_licenses
 from tessera.llm.media import op1_media
-from tessera.llm.neardup import op9_neardup
+from tessera.llm.neardup import OP9_SQL, op9_neardup
 from tessera.llm.pieces import op6_sentencepiece
 from tessera.llm.quality import op8_quality
-from tessera.llm.repeats import op3_substrings
+from tessera.llm.repeats import OP3_SQL, op3_substrings
 from tessera.llm.secrets import op2_secrets
 from tessera.llm.toxicity import op7_toxicity
 
@@ -27,4 +27,4 @@ QUERIES = {
     "op10_licenses": op10_licenses,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {"op4_chat": OP4_SQL}
+ORACLES: dict[str, str] = {"op3_substrings": OP3_SQL, "op4_chat": OP4_SQL, "op5_decontaminate": OP5_SQL, "op9_neardup": OP9_SQL}

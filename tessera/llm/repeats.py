@@ -258,3 +258,15 @@ def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every document loses to windows of 50 words that a smaller document has, and a digest of what it keeps."""
     found = deduplicated(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w FROM documents),
+ win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) s FROM d, unnest(range(1, len(d.w) - 48)) t(i)),
+ f AS (SELECT s, min(doc_id) m FROM win GROUP BY 1),
+ gone AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, i FROM win JOIN f USING (s) WHERE m < doc_id) x, unnest(range(x.i, x.i + 50)) t(p)),
+ words AS (SELECT doc_id, p, w[p] word FROM d, unnest(range(1, len(d.w) + 1)) t(p)),
+ stay AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) t FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT n_words, coalesce(n, 0) n_removed, sha256(coalesce(t, '')) kept_sha256
+FROM d LEFT JOIN (SELECT doc_id, count(*) n FROM gone GROUP BY 1) USING (doc_id) LEFT JOIN stay USING (doc_id)
+"""
