@@ -85,3 +85,9 @@ def nearest_swatch(lab: Column, palette: dict[str, tuple[int, int, int]] | None
         ll, a, b = _lab(rgb)
         found.append(F.struct((F.pow(lab["L"] - ll, 2) + F.pow(lab["a"] - a, 2) + F.pow(lab["b"] - b, 2)).alias("d"), F.lit(k).alias("k"), F.lit(name).alias("name")))
     return F.array_min(F.array(*found))["name"]
+
+
+def nearest_rgb(r: Column, g: Column, b: Column, palette: dict[str, tuple[int, int, int]] | None = None) -> Column:
+    """the palette's name of least squared RGB distance, the first of equals."""
+    found = [F.struct((F.pow(r - x, 2) + F.pow(g - y, 2) + F.pow(b - z, 2)).alias("d"), F.lit(k).alias("k"), F.lit(name).alias("name")) for k, (name, (x, y, z)) in enumerate((palette or PALETTE).items())]
+    return F.array_min(F.array(*found))["name"]

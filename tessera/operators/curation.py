@@ -130,3 +130,11 @@ def reuse(current: DataFrame, index: DataFrame, key: str, signature: str, core_e
     embedded; rows that are gone don't appear."""
     old = index.select(key, F.col(signature).alias("_s"))
     return current.join(old, key, "left").withColumn("action", F.when(F.lit(core_equal) & F.col(signature).eqNullSafe(F.col("_s")), "reuse").otherwise("embed")).drop("_s")
+
+
+def training_batches(rows: DataFrame, product: str, key: str, n_batches: int, per_product: int, seed: int) -> DataFrame:
+    """Rows for contrastive batches: products are dealt to batches by seeded hash, each with per_product of
+    its rows in seeded order (fewer if it has fewer); no order over all products is formed."""
+    batch = F.floor(unit_hash(F.concat_ws(":", F.lit(str(seed)), F.col(product).cast("string"))) * n_batches).cast("long")
+    w = Window.partitionBy(product).orderBy(seeded(F.col(key), seed), key)
+    return rows.withColumns({"batch": F.least(batch, F.lit(n_batches - 1).cast("long")), "k": F.row_number().over(w)}).where(F.col("k") <= per_product)

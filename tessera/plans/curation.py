@@ -63,3 +63,5 @@ register("H1_H6_climb", lambda s, d: H.climb(_PROBS(s, d), H.closure(_TREE(s, d)
 register("H2_H5_edges", lambda s, d: H.edges(_TREE(s, d)), _TREE_SQL + " SELECT DISTINCT unnest([{'node': 'root', 'parent': NULL, 'level': 0}, {'node': grp, 'parent': 'root', 'level': 1}, {'node': category, 'parent': grp, 'level': 2}, {'node': leaf, 'parent': category, 'level': 3}], recursive := true) FROM tree")
 register("H3_descendant_leaves", lambda s, d: H.closure(_TREE(s, d)).groupBy("ancestor", "level").agg(F.count(F.lit(1)).alias("n_leaves")), _TREE_SQL + " SELECT ancestor, level, count(*) n_leaves FROM cl GROUP BY 1, 2")
 register("H4_categories_under", lambda s, d: H.closure(_TREE(s, d)).groupBy("ancestor").agg(F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories")), _TREE_SQL + " SELECT ancestor, string_agg(DISTINCT category, ',' ORDER BY category) categories FROM cl GROUP BY 1")
+register("O13_identity_sample", lambda s, d: table(s, d, "part").withColumn("identity", F.concat_ws(" ", "p_brand", "p_name")).withColumn("k", F.row_number().over(Window.partitionBy("identity").orderBy(K.seeded(F.col("p_partkey"), 4), "p_partkey"))).where("k <= 2").select("identity", "p_partkey"), "SELECT identity, p_partkey FROM (SELECT *, concat_ws(' ', p_brand, p_name) AS identity, row_number() OVER (PARTITION BY concat_ws(' ', p_brand, p_name) ORDER BY sha1('4:' || p_partkey), p_partkey) k FROM part) WHERE k <= 2")
+register("O16_O17_batches", lambda s, d: K.training_batches(_PARTS(s, d), "product", "key", 16, 2, 11).select("key", "batch", "k"), _PARTS_SQL + f" SELECT key, batch, k FROM (SELECT key, least(floor({UNIT.format(chr(39) + '11:' + chr(39) + ' || product')} * 16), 15)::BIGINT batch, row_number() OVER (PARTITION BY product ORDER BY sha1('11:' || key), key) k FROM p) WHERE k <= 2")

@@ -132,3 +132,20 @@ register("W24_quantile_recall", lambda s, d: _LAB(s, d).where("positive").agg(F.
 register("W25_paired_agreement", lambda s, d: table(s, d, "documents").join(table(s, d, "labels"), "doc_id").groupBy("lang").agg(r6(F.avg((F.col("quality") == F.col("toxic")).cast("int"))).alias("agreement"), F.count(F.lit(1)).alias("n")), "SELECT lang, round(avg((quality = toxic)::INT), 6) agreement, count(*) n FROM documents JOIN labels USING (doc_id) GROUP BY 1")
 register("W26_enrollment_gap", lambda s, d: M.rank_positional(_SC(s, d)).groupBy((F.col("query_id") % 40 == 0).alias("unseen")).agg(r6(F.avg((F.col("rank") <= 1).cast("int"))).alias("r_at_1"), F.count(F.lit(1)).alias("n")), _SC_SQL + " SELECT query_id % 40 = 0 AS unseen, round(avg((rank <= 1)::INT), 6) r_at_1, count(*) n FROM rp GROUP BY 1")
 register("W27_deep_diff", lambda s, d: M.deep_diff(*[table(s, d, "events").select(F.col("event_id").alias("id"), F.explode(F.create_map(F.lit("type"), "event_type", F.lit("k"), F.get_json_object("props", "$.k") if i else F.when(F.col("event_id") % 50 == 0, "x").otherwise(F.get_json_object("props", "$.k")), F.lit("latency"), F.lit(str(i))))).toDF("id", "path", "value") for i in (0, 1)], ["latency"]), "SELECT event_id AS id, 'k' AS path, 'x' AS \"left\", json_extract_string(props, '$.k') AS \"right\" FROM events WHERE event_id % 50 = 0 AND 'x' IS DISTINCT FROM json_extract_string(props, '$.k')")
+register("V17_fixed_gallery", lambda s, d: table(s, d, "embeddings").select("vec_id", "label").orderBy(F.sha1(F.concat_ws(":", F.lit("42"), F.col("vec_id").cast("string"))), "vec_id").limit(100), "SELECT vec_id, label FROM embeddings ORDER BY sha1('42:' || vec_id), vec_id LIMIT 100")
+register("J16_within_category", lambda s, d: table(s, d, "embeddings").alias("a").select(F.col("vec_id").alias("query_id"), "label", "embedding").join(table(s, d, "embeddings").select(F.col("vec_id").alias("code"), "label", F.col("embedding").alias("other")), "label").where("query_id <> code").withColumn("s", dot("embedding", "other")).groupBy("query_id").agg(F.max_by("code", F.struct("s", -F.col("code"))).alias("nearest"), F.count(F.lit(1)).alias("n")), f"SELECT a.vec_id AS query_id, arg_max(b.vec_id, ({SIM}, -b.vec_id)) nearest, count(*) n FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY 1")
+register("W4_multi_positive_rank", lambda s, d: M.rank_strict(_top(s, d).where("code <> query_id").select("query_id", F.col("code").alias("key"), "score", F.col("label").isin(1, 4, 7).alias("is_target"))), TOP + " SELECT query_id, count(*) FILTER (WHERE s > m) + 1 AS rank FROM (SELECT *, max(s) FILTER (WHERE label IN (1, 4, 7)) OVER (PARTITION BY query_id) m FROM top WHERE code <> query_id) WHERE m IS NOT NULL GROUP BY 1")
+register("W6_lower_median", lambda s, d: M.retrieval_metrics(M.rank_positional(_SC(s, d)).withColumn("g", F.col("query_id") % 3), "g").select("g", "lower_median", "median"), _SC_SQL + " SELECT query_id % 3 g, quantile_disc(rank, 0.5)::DOUBLE lower_median, median(rank) median FROM rp GROUP BY 1")
+register("W11_auroc_toxic", lambda s, d: M.auroc(_LAB(s, d).withColumn("positive", F.col("toxic") == 1)).select(r6("auroc").alias("auroc")), _LAB_SQL + f" SELECT round({_AUC}, 6) auroc FROM l a JOIN l b ON a.toxic = 1 AND b.toxic = 0")
+register("W13_reject_sweep", lambda s, d: M.operating_table(_LAB(s, d), (1, 5, 10, 15, 20)).select("percentile", r6("threshold").alias("threshold"), r6("false_reject").alias("false_reject")), _LAB_SQL + ", q AS (SELECT unnest([1, 5, 10, 15, 20]) percentile, unnest((SELECT quantile_cont(score, [0.01, 0.05, 0.1, 0.15, 0.2]) FROM l WHERE positive)) threshold) SELECT percentile, round(threshold, 6) threshold, round(count(*) FILTER (WHERE positive AND score < threshold) / count(*) FILTER (WHERE positive), 6) false_reject FROM l CROSS JOIN q GROUP BY percentile, threshold")
+
+
+def _pair_score(s, d):
+    verdicts = items(s, d).groupBy("brand").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("source") == "R").alias("correct"), F.count_if(F.col("source") == "A").alias("missed"))
+    low, high = M.wilson(F.col("correct"), F.col("n"))
+    return verdicts.select("brand", "n", "correct", "missed", r6(low).alias("low"), r6(high).alias("high"))
+
+
+register("W15_pair_score", _pair_score, f"WITH {ITEMS_SQL}, g AS (SELECT brand, count(*) n, count(*) FILTER (WHERE source = 'R') correct, count(*) FILTER (WHERE source = 'A') missed FROM items GROUP BY 1) SELECT brand, n, correct, missed, round((correct / n + 3.8416 / (2 * n) - 1.96 * sqrt(correct / n * (1 - correct / n) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n), 6) low, round((correct / n + 3.8416 / (2 * n) + 1.96 * sqrt(correct / n * (1 - correct / n) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n), 6) high FROM g")
+register("W20_fire_rates", lambda s, d: M.abstain_sweep(_SWEEP(s, d), [0.1, 0.3, 0.9]).select("threshold", r6("fire_rate").alias("fire_rate")), f"WITH {ITEMS_SQL}, t AS (SELECT unnest([0.1, 0.3, 0.9])::DOUBLE threshold) SELECT threshold, round(avg((confidence >= threshold)::INT), 6) fire_rate FROM items CROSS JOIN t GROUP BY 1")
+register("W21_verdicts_by_brand", lambda s, d: M.class_report(items(s, d).select(F.col("colour").alias("truth"), F.when(F.col("code") % 3 == 0, "red").otherwise(F.col("colour")).alias("predicted"))).select("cls", "support", r6("precision").alias("precision"), r6("recall").alias("recall")), f"WITH {ITEMS_SQL}, p AS (SELECT colour t, CASE WHEN code % 3 = 0 THEN 'red' ELSE colour END p FROM items) SELECT x.c AS cls, count(*) FILTER (WHERE t = x.c) support, round(count(*) FILTER (WHERE t = x.c AND p = x.c) / greatest(count(*) FILTER (WHERE p = x.c), 1), 6) AS precision, round(count(*) FILTER (WHERE t = x.c AND p = x.c) / greatest(count(*) FILTER (WHERE t = x.c), 1), 6) recall FROM p CROSS JOIN (SELECT DISTINCT colour c FROM items) x GROUP BY 1")

@@ -112,3 +112,51 @@ register("F40_shorten", lambda s, d: table(s, d, "part").select("p_partkey", T.s
 register("F41_decision_ladder", lambda s, d: items(s, d).groupBy(F.when(F.col("confidence") < 0.2, "rejected").when(F.col("source") == "R", "hedged").when(F.col("confidence") >= 0.8, "sure").otherwise("likely").alias("said")).agg(F.count(F.lit(1)).alias("n")), W + "SELECT CASE WHEN confidence < 0.2 THEN 'rejected' WHEN source = 'R' THEN 'hedged' WHEN confidence >= 0.8 THEN 'sure' ELSE 'likely' END said, count(*) n FROM items GROUP BY 1")
 register("F42_first_present", lambda s, d: table(s, d, "part").select("p_partkey", F.coalesce(F.when(F.col("p_size") > 40, F.col("p_brand")), F.when(F.col("p_size") > 20, F.col("p_type")), F.lit("none")).alias("v")), "SELECT p_partkey, coalesce(CASE WHEN p_size > 40 THEN p_brand END, CASE WHEN p_size > 20 THEN p_type END, 'none') v FROM part")
 register("F44_hash_halves", lambda s, d: table(s, d, "part").select("p_partkey", *[F.conv(F.substring(F.md5("p_name"), i, 8), 16, 10).cast("long").alias(n) for i, n in ((1, "high"), (9, "low"))]), "SELECT p_partkey, ('0x' || substr(md5(p_name), 1, 8))::BIGINT high, ('0x' || substr(md5(p_name), 9, 8))::BIGINT low FROM part")
+_PALETTE_SQL = "(VALUES " + ", ".join(f"('{n}', {i}, {r}, {g}, {b})" for i, (n, (r, g, b)) in enumerate(C.PALETTE.items())) + ") pal(name, i, r, g, b)"
+
+
+def _palette_vote(s, d):
+    pixels = table(s, d, "part").select("p_brand", C.nearest_rgb(*_RGB()).alias("name")).groupBy("p_brand", "name").agg(F.count(F.lit(1)).alias("n"))
+    return pixels.groupBy("p_brand").agg(F.max_by("name", F.struct("n", "name")).alias("name"), r6(F.max("n") / F.sum("n")).alias("share"))
+
+
+register("F11_palette_vote", _palette_vote, f"WITH v AS (SELECT p_brand, arg_min(name, power(p_partkey * 7 % 256 - r, 2) + power(p_partkey * 11 % 256 - g, 2) + power(p_partkey * 13 % 256 - b, 2) + i * 1e-6) name FROM part CROSS JOIN {_PALETTE_SQL} GROUP BY p_brand, p_partkey), c AS (SELECT p_brand, name, count(*) n FROM v GROUP BY 1, 2) SELECT p_brand, arg_max(name, (n, name)) name, round(max(n) / sum(n), 6) \"share\" FROM c GROUP BY 1")
+
+
+def _dominant(s, d):
+    """k-means in Lab, clusters of 3 % and more, largest first."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    lab = table(s, d, "part").select("p_partkey", _LAB().alias("x")).select("p_partkey", array_to_vector(F.array("x.L", "x.a", "x.b")).alias("features"))
+    found = KMeans(k=5, maxIter=15, tol=1e-3, seed=1).fit(lab).transform(lab)
+    return found.groupBy("prediction").agg(F.count(F.lit(1)).alias("n")).withColumn("share", F.col("n") / F.sum("n").over(R.Window.partitionBy())).where("share >= 0.03").withColumn("k", F.row_number().over(R.Window.orderBy(F.desc("n"), "prediction")))
+
+
+register("F12_F13_dominant_colours", _dominant)
+register("F28_filters_from_text", lambda s, d: table(s, d, "part").select("p_partkey", F.array_join(F.slice(F.filter(T.tokens(F.col("p_name")), lambda t: t.isin("red", "blue", "new")), 1, 2), ",").alias("colours"), F.element_at(T.tokens(F.col("p_name")), -1).alias("category")), "SELECT p_partkey, CASE WHEN split_part(p_name, ' ', 1) IN ('red', 'blue', 'new') THEN split_part(p_name, ' ', 1) ELSE '' END colours, split_part(p_name, ' ', 2) category FROM part")
+register("F43_reference", lambda s, d: table(s, d, "pages").select("page_id", F.when(F.col("url").rlike("^https?://"), F.col("url")).otherwise(F.concat(F.lit("https://base/"), "url")).alias("link")), "SELECT page_id, CASE WHEN regexp_matches(url, '^https?://') THEN url ELSE 'https://base/' || url END link FROM pages")
+register("S30_blob_by_marker", lambda s, d: _product_pages(s, d).select("p_partkey", F.get_json_object(F.get(F.filter(X.linked_data(F.col("html")), lambda b: F.contains(b, F.lit("ProductGroup"))), F.lit(0)), "$.name").alias("name")), "SELECT p_partkey, p_name AS name FROM part")
+
+
+def _head(s, d):
+    """A linear head over vectors, trained by Spark; agreement on rows that it wasn't fitted on."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    rows = table(s, d, "embeddings").select("vec_id", F.col("label").cast("double").alias("label"), array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"))
+    model = LogisticRegression(maxIter=20, regParam=0.1).fit(rows.where("vec_id % 5 > 0"))
+    return model.transform(rows.where("vec_id % 5 = 0")).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("prediction") == F.col("label")).cast("int")).alias("accuracy"))
+
+
+register("X8_X10_linear_head", _head)
+
+
+def _hourly(s, d):
+    from tessera.streaming.incremental import windowed_counts
+
+    rows = windowed_counts(table(s, d, "events"))
+    return rows.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("hour"), "event_type", "n")
+
+
+register("T1_windowed_counts", _hourly, "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') \"hour\", event_type, count(*) n FROM events GROUP BY 1, 2")
