@@ -1,31 +1,6 @@
-"""Tables that cut lineage, in the folder that all executors share."""
+"""Tables that cut lineage, under the name that the operators use."""
 
-from __future__ import annotations
+from tessera.sources.store import saved as kept
+from tessera.sources.store import shared_folder
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (a local session), a new one of this machine."""
-    conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not conf:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        conf = found.get() if found.isDefined() else None
-    if not conf:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        conf = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(conf)
-    return conf.rstrip("/")
-
-
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: later jobs start from the files, also after an
-    executor is lost.  The files stay until the caller clears the shared folder."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["kept", "shared_folder"]
