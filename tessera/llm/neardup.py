@@ -8,9 +8,9 @@
    `SMALL`, every pair.
 4. Hub and neighbour pairs are confirmed first, on the shingles of the whole texts.  The depth then adapts: of a small
    region's other pairs those are confirmed whose ends are still in different components; the members of larger
-   regions, where all share a passage or a common original, are told apart by the shingles that few of them hold.  Two
-   texts at the threshold share one of the rarest 15 % + 1 of either's shingles, unless these are already shingles
-   that very many members hold, and such texts meet in a hub.  A dense group so costs a few checks per member.
+   regions, where all share a passage or a common original, are told apart by their rarest shingles: two texts at the
+   threshold share one of the rarest 15 % + 1 of either's, whatever number of members hold it.  Pairs in one component,
+   and pairs whose numbers of shingles or places of the shared one rule the threshold out, aren't confirmed.
 
 Defined results: null, empty and wordless texts have the empty set and are components of their own; fewer than five
 words are one shingle; ties and repeated rows share a component; rows with a null doc_id are left to themselves (null
@@ -36,11 +36,11 @@ TREES, DEPTH = 16, 3
 HASHES = TREES * DEPTH
 #: Regions up to SMALL are paired fully; a larger one is taken in blocks of BLOCK rows of its order.
 SMALL, BLOCK, HUBS = 48, 4096, 3
-#: Members of large regions that share a rare shingle; one that more hold isn't rare.
-RARE = 100
+#: Holders of a shingle that meet in one cell; more are dealt to blocks, and every two blocks to a cell.
+CELL = 512
 #: Pairs of which so few of the 48 values agree aren't confirmed: at 0.85 that is 4.8 deviations away.
 LEAST_AGREEING = 0.6
-#: The same in large regions, for hubs and for neighbours; members that differ more meet by rare shingles.
+#: The same in large regions, for hubs and for neighbours; members that differ more meet by their prefixes.
 LARGE_HUB, LARGE_NEXT = 0.65, 0.75
 
 _RNG = np.random.default_rng(9_000_011)
@@ -175,7 +175,7 @@ def candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def rare_pairs(texts: DataFrame, least: int = 85) -> DataFrame:
     """(a, b) pairs, in different components, of (doc_id, text, component) rows that share one of either's rarest
-    shingles, which a pair of that similarity has to; shingles that more than RARE of the rows hold aren't looked at."""
+    shingles, which a pair of that similarity has to, and whose sizes and places of that shingle allow it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,10 +189,17 @@ def rare_pairs(texts: DataFrame, least: int = 85) -> DataFrame:
     by_doc = Window.partitionBy("doc_id")
     shared = rows.join(held.hint("merge"), F.col("h") == F.col("_h")).withColumns({"k": F.row_number().over(by_doc.orderBy("count", "h")), "all": F.count(F.lit(1)).over(by_doc)})
     # Shingles of one row come first in the order of rarity; they take up places but pair nothing.
-    prefix = shared.where((F.col("k") + F.col("n") - F.col("all") <= F.col("n") - F.ceil(F.col("n") * least / 100) + 1) & (F.col("count") <= RARE))
-    groups = prefix.groupBy("h").agg(F.collect_list(F.struct(F.col("component").alias("c"), F.col("doc_id").alias("d"))).alias("xs")).where(F.size("xs") > 1)
-    pairs = F.explode(F.expr("flatten(transform(xs, (x, i) -> transform(filter(slice(xs, i + 2, size(xs)), y -> y.c <> x.c), y -> struct(least(x.d, y.d) AS a, greatest(x.d, y.d) AS b))))"))
-    return groups.select(pairs.alias("p")).select("p.a", "p.b").distinct()
+    place = F.col("k") + F.col("n") - F.col("all")
+    prefix = kept(shared.where(place <= F.col("n") - F.ceil(F.col("n") * least / 100) + 1).select("h", "doc_id", "component", "n", place.alias("place")), "prefixes")
+    groups = prefix.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("blocks")).where("x <> y").select(F.col("h").alias("_h"), "blocks")
+    dealt = prefix.join(groups.hint("merge"), F.col("h") == F.col("_h")).withColumn("block", F.pmod(F.xxhash64("doc_id", "h"), F.col("blocks")).cast("int"))
+    side = lambda x, cells: dealt.select(F.col("h").alias(f"h{x}"), F.col("block").alias(f"block{x}"), F.explode(cells).alias(f"with{x}"), *(F.col(c).alias(f"{c}{x}") for c in ("doc_id", "component", "n", "place")))
+    one, two = side(1, F.sequence("block", F.col("blocks") - 1)), side(2, F.sequence(F.lit(0), "block"))
+    # At a pair's first shared shingle, those from there on are all that it can share.
+    left = F.least(F.col("n1") - F.col("place1"), F.col("n2") - F.col("place2")) + 1
+    met = (F.col("h1") == F.col("h2")) & (F.col("block1") == F.col("with2")) & (F.col("with1") == F.col("block2")) & (F.col("component1") != F.col("component2"))
+    met &= ((F.col("block1") < F.col("block2")) | (F.col("doc_id1") < F.col("doc_id2"))) & (100 * left >= least * (F.col("n1") + F.col("n2") - left))
+    return one.hint("merge").join(two, met).select(F.least("doc_id1", "doc_id2").alias("a"), F.greatest("doc_id1", "doc_id2").alias("b")).distinct()
 
 
 def _pairs(found: list[np.ndarray]) -> pa.RecordBatch:

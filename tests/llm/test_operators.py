@@ -331,6 +331,28 @@ def test_near_duplicates_of_one_original(spark):
     assert got == {i: c for i, (_, c) in brute_components(rows).items()}
 
 
+def near_originals():
+    """Two originals near each other, each with 150 versions whose own last line takes them below the threshold."""
+    f = [f"w{i}" for i in range(300)]
+    g = [f"g{i}" if i in (40, 110, 180, 250) else w for i, w in enumerate(f)]
+    rows = [(9000 + k, " ".join(x)) for k, x in enumerate((f, g))]
+    return rows + [(1000 * k + i, " ".join(x + [f"{k}own{i}-{j}" for j in range(10)])) for k, x in enumerate((f, g)) for i in range(150)]
+
+
+@pytest.mark.parametrize("cell", [512, 40])
+def test_prefixes_that_many_hold_still_pair(spark, monkeypatch, cell):
+    monkeypatch.setattr(neardup, "CELL", cell)
+    rows = [(i, t, 1000 * (i // 1000 == 1 or i == 9001)) for i, t in near_originals()]
+    pairs = [tuple(r) for r in neardup.rare_pairs(spark.createDataFrame(rows, "doc_id long, text string, component long")).collect()]
+    assert pairs == [(9000, 9001)]
+
+
+def test_near_duplicates_of_near_originals(spark):
+    rows = near_originals()
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: c for i, (_, c) in brute_components(rows).items()} and set(got.values()) == {0}
+
+
 def test_near_duplicates_odd_rows(odd, empty):
     rows = neardup.near_duplicates(odd).collect()
     want = brute_components(pairs_of(odd))
