@@ -33,7 +33,7 @@ from tessera.llm import text as T
 from tessera.llm.store import kept
 
 WINDOW = 50
-#: Rounds of naming: symbols then stand for 4 words on average, and a window of 50 words holds about 8 whole ones.
+#: Rounds of naming: symbols then stand for 4 words on average; their contexts reach about as far again to each side.
 ROUNDS = 5
 #: Windows that a task compares with each other before they are shuffled.
 COMPARED = 1 << 20
@@ -48,14 +48,15 @@ def symbols(h: np.ndarray, bounds: np.ndarray, rounds: int = ROUNDS) -> tuple[np
     row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     name, low, high = T.mix(h), np.arange(n), np.arange(n) + 1
     for k in range(rounds):
-        # Runs: equal neighbours become one symbol; its neighbours decide where the run ends.
+        # Runs: equal neighbours become one symbol; its neighbours decide where the run ends, a single symbol's too.
         first = np.ones(len(name), bool)
         first[1:] = (name[1:] != name[:-1]) | (row[1:] != row[:-1])
         at = np.flatnonzero(first)
         size = np.diff(np.append(at, len(name)))
         last = at + size - 1
         run = size > 1
-        low, high = _widened(low, high, row, bounds, at, last, run, run)
+        always = np.ones(len(at), bool)
+        low, high = _widened(low, high, row, bounds, at, last, always, always)
         name, row = np.where(run, T.mix(name[at] * np.uint64(0x9FB21C651E98DF25) ^ size.astype(np.uint64)), name[at]), row[at]
         # Pairs: a left symbol followed by a right one.  An unpaired one depends on the neighbour that it could join.
         right = (T.mix(name ^ np.uint64(k + 1)) & np.uint64(1)).astype(bool)

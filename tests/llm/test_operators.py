@@ -148,6 +148,21 @@ def test_contexts_decide_symbols():
     assert len(seen) == 1
 
 
+def test_anchors_of_windows_beside_their_edge_words():
+    """A window keeps its anchor where the word outside equals its first or last word."""
+    from tessera.llm import text as T
+
+    rng = np.random.default_rng(9)
+    for _ in range(300):
+        p = [str(x) for x in rng.integers(0, 200, 50)]
+        seen = set()
+        for left, right in (("a", "b"), (p[0], "b"), ("a", p[-1]), (p[0], p[-1])):
+            w = T.words(pa.array([" ".join(["x", left, *p, right, "y"])]))
+            at, found = repeats.anchors(w.hash, w.bounds)
+            seen.add(int(found[at == 2][0]))
+        assert len(seen) == 1
+
+
 # 4
 
 
