@@ -1,10 +1,12 @@
 """Secret scans (operator 2): candidates by shape, false positives removed by a random forest.
 
-A candidate is a run of letters, digits and `+/=_-.` that holds a digit and is `LEAST_CHARS` long, or half as long
-where an assignment mark stands before it.  A random forest, trained by Spark from labelled findings (candidate, text
+A candidate is a run of letters, digits and `+/_-.`, with `=` as base64 padding at its end only, that is `LEAST_CHARS`
+long, or half as long where an assignment mark stands before it; without a digit it needs such a mark or a secret word
+before it.  The body of a PEM private key is one candidate.  A random forest, trained by Spark from labelled findings (candidate, text
 before, text after, path, label), votes on its length, character transitions, dictionary coverage, path and
-neighbouring words.  Findings of your own can be given; `labelled_findings` makes a fixed set from published key
-formats and from look-alikes (digests, identifiers, card-like numbers, hosts, placeholders).
+neighbouring words.  Findings of your own can be given; `labelled_findings` makes whole texts from published key
+formats and from look-alikes (digests, identifiers, card-like numbers, hosts, placeholders, code, certificates) and cuts
+them as the scan does.
 
 Defined results: a null text is empty and has no candidates; a null path counts as an empty one; equal texts of equal
 path get equal findings; an empty table gives an empty result; without both labels among the findings every candidate
@@ -33,17 +35,28 @@ N_FINDINGS = 6_000
 MARK = "[SECRET]"
 
 _RUN = np.zeros(256, bool)
-_RUN[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-."]] = True
+_RUN[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-."]] = True
 _DIGIT = np.zeros(256, bool)
 _DIGIT[0x30:0x3A] = True
 
-SECRET_WORDS = set("token secret key apikey password passwd pwd auth bearer credential credentials private access".split())
+SECRET_WORDS = set("token secret key apikey password passwd pwd auth bearer credential credentials private access passphrase".split())
+_SECRET_ENDS = ("token", "secret", "apikey", "password", "passwd", "passphrase")
 DIGEST_WORDS = set("sha sha1 sha256 md5 checksum digest commit hash etag revision uuid guid id version build integrity".split())
 EXAMPLE_WORDS = set("example examples test tests dummy sample fake placeholder changeme your demo mock".split())
 DICTIONARY = set(
     "the and for with that this from have not are was you all can but about into over after user users name names data file files path paths table value values time date server client host mail email example admin local config system index image images document documents module package library python java script node source build release version master main branch stream service cluster account number letter word words text page pages home http https www com org net api key token secret password test sample class method function object string list array json xml html report order customer product invoice session event".split()
 )
 _WORD = re.compile(r"[A-Za-z0-9]+")
+_HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+_ASSIGNED = re.compile(r"(=>|[=:])\s*[\"'`]?$")
+_USERINFO = re.compile(r"://[^\s/@:]*:$")
+#: What the last byte before a candidate may be, but for quotes and white space, where it is assigned.
+_MARKS = np.zeros(256, bool)
+_MARKS[[ord(c) for c in "=:>"]] = True
+_SKIPPED = ~T.NON_SPACE
+_SKIPPED[[ord(c) for c in "\"'`"]] = True
+#: A private key's body: header lines, then base64 lines (line ends may be written as \\n), the last one of any length.
+_PEM = re.compile(rb"-----BEGIN (?:[A-Z0-9]{1,20} ){0,4}PRIVATE KEY(?: BLOCK)?-----(?:\s|\\[nr])*((?:[A-Za-z-]{1,20}: [^\n]*\n|[A-Za-z0-9+/]{16,}={0,2}|\s|\\[nr]|[A-Za-z0-9+/=]{1,15}(?=(?:\s|\\[nr])*-----END))*+)")
 _BAD_PATH = re.compile(r"(?i)(^|[/._-])(tests?|fixtures?|examples?|docs?|mocks?|vendor|lock)([/._-]|$)")
 
 
@@ -55,27 +68,61 @@ class Candidate(NamedTuple):
     after: str
 
 
+def _secret_near(words: list[str]) -> bool:
+    return any(w in SECRET_WORDS or w.endswith(_SECRET_ENDS) for w in words)
+
+
+def _near(before: str) -> list[str]:
+    """The last three words, names of several words taken apart."""
+    return [x.lower() for x in _WORD.findall(_HUMP.sub(" ", before))[-3:]]
+
+
 def candidates(texts: pa.Array) -> tuple[np.ndarray, list[Candidate]]:
     """Rows, and candidates with byte positions in the row's text."""
     w = T.words(texts, _RUN)
     _, offsets = T.buffers(texts)
+    n = len(w.data)
     digits = np.concatenate([[0], np.cumsum(_DIGIT[w.data])])
+    has_digit = digits[w.end] > digits[w.start]
     length = w.end - w.start
-    some = np.flatnonzero((length >= LEAST_CHARS // 2) & (digits[w.end] > digits[w.start]))
+    # The last byte before each run that is neither white space nor a quote.
+    last = np.maximum.accumulate(np.where(_SKIPPED[w.data], -1, np.arange(n))) if n else np.zeros(0, np.int64)
+    before = np.where(w.start > 0, last[w.start - 1], -1) if len(w.start) else w.start
+    marked = (before >= 0) & _MARKS[w.data[before]] if n else has_digit
+    some = np.flatnonzero((length >= LEAST_CHARS // 2) & (has_digit | marked | (length >= LEAST_CHARS)))
     rows = w.rows()
-    out_rows, out = [], []
+    out = []
     raw = w.data.tobytes()
+    text = lambda a, b: raw[a:b].decode(errors="ignore")
+    keys: dict[int, list[tuple[int, int]]] = {}
+    if b"PRIVATE KEY" in raw:
+        for row, (low, high) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+            for m in _PEM.finditer(raw[low:high]):
+                body = m[1].rstrip()
+                if len(body) >= LEAST_CHARS:
+                    a, b = low + m.start(1), low + m.start(1) + len(body)
+                    keys.setdefault(row, []).append((a, b))
+                    out.append((row, Candidate(a - low, b - low, text(a, b), text(max(low, a - CONTEXT), a), text(b, min(high, b + CONTEXT)))))
     for i in some.tolist():
         row, a, b = int(rows[i]), int(w.start[i]), int(w.end[i])
         low, high = int(offsets[row]), int(offsets[row + 1])
+        if any(x <= a < y for x, y in keys.get(row, ())):
+            continue
         while b > a and raw[b - 1 : b] in (b".", b"-"):  # a sentence's end
             b -= 1
-        before = raw[max(low, a - CONTEXT) : a].decode(errors="ignore")
-        least = LEAST_CHARS // 2 if re.search(r"[=:]\s*[\"'`]?$", before) else LEAST_CHARS
-        if b - a >= least:
-            out_rows.append(row)
-            out.append(Candidate(a - low, b - low, raw[a:b].decode(), before, raw[b : min(high, b + CONTEXT)].decode(errors="ignore")))
-    return np.array(out_rows, np.int64), out
+        for pad in (2, 1):  # base64 padding ends a run whose length it fills up to fours
+            end = b + pad
+            if end <= high and raw[b:end] == b"=" * pad and (end - a) % 4 == 0 and (end == high or not (_RUN[raw[end]] or raw[end : end + 1] == b"=")):
+                b = end
+                break
+        before = text(max(low, a - CONTEXT), a)
+        assigned = bool(_ASSIGNED.search(before))
+        if b - a < (LEAST_CHARS // 2 if assigned else LEAST_CHARS):
+            continue
+        if has_digit[i] or assigned or _secret_near(_near(before)):
+            out.append((row, Candidate(a - low, b - low, text(a, b), before, text(b, min(high, b + CONTEXT)))))
+    out.sort(key=lambda x: (x[0], x[1].start))
+    return np.array([r for r, _ in out], np.int64), [c for _, c in out]
 
 
 def _covered(text: str) -> float:
@@ -88,7 +135,7 @@ def _covered(text: str) -> float:
     return hit / max(len(low), 1)
 
 
-FEATURES = ("length", "digits", "upper", "lower", "others", "transitions", "case_changes", "vowels", "entropy", "distinct", "hex", "dictionary", "assigned", "quoted", "secret_near", "digest_near", "example_near", "example_path", "longest_run", "separators")
+FEATURES = ("length", "digits", "upper", "lower", "others", "transitions", "case_changes", "vowels", "entropy", "distinct", "hex", "dictionary", "assigned", "quoted", "secret_near", "digest_near", "example_near", "example_path", "longest_run", "separators", "called", "userinfo")
 
 
 def features(text: str, before: str, after: str, path: str) -> list[float]:
@@ -101,20 +148,21 @@ def features(text: str, before: str, after: str, path: str) -> list[float]:
     for i, c in enumerate(text):
         run = run + 1 if i and text[i - 1] == c else 1
         best = max(best, run)
-    near = [x.lower() for x in _WORD.findall(before)[-3:]]
+    near = _near(before)
     around = set(near + [x.lower() for x in _WORD.findall(after)[:3]] + [x.lower() for x in _WORD.findall(text)])
     return [
         float(len(text)), of["d"] / n, of["u"] / n, of["l"] / n, of["o"] / n,
         sum(a != b for a, b in zip(kinds, kinds[1:])) / max(n - 1, 1), sum({a, b} == {"u", "l"} for a, b in zip(kinds, kinds[1:])) / max(n - 1, 1),
         sum(c in "aeiou" for c in letters) / max(len(letters), 1), -sum(k / n * math.log2(k / n) for k in counts.values()), len(counts) / n,
         float(bool(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text)) and of["d"] < n), _covered(text),
-        float(bool(re.search(r"[=:]\s*[\"'`]?$", before))), float(before[-1:] in ("'", '"', "`") and before != ""), float(bool(SECRET_WORDS & set(near))), float(bool(DIGEST_WORDS & set(near))),
+        float(bool(_ASSIGNED.search(before))), float(before[-1:] in ("'", '"', "`") and before != ""), float(_secret_near(near)), float(bool(DIGEST_WORDS & set(near))),
         float(bool(EXAMPLE_WORDS & around) or "example" in text.lower()), float(bool(_BAD_PATH.search(path or ""))), float(best), float(sum(c in "-_./" for c in text)),
+        float(after[:1] in ("(", "[") and after != ""), float(bool(_USERINFO.search(before)) and after[:1] == "@"),
     ]
 
 
 def labelled_findings(n: int = N_FINDINGS, seed: int = SEED) -> list[tuple[str, str, str, str, int]]:
-    """(candidate, before, after, path, label) rows, half of them secrets."""
+    """(candidate, before, after, path, label) rows, cut from n whole texts of which half hold a secret."""
     rng = random.Random(seed)
     pick = lambda alphabet, k: "".join(rng.choice(alphabet) for _ in range(k))
     hexa, low, up, dig = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -129,6 +177,38 @@ def labelled_findings(n: int = N_FINDINGS, seed: int = SEED) -> list[tuple[str,
         given = speech(rng.randint(2, 8)) + " " + name + mark
         close = {'"': '"', "'": "'"}.get(mark[-1], "") + " "
         path = rng.choice(paths)
+        lines = "\n".join(pick(base + "+/", 64) for _ in range(rng.randint(3, 12))) + "\n" + pick(base + "+/", rng.randint(20, 60)) + rng.choice(["", "=", "=="])
+        form = rng.choice([
+            ("\n" + rng.choice(["", "APP_", "export DB_"]) + name.upper() + "=", "\n"), (f"https://{speech(1)}.com/{speech(1)}?{name}=", rng.choice(["&x=1 ", " "])), ('{"id": 3, "' + name + '": "', '", '),
+            (" :" + name + ' => "', '" '), ("\n  " + name + ": ", "\n"), (speech(2) + " " + name + " = '", "' "), (speech(3) + " " + name + ' = "', '" '),
+        ])
+        joined = lambda mark: mark.join(speech(1) for _ in range(rng.randint(4, 5)))
+        if i % 4 == 1:
+            kind = rng.randrange(9)
+            text = [pick(hexa, rng.choice([32, 40, 64])), pick(low + up, rng.randint(12, 40)), joined(""), joined("-"), pick(base, rng.randint(12, 48)), pick(base + "+/", rng.choice([43, 86])) + "=", pick(low + up, rng.randint(16, 40)), pick(base, rng.randint(10, 24)), lines][kind]
+            text += "=" * (-len(text) % 4) if kind == 5 else ""
+            before, after = form
+            if kind == 7:
+                before, after = f"{rng.choice(['postgres', 'mysql', 'https', 'amqp'])}://{speech(1)}:", f"@{speech(1)}.com:5432/{speech(1)}"
+            elif kind == 8:
+                who = rng.choice(["RSA ", "EC ", "", "OPENSSH "])
+                before, after = f"-----BEGIN {who}PRIVATE KEY-----\n", f"\n-----END {who}PRIVATE KEY-----\n"
+            elif kind == 4 and rng.random() < 0.5:
+                before, after = "Authorization: Bearer ", "\n"
+            rows.append((text, before, after + speech(4), path, 1))
+            continue
+        if i % 4 == 2:
+            kind = rng.randrange(8)
+            other = rng.choice(["title", "label", "class", "type", "content", "lang", "module"])
+            dotted = ".".join(speech(1) for _ in range(rng.randint(2, 4)))
+            text, before, after = [
+                (dotted, speech(2) + " " + name + " = ", "("), ("_".join(speech(1) for _ in range(3)), speech(2) + " " + name + "=", rng.choice(["(", "["])), (dotted, form[0].rstrip("\"'"), rng.choice([")", ";", "["])),
+                (rng.choice(["SecretStr", "Optional", "required", "undefined", "changeme", "placeholder", "xxxxxxxxxxxx", "your_password_here", "your-token-here"]), form[0], form[1]),
+                (joined(rng.choice(["", "-"])), speech(3) + " " + other + rng.choice([": ", ' = "', "=", '="']), " "), (joined("-"), speech(2) + " " + name.replace("_", " ") + " ", " "),
+                (lines, "-----BEGIN CERTIFICATE-----\n", "\n-----END CERTIFICATE-----\n"), (pick(hexa, 40), speech(2) + " " + rng.choice(["sha256", "commit", "md5", "digest"]).upper() + "=", "\n"),
+            ][kind]
+            rows.append((text, before, after + speech(4), path, 0))
+            continue
         if i % 2:
             kind = rng.randrange(8)
             text = [pick(hexa, rng.choice([32, 40, 40, 48, 64])), "AKIA" + pick(up + dig, 16), "ghp_" + pick(base, 36), "sk-" + pick(base, 48), "xoxb-" + pick(dig, 12) + "-" + pick(base, 24), pick(base + "+/", 40), pick(base, rng.randint(20, 64)), pick(base + "_-", rng.randint(12, 24))][kind]
@@ -156,7 +236,13 @@ def labelled_findings(n: int = N_FINDINGS, seed: int = SEED) -> list[tuple[str,
         ][kind]()
         path = rng.choice(["tests/fixtures/keys.json", "docs/example.md", "vendor/lock"]) if kind == 12 else path
         rows.append((text, before, " " + speech(4), path, 0))
-    return rows
+    at, found = candidates(pa.array([before + text + after for text, before, after, *_ in rows]))
+    out = []
+    for r, c in zip(at.tolist(), found):
+        text, before, _, path, label = rows[r]
+        start = len(before.encode())
+        out.append((c.text, c.before, c.after, path, int(label and c.start < start + len(text.encode()) and start < c.end)))
+    return out
 
 
 class Forest:
