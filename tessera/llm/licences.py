@@ -4,7 +4,8 @@ A template's three-word runs point at regions of a text that may hold it.  In a
 text part and once in the template part are anchors; the longest increasing subsequence of anchors is kept, equal words
 next to them are taken along, and the gaps between are aligned the same way.  Matched template words by all template
 words is the coverage; a finding needs `LEAST_COVERAGE`.  Where findings overlap, the one with most matched words
-stays (then higher coverage, then the template's name).
+stays (then higher coverage, then the template's name).  A finding also needs its template's distinguishing words (a
+version, Lesser, Affero) among the matched ones, and none that tells another license (`OTHERS`) put in between.
 
 Defined results: a null text has no words and no findings; equal texts get equal findings; a template without words is
 never found; an empty table gives an empty result; other columns are passed over.
@@ -15,6 +16,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from pathlib import Path
 from typing import NamedTuple
 
 import numpy as np
@@ -26,6 +28,8 @@ from tessera.llm import text as T
 
 LEAST_COVERAGE = 0.8
 SEED_WORDS = 3
+#: Templates of more words are first held against the words of the place, whatever their order.
+SMALL = 50
 
 #: License notices as their publishers word them (fixed values).
 TEMPLATES = {
@@ -43,6 +47,56 @@ TEMPLATES = {
 }
 
 
+_AS_IS = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_ENDORSE = " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+
+
+def _gnu(what: str, name: str, version: str, end: str) -> str:
+    return f"This {what} is free software; you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation; either version {version} of the License, or (at your option) any later version. This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {name} for more details. You should have received a copy of the {name} along with this {what}{end}"
+
+
+_WRITE = "; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA."
+_SEE = ". If not, see <https://www.gnu.org/licenses/>."
+_GPL, _LESSER, _LIBRARY, _AFFERO = "GNU General Public License", "GNU Lesser General Public License", "GNU Library General Public License", "GNU Affero General Public License"
+TEMPLATES |= {
+    "MIT-text": TEMPLATES["MIT"] + ' THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "ISC-text": TEMPLATES["ISC"] + ' THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    "BSD-2-Clause": f"{_BSD} {_AS_IS}",
+    "BSD-3-Clause": f"{_BSD}{_ENDORSE} {_AS_IS}",
+    "GPL-2.0-or-later": _gnu("program", _GPL, "2", _WRITE),
+    "GPL-2.0-only": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    "GPL-2.0-line": "This work is licensed under the GNU General Public License, version 2.",
+    "LGPL-2.0-or-later": _gnu("library", _LIBRARY, "2", _WRITE),
+    "LGPL-2.1-or-later": _gnu("library", _LESSER, "2.1", _WRITE),
+    "LGPL-3.0-or-later": _gnu("library", _LESSER, "3", _SEE),
+    "AGPL-3.0-or-later": _gnu("program", _AFFERO, "3", _SEE),
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "EPL-1.0": "All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "Unlicense": 'This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to <https://unlicense.org>',
+    "BSL-1.0-line": "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)",
+    "BSL-1.0": 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.',
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    "CC0-1.0-line": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+}
+#: Words of which a template needs one match each, besides its coverage.
+REQUIRED = {
+    "Apache-2.0-line": "2", "Apache-2.0": "2", "GPL-2.0-line": "2", "GPL-3.0-line": "3", "GPL-2.0-only": "2", "GPL-2.0-or-later": "2 later", "GPL-3.0-or-later": "3 later", "LGPL-2.0-or-later": "library 2 later", "LGPL-2.1-or-later": "lesser 2 1 later",
+    "LGPL-3.0-or-later": "lesser 3 later", "AGPL-3.0-or-later": "affero 3 later", "BSD-3-Clause": "neither endorse", "MPL-2.0": "mozilla 2", "EPL-1.0": "eclipse v1", "EPL-2.0": "eclipse 2", "CC-BY-4.0-line": "attribution 4", "CC-BY-NC-4.0-line": "nc 4", "BSL-1.0-line": "boost 1",
+}
+_LONG = {"BY": "Attribution", "SA": "ShareAlike", "NC": "NonCommercial", "ND": "NoDerivatives"}
+for _s in ("BY", "BY-SA", "BY-NC", "BY-NC-SA", "BY-ND", "BY-NC-ND"):
+    _parts = _s.split("-")
+    for _name, _text, _words in ((f"CC-{_s}-4.0-line" if _s != "BY" else "CC-BY-4.0-short", f"Licensed under CC {_s} 4.0.", _parts), (f"CC-{_s}-4.0-notice" if _s != "BY" else "CC-BY-4.0-line", f"This work is licensed under a Creative Commons {'-'.join(_LONG[x] for x in _parts)} 4.0 International License.", [_LONG[x] for x in _parts])):
+        TEMPLATES[_name], REQUIRED[_name] = _text, " ".join(_words).lower() + " 4"
+#: Whole license texts; their findings end in -text.
+for _path in sorted((Path(__file__).parent / "license_texts").glob("*.txt")):
+    TEMPLATES[f"{_path.stem}-text"] = _path.read_text(encoding="utf-8")
+#: Words that, put in between a template's, tell another license of its family.
+OTHERS = {"GPL": "lesser affero", "LGPL": "affero", "CC-": "sa nc nd sharealike noncommercial noderivatives", "BSD-2": "endorse"}
+
+
 class Finding(NamedTuple):
     license: str
     start: int
@@ -105,6 +159,11 @@ class Scanner:
         self.names, self.least = sorted(templates), least
         w = T.words(pa.array([templates[n] for n in self.names], pa.large_string()), T.ALNUM, lower=True)
         self.words = [w.hash[a:b].tolist() for a, b in zip(w.bounds[:-1], w.bounds[1:])]
+        self.sizes, self.vocabulary = w.counts(), [np.unique(w.hash[a:b]) for a, b in zip(w.bounds[:-1], w.bounds[1:])]
+        code = lambda words: T.words(pa.array([words], pa.large_string()), T.ALNUM, lower=True).hash.tolist()
+        known = [n if templates[n] == TEMPLATES.get(n) else "" for n in self.names]
+        self.required = [code(REQUIRED.get(n, "")) for n in known]
+        self.others = [set(code(" ".join(v for k, v in OTHERS.items() if n.startswith(k)))) for n in known]
         width = np.minimum(SEED_WORDS, w.counts())
         seeds = []
         for t, (a, n, k) in enumerate(zip(w.bounds, w.counts(), width)):
@@ -119,8 +178,8 @@ class Scanner:
         self.seed = np.array([s[0] for s in seeds], np.uint64)
         self.entry = np.array([s[1:] for s in seeds], np.int64).reshape(-1, 3)
         self.widths = sorted({s[3] for s in seeds})
-        self.maybe = np.zeros(1 << 16, bool)
-        self.maybe[self.seed & np.uint64(0xFFFF)] = True
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[self.seed & np.uint64(0xFFFFF)] = True
 
     def regions(self, w: T.Words) -> Iterator[tuple[int, int, int, int]]:
         """(row, template, first word, end) of the places that seeds point at, seeds near each other as one."""
@@ -129,7 +188,7 @@ class Scanner:
         for width in self.widths:
             at = T.starts(w.bounds, width)
             h = T.grams(w.hash, width, at)
-            near = self.maybe[h & np.uint64(0xFFFF)]
+            near = self.maybe[h & np.uint64(0xFFFFF)]
             at, h = at[near], h[near]
             low, high = np.searchsorted(self.seed, h), np.searchsorted(self.seed, h, "right")
             n = high - low
@@ -137,15 +196,27 @@ class Scanner:
             at, ok = np.repeat(at, n), e[:, 2] == width
             found.append(np.column_stack([rows[at], e[:, 0], at - e[:, 1]])[ok])
         hits = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
-        hits = hits[np.lexsort((hits[:, 2], hits[:, 1], hits[:, 0]))].tolist()
-        i = 0
-        while i < len(hits):
-            row, t, start = hits[i]
-            size, last = len(self.words[t]), start
-            while i < len(hits) and hits[i][:2] == [row, t] and hits[i][2] - last <= max(2, size // 4):
-                last = hits[i][2]
-                i += 1
-            yield row, t, start, last + size
+        hits = hits[np.lexsort((hits[:, 2], hits[:, 1], hits[:, 0]))]
+        if not len(hits):
+            return
+        size = self.sizes[hits[:, 1]]
+        new = np.ones(len(hits), bool)
+        new[1:] = (hits[1:, :2] != hits[:-1, :2]).any(1) | (hits[1:, 2] - hits[:-1, 2] > np.maximum(2, size[1:] // 4))
+        at = np.flatnonzero(new)
+        last = np.append(at[1:], len(hits)) - 1
+        row, t, start, end, size = hits[at, 0], hits[at, 1], hits[at, 2], hits[last, 2] + size[at], size[at]
+        # Places that hold fewer words than a finding needs matched.
+        room = np.minimum(end + 2 + size // 4, w.bounds[row + 1]) - np.maximum(start - 2 - size // 4, w.bounds[row])
+        for i in np.flatnonzero(room >= self.least * size).tolist():
+            yield int(row[i]), int(t[i]), int(start[i]), int(end[i])
+
+    def _tells(self, t: int, a: list[int], pairs: list[tuple[int, int]]) -> bool:
+        """Whether the template's distinguishing words are matched, and no other license's stand in between."""
+        if not self.required[t] and not self.others[t]:
+            return True
+        matched = {self.words[t][j] for _, j in pairs}
+        own = {i for i, _ in pairs}
+        return all(x in matched for x in self.required[t]) and not any(a[i] in self.others[t] for i in range(pairs[0][0], pairs[-1][0]) if i not in own)
 
     def scan(self, texts: pa.Array) -> tuple[np.ndarray, list[list[Finding]]]:
         """Words of each text, and its findings in order."""
@@ -154,11 +225,15 @@ class Scanner:
         for row, t, start, end in self.regions(w):
             low, high, size = int(w.bounds[row]), int(w.bounds[row + 1]), len(self.words[t])
             slack = 2 + size // 4
+            inside = w.hash[max(start - slack, low) : min(end + slack, high)]
+            if size > SMALL and np.isin(inside, self.vocabulary[t]).sum() < self.least * size:
+                continue
             # With some room around, where words may have been put in; or just the place, whose ends are the template's.
             for room in (slack, 0):
                 a, b = max(start - room, low), min(end + room, high)
-                pairs = align(w.hash[a:b].tolist(), self.words[t], room > 0)
-                if pairs and len(pairs) >= self.least * size:
+                part = w.hash[a:b].tolist()
+                pairs = align(part, self.words[t], room > 0)
+                if pairs and len(pairs) >= self.least * size and self._tells(t, part, pairs):
                     all_found[row].append(Finding(self.names[t], a - low + pairs[0][0], a - low + pairs[-1][0] + 1, len(pairs), len(pairs) / size))
         for row, found in enumerate(all_found):
             kept: list[Finding] = []

@@ -413,6 +413,18 @@ def test_alignment():
     assert licences.align([], [1]) == licences.align([1], []) == []
 
 
+def test_licenses_are_told_apart():
+    t = licences.TEMPLATES
+    scanner = licences.Scanner(t)
+    found = lambda text: [f.license for f in scanner.scan(pa.array([text]))[1][0]]
+    for name in t:
+        assert found(f"some words\n{t[name]}\nother words") == [name]
+    assert found("Copyright 2020 A. All rights reserved.\n" + t["BSD-3-Clause"]) == ["all-rights-reserved", "BSD-3-Clause"]
+    assert found(t["GPL-3.0-or-later"].replace("version 3", "version 2")) == ["GPL-2.0-or-later"]
+    assert found(t["GPL-3.0-or-later"].replace("GNU General", "GNU Lesser General")) == ["LGPL-3.0-or-later"]
+    assert found("Licensed under CC BY-NC-SA 4.0.") == ["CC-BY-NC-SA-4.0-line"] and not found("Licensed under CC BY-NC 3.0.")
+
+
 def test_licenses_odd_rows(spark, odd, empty):
     mit = licences.TEMPLATES["MIT"]
     changed = mit.replace("free of charge", "at no charge").replace("sublicense", "relicense")
