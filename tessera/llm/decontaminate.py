@@ -28,7 +28,6 @@ from tessera.llm import text as T
 WINDOW, SHINGLE = 13, 4
 #: Benchmark text that one broadcast index is built from.
 BLOCK_BYTES = 32 << 20
-_SEED = 0x5851F42D4C957F2D
 
 
 def _words(texts: pa.Array) -> T.Words:
@@ -46,7 +45,7 @@ class WindowIndex:
         at = np.concatenate([long, w.bounds[short]])
         size = np.concatenate([np.full(len(long), WINDOW), counts[short]])
         item = np.concatenate([w.rows()[long], short])
-        a, b = T.grams(w.hash, size, at), T.grams(w.hash, size, at, _SEED)
+        a, b = T.grams(w.hash, size, at), T.grams(w.other(), size, at)
         # Items that share a window share its entry.
         order = np.lexsort((item, b, a))
         a, b, at, size, item = (x[order] for x in (a, b, at, size, item))
@@ -100,7 +99,7 @@ class WindowIndex:
         fits = (start >= w.bounds[row]) & (start + self.size[window] <= w.bounds[row + 1])
         start, window = start[fits], window[fits]
         size = self.size[window]
-        same = (T.grams(w.hash, size, start) == self.a[window]) & (T.grams(w.hash, size, start, _SEED) == self.b[window])
+        same = (T.grams(w.hash, size, start) == self.a[window]) & (T.grams(w.other(), size, start) == self.b[window])
         return start[same], window[same]
 
 

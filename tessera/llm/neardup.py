@@ -50,14 +50,18 @@ _MUL = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)
 
 def shingles(texts: pa.Array, size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text, sorted, and offsets."""
-    w = T.words(texts, lower=True)
+    row, h = _shingles(T.words(texts, lower=True), size)
+    return T.distinct(row, h, len(texts))
+
+
+def _shingles(w: T.Words, size: int, *more: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Row and hash of each shingle, row by row, and its hash over the other word hashes given."""
     rows, counts = w.rows(), w.counts()
     at = T.starts(w.bounds, size)
     short = np.flatnonzero((counts > 0) & (counts < size))
     row = np.concatenate([rows[at], short])
-    h = np.concatenate([T.grams(w.hash, size, at), T.grams(w.hash, counts[short], w.bounds[short])])
     order = np.argsort(row, kind="stable")
-    return T.distinct(row[order], h[order], len(texts))
+    return row[order], *(np.concatenate([T.grams(h, size, at), T.grams(h, counts[short], w.bounds[short])])[order] for h in (w.hash, *more))
 
 
 def signatures(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -74,14 +78,21 @@ def signatures(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def sketches(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, a and b (a 128-bit hash of the set) and sig of every row."""
+    """doc_id, n_shingles, a and b (sums over the set by two independent hashes) and sig of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in T.slices(batch, "text"):
-                h, offsets = shingles(part.column("text"))
+                w = T.words(part.column("text"), lower=True)
+                row, h, g = _shingles(w, WORDS, w.other())
+                order = np.lexsort((g, h, row))
+                row, h, g = row[order], h[order], g[order]
+                new = np.ones(len(row), bool)
+                new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1]) | (g[1:] != g[:-1])
+                row, h, g = row[new], h[new], g[new]
+                offsets = np.searchsorted(row, np.arange(part.num_rows + 1))
                 n = np.diff(offsets)
-                sums = [np.concatenate([[np.uint64(0)], np.cumsum(T.mix(h ^ np.uint64(s)))]) for s in (0x1B873593CC9E2D51, 0x85EBCA6BC2B2AE35)]
+                sums = [np.concatenate([[np.uint64(0)], np.cumsum(T.mix(x))]) for x in (h, g)]
                 a, b = (T.signed(s[offsets[1:]] - s[offsets[:-1]]) for s in sums)
                 sig = signatures(h, offsets)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(a), pa.array(b), pa.array([r.tobytes() for r in sig], pa.binary())], ["doc_id", "n_shingles", "a", "b", "sig"])

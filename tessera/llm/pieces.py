@@ -92,9 +92,6 @@ class _Slice:
         self.pieces = pieces
         self.data, self.offsets = T.buffers(_prepared(texts))
         n = len(self.data)
-        T._BYTES.reach(n + 1)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(T._BYTE_CODE[self.data] * T._BYTES.up[:n], out=self.sums[1:])
         space = self.data == 0x20
         first = np.zeros(n, bool)
         first[1:] = space[1:] & ~space[:-1]
@@ -110,7 +107,7 @@ class _Slice:
         self.spell()
 
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return T.mix((self.sums[end] - self.sums[start]) * T._BYTES.down[start] ^ (end - start).astype(np.uint64))
+        return T.hashed(self.data, start, end)
 
     def chars(self) -> None:
         """Byte positions of the distinct words' characters, word after word."""

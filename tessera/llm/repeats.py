@@ -3,13 +3,15 @@
 Rounds of run and pair naming shorten each text's word sequence.  Names are hashes of what they stand for, so every
 task gives equal substrings equal interior symbols without asking another.  With each symbol goes its context, the
 stretch of words that decided how it was formed; a symbol whose context lies inside a window is the same wherever the
-window's words occur.  A window of `WINDOW` words is known by the smallest of these symbols, its anchor; windows without
-one (long runs of a word, say) are always looked at.
+window's words occur.  So is a high-level symbol, which stands for several neighbours whose contexts all lie inside.  A
+window of `WINDOW` words is known by the smallest high-level symbol of the longest kind that it holds, its anchor;
+windows without one (long runs of a word, say) are always looked at.
 
-1. Per document: anchors of its windows, and a 128-bit hash of its words.  Documents of equal words form classes; of
-   those with a window, all but the smallest doc_id are removed whole, and only classes count further on.
+1. Per document: anchors of its windows, and a cryptographic digest of its words.  Documents of equal words form
+   classes; of those with a window, all but the smallest doc_id are removed whole, and only classes count further on.
 2. Anchors that two classes share are kept; the documents that hold one are cut into windows again, and windows with a
-   shared anchor are confirmed by their 128-bit hash: sorted by hash and doc_id, all but the smallest document's go.
+   shared anchor are confirmed by two independent 64-bit hashes of their words: sorted by these and doc_id, all but the
+   smallest document's go.
    Within a task windows are first compared with each other, so that a passage that very many documents share sends
    one row a task.
 3. Documents meet the starts of their removed windows and write out what is left.
@@ -21,7 +23,6 @@ than a window stay whole; an empty table gives an empty result; other columns ar
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,12 +34,13 @@ from tessera.llm import text as T
 from tessera.llm.store import kept
 
 WINDOW = 50
-#: Rounds of naming: symbols then stand for 4 words on average; their contexts reach about as far again to each side.
-ROUNDS = 5
+#: Rounds of naming: symbols then stand for 3 words on average; their contexts reach about as far again to each side.
+ROUNDS = 4
+#: Neighbouring symbols that a high-level symbol stands for; a window takes the first of these that fits in it.
+LEVELS = (6, 3, 1)
 #: Windows that a task compares with each other before they are shuffled.
 COMPARED = 1 << 20
 _NONE = np.uint64(0)
-_SEED = 0x6A09E667F3BCC908
 
 
 def symbols(h: np.ndarray, bounds: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, ...]:
@@ -85,38 +87,47 @@ def _widened(low: np.ndarray, high: np.ndarray, row: np.ndarray, bounds: np.ndar
 def anchors(h: np.ndarray, bounds: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """First words of all windows, and their anchors (0: none)."""
     at = T.starts(bounds, window)
-    name, low, high = symbols(h, bounds, rounds)
+    found = np.zeros(len(at), np.uint64)
     if not len(at):
-        return at, np.zeros(0, np.uint64)
-    name = np.maximum(name, np.uint64(1))
+        return at, found
+    name, low, high = symbols(h, bounds, rounds)
     # Contexts advance with the symbols, so those inside a window are neighbours.
     low, high = np.minimum.accumulate(low[::-1])[::-1], np.maximum.accumulate(high)
-    begin, end = np.searchsorted(low, at), np.searchsorted(high, at + window, "right")
-    n = end - begin
-    found = np.zeros(len(at), np.uint64)
-    level, width = name, 1
-    most = int(n.max(initial=0))
+    for level in LEVELS:
+        none = np.flatnonzero(found == _NONE)
+        if len(name) < level or not len(none):
+            continue
+        joint = np.maximum(T.grams(name, level, np.arange(len(name) - level + 1)), np.uint64(1))
+        begin, end = np.searchsorted(low[: len(joint)], at[none]), np.searchsorted(high[level - 1 :], at[none] + window, "right")
+        found[none] = _least(joint, begin, end)
+    return at, found
+
+
+def _least(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The smallest value of each range, 0 for an empty one."""
+    n, out = end - begin, np.zeros(len(begin), np.uint64)
+    most, width = int(n.max(initial=0)), 1
     while width <= most:
-        # `level` holds the minima of `width` neighbours; two of them cover any range of up to twice that.
+        # `values` holds the minima of `width` neighbours; two of them cover any range of up to twice that.
         some = np.flatnonzero((n >= width) & (n < 2 * width))
-        found[some] = np.minimum(level[begin[some]], level[end[some] - width])
-        level = np.minimum(level[:-width], level[width:]) if len(level) > width else level[:0]
+        out[some] = np.minimum(values[begin[some]], values[end[some] - width])
+        values = np.minimum(values[:-width], values[width:]) if len(values) > width else values[:0]
         width *= 2
-    return at, found
+    return out
 
 
 def _profiles(documents: DataFrame, window: int) -> DataFrame:
-    """doc_id, n_words, a and b (hash of the words) and names (distinct anchors) of every row with a doc_id."""
+    """doc_id, n_words, a and b (digest of the words) and names (distinct anchors) of every row with a doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in T.slices(batch, "text"):
                 w = T.words(part.column("text"))
                 counts, rows = w.counts(), w.rows()
-                a, b = T.grams(w.hash, counts, w.bounds[:-1]), T.grams(w.hash, counts, w.bounds[:-1], _SEED)
+                a, b = T.digests(w)
                 at, found = anchors(w.hash, w.bounds, window)
                 names, offsets = T.distinct(rows[at], found, part.num_rows)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(T.signed(a)), pa.array(T.signed(b)), T.lists(T.signed(names), offsets, pa.int64())], ["doc_id", "n_words", "a", "b", "names"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(a), pa.array(b), T.lists(T.signed(names), offsets, pa.int64())], ["doc_id", "n_words", "a", "b", "names"])
 
     return documents.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, n_words long, a long, b long, names array<long>")
 
@@ -139,7 +150,7 @@ def _windows(documents: DataFrame, window: int) -> DataFrame:
                 to = np.minimum(np.searchsorted(shared, found), len(shared) - 1)
                 at = at[shared[to] == found]
                 doc = part.column("doc_id").to_numpy(zero_copy_only=False)[rows[at]]
-                a, b = T.grams(w.hash, window, at), T.grams(w.hash, window, at, _SEED)
+                a, b = T.grams(w.hash, window, at), T.grams(w.other(), window, at)
                 # One row for equal windows of a document: the first.
                 order = np.lexsort((at, b, a, rows[at]))
                 new = np.ones(len(order), bool)
@@ -221,17 +232,17 @@ def _written(documents: DataFrame, window: int) -> DataFrame:
                     rows = w.rows()
                     all_at = T.starts(w.bounds, window)
                     all_at = all_at[size[rows[all_at]] > 0]
-                    keys = [T.mix(T.grams(w.hash, window, x) + rows[x].astype(np.uint64)) for x in (at, all_at)]
-                    all_at = all_at[np.isin(keys[1], keys[0])]
+                    for h in (w.hash, w.other()):
+                        keys = [T.mix(T.grams(h, window, x) + rows[x].astype(np.uint64)) for x in (at, all_at)]
+                        all_at = all_at[np.isin(keys[1], keys[0])]
                     edge += np.bincount(all_at, minlength=len(edge)) - np.bincount(all_at + window, minlength=len(edge))
                 covered = np.cumsum(edge)[:-1] > 0
                 whole = np.array([bool(x) and n >= window for x, n in zip(part.column("whole").to_pylist(), counts.tolist())])
                 covered |= np.repeat(whole, counts)
                 removed = np.bincount(w.rows()[covered], minlength=part.num_rows)
-                raw = w.data.tobytes()
-                start, end, stays = w.start.tolist(), w.end.tolist(), (~covered).tolist()
-                texts = [b" ".join([raw[start[i] : end[i]] for i in range(x, y) if stays[i]]) for x, y in zip(w.bounds[:-1].tolist(), w.bounds[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array([t.decode() for t in texts], pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
+                raw, cut = T.joined(w, ~covered)
+                texts = pa.LargeStringArray.from_buffers(part.num_rows, pa.py_buffer(cut), pa.py_buffer(raw)).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), texts], ["doc_id", "n_words", "n_removed", "kept_text"])
 
     return documents.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string")
 
@@ -243,8 +254,8 @@ def deduplicated(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     classes = kept(full.groupBy("a", "b").agg(F.min("doc_id").alias("rep")), "word-classes").select(F.col("a").alias("_a"), F.col("b").alias("_b"), "rep")
     role = full.select("doc_id", "a", "b").join(classes, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b"))).select("doc_id", (F.col("doc_id") > F.col("rep")).alias("whole"))
     role = kept(role.groupBy("doc_id").agg(F.min("whole").alias("whole")), "roles")
-    named = full.select("doc_id", "a", F.explode("names").alias("name"))
-    shared = kept(named.where("name <> 0").groupBy("name").agg(F.min("a").alias("x"), F.max("a").alias("y")).where("x <> y").select(F.col("name").alias("_n")), "anchors")
+    named = full.select("doc_id", "a", "b", F.explode("names").alias("name"))
+    shared = kept(named.where("name <> 0").groupBy("name").agg(*(f(c).alias(n) for n, f, c in (("x", F.min, "a"), ("y", F.max, "a"), ("u", F.min, "b"), ("v", F.max, "b")))).where("x <> y OR u <> v").select(F.col("name").alias("_n")), "anchors")
     held = named.where("name <> 0").select("doc_id", "name").join(shared, F.col("name") == F.col("_n")).select("doc_id", "name").union(named.where("name = 0").select("doc_id", "name"))
     own = role.where("NOT whole").select(F.col("doc_id").alias("_o"))
     names = held.groupBy("doc_id").agg(F.collect_set("name").alias("names")).join(own, F.col("doc_id") == F.col("_o"), "left_semi").select(F.col("doc_id").alias("_d"), "names")

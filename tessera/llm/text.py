@@ -6,6 +6,7 @@ memory follows the slice and the longest text, never the partition.  Null texts
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -15,35 +16,10 @@ import pyarrow as pa
 U64 = np.uint64
 SLICE_BYTES = 1 << 20
 
-_BYTE_STEP = U64(0x9E3779B97F4A7C15)
-_WORD_STEP = U64(0xD6E8FEB86659FD93)
 _MIX_1, _MIX_2 = U64(0xFF51AFD7ED558CCD), U64(0xC4CEB9FE1A85EC53)
-
-
-def _inverse(odd: U64) -> U64:
-    """The inverse of an odd number modulo 2**64."""
-    return U64(pow(int(odd), -1, 1 << 64))
-
-
-class _Powers:
-    """Powers of an odd step and of its inverse, modulo 2**64, grown on demand."""
-
-    def __init__(self, step: U64) -> None:
-        self.step, self.up, self.down = step, np.ones(1, U64), np.ones(1, U64)
-
-    def reach(self, n: int) -> None:
-        if len(self.up) >= n:
-            return
-        n = max(n, 2 * len(self.up))
-        self.up, self.down = np.full(n, self.step, U64), np.full(n, _inverse(self.step), U64)
-        self.up[0] = self.down[0] = 1
-        np.multiply.accumulate(self.up, out=self.up)
-        np.multiply.accumulate(self.down, out=self.down)
-
-
-_BYTES, _WORDS = _Powers(_BYTE_STEP), _Powers(_WORD_STEP)
-#: A fixed random number for each byte value.
-_BYTE_CODE = np.random.default_rng(20_240_229).integers(1, 1 << 63, 256, dtype=U64) | U64(1)
+_JOIN, _SIZE = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
+#: Words of more bytes are hashed one by one.
+_LONG = 64
 
 #: Bytes that belong to words: all but the six ASCII white-space characters.
 NON_SPACE = np.ones(256, bool)
@@ -72,7 +48,7 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 class Words(NamedTuple):
     """Words of several texts: their bytes, where each starts and ends there, each text's first word (and, last, the
-    number of words) and a 64-bit hash of each word."""
+    number of words) and a 64-bit hash of each word; `other` is a second one, independent of it."""
 
     data: np.ndarray
     start: np.ndarray
@@ -87,6 +63,30 @@ class Words(NamedTuple):
         """The row of each word."""
         return np.repeat(np.arange(len(self.bounds) - 1), self.counts())
 
+    def other(self) -> np.ndarray:
+        return hashed(self.data, self.start, self.end, 1)
+
+
+def hashed(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of stretches of bytes, eight bytes a step; different stretches of one size up to eight bytes have
+    different hashes."""
+    padded = np.append(data, np.zeros(8, np.uint8))
+    lanes = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    size = end - start
+    h = mix(size.astype(U64) * _SIZE + U64(seed * 0x632BE59BD9B4E019 % (1 << 64)))
+    some = np.flatnonzero((size > 0) & (size <= _LONG))
+    for k in range(0, _LONG, 8):
+        some = some[size[some] > k]
+        if not len(some):
+            break
+        left = np.minimum(size[some] - k, 8).astype(U64)
+        h[some] = mix(h[some] * _JOIN + (lanes[start[some] + k] & (U64(0xFFFFFFFFFFFFFFFF) >> (U64(64) - U64(8) * left))))
+    raw = None
+    for i in np.flatnonzero(size > _LONG).tolist():
+        raw = memoryview(padded) if raw is None else raw
+        h[i] = int.from_bytes(hashlib.blake2b(raw[start[i] : end[i]], digest_size=8, salt=bytes([seed])).digest(), "little")
+    return h
+
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts, one after another, and len(texts) + 1 offsets."""
@@ -125,19 +125,48 @@ def words(texts: pa.Array, inside: np.ndarray = NON_SPACE, lower: bool = False)
     at = offsets[1:][filled] - 1
     last[at] = kept[at]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    _BYTES.reach(n + 1)
-    sums = np.zeros(n + 1, U64)
-    np.cumsum(_BYTE_CODE[data] * _BYTES.up[:n], out=sums[1:])
-    h = (sums[end] - sums[start]) * _BYTES.down[start]
-    return Words(data, start, end, np.searchsorted(start, offsets), mix(h ^ (end - start).astype(U64)))
-
-
-def grams(h: np.ndarray, size: np.ndarray | int, at: np.ndarray, seed: int = 0) -> np.ndarray:
-    """Hashes of runs of `size` symbols that start at `at`."""
-    _WORDS.reach(len(h) + 1)
-    sums = np.zeros(len(h) + 1, U64)
-    np.cumsum((mix(h ^ U64(seed)) if seed else h) * _WORDS.up[: len(h)], out=sums[1:])
-    return mix((sums[at + size] - sums[at]) * _WORDS.down[at] ^ np.asarray(size).astype(U64))
+    return Words(data, start, end, np.searchsorted(start, offsets), hashed(data, start, end))
+
+
+def grams(h: np.ndarray, size: np.ndarray | int, at: np.ndarray) -> np.ndarray:
+    """Hashes of runs of `size` symbols that start at `at`: runs of 1, 2, 4 ... symbols are joined in pairs, and those that
+    make up `size` one after another, each time through `mix`."""
+    sizes = [int(size)] if np.ndim(size) == 0 else np.unique(size).tolist()
+    out = np.zeros(len(at), U64)
+    chosen = {s: slice(None) if np.ndim(size) == 0 else np.flatnonzero(size == s) for s in sizes}
+    done = dict.fromkeys(sizes, 0)
+    level, width, most = h, 1, max(sizes, default=0)
+    while width <= most:
+        for s, some in chosen.items():
+            if s & width:
+                part = level[at[some] + done[s]]
+                out[some] = part if not done[s] else mix(out[some] * _JOIN + part)
+                done[s] += width
+        if 2 * width <= most:
+            level = mix(level[:-width] * _JOIN + level[width:]) if len(level) > width else level[:0]
+        width *= 2
+    return mix(out + np.asarray(size).astype(U64) * _SIZE)
+
+
+def joined(w: Words, stays: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Bytes of each text's words that stay, joined by one space, one text after another, and where each starts."""
+    start, end, row = w.start[stays], w.end[stays], w.rows()[stays]
+    later = np.zeros(len(row), bool)
+    later[1:] = row[1:] == row[:-1]
+    # A word that isn't its text's first has a separator before it, which becomes the space.
+    size = end - start + later
+    ends = np.cumsum(size)
+    out = w.data[np.repeat(start - later - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+    out[(ends - size)[later]] = 0x20
+    return out.tobytes(), np.concatenate([[0], np.cumsum(np.bincount(row, size, len(w.bounds) - 1))]).astype(np.int64)
+
+
+def digests(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers that, together, name each text's sequence of words: 128 bits of a cryptographic digest."""
+    raw, at = joined(w, np.ones(len(w.hash), bool))
+    both = b"".join(hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(at[:-1].tolist(), at[1:].tolist()))
+    pairs = np.frombuffer(both, "<i8").reshape(-1, 2)
+    return pairs[:, 0].copy(), pairs[:, 1].copy()
 
 
 def starts(bounds: np.ndarray, size: int) -> np.ndarray:

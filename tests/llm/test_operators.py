@@ -442,3 +442,35 @@ def test_licenses_odd_rows(spark, odd, empty):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_against_sql(spark, sf_dir, duck, name):
     assert spark_rows(queries.QUERIES[name](spark, sf_dir)) == duck_rows(duck.sql(queries.ORACLES[name]))
+
+
+# Hashes
+
+
+def thue_morse(n):
+    bits = [0]
+    while len(bits) < n:
+        bits += [1 - x for x in bits]
+    return bits
+
+
+def twins(n, joint):
+    """Two texts whose polynomial hashes agree modulo 2**64 for every odd base."""
+    return [joint.join(pair[x] for x in thue_morse(n)) for pair in ("xy", "yx")]
+
+
+def test_sequences_that_fool_polynomials(spark):
+    shared = " ".join(f"s{i}" for i in range(10))
+    words, letters = twins(1024, " "), twins(2048, "")
+    rows = [(1, f"{shared} {words[0]}"), (2, f"{shared} {words[1]}"), (3, letters[0]), (4, letters[1]), (5, words[0]), (6, words[1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in repeats.deduplicated(df).collect()}
+    assert got == brute_repeats(rows)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(df).collect()}
+    assert found == brute_components(rows)
+    items = spark.createDataFrame([(1, words[0]), (2, letters[0])], "item_id long, text string")
+    rows = {r.doc_id: (r.doc_id, r.n_words, r.n_hit, set(r["items"])) for r in decontaminate.contamination(df, items).collect()}
+    assert list(brute_contamination(pairs_of(df), [tuple(r) for r in items.collect()])) == [rows[i] for i in sorted(rows)]
+    licenses = {r.doc_id: [f.license for f in r.findings] for r in licences.scan(df, {"one": letters[0]}).collect()}
+    assert licenses == {i: ["one"] * (i == 3) for i in range(1, 7)}
+    assert all(r.exact for r in pieces.round_trips(df).collect())
