@@ -1,8 +1,15 @@
-"""SentencePiece encoding and decoding (operator 6): a lattice of pieces over each word, folded in rank order.
+"""SentencePiece encoding and decoding (operator 6): a relational lattice of pieces over words, folded in rank order.
 
-A word is a stretch that starts at a space and ends before the next space that follows a non-space; no piece of a
-model that splits at white space crosses such a border, so words are encoded one by one and equal words once.  The
-lattice of a word is relational: its substrings of bounded length, equi-joined with the piece table, grouped by word.
+A word is a longest stretch of characters any two neighbours of which stand side by side in some piece.  No piece, and
+so no merge, crosses a word's border, and equal words have equal ids wherever they stand.
+
+1. A pass over all documents counts their words.
+2. The most frequent words, at most `FREQUENT` of them, are encoded by the relational lattice: explode the substrings of
+   bounded length, equi-join them with the piece table, group the edges by word, fold them with `aggregate`.
+3. Their ids are broadcast, and each document is put together from its words' ids.  A word that isn't in the table (rare,
+   or of more than `MASKED` characters) goes through the same three steps in the task that meets it, as array operations:
+   given back through a join, rare words would have to be shuffled with all their documents, and the documents too, since
+   nearly each holds some.  Which way a word goes changes no id.
 
 The fold depends on the model.  A unigram model's piece scores are log-probabilities and the fold is Viterbi's.  The
 given public model is byte-pair encoded: its scores are merge ranks, and the sum of ranks along a path is not what the
@@ -10,10 +17,6 @@ model maximises, so there the fold takes edges in rank order and applies each th
 pass is enough because every piece of such a model is built from pieces of lower rank.)  Characters without a piece
 become their bytes.
 
-`encode_words` is the Spark form: explode, join, group, and `aggregate` for the fold.  `encode` holds the same three
-steps for whole texts as array operations on a task's distinct words, because words with all their places would have
-to be shuffled otherwise: several times the input (README, operator 6).
-
 Defined results: a null or empty text has no ids; U+2581 counts as a space, as the format has it, so such a text comes
 back with spaces; repeated rows get equal ids; an empty table gives an empty result; other columns are passed over.
 """
@@ -30,10 +33,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import text as T
+from tessera.llm.store import kept
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Longest piece in characters, and longest word whose borders fit a 64-bit mask.
-LONGEST, MASKED = 16, 62
+#: Longest word whose borders fit a 64-bit mask, in characters.
+MASKED = 62
+#: Words of the broadcast table, at most; with MASKED characters each that bounds its size (typically 10 MB).
+FREQUENT = 1 << 18
+#: Text that a task takes at a time.
+SLICE = 4 << 20
 _U1 = np.uint64(1)
 
 
@@ -58,7 +66,7 @@ class Pieces:
         self._index()
 
     def _index(self) -> None:
-        """Arrays for look-ups by hash."""
+        """Arrays for look-ups by hash, and which characters stand side by side in some piece."""
         ranked = sorted(self.rows, key=lambda r: (-r[2], r[1]))
         w = T.words(pa.array([r[0] for r in ranked], pa.large_string()), np.ones(256, bool))
         order = np.argsort(w.hash)
@@ -69,6 +77,15 @@ class Pieces:
         self.lengths = np.array([len(x) for x in self.all], np.int64)
         self.offsets = np.cumsum(self.lengths) - self.lengths
         self.bytes = np.frombuffer(b"".join(self.all), np.uint8)
+        self.longest = max((len(r[0]) for r in ranked), default=1)
+        chars = sorted({c for r in ranked if len(r[0]) > 1 for c in r[0]})
+        number = {c: i for i, c in enumerate(chars, 1)}
+        self.char = np.zeros(0x110000, np.uint16)
+        self.char[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self.beside = np.zeros((len(chars) + 1, len(chars) + 1), bool)
+        for r in ranked:
+            for x, y in zip(r[0], r[0][1:]):
+                self.beside[number[x], number[y]] = True
         self.byte_id = np.array([self.byte.get(b, 0) for b in range(256)], np.int64)
 
     def ranks(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,23 +102,63 @@ def _prepared(texts: pa.Array) -> pa.Array:
     return pc.if_else(pc.equal(texts, ""), texts, pc.binary_join_element_wise(pa.scalar("", pa.large_string()), texts, pa.scalar(" ", pa.large_string())))
 
 
-class _Slice:
-    """Ids of the texts of one slice: distinct words, lattice, fold, and back to the texts."""
+class WordTable:
+    """Ids of words that are known beforehand, by two independent hashes of their bytes."""
+
+    def __init__(self, words: list[str] = (), ids: list[list[int]] = ()) -> None:
+        w = T.words(pa.array(list(words), pa.large_string()), np.ones(256, bool))
+        order = np.argsort(w.hash, kind="stable")
+        h = w.hash[order]
+        alone = np.ones(len(h), bool)
+        alone[1:] &= h[1:] != h[:-1]
+        alone[:-1] &= h[1:] != h[:-1]
+        order = order[alone]
+        self.key, self.other = w.hash[order], w.other()[order]
+        size = np.array([len(ids[i]) for i in order], np.int64)
+        self.size, self.begin = size, np.cumsum(size) - size
+        self.ids = np.array([x for i in order for x in ids[i]], np.int32)
+
+    def find(self, h: np.ndarray, g: np.ndarray) -> np.ndarray:
+        """Each word's place in the table, or -1."""
+        if not len(self.key):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(self.key, h), len(self.key) - 1)
+        return np.where((self.key[at] == h) & (self.other[at] == g), at, -1)
+
+
+class _Words:
+    """The distinct words of a slice of texts, and which of them each place holds."""
 
     def __init__(self, texts: pa.Array, pieces: Pieces) -> None:
-        self.pieces = pieces
-        self.data, self.offsets = T.buffers(_prepared(texts))
+        self.data, offsets = T.buffers(_prepared(texts))
         n = len(self.data)
-        space = self.data == 0x20
-        first = np.zeros(n, bool)
-        first[1:] = space[1:] & ~space[:-1]
-        first[self.offsets[:-1][self.offsets[:-1] < n]] = True
-        start = np.flatnonzero(first)
+        lead = np.flatnonzero((self.data & 0xC0) != 0x80)
+        size = np.diff(np.append(lead, n))
+        code = self.data[lead].astype(np.int64)
+        for k in range(1, 4):
+            some = np.flatnonzero(size > k)
+            if k == 1:
+                code[some] &= np.array([0, 0, 0x1F, 0x0F, 0x07])[np.minimum(size[some], 4)]
+            code[some] = code[some] << 6 | self.data[lead[some] + k] & 0x3F
+        kind = pieces.char[np.minimum(code, 0x10FFFF)]
+        first = np.ones(len(lead), bool)
+        first[1:] = ~pieces.beside[kind[:-1], kind[1:]]
+        first[np.searchsorted(lead, offsets[:-1][offsets[:-1] < n])] = True
+        start = lead[first]
         end = np.append(start[1:], n)[: len(start)]
-        h = self.hashes(start, end)
+        h, g = T.hashed(self.data, start, end), T.hashed(self.data, start, end, 1)
         _, one, self.word = np.unique(h, return_index=True, return_inverse=True)
-        self.start, self.end = start[one], end[one]
-        self.row_words = np.searchsorted(start, self.offsets)
+        if (g[one][self.word] != g).any():
+            _, one, self.word = np.unique(np.column_stack([h, g]), axis=0, return_index=True, return_inverse=True)
+        self.start, self.end, self.hash, self.other = start[one], end[one], h[one], g[one]
+        self.row_words = np.searchsorted(start, offsets)
+
+
+class _Lattice:
+    """Ids of words that are stretches of `data`: lattice and fold as array operations."""
+
+    def __init__(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, pieces: Pieces) -> None:
+        self.pieces, self.data, self.start, self.end = pieces, data, start, end
         self.chars()
         self.fold()
         self.spell()
@@ -128,7 +185,7 @@ class _Slice:
         """(word, rank, from, characters) of all substrings that are pieces, in that order."""
         found = []
         left = self.n_chars[self.of] - self.place
-        for size in range(2, LONGEST + 1):
+        for size in range(2, self.pieces.longest + 1):
             at = np.flatnonzero(left >= size)
             if not len(at):
                 break
@@ -168,7 +225,7 @@ class _Slice:
         self.token = np.flatnonzero(border)
 
     def spell(self) -> None:
-        """Ids of the distinct words, then of the texts."""
+        """Ids of the words, one after another, and how many each has."""
         start = self.char[self.token]
         stop = np.append(self.token[1:], len(self.of))[: len(self.token)] - 1
         end = self.char_end[stop]
@@ -179,17 +236,25 @@ class _Slice:
         flat = np.repeat(ids, spread)
         at = np.repeat(start, spread) + np.arange(len(flat)) - np.repeat(np.cumsum(spread) - spread, spread)
         flat[flat < 0] = self.pieces.byte_id[self.data[at[flat < 0]]]
-        per_word = np.bincount(self.of[self.token], spread, len(self.start)).astype(np.int64)
-        begin = np.cumsum(per_word) - per_word
-        n = per_word[self.word]
-        self.ids = flat[np.repeat(begin[self.word], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)].astype(np.int32)
-        self.bounds = np.concatenate([[0], np.cumsum(n)])[self.row_words]
+        self.ids, self.size = flat.astype(np.int32), np.bincount(self.of[self.token], spread, len(self.start)).astype(np.int64)
 
 
-def encode_batch(texts: pa.Array, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+def encode_batch(texts: pa.Array, pieces: Pieces, table: WordTable | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, one after another, and len(texts) + 1 offsets."""
-    done = _Slice(texts, pieces)
-    return done.ids, done.bounds
+    table = table or WordTable()
+    w = _Words(texts, pieces)
+    at = table.find(w.hash, w.other)
+    new = np.flatnonzero(at < 0)
+    more = _Lattice(w.data, w.start[new], w.end[new], pieces)
+    size, begin = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    known = at >= 0
+    size[known], begin[known] = table.size[at[known]], table.begin[at[known]]
+    size[new], begin[new] = more.size, len(table.ids) + np.cumsum(more.size) - more.size
+    ids = np.concatenate([table.ids, more.ids])
+    n = size[w.word]
+    ends = np.cumsum(n)
+    out = ids[np.repeat(begin[w.word] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+    return out, np.concatenate([[0], ends])[w.row_words]
 
 
 def decode_batch(ids: np.ndarray, bounds: np.ndarray, pieces: Pieces) -> list[bytes]:
@@ -201,19 +266,59 @@ def decode_batch(ids: np.ndarray, bounds: np.ndarray, pieces: Pieces) -> list[by
     return [flat[a + (flat[a : a + 1] == b" ") : b] for a, b in zip(cut[:-1], cut[1:])]
 
 
-def _shared(documents: DataFrame, model: str):
-    """The piece table, of a size that the model's file bounds."""
-    return documents.sparkSession.sparkContext.broadcast(Pieces(model))
+def vocabulary(documents: DataFrame, pieces: Pieces) -> DataFrame:
+    """(word, n): every word of the texts, with the number of its places (in slices of text, equal words count as one
+    row on their way)."""
+    shared = documents.sparkSession.sparkContext.broadcast(pieces)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in T.slices(batch, "text", SLICE):
+                w = _Words(part.column("text"), shared.value)
+                raw, size = w.data, w.end - w.start
+                cut = np.concatenate([[0], np.cumsum(size)])
+                flat = raw[np.repeat(w.start - cut[:-1], size) + np.arange(cut[-1])]
+                words = pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(cut.astype(np.int64)), pa.py_buffer(flat.tobytes())).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([words, pa.array(np.bincount(w.word, minlength=len(size)).astype(np.int64))], ["word", "n"])
 
-def encode(documents: DataFrame, model: str = MODEL) -> DataFrame:
+    return documents.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def frequent_words(words: DataFrame, most: int = FREQUENT) -> DataFrame:
+    """(word): the most frequent of (word, n) rows, at most `most`; words of nearly one frequency come or stay together."""
+    grade = F.floor(16 * F.log2("n")).cast("int")
+    sizes = sorted(((r.grade, r["count"]) for r in words.groupBy(grade.alias("grade")).count().collect()), reverse=True)
+    total, least = 0, None
+    for k, n in sizes:
+        total += n
+        if total > most:
+            break
+        least = k
+    return words.where(grade >= F.lit(least)).select("word") if least is not None else words.limit(0).select("word")
+
+
+def word_table(documents: DataFrame, pieces: Pieces, most: int = FREQUENT) -> WordTable:
+    """Ids of the documents' most frequent words, by the relational lattice."""
+    spark = documents.sparkSession
+    words = kept(vocabulary(documents, pieces).where(F.length("word") <= MASKED), "words")
+    rows = encode_words(frequent_words(words, most), piece_table(spark, pieces), pieces).toArrow()
+    return WordTable(rows.column("word").to_pylist(), rows.column("ids").to_pylist())
+
+
+def _encoder(documents: DataFrame, model: str, most: int):
+    """Piece table and word table, broadcast; the model's file and `most` bound their size."""
+    pieces = Pieces(model)
+    return documents.sparkSession.sparkContext.broadcast((pieces, word_table(documents, pieces, most)))
+
+
+def encode(documents: DataFrame, model: str = MODEL, most: int = FREQUENT) -> DataFrame:
     """doc_id and ids of every row."""
-    shared = _shared(documents, model)
+    shared = _encoder(documents, model, most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in T.slices(batch, "text", 4 << 20):
-                ids, bounds = encode_batch(part.column("text"), shared.value)
+            for part in T.slices(batch, "text", SLICE):
+                ids, bounds = encode_batch(part.column("text"), *shared.value)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), T.lists(ids, bounds, pa.int32())], ["doc_id", "ids"])
 
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
@@ -221,7 +326,7 @@ def encode(documents: DataFrame, model: str = MODEL) -> DataFrame:
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id and text of rows with ids (null ids: empty)."""
-    shared = _shared(encoded, model)
+    shared = encoded.sparkSession.sparkContext.broadcast(Pieces(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,16 +338,16 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def round_trips(documents: DataFrame, model: str = MODEL) -> DataFrame:
+def round_trips(documents: DataFrame, model: str = MODEL, most: int = FREQUENT) -> DataFrame:
     """Per row: number of ids, SHA-256 of the ids (32-bit, little-endian) and of the text decoded from them, and whether
     it equals the text."""
-    shared = _shared(documents, model)
+    shared = _encoder(documents, model, most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in T.slices(batch, "text", 4 << 20):
-                ids, bounds = encode_batch(part.column("text"), shared.value)
-                texts = decode_batch(ids, bounds, shared.value)
+            for part in T.slices(batch, "text", SLICE):
+                ids, bounds = encode_batch(part.column("text"), *shared.value)
+                texts = decode_batch(ids, bounds, shared.value[0])
                 raw, cut = ids.astype("<i4").tobytes(), (4 * bounds).tolist()
                 data, offsets = T.buffers(part.column("text"))
                 given, at = data.tobytes(), offsets.tolist()
@@ -260,16 +365,19 @@ def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
     return spark.createDataFrame([(p, i, float(s), k) for k, (p, i, s) in enumerate(ranked)], "piece string, id int, score double, rank int")
 
 
-def lattice(words: DataFrame, table: DataFrame, longest: int = LONGEST) -> DataFrame:
-    """word and edges (rank, from, chars, id, score) of (word) rows; words of more than MASKED characters are the
-    caller's.  The words' partitioning carries through, so grouping back needs no second shuffle."""
+def lattice(words: DataFrame, table: DataFrame, longest: int) -> DataFrame:
+    """word and edges (rank, from, chars, id, score) of (word) rows of up to MASKED characters.  The words' partitioning
+    carries through, so grouping back needs no second shuffle."""
     cut = (
-        words.select("word", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("from"))
+        words.select("word").repartition("word")
+        .select("word", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("from"))
         .select("word", "from", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("from")))).alias("chars"))
         .withColumn("piece", F.expr("substring(word, from + 1, chars)"))
-    )
-    edges = cut.join(F.broadcast(table), "piece")
-    return edges.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("rank", "from", "chars", "id", "score"))).alias("edges"))
+    )
+    # Single characters stay without a piece too, so that no word is lost.
+    edges = cut.join(F.broadcast(table), "piece", "left").where("id IS NOT NULL OR chars = 1")
+    edge = F.when(F.col("id").isNotNull(), F.struct("rank", "from", "chars", "id", "score"))
+    return edges.groupBy("word").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
 
 
 def fold_merges(edges: str = "edges", word: str = "word") -> F.Column:
@@ -300,14 +408,20 @@ def fold_viterbi(edges: str = "edges", word: str = "word") -> F.Column:
     return F.element_at(F.aggregate(in_order, start, extend), -1)["ids"]
 
 
-def encode_words(words: DataFrame, table: DataFrame) -> DataFrame:
-    """word and ids of distinct (word) rows under a byte-pair model, in Spark's own operators: a word that no piece
-    covers somewhere has null ids there (the caller's byte fallback)."""
-    folded = lattice(words, table).withColumn("mask", fold_merges())
+def encode_words(words: DataFrame, table: DataFrame, pieces: Pieces) -> DataFrame:
+    """word and ids of distinct (word) rows of up to MASKED characters under a byte-pair model, in Spark's own operators."""
+    folded = lattice(words, table, pieces.longest).withColumn("mask", fold_merges())
     at = F.filter(F.sequence(F.lit(0), F.length("word")), lambda k: F.call_function("shiftright", F.col("mask"), k.cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1)
     spans = F.zip_with(F.slice("at", 1, F.size("at") - 1), F.slice("at", 2, F.size("at") - 1), lambda a, b: F.struct(a.alias("a"), (b - a).alias("n")))
-    ids = F.transform("spans", lambda s: F.get(F.filter("edges", lambda e: (e["from"] == s["a"]) & (e["chars"] == s["n"])), 0)["id"])
-    return folded.withColumn("at", at).withColumn("spans", spans).select("word", ids.alias("ids"))
+    bytes_of = F.array(*(F.lit(int(i)) for i in pieces.byte_id))
+
+    def spelt(s: F.Column) -> F.Column:
+        found = F.filter("edges", lambda e: (e["from"] == s["a"]) & (e["chars"] == s["n"]))
+        raw = F.hex(F.encode(F.substring("word", s["a"] + 1, s["n"]), "UTF-8"))
+        spread = F.transform(F.sequence(F.lit(1), F.length(raw), F.lit(2)), lambda k: F.get(bytes_of, F.conv(F.substring(raw, k, F.lit(2)), 16, 10).cast("int")))
+        return F.when(F.size(found) > 0, F.array(F.get(found, 0)["id"])).otherwise(spread)
+
+    return folded.withColumn("at", at).withColumn("spans", spans).select("word", F.flatten(F.transform("spans", spelt)).alias("ids"))
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
