@@ -1,13 +1,16 @@
-"""Benchmark decontamination (operator 5): prefix-filtered containment of item windows in documents.
+"""Benchmark decontamination (operator 5): prefix-filtered join of item windows with documents.
 
 An item's windows are its runs of `WINDOW` words (an item of fewer words is one window).  A window has to occur whole,
 so in the order of rarity one shingle is a sufficient prefix: each window is filed under the shingle of its words that
-fewest documents hold, and a document looks only its own shingles up.  A hit gives the window's one possible place
-(the shingle's offset in the window); the place has to lie inside the document, and the whole window's 128-bit hash has
-to agree there.  Documents are never shuffled: one pass counts shingles, one finds the windows.
+fewest documents hold.  A document's words point, by their prefix shingles and the offsets in use, at the places where a
+window may start; the place has to lie inside the document (positional and length bounds), and the join then asks for
+the same prefix, offset and size and for both hashes of all the window's words.
 
-The window index is broadcast in blocks of items of at most `BLOCK_BYTES` of text; a larger benchmark takes a pass for
-each block, and the blocks' hits meet by document.
+1. Windows are cut in tasks from the benchmark, and their shingles counted in one pass over all documents.
+2. A second pass sends what passes two bitmaps (of prefixes, of windows): hits, and few others.  The bitmaps have `BITS`
+   bits at every size of the benchmark; a larger one lets more rows through to the join, which decides.
+3. Hits are joined with the windows and meet by document.  Texts are never shuffled, and neither benchmark nor corpus
+   passes through the driver.
 
 Defined results: a null text has no words; an item without words matches nothing; repeated items all count, under
 their own item_id, and so do repeated rows of documents; items with a null item_id are left out of n_items but still
@@ -24,169 +27,151 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import text as T
+from tessera.llm.store import kept
 
 WINDOW, SHINGLE = 13, 4
-#: Benchmark text that one broadcast index is built from.
-BLOCK_BYTES = 32 << 20
+#: Bits of a broadcast bitmap, as a power of two: 8 MB.
+BITS = 26
 
 
 def _words(texts: pa.Array) -> T.Words:
     return T.words(texts, T.ALNUM, lower=True)
 
 
-class WindowIndex:
-    """Windows of a block of items, each filed under one shingle."""
-
-    def __init__(self, ids: list, texts: list[str | None]) -> None:
-        w = _words(pa.array(texts, pa.large_string()))
-        counts = w.counts()
-        long = T.starts(w.bounds, WINDOW)
-        short = np.flatnonzero((counts > 0) & (counts < WINDOW))
-        at = np.concatenate([long, w.bounds[short]])
-        size = np.concatenate([np.full(len(long), WINDOW), counts[short]])
-        item = np.concatenate([w.rows()[long], short])
-        a, b = T.grams(w.hash, size, at), T.grams(w.other(), size, at)
-        # Items that share a window share its entry.
-        order = np.lexsort((item, b, a))
-        a, b, at, size, item = (x[order] for x in (a, b, at, size, item))
-        new = np.ones(len(a), bool)
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        self.ids = ids
-        self.item, self.owners = item, np.append(np.flatnonzero(new), len(a))
-        self.a, self.b, self.size = a[new], b[new], size[new]
-        # All (window, offset) shingles; a window shorter than a shingle is one shingle of its own size.
-        width = np.minimum(SHINGLE, self.size)
-        n = self.size - width + 1
-        self.window = np.repeat(np.arange(len(self.a)), n)
-        self.offset = np.arange(len(self.window)) - np.repeat(np.cumsum(n) - n, n)
-        self.width = width[self.window]
-        self.shingle = T.grams(w.hash, self.width, at[new][self.window] + self.offset)
-        self.known = np.unique(self.shingle)
-        self.widths = np.unique(self.width).tolist()
-
-    def look_up(self, w: T.Words) -> tuple[np.ndarray, np.ndarray]:
-        """Places in the documents' words, and positions in `known` (or, once filed, in `keys`), of known shingles."""
-        places, found = [], []
-        for width in self.widths:
-            at = T.starts(w.bounds, width)
-            h = T.grams(w.hash, width, at)
-            to = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
-            hit = self.known[to] == h
-            places.append(at[hit])
-            found.append(to[hit])
-        return (np.concatenate(places), np.concatenate(found)) if places else (np.zeros(0, np.int64),) * 2
-
-    def file(self, documents_with: np.ndarray) -> WindowIndex:
-        """Keeps of each window's shingles only the rarest, the first of equals."""
-        rarity = documents_with[np.searchsorted(self.known, self.shingle)]
-        order = np.lexsort((self.offset, rarity, self.window))
-        first = order[np.searchsorted(self.window[order], np.arange(len(self.a)))]
-        by_key = first[np.argsort(self.shingle[first], kind="stable")]
-        self.window, self.offset, self.shingle, self.width = (x[by_key] for x in (self.window, self.offset, self.shingle, self.width))
-        self.known, begin = np.unique(self.shingle, return_index=True)
-        self.begin = np.append(begin, len(self.shingle))
-        self.widths = np.unique(self.width).tolist()
-        return self
-
-    def occurrences(self, w: T.Words) -> tuple[np.ndarray, np.ndarray]:
-        """First words and windows of all occurrences in the documents."""
-        place, key = self.look_up(w)
-        n = self.begin[key + 1] - self.begin[key]
-        entry = np.repeat(self.begin[key], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        start = np.repeat(place, n) - self.offset[entry]
-        window = self.window[entry]
-        row = np.repeat(w.rows()[place], n) if len(place) else np.zeros(0, np.int64)
-        fits = (start >= w.bounds[row]) & (start + self.size[window] <= w.bounds[row + 1])
-        start, window = start[fits], window[fits]
-        size = self.size[window]
-        same = (T.grams(w.hash, size, start) == self.a[window]) & (T.grams(w.other(), size, start) == self.b[window])
-        return start[same], window[same]
-
-
-def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[list, list[str | None]]]:
-    """Items in blocks that fit the bound, one block at a time in the driver (a longer item is a block of its own)."""
-    ids, texts, size = [], [], 0
-    for row in benchmark.select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
-        more = len((row.text or "").encode())
-        if ids and size + more > block_bytes:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-        ids.append(row.item_id)
-        texts.append(row.text)
-        size += more
-    if ids:
-        yield ids, texts
-
-
-def _counted(documents: DataFrame, index: WindowIndex) -> WindowIndex:
-    """Files the index by the number of documents that hold each shingle, counted over all documents."""
-    shared = documents.sparkSession.sparkContext.broadcast(index)
+def windows(benchmark: DataFrame) -> DataFrame:
+    """(item_id, a, b, size, keys) of each window of each item: two hashes of its words, how many they are, and its
+    shingles in order (a window shorter than a shingle is one shingle of its own size)."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(shared.value.known), np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in T.slices(batch, "text"):
                 w = _words(part.column("text"))
-                place, key = shared.value.look_up(w)
-                total += np.bincount(T.distinct(w.rows()[place], key.astype(np.uint64), part.num_rows)[0].astype(np.int64), minlength=len(total))
-        at = np.flatnonzero(total)
-        if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["key", "n"])
-
-    total = np.zeros(len(index.known), np.int64)
-    for row in documents.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect():
-        total[row.key] = row.n
-    return index.file(total)
-
+                counts = w.counts()
+                long, short = T.starts(w.bounds, WINDOW), np.flatnonzero((counts > 0) & (counts < WINDOW))
+                at, size = np.concatenate([long, w.bounds[short]]), np.concatenate([np.full(len(long), WINDOW), counts[short]])
+                row = np.concatenate([w.rows()[long], short])
+                width = np.minimum(SHINGLE, size)
+                n = size - width + 1
+                cut = np.concatenate([[0], np.cumsum(n)])
+                keys = T.grams(w.hash, np.repeat(width, n), np.repeat(at - cut[:-1], n) + np.arange(cut[-1]))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("item_id").take(pa.array(row)), pa.array(T.signed(T.grams(w.hash, size, at))), pa.array(T.signed(T.grams(w.other(), size, at))), pa.array(size, pa.int32()), T.lists(T.signed(keys), cut, pa.int64())],
+                    ["item_id", "a", "b", "size", "keys"],
+                )
+
+    return benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(run, "item_id long, a long, b long, size int, keys array<long>")
+
+
+class Bitmap:
+    """Which hashes a table may hold, by their leading bits."""
+
+    def __init__(self, keys: DataFrame, bits: int) -> None:
+        """keys: (key) rows; at most 2 ** (bits - 6) words come to the driver."""
+        slot = F.shiftrightunsigned("key", 64 - bits)
+        words = keys.select(slot.alias("slot")).select(F.shiftright("slot", 6).alias("word"), F.expr("shiftleft(1L, CAST(slot & 63 AS INT))").alias("bit"))
+        found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+        self.shift, self.words = np.uint64(64 - bits), np.zeros(1 << (bits - 6), np.uint64)
+        self.words[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        slot = h >> self.shift
+        return (self.words[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def prefixes(documents: DataFrame, distinct: DataFrame, sizes: list[int], bits: int) -> DataFrame:
+    """(key, offset, a, b, size): each window filed under its rarest shingle, the first of equals; rarity is the number of
+    documents, of all, that hold it."""
+    keys = distinct.select("a", "b", "size", F.posexplode("keys").alias("offset", "key"))
+    shared = documents.sparkSession.sparkContext.broadcast(Bitmap(keys, bits))
+    widths = sorted({min(SHINGLE, k) for k in sizes})
 
-def _found(documents: DataFrame, index: WindowIndex, with_hits: bool) -> DataFrame:
-    """Adds n_words, hit (the hit words' positions, merged into [from, to) pairs one after another) and items."""
-    shared = documents.sparkSession.sparkContext.broadcast(index)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in T.slices(batch, "text"):
+                w, held = _words(part.column("text")), []
+                rows = w.rows()
+                for width in widths:
+                    at = T.starts(w.bounds, width)
+                    h = T.grams(w.hash, width, at)
+                    near = shared.value.has(h)
+                    held.append(T.distinct(rows[at[near]], h[near], part.num_rows)[0])
+                key, n = np.unique(np.concatenate(held or [np.zeros(0, np.uint64)]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(T.signed(key)), pa.array(n.astype(np.int64))], ["key", "n"])
+
+    rarity = documents.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    filed = keys.join(rarity, "key", "left").groupBy("a", "b", "size").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "key")).alias("least"))
+    return filed.select("least.key", "least.offset", "a", "b", "size")
+
+
+def occurrences(documents: DataFrame, filed: DataFrame, bits: int) -> DataFrame:
+    """doc_id, text_hash, n_words and places (start, size, key, offset, a, b) where a window may stand, of every row."""
+    shapes = [(r.offset, r.size) for r in filed.select("offset", "size").distinct().orderBy("offset", "size").collect()]
+    shared = documents.sparkSession.sparkContext.broadcast((Bitmap(filed, bits), Bitmap(filed.select(F.col("a").alias("key")), bits)))
+    kind = pa.struct([("start", pa.int32()), ("size", pa.int32()), ("key", pa.int64()), ("offset", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
+        prefix, whole = shared.value
         for batch in batches:
             for part in T.slices(batch, "text"):
                 w = _words(part.column("text"))
-                n, rows, counts = part.num_rows, w.rows(), w.counts()
-                start, window = index.occurrences(w)
-                edge = np.bincount(start, minlength=len(rows) + 1) - np.bincount(start + index.size[window], minlength=len(rows) + 1)
-                covered = np.cumsum(edge)[: len(rows)] > 0
-                n_hit = np.bincount(rows[covered], minlength=n)
-                owners = index.owners[window + 1] - index.owners[window]
-                item = index.item[np.repeat(index.owners[window], owners) + np.arange(owners.sum()) - np.repeat(np.cumsum(owners) - owners, owners)]
-                seen, offsets = T.distinct(np.sort(np.repeat(rows[start], owners)), item[np.argsort(np.repeat(rows[start], owners), kind="stable")].astype(np.uint64), n)
-                ids = [sorted({index.ids[i] for i in seen[a:b].tolist()} - {None}) for a, b in zip(offsets[:-1], offsets[1:])]
-                columns = [part.column("doc_id"), part.column("text_hash"), pa.array(counts, pa.int64()), pa.array(n_hit, pa.int64())]
-                names = ["doc_id", "text_hash", "n_words", "n_hit"]
-                if with_hits:
-                    local = np.flatnonzero(covered)
-                    by = np.searchsorted(rows[local], np.arange(n + 1))
-                    columns.append(T.lists(local - w.bounds[rows[local]], by, pa.int64()))
-                    names.append("hit")
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.list_(pa.int64()))], [*names, "items"])
-
-    return documents.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(find, "doc_id long, text_hash long, n_words long, n_hit long" + ", hit array<long>" * with_hits + ", items array<long>")
-
-
-def contamination(documents: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, n_hit and items (ids with occurring windows) of every document.  With more than one block of
-    items, a document's rows of all blocks meet by doc_id and the hash of its text."""
-    parts = list(blocks(benchmark, block_bytes)) if block_bytes else []
-    if len(parts) <= 1:
-        ids, texts = parts[0] if parts else ([], [])
-        return _found(documents, _counted(documents, WindowIndex(ids, texts)), False)
-    per_block = [_found(documents, _counted(documents, WindowIndex(*part)), True) for part in parts]
-    rows = per_block[0]
-    for more in per_block[1:]:
-        rows = rows.unionByName(more)
-    # Equal rows have equal hits, so they meet as one group and are written out as often as they came.
-    return (
-        rows.groupBy("doc_id", "text_hash", "n_words")
-        .agg((F.count(F.lit(1)) / len(parts)).cast("int").alias("copies"), F.array_distinct(F.flatten(F.collect_list("hit"))).alias("hit"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-        .select("doc_id", "text_hash", "n_words", F.size("hit").cast("long").alias("n_hit"), "items", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
-        .drop("copy")
-    )
+                rows, found = w.rows(), []
+                near: dict[int, tuple] = {}
+                for offset, size in shapes:
+                    width = min(SHINGLE, size)
+                    if width not in near:
+                        at = T.starts(w.bounds, width)
+                        h = T.grams(w.hash, width, at)
+                        hit = prefix.has(h)
+                        near[width] = at[hit], h[hit]
+                    at, h = near[width]
+                    row = rows[at]
+                    fits = (at - offset >= w.bounds[row]) & (at - offset + size <= w.bounds[row + 1])
+                    start, h = at[fits] - offset, h[fits]
+                    a = T.grams(w.hash, size, start)
+                    fits = whole.has(a)
+                    if fits.any():
+                        start = start[fits]
+                        found.append((start, np.full(len(start), size), h[fits].view(np.int64), np.full(len(start), offset), a[fits].view(np.int64), T.grams(w.other(), size, start).view(np.int64)))
+                columns = [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, np.int64)] * 6
+                order = np.argsort(columns[0], kind="stable")
+                columns = [x[order] for x in columns]
+                row = rows[columns[0]] if len(order) else columns[0]
+                columns[0] = columns[0] - w.bounds[row]
+                places = pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(columns, kind)], fields=list(kind))
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)), places)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(w.counts(), pa.int64()), lists], ["doc_id", "text_hash", "n_words", "places"])
+
+    rows = documents.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
+    return rows.mapInArrow(find, "doc_id long, text_hash long, n_words long, places array<struct<start:int,size:int,key:long,offset:int,a:long,b:long>>")
+
+
+def covered(spans: str = "spans") -> F.Column:
+    """Number of places that (start, size) spans cover together."""
+    start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
+
+    def add(state: F.Column, span: F.Column) -> F.Column:
+        end = span["start"] + span["size"]
+        return F.struct(F.greatest(state["end"], end).alias("end"), (state["n"] + F.greatest(end - F.greatest(state["end"], span["start"]), F.lit(0))).alias("n"))
+
+    return F.aggregate(F.array_sort(spans), start, add)["n"]
+
+
+def contamination(documents: DataFrame, benchmark: DataFrame, bits: int = BITS) -> DataFrame:
+    """doc_id, text_hash, n_words, n_hit and items (ids with occurring windows) of every document.  A document's hits meet
+    by doc_id and the hash of its text; equal rows have equal hits and each gets them."""
+    cut = kept(windows(benchmark), "windows")
+    distinct = kept(cut.groupBy("a", "b", "size").agg(F.first("keys").alias("keys")), "distinct-windows")
+    sizes = [r.size for r in distinct.select("size").distinct().collect()]
+    filed = kept(prefixes(documents, distinct, sizes, bits), "prefixes")
+    places = kept(occurrences(documents, filed, bits), "places")
+    hits = places.select("doc_id", "text_hash", F.explode("places").alias("p")).select("doc_id", "text_hash", "p.*")
+    hits = kept(hits.join(filed, ["key", "offset", "a", "b", "size"], "left_semi").select("doc_id", "text_hash", "start", "size", "a", "b").distinct(), "hits")
+    spans = hits.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "size")).alias("spans")).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), covered().alias("n_hit"))
+    owners = cut.where("item_id IS NOT NULL").select("a", "b", "item_id").distinct()
+    items = hits.select("doc_id", "text_hash", "a", "b").distinct().join(owners, ["a", "b"]).groupBy(F.col("doc_id").alias("_e"), F.col("text_hash").alias("_g")).agg(F.collect_set("item_id").alias("items"))
+    rows = places.select("doc_id", "text_hash", "n_words")
+    rows = rows.join(spans, rows.doc_id.eqNullSafe(spans._d) & (rows.text_hash == spans._h), "left").join(items, rows.doc_id.eqNullSafe(items._e) & (rows.text_hash == items._g), "left")
+    return rows.select("doc_id", "text_hash", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.expr("CAST(array() AS ARRAY<BIGINT>)")).alias("items"))
 
 
 def contaminated(n_words: str = "n_words", n_hit: str = "n_hit") -> F.Column:
@@ -194,26 +179,11 @@ def contaminated(n_words: str = "n_words", n_hit: str = "n_hit") -> F.Column:
     return (F.col(n_hit) > 0) & (20 * F.col(n_hit) >= F.col(n_words))
 
 
-def keep_clean(documents: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of documents, all columns, that aren't contaminated."""
-    parts = list(blocks(benchmark, block_bytes))
-    if len(parts) > 1:
-        dirty = contamination(documents, benchmark, block_bytes).where(contaminated()).select(F.col("doc_id").alias("_id"), "text_hash").distinct()
-        return documents.join(dirty, documents["doc_id"].eqNullSafe(dirty["_id"]) & (F.xxhash64(documents["text"]) == dirty["text_hash"]), "left_anti")
-    ids, texts = parts[0] if parts else ([], [])
-    shared = documents.sparkSession.sparkContext.broadcast(_counted(documents, WindowIndex(ids, texts)))
-
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in T.slices(batch, "text"):
-                w = _words(part.column("text"))
-                rows, counts = w.rows(), w.counts()
-                start, window = shared.value.occurrences(w)
-                edge = np.bincount(start, minlength=len(rows) + 1) - np.bincount(start + shared.value.size[window], minlength=len(rows) + 1)
-                n_hit = np.bincount(rows[np.cumsum(edge)[: len(rows)] > 0], minlength=part.num_rows)
-                yield part.filter(pa.array(~((n_hit > 0) & (20 * n_hit >= counts))))
-
-    return documents.mapInArrow(clean, documents.schema)
+def keep_clean(documents: DataFrame, benchmark: DataFrame, bits: int = BITS) -> DataFrame:
+    """The rows of documents, all columns, that aren't contaminated.  The others' keys are read from a table of known size,
+    so Spark broadcasts them while they are few and shuffles documents only beyond that."""
+    dirty = kept(contamination(documents, benchmark, bits).where(contaminated()).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "contaminated")
+    return documents.join(dirty, documents["doc_id"].eqNullSafe(dirty["_id"]) & (F.xxhash64(documents["text"]) == dirty["_hash"]), "left_anti")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -223,25 +223,25 @@ def brute_contamination(docs, items, size=13):
         yield i, len(w), len(hit), found - {None}
 
 
-@pytest.mark.parametrize("block", [32 << 20, 2000])
-def test_contamination(spark, sf_dir, documents, block):
+@pytest.mark.parametrize("bits", [26, 7])
+def test_contamination(spark, sf_dir, documents, bits):
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    got = by_id(decontaminate.contamination(documents, benchmark, block))
+    got = by_id(decontaminate.contamination(documents, benchmark, bits))
     for i, n, hit, found in brute_contamination(pairs_of(documents), [tuple(r) for r in benchmark.select("item_id", "text").collect()]):
         assert (got[i].n_words, got[i].n_hit, set(got[i]["items"])) == (n, hit, found)
 
 
-@pytest.mark.parametrize("block", [32 << 20, 20])
-def test_contamination_odd_rows(spark, odd, empty, block):
+@pytest.mark.parametrize("bits", [26, 6])
+def test_contamination_odd_rows(spark, odd, empty, bits):
     items = spark.createDataFrame([(1, "ONE"), (2, "one"), (1, "one"), (3, None), (4, ""), (None, "w0"), (5, "same same same"), (6, "extra, tail")], "item_id long, text string")
-    rows = decontaminate.contamination(odd, items, block).collect()
+    rows = decontaminate.contamination(odd, items, bits).collect()
     want = {i: (n, h, f) for i, n, h, f in brute_contamination(pairs_of(odd), [tuple(r) for r in items.collect()])}
     assert len(rows) == odd.count() and all((r.n_words, r.n_hit, set(r["items"])) == want[r.doc_id] for r in rows)
-    clean = decontaminate.keep_clean(odd, items, block)
+    clean = decontaminate.keep_clean(odd, items, bits)
     bad = {i for i, (n, h, _) in want.items() if h and 20 * h >= n}
     assert clean.columns == odd.columns and {r.doc_id for r in clean.collect()} == set(want) - bad
-    assert decontaminate.contamination(empty, items, block).count() == 0
-    assert decontaminate.contamination(odd, items.limit(0), block).where("n_hit > 0").count() == 0
+    assert decontaminate.contamination(empty, items, bits).count() == 0
+    assert decontaminate.contamination(odd, items.limit(0), bits).where("n_hit > 0").count() == 0
 
 
 # 6
@@ -263,15 +263,34 @@ def test_relational_lattice_equals_the_library(spark, documents):
     import sentencepiece
 
     lib, table = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL), pieces.Pieces()
-    words = sorted({" " + w for _, t in pairs_of(documents)[:20] for w in (t or "").split() if w.isascii()})[:400]
-    df = spark.createDataFrame([(w,) for w in words], "word string")
-    got = {r.word: r.ids for r in pieces.encode_words(df, pieces.piece_table(spark, table)).collect()}
-    assert all(got[w] == lib.encode(w[1:]) for w in words)
+    odd = spark.createDataFrame([(1, "日本語 𝔘\0 $$$ x_1 ½ e\u0301 <0x41>\n\t"), (2, None), (3, "xx " * 40)], "doc_id long, text string")
+    words = pieces.vocabulary(documents.select("doc_id", "text").union(odd), table).collect()
+    df = spark.createDataFrame([(r.word,) for r in words], "word string")
+    got = {r.word: r.ids for r in pieces.encode_words(df, pieces.piece_table(spark, table), table).collect()}
+    assert len(got) == len(words) == len({r.word for r in words})
+    # The library puts a space before a text: words that begin with one are texts of their own.
+    texts = {w: lib.encode(w[1:]) for w in got if w[0] == " " and len(w) > 1}
+    assert len(texts) > 2000 and all(got[w] == ids for w, ids in texts.items())
+    ids, bounds = pieces.encode_batch(pa.array([w[1:] for w in texts]), table)
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == list(texts.values())
+
+
+@pytest.mark.parametrize("most", [0, 50, 1 << 18])
+def test_any_word_table_gives_the_library_s_ids(spark, documents, most):
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    more = spark.createDataFrame([(-1, "x" * 500 + " " + "ab" * 300 + " 日本語"), (-2, None), (-3, "▁a  b ")], "doc_id long, text string")
+    docs = documents.select("doc_id", "text").union(more)
+    texts = dict(pairs_of(docs))
+    assert all(r.ids == lib.encode(texts[r.doc_id] or "") for r in pieces.encode(docs, most=most).collect())
+    table = pieces.word_table(docs, pieces.Pieces(), most)
+    assert len(table.key) <= most and (most < 100 or len(table.key) > 1000)
 
 
 def test_viterbi_takes_the_best_path(spark):
     table = spark.createDataFrame([("a", 1, -1.0, 0), ("b", 2, -1.0, 0), ("ab", 3, -1.5, 0), ("bc", 4, -0.2, 0), ("c", 5, -2.0, 0)], "piece string, id int, score double, rank int")
-    df = pieces.lattice(spark.createDataFrame([("abc",), ("ab",)], "word string"), table)
+    df = pieces.lattice(spark.createDataFrame([("abc",), ("ab",)], "word string"), table, 2)
     assert {r.word: r.ids for r in df.select("word", pieces.fold_viterbi().alias("ids")).collect()} == {"abc": [1, 4], "ab": [3]}
 
 
