@@ -116,6 +116,7 @@ def occurrences(documents: DataFrame, filed: DataFrame, bits: int) -> DataFrame:
                 w = _words(part.column("text"))
                 rows, found = w.rows(), []
                 near: dict[int, tuple] = {}
+                whole_at: dict[int, np.ndarray] = {}
                 for offset, size in shapes:
                     width = min(SHINGLE, size)
                     if width not in near:
@@ -127,7 +128,11 @@ def occurrences(documents: DataFrame, filed: DataFrame, bits: int) -> DataFrame:
                     row = rows[at]
                     fits = (at - offset >= w.bounds[row]) & (at - offset + size <= w.bounds[row + 1])
                     start, h = at[fits] - offset, h[fits]
-                    a = T.grams(w.hash, size, start)
+                    if size not in whole_at:
+                        whole_at[size] = np.zeros(len(rows), np.uint64)
+                        at = T.starts(w.bounds, size)
+                        whole_at[size][at] = T.grams(w.hash, size, at)
+                    a = whole_at[size][start]
                     fits = whole.has(a)
                     if fits.any():
                         start = start[fits]
