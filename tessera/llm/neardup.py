@@ -2,15 +2,18 @@
 
 1. Texts of equal shingle sets form classes; only a class's smallest doc_id goes on.
 2. Each tree of the forest orders the signatures by its own sequence of hash values.  Signatures that agree on the
-   tree's first `DEPTH` values form a region; regions of one are dropped by a count before any signature moves.
-3. Within a region, in the tree's order, candidates are the neighbours of longest common prefix, a few hubs (a hub is
-   the member nearest to the most frequent values of what is left) with all members like them, and, in regions up to
-   `SMALL`, every pair.
-4. Hub and neighbour pairs are confirmed first, on the shingles of the whole texts.  The depth then adapts: of a small
-   region's other pairs those are confirmed whose ends are still in different components; the members of larger
-   regions, where all share a passage or a common original, are told apart by their rarest shingles: two texts at the
-   threshold share one of the rarest 15 % + 1 of either's, whatever number of members hold it.  Pairs in one component,
-   and pairs whose numbers of shingles or places of the shared one rule the threshold out, aren't confirmed.
+   tree's first `DEPTH` values form a region; regions of one are dropped by a count before any signature moves.  The
+   number of trees follows from the threshold and `MISS`.
+3. In a region of up to `SMALL` texts every pair is a candidate whose signatures agree as often as a pair at the threshold
+   does (but for a chance of `MISS`).  A larger region is dealt to many tasks by ranges of its order; there candidates
+   are the neighbours of longest common prefix, a few hubs (a hub is the member nearest to the most frequent values of
+   what is left) with the members like them, and, at the depth where the region has fallen apart into groups of up to
+   `DEEP`, every pair of a group.
+4. Hub and neighbour pairs are confirmed first, on the shingles of the whole texts; of the others, those whose ends are
+   still in different components.  A larger region that is still in several components is then joined exactly: two texts
+   at the threshold share one of the rarest 15 % + 1 (at 0.85) of either's shingles, whatever number of members hold it.
+   Pairs in one component, and pairs whose numbers of shingles or places of the shared one rule the threshold out,
+   aren't confirmed.
 
 Defined results: null, empty and wordless texts have the empty set and are components of their own; fewer than five
 words are one shingle; ties and repeated rows share a component; rows with a null doc_id are left to themselves (null
@@ -20,6 +23,8 @@ component, kept); an empty table gives an empty result; other columns are passed
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, comb, log
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,21 +36,37 @@ from tessera.llm.graph import components
 from tessera.llm.store import kept
 
 WORDS = 5
-#: Trees, and values that a region shares: at a similarity of 0.85 all trees miss a pair with a chance below 3e-7.
-TREES, DEPTH = 16, 3
-HASHES = TREES * DEPTH
-#: Regions up to SMALL are paired fully; a larger one is taken in blocks of BLOCK rows of its order.
-SMALL, BLOCK, HUBS = 48, 4096, 3
+#: Values that a region shares at least, and the chance with which a pair at the threshold may be missed by all trees (and,
+#: again, by how often its signatures agree).
+DEPTH, MISS = 3, 3e-7
+#: Regions up to SMALL are paired fully; a larger one is taken in blocks of BLOCK rows of its order, and deeper down in
+#: groups of DEEP.
+SMALL, BLOCK, HUBS, DEEP = 48, 4096, 3, 8
+#: Rows of regions that a task gets.
+PER_TASK = 1 << 14
 #: Holders of a shingle that meet in one cell; more are dealt to blocks, and every two blocks to a cell.
 CELL = 512
-#: Pairs of which so few of the 48 values agree aren't confirmed: at 0.85 that is 4.8 deviations away.
-LEAST_AGREEING = 0.6
-#: The same in large regions, for hubs and for neighbours; members that differ more meet by their prefixes.
-LARGE_HUB, LARGE_NEXT = 0.65, 0.75
 
-_RNG = np.random.default_rng(9_000_011)
-_XOR = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64)
-_MUL = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)
+
+class Forest(NamedTuple):
+    """What follows from a threshold: trees, values of a signature, and how many of them agree in a candidate."""
+
+    trees: int
+    hashes: int
+    agree: int
+
+
+def forest(least: int) -> Forest:
+    s = min(least / 100, 1 - 1e-9)
+    trees = max(1, ceil(log(MISS) / log(1 - s**DEPTH)))
+    n = trees * DEPTH
+    below, agree = 0.0, 0
+    while (below := below + comb(n, agree) * s**agree * (1 - s) ** (n - agree)) <= MISS:
+        agree += 1
+    return Forest(trees, n, agree)
+
+
+_SCATTER = np.random.default_rng(9_000_011).integers(0, 1 << 63, (2, 1024), dtype=np.uint64)
 
 
 def shingles(texts: pa.Array, size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -64,21 +85,22 @@ def _shingles(w: T.Words, size: int, *more: np.ndarray) -> tuple[np.ndarray, ...
     return row[order], *(np.concatenate([T.grams(h, size, at), T.grams(h, counts[short], w.bounds[short])])[order] for h in (w.hash, *more))
 
 
-def signatures(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """HASHES 32-bit minima for each set; an empty set has zeros."""
-    out = np.zeros((len(offsets) - 1, HASHES), ">u4")
+def signatures(h: np.ndarray, offsets: np.ndarray, hashes: int) -> np.ndarray:
+    """`hashes` 32-bit minima for each set; an empty set has zeros."""
+    out = np.zeros((len(offsets) - 1, hashes), ">u4")
     some = np.flatnonzero(np.diff(offsets))
     if len(some):
         begin, buffer = offsets[some], np.empty_like(h)
-        for k in range(HASHES):
-            np.bitwise_xor(h, _XOR[k], out=buffer)
-            np.multiply(buffer, _MUL[k], out=buffer)
+        for k in range(hashes):
+            np.bitwise_xor(h, _SCATTER[0, k], out=buffer)
+            np.multiply(buffer, _SCATTER[1, k] | np.uint64(1), out=buffer)
             out[some, k] = np.minimum.reduceat(buffer, begin) >> np.uint64(32)
     return out
 
 
-def sketches(documents: DataFrame) -> DataFrame:
+def sketches(documents: DataFrame, least: int = 85) -> DataFrame:
     """doc_id, n_shingles, a and b (sums over the set by two independent hashes) and sig of every row."""
+    hashes = forest(least).hashes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,7 +116,7 @@ def sketches(documents: DataFrame) -> DataFrame:
                 n = np.diff(offsets)
                 sums = [np.concatenate([[np.uint64(0)], np.cumsum(T.mix(x))]) for x in (h, g)]
                 a, b = (T.signed(s[offsets[1:]] - s[offsets[:-1]]) for s in sums)
-                sig = signatures(h, offsets)
+                sig = signatures(h, offsets, hashes)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(a), pa.array(b), pa.array([r.tobytes() for r in sig], pa.binary())], ["doc_id", "n_shingles", "a", "b", "sig"])
 
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, a long, b long, sig binary")
@@ -111,38 +133,51 @@ def _hub(sig: np.ndarray) -> int:
     return int(agree.argmax())
 
 
-def region_pairs(ids: np.ndarray, sig: np.ndarray) -> tuple[list[np.ndarray], int]:
-    """Candidate pairs [(from, to, order)] of one region's block in the tree's order, and the block's first hub."""
-    m, out = len(ids), []
-    pair = lambda i, j, order: out.append(np.column_stack([ids[i], ids[j], np.full(len(j), order)]))
-    to_hub, to_next = (LEAST_AGREEING, LEAST_AGREEING) if m <= SMALL else (LARGE_HUB, LARGE_NEXT)
-    rest, first, rounds = np.arange(m), 0, 0
-    while len(rest) > 1 and rounds < HUBS:
-        hub = _hub(sig[rest])
-        alike = (sig[rest] == sig[rest[hub]]).mean(1)
-        first = rest[hub] if rounds == 0 else first
-        alike[hub] = 2
-        near = rest[(alike >= to_hub) & (alike < 2)]
-        pair(np.full(len(near), rest[hub]), near, 0)
-        rest, rounds = rest[alike < 0.85], rounds + 1
+def region_pairs(ids: np.ndarray, sig: np.ndarray, least: int = 85) -> tuple[list[np.ndarray], int]:
+    """Candidate pairs [(from, to, order)] of one region's block in the tree's order, and a larger region's first hub."""
+    m, out, shape = len(ids), [], forest(least)
+
+    def pair(i: np.ndarray, j: np.ndarray, order: int, agree: float) -> None:
+        ok = (sig[i] == sig[j]).sum(1) >= agree
+        out.append(np.column_stack([ids[i[ok]], ids[j[ok]], np.full(int(ok.sum()), order)]))
+
+    # Next to each other in the order: the longest common prefixes.
     if m <= SMALL:
         i, j = np.triu_indices(m, 1)
-    else:
-        i, j = np.arange(m - 1), np.arange(1, m)
-    ok = (sig[i] == sig[j]).mean(1) >= to_next
-    i, j = i[ok], j[ok]
-    # Next to each other in the order: the longest common prefixes.
-    pair(i[j - i == 1], j[j - i == 1], 0)
-    pair(i[j - i > 1], j[j - i > 1], 1)
+        pair(i[j - i == 1], j[j - i == 1], 0, shape.agree)
+        pair(i[j - i > 1], j[j - i > 1], 1, shape.agree)
+        return out, 0
+    pair(np.arange(m - 1), np.arange(1, m), 0, max(shape.agree, shape.hashes * (least - 10) / 100))
+    rest, first = np.arange(m), 0
+    for k in range(HUBS):
+        if len(rest) < 2:
+            break
+        hub = rest[_hub(sig[rest])]
+        first = hub if k == 0 else first
+        rest = rest[rest != hub]
+        pair(np.full(len(rest), hub), rest, 0, max(shape.agree, shape.hashes * (least - 20) / 100))
+        rest = rest[(sig[rest] == sig[hub]).mean(1) < least / 100]
+    # Deeper, where the region falls apart.
+    shared = np.append((sig[1:] == sig[:-1]).cumprod(1).sum(1), 0)
+    todo = [(0, m, DEPTH + 1)]
+    while todo:
+        a, b, depth = todo.pop()
+        ends = a + 1 + np.flatnonzero(shared[a : b - 1] < depth)
+        for x, y in zip([a, *ends.tolist()], [*ends.tolist(), b]):
+            if 1 < y - x <= DEEP:
+                i, j = np.triu_indices(y - x, 1)
+                pair(x + i[j - i > 1], x + j[j - i > 1], 1, shape.agree)
+            elif y - x > DEEP and depth < shape.hashes:
+                todo.append((x, y, depth + 1))
     return out, first
 
 
-def candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+def candidates(reps: DataFrame, least: int = 85) -> tuple[DataFrame, DataFrame]:
     """(a, b, first) pairs, a < b, of (doc_id, sig) rows, first: to be confirmed in the first round; and (region,
     doc_id) of the members of large regions."""
-    width = 4 * DEPTH
+    shape, width = forest(least), 4 * DEPTH
     key = F.xxhash64("tree", F.expr(f"substring(sig, tree * {width} + 1, {width})"))
-    rows = reps.select("doc_id", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select("doc_id", "tree", key.alias("region"))
+    rows = reps.select("doc_id", "sig", F.explode(F.sequence(F.lit(0), F.lit(shape.trees - 1))).alias("tree")).select("doc_id", "tree", key.alias("region"))
     shared = kept(rows.groupBy("region").count().where("count > 1").select(F.col("region").alias("_r"), (F.col("count") > SMALL).alias("large")), "regions")
     members = rows.join(shared.hint("merge"), F.col("region") == F.col("_r")).drop("_r")
     sigs = reps.select(F.col("doc_id").alias("_d"), "sig")
@@ -150,38 +185,44 @@ def candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, bytes]] = []
-        region, hub, found = None, None, []
+        region, found = None, []
 
-        def close(last: bool) -> None:
-            nonlocal held, hub
-            if held:
+        def close() -> None:
+            if len(held) > 1 or (held and full):
                 ids = np.array([d for d, _ in held], np.int64)
-                sig = np.frombuffer(b"".join(p for _, p in held), ">u4").reshape(len(held), HASHES).astype(np.uint32)
-                pairs, first = region_pairs(ids, sig)
-                found.extend(pairs)
-                if hub is not None:
-                    found.append(np.array([[hub, ids[first], 0]]))
-                hub = None if last else ids[first]
-            held = []
-
+                sig = np.frombuffer(b"".join(p for _, p in held), ">u4").reshape(len(held), shape.hashes).astype(np.uint32)
+                pairs, hub = region_pairs(ids, sig, least)
+                found.extend(np.column_stack([np.full(len(p), region), p]) for p in pairs)
+                if full:
+                    # The block's hub, with itself: blocks meet through their hubs.
+                    found.append(np.array([[region, ids[hub], ids[hub], 0]]))
+            held.clear()
+
+        full = False
         for batch in batches:
-            for r, d, p in zip(*(batch.column(c).to_pylist() for c in ("region", "doc_id", "path"))):
+            for r, d, large, p in zip(*(batch.column(c).to_pylist() for c in ("region", "doc_id", "large", "path"))):
                 if r != region or len(held) >= BLOCK:
-                    close(r != region)
-                    if r != region:
-                        hub = None
-                    region = r
+                    close()
+                    region, full = r, large
                 held.append((d, p))
             if found:
                 yield _pairs(found)
                 found.clear()
-        close(True)
+        close()
         if found:
             yield _pairs(found)
 
-    dealt = members.repartition("region").sortWithinPartitions("region", "path", "doc_id").select("region", "doc_id", "path")
-    pairs = dealt.mapInArrow(run, "a long, b long, later int")
-    return pairs.groupBy("a", "b").agg((F.min("later") == 0).alias("first")), members.where("large").select("region", "doc_id")
+    def paired(part: DataFrame) -> DataFrame:
+        return part.sortWithinPartitions("region", "path", "doc_id").select("region", "doc_id", "large", "path").mapInArrow(run, "region long, a long, b long, later int")
+
+    tasks = max(1, ceil(members.count() / PER_TASK))
+    small, large = members.where("NOT large"), members.where("large")
+    # A large region's rows are dealt by ranges of its order, so none lies in one task.
+    found = kept(paired(small.repartition(tasks, "region")).unionByName(paired(large.repartitionByRange(tasks, "region", "path", "doc_id"))), "found")
+    hubs = found.where("a = b").select("region", F.col("a").alias("hub")).distinct()
+    chained = hubs.join(hubs.groupBy(F.col("region").alias("_r")).agg(F.min("hub").alias("least")), F.col("region") == F.col("_r")).where("least < hub").select(F.col("least").alias("a"), F.col("hub").alias("b"), F.lit(0).alias("later"))
+    pairs = found.where("a < b").select("a", "b", "later").unionByName(chained)
+    return pairs.groupBy("a", "b").agg((F.min("later") == 0).alias("first")), large.select("region", "doc_id")
 
 
 def rare_pairs(texts: DataFrame, least: int = 85) -> DataFrame:
@@ -215,9 +256,7 @@ def rare_pairs(texts: DataFrame, least: int = 85) -> DataFrame:
 
 def _pairs(found: list[np.ndarray]) -> pa.RecordBatch:
     x = np.concatenate(found).astype(np.int64)
-    a, b = np.minimum(x[:, 0], x[:, 1]), np.maximum(x[:, 0], x[:, 1])
-    ok = a < b
-    return pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok]), pa.array(x[ok, 2].astype(np.int32))], ["a", "b", "later"])
+    return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1:3].min(1)), pa.array(x[:, 1:3].max(1)), pa.array(x[:, 3].astype(np.int32))], ["region", "a", "b", "later"])
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, least: int = 85) -> DataFrame:
@@ -246,10 +285,10 @@ def confirmed(pairs: DataFrame, texts: DataFrame, least: int = 85) -> DataFrame:
 
 def near_duplicates(documents: DataFrame, least: int = 85) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable over links) of every row."""
-    rows = kept(sketches(documents), "sketches")
+    rows = kept(sketches(documents, least), "sketches")
     sets = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = kept(sets.groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
-    pairs, large = candidates(classes.select(F.col("rep").alias("doc_id"), "sig"))
+    pairs, large = candidates(classes.select(F.col("rep").alias("doc_id"), "sig"), least)
     pairs = kept(pairs, "pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("_id")).union(large.select("doc_id")).distinct()
     texts = kept(documents.select("doc_id", "text").join(ends.hint("merge"), F.col("doc_id") == F.col("_id"), "left_semi"), "texts")
