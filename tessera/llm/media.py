@@ -1,11 +1,11 @@
 """Media columns (operator 1): interleaved sequences of text and media references, media in a table of their own.
 
 `sequences` parses pages into parts in reading order.  A media part holds a reference (its address or, for inline media,
-the SHA-256 of the bytes) and its caption (figcaption, else alt); the bytes go to a column of their own, so that they
+the SHA-256 of the bytes) and its caption (the figure's, before or after it, else alt); the bytes go to a column of their own, so that they
 lie in other pages of the Parquet file than the sequence.  `resolve` joins payloads back by digest; positions and
 captions stay those of the sequence.
 
-Defined results: a null page has no parts; a part without text isn't kept; inline media that can't be decoded keep
+Defined results: a null page has no parts; a part without text isn't kept, nor what stands in `noscript` or `template`; inline media that can't be decoded keep
 their reference and have no payload; equal media have one digest, and a digest that is asked for many times (a third of
 all rows, say) is split by Spark's skew join, with small rows on that side; an empty table gives an empty result; other
 columns are passed over.
@@ -40,7 +40,7 @@ class _Sequence(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.parts: list[dict] = []
         self.texts: list[str] = []
-        self.hidden, self.caption, self.figure = 0, None, None
+        self.hidden, self.caption, self.figure, self.figure_caption = 0, None, None, None
 
     def flush(self) -> None:
         text = " ".join("".join(self.texts).split())
@@ -54,17 +54,17 @@ class _Sequence(HTMLParser):
         elif tag == "figcaption":
             self.flush()
             self.caption = []
-        elif tag in MEDIA_TAGS:
+        elif tag in MEDIA_TAGS and not self.hidden:
             given = dict(attrs)
             ref = given.get("src") or given.get("data")
             if ref:
                 self.flush()
                 media = _inline(ref)
-                self.parts.append({"kind": MEDIA_TAGS[tag], "text": None, "caption": given.get("alt") or None, "ref": hashlib.sha256(media).hexdigest() if media is not None else ref[:2048], "media": media})
+                self.parts.append({"kind": MEDIA_TAGS[tag], "text": None, "caption": self.figure_caption or given.get("alt") or None, "ref": hashlib.sha256(media).hexdigest() if media is not None else ref, "media": media})
         elif tag in _BLOCKS:
             self.flush()
             if tag == "figure":
-                self.figure = len(self.parts)
+                self.figure, self.figure_caption = len(self.parts), None
 
     def handle_endtag(self, tag: str) -> None:
         if tag in _HIDDEN:
@@ -72,13 +72,15 @@ class _Sequence(HTMLParser):
         elif tag == "figcaption" and self.caption is not None:
             text = " ".join("".join(self.caption).split())
             self.caption = None
+            if self.figure is not None:  # for media of the figure that come after it
+                self.figure_caption = text or None
             for part in self.parts[self.figure if self.figure is not None else len(self.parts) :]:
                 if part["kind"] != "text":
                     part["caption"] = text or part["caption"]
         elif tag in _BLOCKS:
             self.flush()
             if tag == "figure":
-                self.figure = None
+                self.figure = self.figure_caption = None
 
     def handle_data(self, data: str) -> None:
         if not self.hidden:
@@ -86,11 +88,19 @@ class _Sequence(HTMLParser):
 
 
 def _inline(ref: str) -> bytes | None:
+    """The bytes of a data address; None for other addresses and for what isn't base64 (white space and missing padding
+    are allowed, as in browsers)."""
     if not ref.startswith("data:") or "," not in ref:
         return None
     head, body = ref.split(",", 1)
+    raw = unquote_to_bytes(body)
+    if not head.endswith(";base64"):
+        return raw
+    raw = b"".join(raw.split())
+    if len(raw) % 4 and b"=" not in raw:
+        raw += b"=" * (-len(raw) % 4)
     try:
-        return base64.b64decode(body) if head.endswith(";base64") else unquote_to_bytes(body)
+        return base64.b64decode(raw, validate=True)
     except (binascii.Error, ValueError):
         return None
 
