@@ -1,18 +1,20 @@
 """Chat formatting (operator 4): typed content parts, flattened by a visitor into a marked-up text.
 
-A message's content is a list of parts (kind, text, ref).  The visitor turns text parts into escaped text and image,
-audio and document parts into placeholders; every attachment is recorded in order with the number of tokens its
-placeholder expands to.  The template marks turns:
+A message's content is a list of parts (kind, text, ref and, where known, width and height, seconds or pages).  The
+visitor turns text parts into escaped text and image, audio and document parts into placeholders; every attachment is
+recorded in order with its kind, reference and own text (a transcript, say) and the number of tokens that its
+placeholder expands to, which follows from its size, length or pages.  Other kinds count as documents and keep their
+name in the record.  The template marks turns:
 
     <s>[ROLE]role[BODY]text</s>
 
 A backslash before `<`, `[` or `\\` takes their meaning away; all three are escaped inside texts and roles, so no text
-can open or close a turn, and `parse` gives back exactly what went in.
+can open or close a turn or stand for a placeholder, and `parse_parts` gives back exactly what went in.
 
 Conversations stream through their partition in order: rows are dealt by conv_id and sorted, and one turn is held at a
 time, so a conversation of any length needs the memory of its longest turn.
 
-Defined results: a null text or content is empty; a null role is an empty role; turns of one number are ordered by role
+Defined results: a null text, content or part is empty; a null role is an empty role; turns of one number are ordered by role
 and text, null turns come first; repeated rows are turns of their own; rows with a null conv_id form one conversation
 of their own; an empty table gives only what was added to it; other columns are passed over.
 """
@@ -22,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
+from math import ceil
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -29,10 +32,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 OPEN, BODY, CLOSE = "<s>[ROLE]", "[BODY]", "</s>"
-#: Tokens that a placeholder stands for.
-EXPANSION = {"image": 576, "audio": 250, "document": 1024}
-PART = "array<struct<kind:string,text:string,ref:string>>"
+#: Tokens of an image's patch of so many pixels to a side, of a second and of a page; and of attachments that don't say.
+PATCH, PER_SECOND, PER_PAGE = 28, 25, 1024
+UNKNOWN = {"image": 576, "audio": 250, "document": 1024}
+PART = "array<struct<kind:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>>"
 _PLAIN = re.compile(r"\\(.)", re.S)
+_PIECE = re.compile(r"\[([A-Z]+):(\d+)\]|((?:[^\\\[]|\\.)+)", re.S)
 _TURN = re.compile(r"<s>\[ROLE\]([^\\<\[]*(?:\\.[^\\<\[]*)*)\[BODY\]([^\\<]*(?:\\.[^\\<]*)*)</s>", re.S)
 
 
@@ -49,6 +54,7 @@ class Attachment(NamedTuple):
     position: int
     kind: str
     ref: str
+    text: str
     n_tokens: int
 
 
@@ -60,21 +66,29 @@ class Visitor:
         self.out: list[str] = []
         self.attachments: list[Attachment] = []
 
-    def visit(self, part: dict) -> None:
-        getattr(self, f"visit_{part.get('kind') or 'text'}", self.visit_other)(part)
+    def visit(self, part: dict | None) -> None:
+        if part:
+            getattr(self, f"visit_{part.get('kind') or 'text'}", self.visit_document)(part)
 
     def visit_text(self, part: dict) -> None:
         self.out.append(escape(part.get("text") or ""))
 
-    def visit_other(self, part: dict) -> None:
-        kind = part["kind"] if part["kind"] in EXPANSION else "document"
+    def visit_image(self, part: dict) -> None:
+        sides = part.get("width"), part.get("height")
+        self.place("image", part, ceil(sides[0] / PATCH) * ceil(sides[1] / PATCH) if all(sides) else None)
+
+    def visit_audio(self, part: dict) -> None:
+        self.place("audio", part, ceil(part["seconds"] * PER_SECOND) if part.get("seconds") else None)
+
+    def visit_document(self, part: dict) -> None:
+        self.place("document", part, part["pages"] * PER_PAGE if part.get("pages") else None)
+
+    def place(self, kind: str, part: dict, n_tokens: int | None) -> None:
         # A bare bracket can't come from a text: those are escaped.
         self.out.append(f"[{kind.upper()}:{self.next}]")
-        self.attachments.append(Attachment(self.turn, self.next, kind, part.get("ref") or "", EXPANSION[kind]))
+        self.attachments.append(Attachment(self.turn, self.next, part.get("kind") or kind, part.get("ref") or "", part.get("text") or "", UNKNOWN[kind] if n_tokens is None else n_tokens))
         self.next += 1
 
-    visit_image = visit_audio = visit_document = visit_other
-
 
 def format_turn(role: str | None, parts: Iterable[dict] | None, turn: int = 0, first: int = 0) -> tuple[str, list[Attachment]]:
     visitor = Visitor(turn, first)
@@ -83,10 +97,16 @@ def format_turn(role: str | None, parts: Iterable[dict] | None, turn: int = 0, f
     return f"{OPEN}{escape(role or '')}{BODY}{''.join(visitor.out)}{CLOSE}", visitor.attachments
 
 
-def parse(formatted: str) -> Iterator[tuple[str, str]]:
-    """(role, text) of each turn of a formatted conversation; placeholders stay in the text."""
+def parse_parts(formatted: str) -> Iterator[tuple[str, list[tuple[str, str | int]]]]:
+    """(role, parts) of each turn of a formatted conversation; a part is ("text", text) or (kind, position)."""
     for m in _TURN.finditer(formatted):
-        yield unescape(m[1]), unescape(m[2])
+        yield unescape(m[1]), [("text", unescape(p[3])) if p[1] is None else (p[1].lower(), int(p[2])) for p in _PIECE.finditer(m[2])]
+
+
+def parse(formatted: str) -> Iterator[tuple[str, str]]:
+    """(role, text) of each turn; placeholders aren't text."""
+    for role, parts in parse_parts(formatted):
+        yield role, "".join(x for kind, x in parts if kind == "text")
 
 
 def _streamed(turns: DataFrame) -> DataFrame:
@@ -112,10 +132,10 @@ def format_turns(turns: DataFrame) -> DataFrame:
                 at, first = at + 1, first + len(found)
             yield pa.RecordBatch.from_pylist(rows, _FORMATTED)
 
-    return _streamed(turns).mapInArrow(run, "conv_id long, at long, formatted string, loss_mask boolean, attachments array<struct<turn:long,position:long,kind:string,ref:string,n_tokens:long>>")
+    return _streamed(turns).mapInArrow(run, "conv_id long, at long, formatted string, loss_mask boolean, attachments array<struct<turn:long,position:long,kind:string,ref:string,text:string,n_tokens:long>>")
 
 
-_FORMATTED = pa.schema([("conv_id", pa.int64()), ("at", pa.int64()), ("formatted", pa.string()), ("loss_mask", pa.bool_()), ("attachments", pa.list_(pa.struct([("turn", pa.int64()), ("position", pa.int64()), ("kind", pa.string()), ("ref", pa.string()), ("n_tokens", pa.int64())])))])
+_FORMATTED = pa.schema([("conv_id", pa.int64()), ("at", pa.int64()), ("formatted", pa.string()), ("loss_mask", pa.bool_()), ("attachments", pa.list_(pa.struct([("turn", pa.int64()), ("position", pa.int64()), ("kind", pa.string()), ("ref", pa.string()), ("text", pa.string()), ("n_tokens", pa.int64())])))])
 
 
 def digest(formatted: DataFrame) -> DataFrame:
