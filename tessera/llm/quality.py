@@ -16,9 +16,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessera.llm import text as T
+from tessera.llm.labels import fold, labelled_sample
 
 FEATURES = ("log_words", "word_length", "word_length_spread", "upper", "digits", "marks", "symbols", "accents", "spaces", "distinct_words", "top_word", "distinct_trigrams", "repeated_lines", "line_words", "marks_per_word", "long_words")
 #: Labelled documents that a fit reads at most; chosen by the hash of doc_id.
@@ -128,18 +128,9 @@ def _calibrated(d: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float,
     return max(float(a), 0.05) / scale, float(b)
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, use, max_rows: int = MAX_ROWS) -> DataFrame:
-    """(text, label) of at most max_rows labelled documents: those whose doc_id hashes lowest among the rows that
-    `use` (a column) admits.  The sample's bound is what lets it be broadcast."""
-    ids = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y")).where(use & F.col("_id").isNotNull() & F.col("_y").isin(0, 1))
-    ids = ids.orderBy(F.xxhash64("_id"), "_id", "_y").limit(max_rows)
-    return documents.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("doc_id", "text", F.col("_y").alias("y"))
-
-
 def fit(documents: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0, max_rows: int = MAX_ROWS) -> QuadraticDiscriminant:
     """Learns from labelled rows outside the held-out fold (crc32 of doc_id as text, modulo `modulus`)."""
-    fold = F.crc32(F.col("_id").cast("string").cast("binary")) % modulus
-    sample = labelled_sample(documents, labels, "quality", fold != held_out, max_rows)
+    sample = labelled_sample(documents, labels, "quality", modulus, held_out, max_rows)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,5 +173,4 @@ def keep_good(documents: DataFrame, model: QuadraticDiscriminant, threshold: flo
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality score; labels come from folds 1 to 4 of crc32(doc_id) mod 5 only."""
     documents, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
-    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
-    return classify(documents, fit(documents, labels)).select("doc_id", (fold == 0).alias("held_out"), "score", "predicted")
+    return classify(documents, fit(documents, labels)).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
