@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import text as T
+from tessera.llm.labels import fold, labelled_sample
 from tessera.llm.store import kept
 
 #: Labelled documents that a fit reads at most; chosen by the hash of doc_id.
@@ -171,10 +172,12 @@ class Scorer:
         self.beta = np.array([-3.0, 1.0, 1.0, 1.0, 1.0])
         if len(np.unique(y)) == 2:
             z, self.beta = self._z(x), np.zeros(5)
+            # Both labels weigh alike, so that the curve doesn't lean towards the commoner one.
+            share = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
             for _ in range(30):
                 p = 1 / (1 + np.exp(-np.clip(z @ self.beta, -30, 30)))
-                hess = (z * (p * (1 - p))[:, None]).T @ z + np.diag([0.01, *[0.5] * 4])
-                step = np.linalg.solve(hess, z.T @ (p - y) + np.array([0.01, *[0.5] * 4]) * self.beta)
+                hess = (z * (share * p * (1 - p))[:, None]).T @ z + np.diag([0.01, *[0.5] * 4])
+                step = np.linalg.solve(hess, z.T @ (share * (p - y)) + np.array([0.01, *[0.5] * 4]) * self.beta)
                 self.beta -= np.clip(step, -2, 2)
                 if np.abs(step).max() < 1e-8:
                     break
@@ -187,47 +190,36 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(self._z(x) @ self.beta, -36, 36)))
 
 
-def _term_counts(sample: DataFrame, known: np.ndarray | None) -> DataFrame:
-    """(term, n): documents of the sample that hold each term (of `known`, if given)."""
-    shared = sample.sparkSession.sparkContext.broadcast(known)
+def _term_counts(sample: DataFrame) -> DataFrame:
+    """(term, toxic, clean): the sample's documents of either label that hold each term."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            terms = []
-            for part in T.slices(batch, "text"):
-                reader = Reader(part.column("text"))
-                for at, h in reader.stems():
-                    if shared.value is not None:
-                        hit = shared.value[np.minimum(np.searchsorted(shared.value, h), len(shared.value) - 1)] == h
-                        at, h = at[hit], h[hit]
-                    terms.append(T.distinct(reader.rows[at], h, part.num_rows)[0])
-            term, n = np.unique(np.concatenate(terms or [np.zeros(0, np.uint64)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(T.signed(term)), pa.array(n.astype(np.int64))], ["term", "n"])
+            for y in (0, 1):
+                terms = []
+                for part in T.slices(batch.filter(pc.equal(batch.column("y"), y)), "text"):
+                    reader = Reader(part.column("text"))
+                    terms += [T.distinct(reader.rows[at], h, part.num_rows)[0] for at, h in reader.stems()]
+                term, n = np.unique(np.concatenate(terms or [np.zeros(0, np.uint64)]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(T.signed(term)), pa.array(np.full(len(term), y, np.int32)), pa.array(n.astype(np.int64))], ["term", "y", "n"])
 
-    return sample.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    of = lambda y: F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0))
+    return sample.select("text", "y").mapInArrow(count, "term long, y int, n long").groupBy("term").agg(of(1).alias("toxic"), of(0).alias("clean"))
 
 
 def learn_lexicon(sample: DataFrame, max_terms: int = MAX_TERMS) -> Lexicon:
-    """Terms of (text, y) rows that toxic texts hold far more often than others."""
+    """Terms of (text, y) rows that toxic texts hold far more often than others; at most max_terms, the most telling."""
     sizes = {r.y: r["count"] for r in sample.groupBy("y").count().collect()}
     if not sizes.get(1) or not sizes.get(0):
         return Lexicon({})
-    # Terms are collected under a bound: those in most toxic documents.
-    toxic = _term_counts(sample.where("y = 1"), None).where(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "term").limit(4 * max_terms).collect()
-    known = np.sort(np.array([r.term for r in toxic], np.int64).view(np.uint64))
-    if not len(known):
-        return Lexicon({})
-    clean = {r.term: r.n for r in _term_counts(sample.where("y = 0"), known).collect()}
-    weights = {r.term: np.log((r.n + 0.1) / (sizes[1] + 0.2)) - np.log((clean.get(r.term, 0) + 0.5) / (sizes[0] + 1)) for r in toxic}
-    best = sorted(((w, t) for t, w in weights.items() if w >= LEAST_WEIGHT), reverse=True)[:max_terms]
-    return Lexicon({t % (1 << 64): min(w / FULL_WEIGHT, 1.0) for w, t in best})
+    weight = F.log((F.col("toxic") + 0.1) / (sizes[1] + 0.2)) - F.log((F.col("clean") + 0.5) / (sizes[0] + 1))
+    telling = _term_counts(sample).where(F.col("toxic") >= LEAST_DOCS).select("term", weight.alias("weight")).where(F.col("weight") >= LEAST_WEIGHT)
+    return Lexicon({r.term % (1 << 64): min(r.weight / FULL_WEIGHT, 1.0) for r in telling.orderBy(F.desc("weight"), F.desc("term")).limit(max_terms).collect()})
 
 
 def fit(documents: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1, max_rows: int = MAX_ROWS) -> Scorer:
     """Learns from labelled rows outside the held-out fold (crc32 of doc_id as text, modulo `modulus`)."""
-    ids = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("y")).where(F.col("_id").isNotNull() & F.col("y").isin(0, 1))
-    ids = ids.where(F.crc32(F.col("_id").cast("string").cast("binary")) % modulus != held_out).orderBy(F.xxhash64("_id"), "_id", "y").limit(max_rows)
-    sample = documents.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y")
+    sample = labelled_sample(documents, labels, "toxic", modulus, held_out, max_rows)
     sample = kept(sample, "toxicity-sample")
     curve = F.pmod(F.xxhash64(F.lit("curve"), "doc_id"), F.lit(10)) < 4
     lexicon, arcs = learn_lexicon(sample.where(~curve)), grammar()
@@ -260,5 +252,4 @@ def score(documents: DataFrame, scorer: Scorer, threshold: float = 0.7) -> DataF
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity; labels come from folds 0 and 2 of crc32(doc_id) mod 3 only."""
     documents, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
-    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
-    return score(documents, fit(documents, labels)).select("doc_id", (fold == 1).alias("held_out"), "score", "predicted")
+    return score(documents, fit(documents, labels)).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
