@@ -1,6 +1,9 @@
 """License scans (operator 10): patience alignment of license templates with documents.
 
-A template's three-word runs point at regions of a text that may hold it.  In a region, words that occur once in the
+A template's three-word runs point at regions of a text that may hold it.  Where words were put in or changed, so that no
+run is left, regions of up to `STRETCH` times a notice's length come from its single words: a finding matches all but a
+fifth of them, so it holds one of the longest fifth + 1 (the gate), and enough of the notice's words stand close together
+(the density); neither loses a finding of that length.  In a region, words that occur once in the
 text part and once in the template part are anchors; the longest increasing subsequence of anchors is kept, equal words
 next to them are taken along, and the gaps between are aligned the same way.  Matched template words by all template
 words is the coverage; a finding needs `LEAST_COVERAGE`.  Where findings overlap, the one with most matched words
@@ -28,6 +31,8 @@ from tessera.llm import text as T
 
 LEAST_COVERAGE = 0.8
 SEED_WORDS = 3
+#: Notices of LEAST_NOTICE words or more are also looked for in regions of up to STRETCH times their length.
+LEAST_NOTICE, STRETCH = 10, 2
 #: Templates of more words are first held against the words of the place, whatever their order.
 SMALL = 50
 
@@ -157,6 +162,7 @@ class Scanner:
 
     def __init__(self, templates: dict[str, str], least: float = LEAST_COVERAGE) -> None:
         self.names, self.least = sorted(templates), least
+        self.number = {n: t for t, n in enumerate(self.names)}
         w = T.words(pa.array([templates[n] for n in self.names], pa.large_string()), T.ALNUM, lower=True)
         self.words = [w.hash[a:b].tolist() for a, b in zip(w.bounds[:-1], w.bounds[1:])]
         self.sizes, self.vocabulary = w.counts(), [np.unique(w.hash[a:b]) for a, b in zip(w.bounds[:-1], w.bounds[1:])]
@@ -180,6 +186,46 @@ class Scanner:
         self.widths = sorted({s[3] for s in seeds})
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[self.seed & np.uint64(0xFFFFF)] = True
+        # A finding lacks at most `spare` words, so it holds one of any spare + 1: the longest, here, words that the
+        # template has once before others.
+        self.most = [int(np.ceil(self.least * n - 1e-9)) for n in self.sizes]
+        gates = []
+        for t, (a, b) in enumerate(zip(w.bounds[:-1].tolist(), w.bounds[1:].tolist())):
+            if b - a >= LEAST_NOTICE:
+                times = Counter(w.hash[a:b].tolist())
+                rare = sorted(range(a, b), key=lambda i: (times[int(w.hash[i])], w.start[i] - w.end[i], i))[: b - a - self.most[t] + 1]
+                gates += sorted({(int(w.hash[i]), t) for i in rare})
+        gates.sort()
+        self.gate, self.gated = np.array([g for g, _ in gates], np.uint64), np.array([t for _, t in gates], np.int64)
+        self.open = np.zeros(1 << 20, bool)
+        self.open[self.gate & np.uint64(0xFFFFF)] = True
+
+    def dense(self, w: T.Words) -> Iterator[tuple[int, int, int, int]]:
+        """(row, template, first word, end) of the stretches that hold enough of a notice's words, whatever their order."""
+        at = np.flatnonzero(self.open[w.hash & np.uint64(0xFFFFF)])
+        low, high = np.searchsorted(self.gate, w.hash[at]), np.searchsorted(self.gate, w.hash[at], "right")
+        n = high - low
+        t = self.gated[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        for row, t in np.unique(np.column_stack([np.repeat(w.rows()[at], n), t]), axis=0).tolist():
+            a, b = int(w.bounds[row]), int(w.bounds[row + 1])
+            size, most = int(self.sizes[t]), self.most[t]
+            if b - a < most:
+                continue
+            held = a + np.flatnonzero(np.isin(w.hash[a:b], self.vocabulary[t]))
+            if len(held) < most:
+                continue
+            full = np.flatnonzero(held[most - 1 :] - held[: len(held) - most + 1] < STRETCH * size)
+            if not len(full):
+                continue
+            first, last = held[full], held[full + most - 1] + 1
+            new = np.ones(len(full), bool)
+            new[1:] = first[1:] > last[:-1]
+            begin = np.flatnonzero(new)
+            for x, y in zip(first[begin].tolist(), last[np.append(begin[1:], len(full)) - 1].tolist()):
+                # Several copies next to each other: half a notice further on for each try.
+                step = max(1, size // 2)
+                for start in range(x, max(x + 1, y - STRETCH * size + step), step) if y - x > STRETCH * size else (x,):
+                    yield row, t, start, min(start + STRETCH * size + step, y)
 
     def regions(self, w: T.Words) -> Iterator[tuple[int, int, int, int]]:
         """(row, template, first word, end) of the places that seeds point at, seeds near each other as one."""
@@ -235,6 +281,15 @@ class Scanner:
                 pairs = align(part, self.words[t], room > 0)
                 if pairs and len(pairs) >= self.least * size and self._tells(t, part, pairs):
                     all_found[row].append(Finding(self.names[t], a - low + pairs[0][0], a - low + pairs[-1][0] + 1, len(pairs), len(pairs) / size))
+        seen = [{(f.license, f.start // max(1, len(self.words[self.number[f.license]]))) for f in x} for x in all_found]
+        for row, t, start, end in self.dense(w):
+            low, size = int(w.bounds[row]), len(self.words[t])
+            if any((self.names[t], k) in seen[row] for k in range((start - low) // size - 1, (end - low) // size + 1)):
+                continue  # found there by its runs
+            part = w.hash[start:end].tolist()
+            pairs = align(part, self.words[t], True)
+            if pairs and len(pairs) >= self.least * size and self._tells(t, part, pairs):
+                all_found[row].append(Finding(self.names[t], start - low + pairs[0][0], start - low + pairs[-1][0] + 1, len(pairs), len(pairs) / size))
         for row, found in enumerate(all_found):
             kept: list[Finding] = []
             for f in sorted(set(found), key=lambda f: (-f.matched, -f.coverage, f.license, f.start)):

@@ -1,6 +1,7 @@
 """Training-data operators: brute force on the smallest tables, odd rows, empty tables, round trips."""
 
 import hashlib
+import html
 import itertools
 import re
 import zlib
@@ -32,16 +33,52 @@ def brute_media(text):
     return len(raw), len(filled), sha(filled), zlib.crc32(filled[-64:])
 
 
+def brute_stored(text):
+    """A graymap's header, then the filled bytes; mean, deviation and histogram of these."""
+    filled = (text or "").encode()
+    filled += b"\0" * (-len(filled) % 64 if filled else 64)
+    stored = b"P5\n64 %d\n255\n" % (len(filled) // 64) + filled
+    mean = sum(filled) / len(filled)
+    spread = (sum((x - mean) ** 2 for x in filled) / len(filled)) ** 0.5
+    bins = [0] * 16
+    for x in filled:
+        bins[x // 16] += 1
+    return len(stored), sha(stored), mean, spread, bins
+
+
 def test_media_query(spark, sf_dir, documents):
     got = by_id(media.op1_media(spark, sf_dir))
     for i, text in pairs_of(documents):
         r = got[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == brute_media(text)
+        mean, spread, bins = r.feature.split(";")
+        size, digest, *want = brute_stored(text)
+        assert (r.media_bytes, r.media_sha256, [int(x) for x in bins.split(",")]) == (size, digest, want[2])
+        assert float(mean) == pytest.approx(want[0], abs=1e-3) and float(spread) == pytest.approx(want[1], abs=1e-3)
+
+
+def test_sequences_of_pages(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    parts = media.sequences(pages).collect()
+    shown = defaultdict(str)
+    for r in sorted(parts, key=lambda r: (r.page_id, r.position)):
+        shown[r.page_id] += r.text or ""
+    for r in pages.collect():
+        assert [p.position for p in parts if p.page_id == r.page_id] == list(range(sum(p.page_id == r.page_id for p in parts)))
+        bare = re.sub(r"(?is)<(script|style|noscript|template)\b.*?</\1>|<!--.*?-->|<[^>]*>", "", r.html or "")
+        assert "".join(shown[r.page_id].split()) == "".join(html.unescape(bare).split())
+
+
+def test_references_captions_and_broken_media():
+    long = "http://x/" + "y" * 5000
+    page = f'<figure><figcaption>first</figcaption><img src="{long}1"></figure><img src="{long}2" alt="a"><img src="data:;base64,@@"><img src="data:;base64,a Gk"><noscript><img src="n"></noscript><template><img src="t"></template><img src="data:,a%20b">'
+    got = [(p["ref"], p["caption"], p["media"]) for p in media.parse(page)]
+    assert got == [(long + "1", "first", None), (long + "2", "a", None), ("data:;base64,@@", None, None), (sha(b"hi"), None, b"hi"), (sha(b"a b"), None, b"a b")]
 
 
 def test_sequences_keep_order_and_captions(spark):
-    html = '<p>one <b>two</b></p><figure><img src="data:;base64,aGk=" alt="alt"><figcaption>the <i>caption</i></figcaption></figure><script>no</script>three<img src="http://x/y.png" alt="why"><img>'
-    pages = spark.createDataFrame([(1, html), (2, None), (3, ""), (4, html)], "page_id long, html string")
+    page = '<p>one <b>two</b></p><figure><img src="data:;base64,aGk=" alt="alt"><figcaption>the <i>caption</i></figcaption></figure><script>no</script>three<img src="http://x/y.png" alt="why"><img>'
+    pages = spark.createDataFrame([(1, page), (2, None), (3, ""), (4, page)], "page_id long, html string")
     parts = media.sequences(pages)
     rows = [(r.position, r.kind, r.text, r.caption, r.media and bytes(r.media)) for r in parts.where("page_id = 1").orderBy("position").collect()]
     assert rows == [(0, "text", "one two", None, None), (1, "image", None, "the caption", b"hi"), (2, "text", "three", None, None), (3, "image", None, "why", None)]
@@ -188,9 +225,25 @@ def test_template_round_trip(text):
 
 
 def test_parts_become_placeholders():
-    formatted, found = chat.format_turn("user", [{"kind": "text", "text": "see [x] "}, {"kind": "image", "ref": "a.png"}, {"kind": "video", "ref": None}, {"kind": None, "text": None}], 3, 5)
-    assert formatted == "<s>[ROLE]user[BODY]see \\[x] [IMAGE:5][DOCUMENT:6]</s>"
-    assert found == [chat.Attachment(3, 5, "image", "a.png", 576), chat.Attachment(3, 6, "document", "", 1024)]
+    parts = [{"kind": "text", "text": "see [x] "}, None, {"kind": "image", "ref": "a.png", "width": 300, "height": 29}, {"kind": "video", "ref": None, "text": "a clip"}, {"kind": None, "text": None}, {"kind": "audio", "ref": "b.wav", "seconds": 1.01}, {"kind": "text", "text": "[IMAGE:5]"}, {"kind": "document", "pages": 3}, {"kind": "image"}]
+    formatted, found = chat.format_turn("user", parts, 3, 5)
+    assert formatted == "<s>[ROLE]user[BODY]see \\[x] [IMAGE:5][DOCUMENT:6][AUDIO:7]\\[IMAGE:5][DOCUMENT:8][IMAGE:9]</s>"
+    assert found == [
+        chat.Attachment(3, 5, "image", "a.png", "", 22), chat.Attachment(3, 6, "video", "", "a clip", 1024), chat.Attachment(3, 7, "audio", "b.wav", "", 26),
+        chat.Attachment(3, 8, "document", "", "", 3072), chat.Attachment(3, 9, "image", "", "", 576),
+    ]
+    back = [("text", "see [x] "), ("image", 5), ("document", 6), ("audio", 7), ("text", "[IMAGE:5]"), ("document", 8), ("image", 9)]
+    assert list(chat.parse_parts(formatted)) == [("user", back)] and list(chat.parse(formatted)) == [("user", "see [x] [IMAGE:5]")]
+
+
+def test_attachments_of_a_conversation(spark):
+    part = lambda kind, text=None, ref=None, pages=None: (kind, text, ref, None, None, None, pages)
+    rows = [(1, 0, "user", [part("text", "look"), part("image", ref="a"), None]), (1, 1, "assistant", [part("text", "seen")]), (1, 2, "user", [part("document", ref="b", pages=2)]), (2, 0, "user", None)]
+    turns = spark.createDataFrame(rows, f"conv_id long, turn long, role string, content {chat.PART}")
+    got = {(r.conv_id, r["at"]): r for r in chat.format_turns(turns).collect()}
+    assert [tuple(a) for a in got[1, 0].attachments] == [(0, 0, "image", "a", "", 576)] and [tuple(a) for a in got[1, 2].attachments] == [(2, 1, "document", "b", "", 2048)]
+    assert got[2, 0].formatted == "<s>[ROLE]user[BODY]</s>" and got[1, 1].loss_mask and not got[1, 0].loss_mask
+    assert chat.digest(chat.format_turns(turns)).where("conv_id = 1").first().loss_sha256 == sha(b"seen")
 
 
 def test_chat_odd_rows(spark):
@@ -444,6 +497,35 @@ def test_licenses_are_told_apart():
     assert found("Licensed under CC BY-NC-SA 4.0.") == ["CC-BY-NC-SA-4.0-line"] and not found("Licensed under CC BY-NC 3.0.")
 
 
+def test_licenses_with_words_put_in_and_changed():
+    """Against alignment with the whole text: notices of which words were dropped, changed and put in, in other words."""
+    from tessera.llm import text as T
+
+    rng = np.random.default_rng(4)
+    names = ["ISC", "MIT", "Apache-2.0", "Zlib", "BSD-2-Clause", "MPL-2.0", "Unlicense", "GPL-2.0-or-later"]
+    scanner = licences.Scanner({n: licences.TEMPLATES[n] for n in names})
+    hits = 0
+    for k in range(160):
+        t = licences.TEMPLATES[names[k % len(names)]].split()
+        drop, swap, add = rng.choice([0, 0.05, 0.1, 0.15], 3)
+        add = 0.5 if k % 5 == 0 else add
+        text = " ".join(x for i, word in enumerate(t) if rng.random() >= drop for x in ([word] if rng.random() >= swap else [f"other{i}"]) + ([f"more{i}"] if (i % 2 if add == 0.5 else rng.random() < add) else []))
+        text = " ".join([f"before{i}" for i in range(30)] + [text] + [f"after{i}" for i in range(30)])
+        w = T.words(pa.array([text]), T.ALNUM, lower=True).hash.tolist()
+        want = set()
+        for n, template in zip(scanner.names, scanner.words):
+            pairs = licences.align(w, template, True)
+            if len(pairs) >= scanner.least * len(template) and scanner._tells(scanner.number[n], w, pairs):
+                want.add(n)
+        got = {f.license for f in scanner.scan(pa.array([text]))[1][0]}
+        assert want <= got
+        hits += len(want)
+    assert hits > 80
+    isc = licences.TEMPLATES["ISC"].split()
+    spaced = " ".join(w + " x" * (i % 2) for i, w in enumerate(isc))
+    assert [f.license for f in scanner.scan(pa.array([spaced + " " + spaced]))[1][0]] == ["ISC", "ISC"]
+
+
 def test_licenses_odd_rows(spark, odd, empty):
     mit = licences.TEMPLATES["MIT"]
     changed = mit.replace("free of charge", "at no charge").replace("sublicense", "relicense")
