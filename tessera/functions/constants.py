@@ -15,20 +15,37 @@ SIMILARITY_CUES = ("like this", "similar to this", "similar to these", "somethin
 
 # Colour words in the order in which they are tried.
 COLOUR_RULES = (
-    ("off white", "cream"), ("off-white", "cream"), ("cream", "cream"), ("ivory", "cream"), ("bone", "cream"), ("pearl", "cream"), ("white", "cream"), ("gum", "gum"), ("obsidian", "navy"), ("navy", "navy"), ("indigo", "navy"),
-    ("black", "black"), ("onyx", "black"), ("charcoal", "gray"), ("grey", "gray"), ("gray", "gray"), ("smoke", "gray"), ("stone", "tan"), ("concrete", "gray"), ("cement", "gray"), ("silver", "gray"), ("platinum", "gray"), ("chrome", "gray"),
-    ("gold", "gold"), ("khaki", "khaki"), ("beige", "tan"), ("tan", "tan"), ("camel", "tan"), ("sand", "tan"), ("teal", "teal"), ("turquoise", "teal"), ("aqua", "teal"), ("blue", "blue"), ("denim", "blue"), ("cobalt", "blue"), ("sapphire", "blue"),
+    ("off white", "cream"), ("off-white", "cream"), ("cream", "cream"), ("ivory", "cream"), ("bone", "cream"), ("summit white", "cream"), ("cloud white", "cream"), ("core white", "cream"), ("pearl", "cream"), ("white", "cream"), ("gum", "gum"), ("obsidian", "navy"), ("navy", "navy"), ("indigo", "navy"),
+    ("black", "black"), ("jet black", "black"), ("onyx", "black"), ("charcoal", "gray"), ("grey", "gray"), ("gray", "gray"), ("smoke", "gray"), ("stone", "tan"), ("concrete", "gray"), ("cement", "gray"), ("silver", "gray"), ("platinum", "gray"), ("chrome", "gray"),
+    ("metallic gold", "gold"), ("gold", "gold"), ("khaki", "khaki"), ("beige", "tan"), ("tan", "tan"), ("camel", "tan"), ("sand", "tan"), ("teal", "teal"), ("turquoise", "teal"), ("aqua", "teal"), ("blue", "blue"), ("denim", "blue"), ("cobalt", "blue"), ("sapphire", "blue"),
     ("maroon", "maroon"), ("burgundy", "maroon"), ("wine", "maroon"), ("red", "red"), ("crimson", "red"), ("scarlet", "red"), ("ruby", "red"), ("coral", "pink"), ("fuchsia", "pink"), ("magenta", "pink"), ("blush", "pink"), ("pink", "pink"), ("rose", "pink"),
     ("purple", "purple"), ("violet", "purple"), ("lavender", "purple"), ("grape", "purple"), ("plum", "purple"), ("mauve", "purple"), ("lilac", "purple"), ("amethyst", "purple"), ("orchid", "purple"), ("olive", "olive"), ("sage", "olive"), ("moss", "olive"),
     ("green", "green"), ("mint", "green"), ("forest", "green"), ("emerald", "green"), ("brown", "brown"), ("chocolate", "brown"), ("cocoa", "brown"), ("espresso", "brown"), ("mocha", "brown"), ("walnut", "brown"), ("mahogany", "brown"), ("chestnut", "brown"),
     ("coffee", "brown"), ("tobacco", "brown"), ("umber", "brown"), ("orange", "orange"), ("tangerine", "orange"), ("citron", "yellow"), ("yellow", "yellow"), ("maize", "yellow"), ("multi", "multi"), ("camo", "multi"), ("rainbow", "multi"),
 )
 
+# Names of shades that the words above don't tell, or not rightly.
+EXACT_COLOURS = {
+    "sail": "cream", "phantom": "cream", "coconut milk": "cream", "natural": "cream", "moonbeam": "cream", "chalk": "cream", "crystal linen": "cream", "alabaster": "cream", "sea salt": "cream", "linen": "cream", "angora": "cream",
+    "photon dust": "gray", "mineral slate": "gray", "pearl grey": "gray", "carbon heather": "gray", "carbon": "gray", "anthracite": "gray", "gridiron": "gray", "magnet": "gray", "timberwolf": "gray", "ghost": "gray", "steam": "gray", "aluminum": "gray", "alumina": "gray",
+    "lightning": "gray", "shimmer": "gray", "reflection": "gray", "raincloud": "gray", "rain cloud": "gray", "castlerock": "gray", "heather": "gray", "slate": "gray", "ashen slate": "gray", "mineral": "gray", "aura": "gray", "ironstone": "gray", "pencil point": "gray",
+    "night sky": "navy", "old royal": "navy", "off noir": "black", "nightshade": "black", "amarillo": "yellow", "volt ice": "yellow", "light liquid lime": "yellow", "lime blast": "yellow",
+    "collegiate royal": "blue", "game royal": "blue", "royal": "blue", "hyper royal": "blue", "team carolina": "blue", "periwinkle": "blue", "lapis": "blue", "clear sky": "blue", "crystal sky": "blue",
+    "iced carmine": "red", "neo flame": "red", "tattoo": "red", "metallic red bronze": "maroon", "sweet beet": "maroon",
+    "malachite": "green", "cucumber calm": "green", "spruce aura": "green", "spruce fog": "green", "black spruce": "green", "arctic night": "green", "silver moss": "green", "aurora ivy": "green", "dusty cactus": "olive",
+    "sandy pink": "pink", "pearl pink": "pink", "pink smoke": "pink", "stone pink": "pink", "peony": "pink", "desert berry": "pink",
+    "smoked violet": "purple", "platinum violet": "purple", "dark concord": "purple", "dark raisin": "purple", "hydrangeas": "purple", "stone khaki": "khaki",
+    "mosswood brown": "brown", "pumpernickel": "brown", "cortado": "brown", "cacao wow": "brown", "sequoia": "brown", "dark driftwood": "brown", "metallic copper": "brown", "copper metallic": "brown", "mystic dates": "brown", "breakfast tea": "brown", "truffle salt": "brown",
+    "earth strata": "tan", "desert": "tan", "light orewood brown": "tan", "hemp": "tan", "malt": "tan", "clay": "tan", "warm clay": "tan", "mushroom": "tan", "taupe haze": "tan", "dark taupe": "tan", "taupe": "tan", "dark stucco": "tan", "turtle dove": "tan", "turtledove": "tan", "doll": "tan", "wonder quartz": "tan",
+    "lucid tangerine": "orange", "tangerine heat": "orange", "hot lava": "orange", "infrared 23": "orange", "afterglow": "orange",
+}
+
 # Facet rules in the order in which they are tried.
 FACET_RULES = {
     "fit": ((r"crop", "cropped"), (r"relax|roomy|generous|easy|spacious", "relaxed"), (r"loose|baggy|oversized|boxy|wide|big|tall|larger", "loose"), (r"slim|skinny|snug|tight|fitted|streamlined|athletic|taper", "slim"), (r"straight|bootcut|flare", "straight"), (r"adjust|customiz|elastic|cinch", "adjustable"), (r"regular|standard|classic|true to size|modern|timeless|versatile", "regular")),
     "length": ((r"crop|cutoff|3 4|7 8|above the knee|mid thigh|short", "cropped"), (r"knee", "knee length"), (r"full|long|maxi", "full length")),
 }
+# Fixed value: a length in inches.
 INCHES = r"(\d+(?:\.\d+)?)\s*(?:inch|in\b|inseam)"
 
 # Swatches, as sRGB.

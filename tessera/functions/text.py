@@ -8,7 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import StringType
 
 from tessera.functions import constants as K
 
@@ -44,9 +44,10 @@ def first_rule(c: Column, rules: Sequence[tuple[str, str]], regex: bool = False)
 
 
 def canonical_colour(c: Column, exact: dict[str, str] | None = None) -> Column:
-    """exact names first, then words in order."""
+    """exact names first (by default those that the words don't tell), then words in order."""
     key = F.lower(F.trim(c))
-    listed = [F.when(key == k, F.lit(v)) for k, v in (exact or {}).items()]
+    names = K.EXACT_COLOURS if exact is None else exact
+    listed = [F.when(key.isin(*(k for k, v in names.items() if v == target)), F.lit(target)) for target in dict.fromkeys(names.values())]
     return F.coalesce(*listed, first_rule(key, K.COLOUR_RULES))
 
 
@@ -65,17 +66,15 @@ def primary(values: Column) -> Column:
     return F.get(values, F.lit(0))
 
 
+#: Every combining mark, to nothing.
+_MARKS = dict.fromkeys(i for i in range(0x110000) if unicodedata.combining(chr(i)))
+
+
 @F.pandas_udf(StringType())
 def fold_accents(c: pd.Series) -> pd.Series:
     """compatibility decomposition without marks, lower case, other characters than letters and digits as blanks."""
-
-    def fold(x: str | None) -> str | None:
-        if x is None:
-            return None
-        plain = "".join(ch for ch in unicodedata.normalize("NFKD", x) if not unicodedata.combining(ch)).lower()
-        return " ".join("".join(ch if ch.isascii() and ch.isalnum() else " " for ch in plain).split())
-
-    return c.map(fold)
+    plain = c.str.normalize("NFKD").str.translate(_MARKS).str.lower()
+    return plain.str.replace("[^a-z0-9]+", " ", regex=True).str.strip(" ")
 
 
 def candidates(line: Column) -> Column:
@@ -85,23 +84,24 @@ def candidates(line: Column) -> Column:
     return F.array_distinct(F.concat(F.array(line), words, pairs))
 
 
-@F.pandas_udf(DoubleType())
-def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """200 * longest common subsequence / both lengths; 100 for two empty texts."""
+def indel_ratio(a: Column | str, b: Column | str) -> Column:
+    """200 * longest common subsequence / both lengths; 100 for two empty texts.  One row of the table at a time is
+    folded over the first text's characters."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    chars = lambda c: F.filter(F.split(c, ""), lambda ch: ch != "")
+    other = chars(y)
 
-    def ratio(x: str | None, y: str | None) -> float | None:
-        if x is None or y is None:
-            return None
-        if not x and not y:
-            return 100.0
-        row = [0] * (len(y) + 1)
-        for c in x:
-            diagonal = 0
-            for j, d in enumerate(y, 1):
-                diagonal, row[j] = row[j], diagonal + 1 if c == d else max(row[j], row[j - 1])
-        return 200.0 * row[-1] / (len(x) + len(y))
+    def step(row: Column, ch: Column) -> Column:
+        # row[j]: longest for the first j characters; the new row grows from the left.
+        return F.aggregate(
+            F.sequence(F.lit(1), F.size(row) - 1), F.array(F.lit(0)),
+            lambda new, j: F.concat(new, F.array(F.when(F.get(other, j - 1) == ch, F.get(row, j - 1) + 1).otherwise(F.greatest(F.get(row, j), F.element_at(new, -1))))),
+        )
 
-    return pd.Series([ratio(x, y) for x, y in zip(a, b)])
+    start = F.transform(F.concat(F.array(F.lit("")), other), lambda _: F.lit(0))
+    longest = F.when(F.size(other) == 0, 0).otherwise(F.element_at(F.aggregate(chars(x), start, step), -1))
+    total = F.length(x) + F.length(y)
+    return F.when(total == 0, 100.0).otherwise(200.0 * longest / total)
 
 
 def tokens(c: Column) -> Column:
@@ -154,12 +154,18 @@ def route(has_image: Column, text: Column, terms: Sequence[str] = ()) -> Column:
 
 
 def json_in(c: Column) -> Column:
-    """The object inside an answer, without code fences; null where there is none."""
+    """the object inside an answer, without code fences; null where there is none."""
     bare = F.regexp_replace(c, r"```(?:json)?", "")
     found = F.regexp_extract(bare, r"(?s)(\{.*\})", 1)
     return F.when(F.get_json_object(found, "$").isNotNull(), found)
 
 
+def strict_json(c: Column) -> Column:
+    """F32: an answer that is JSON as a whole, in code fences or not; null for anything else around it."""
+    bare = F.trim(F.regexp_replace(F.regexp_replace(F.trim(c), r"^```(?:json)?\s*", ""), r"\s*```$", ""))
+    return F.when(F.get_json_object(bare, "$").isNotNull(), bare)
+
+
 def slugify(c: Column, most: int = 60) -> Column:
     """F34."""
     return F.substring(F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, most)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.store import saved
+
 #: Bytes of vectors that a broadcast block of queries may take.
 BLOCK_BYTES = 64 << 20
 
@@ -27,26 +30,45 @@ def l2(v) -> Column:
     return F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
 
 
-def top_k(queries: DataFrame, gallery: DataFrame, k: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """V1: (query_id, key, score, rank) of the k gallery rows of largest dot product, ties by key; queries: (query_id,
-    embedding), gallery: (key, embedding).
+def encoder(encode: Callable[[list], np.ndarray]):
+    """A model as a column function: `encode` takes a batch's values and gives a row of numbers for each."""
 
-    Queries travel, in blocks of a checked size, and the gallery stays where it is: each task multiplies a block with its
-    rows as matrices and keeps its own k best, so only k rows a query and task are shuffled.  A block more is a pass more."""
-    spark, parts, block, size = gallery.sparkSession, [], [], 0
+    @F.pandas_udf("array<float>")
+    def run(c: pd.Series) -> pd.Series:
+        return pd.Series(list(np.asarray(encode(c.tolist()), np.float32)), dtype=object)
 
-    def flush() -> None:
-        nonlocal block, size
-        if block:
-            parts.append(_block_top_k(gallery, spark.sparkContext.broadcast((np.array([b[0] for b in block]), np.array([b[1] for b in block], np.float64))), k))
-        block, size = [], 0
+    return run
 
-    for row in queries.select("query_id", "embedding").toLocalIterator():
-        block.append((row.query_id, row.embedding))
-        size += 8 * len(row.embedding)
-        if size >= block_bytes:
-            flush()
-    flush()
+
+def embed_rows(rows: DataFrame, key: str, value: str, encode: Callable[[list], list]) -> DataFrame:
+    """(key, embedding) of the rows that can be encoded; `encode` gives None for the others, which are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = encode(batch.column(value).to_pylist())
+            some = [i for i, x in enumerate(found) if x is not None]
+            yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(some, pa.int64())), pa.array([found[i] for i in some], pa.list_(pa.float32()))], [key, "embedding"])
+
+    return rows.select(key, value).mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, embedding array<float>")
+
+
+def top_k(queries: DataFrame, gallery: DataFrame, k: int, block_bytes: int = BLOCK_BYTES, group: str | None = None) -> DataFrame:
+    """V1: (query_id, key, score, rank) of the k gallery rows of largest dot product, ties by key; queries: (query_id,
+    embedding), gallery: (key, embedding).  With `group`, a column of both, only rows of the query's group count.
+
+    Queries travel, in blocks of a checked size, and the gallery stays where it is: each task multiplies a block with its
+    rows as matrices and keeps its own k best, so only k rows a query and task are shuffled.  A block more is a pass more;
+    its rows are written before the next block is read, so the driver holds one block at a time."""
+    spark, parts = gallery.sparkSession, []
+    kept = [c for c in ("query_id", "embedding", group) if c]
+    for block, last in _blocks(queries.select(*kept), block_bytes):
+        columns = np.array([b[0] for b in block]), np.array([b[1] for b in block], np.float64), np.array([b[2] for b in block]) if group else None
+        shared = spark.sparkContext.broadcast(columns)
+        part = _block_top_k(gallery, shared, k, group)
+        if not last or parts:
+            part = saved(part, "block-top-k")
+            shared.unpersist()
+        parts.append(part)
     if not parts:
         return spark.createDataFrame([], "query_id long, key long, score double, rank int")
     best = parts[0]
@@ -56,18 +78,34 @@ def top_k(queries: DataFrame, gallery: DataFrame, k: int, block_bytes: int = BLO
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _block_top_k(gallery: DataFrame, shared, k: int) -> DataFrame:
+def _blocks(rows: DataFrame, most: int) -> Iterator[tuple[list, bool]]:
+    """Rows in blocks of vectors of about `most` bytes, and whether a block is the last."""
+    block, size = [], 0
+    for row in rows.toLocalIterator():
+        if size >= most:
+            yield block, False
+            block, size = [], 0
+        block.append(row)
+        size += 8 * len(row.embedding)
+    if block:
+        yield block, True
+
+
+def _block_top_k(gallery: DataFrame, shared, k: int, group: str | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = shared.value
+        ids, q, of = shared.value
         keys, scores = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
         for batch in batches:
             if not batch.num_rows:
                 continue
             v = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-            new = np.broadcast_to(batch.column("key").to_numpy(zero_copy_only=False), (len(ids), batch.num_rows))
-            keys, scores = np.concatenate([keys, new], 1), np.concatenate([scores, q @ v.T], 1)
+            new, near = np.broadcast_to(batch.column("key").to_numpy(zero_copy_only=False), (len(ids), batch.num_rows)), q @ v.T
+            if group:
+                near[of[:, None] != batch.column(group).to_numpy(zero_copy_only=False)[None, :]] = -np.inf
+            keys, scores = np.concatenate([keys, new], 1), np.concatenate([scores, near], 1)
             order = np.lexsort((keys, -scores), axis=1)[:, :k]
             keys, scores = np.take_along_axis(keys, order, 1), np.take_along_axis(scores, order, 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, keys.shape[1])), pa.array(keys.ravel()), pa.array(scores.ravel())], ["query_id", "key", "score"])
+        found = pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, keys.shape[1])), pa.array(keys.ravel()), pa.array(scores.ravel())], ["query_id", "key", "score"])
+        yield found.filter(pa.array(np.isfinite(scores.ravel()))) if group else found
 
-    return gallery.select("key", "embedding").mapInArrow(run, "query_id long, key long, score double")
+    return gallery.select("key", "embedding", *([group] if group else [])).mapInArrow(run, "query_id long, key long, score double")

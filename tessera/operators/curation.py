@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,7 +57,7 @@ def balance(rows: DataFrame, label: str, key: str, seed: int, least: int, cap: i
     sizes = some.where(train).groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     # Labels are few: their totals and ids are formed on one row each.
     ids = sizes.withColumns({"weight": F.round(F.sqrt(F.sum("_n").over(Window.partitionBy()) / F.col("_n")), 4), "text_id": F.dense_rank().over(Window.orderBy(label)) - 1}).drop("_n")
-    return some.join(F.broadcast(ids), label)
+    return some.join(ids, label)
 
 
 def weighted_sample(rows: DataFrame, by: str, key: str, weight: Column, seed: int, k: int) -> DataFrame:
@@ -74,13 +76,15 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(half(a, 1).bitwiseXOR(half(b, 1))) + F.bit_count(half(a, 9).bitwiseXOR(half(b, 9)))
 
 
-def near_pairs(rows: DataFrame, most: int = 6) -> DataFrame:
-    """(a, b) pairs, a < b, of (id, hash) rows at most `most` bits apart.  64 bits are cut into most + 1 bands;
-    two such hashes agree on one band at least, so an equi-join on bands loses nothing.  Equal hashes are one row."""
+def near_pairs(rows: DataFrame, most: int = 6, agree: int = 3) -> DataFrame:
+    """(a, b) pairs, a < b, of (id, hash) rows at most `most` bits apart.  64 bits are cut into most + `agree` bands;
+    two such hashes agree on `agree` of them at least, so an equi-join on each choice of so many bands loses nothing, and
+    its keys are of 64 * agree / (most + agree) bits.  Equal hashes are one row."""
     bits = F.concat(*[F.lpad(F.conv(F.substring("hash", i, 8), 16, 2), 32, "0") for i in (1, 9)])
-    n = most + 1
+    n = most + agree
     cuts = [round(64 * i / n) for i in range(n + 1)]
-    bands = F.array(*[F.concat(F.lit(f"{i}:"), F.substring(bits, a + 1, b - a)) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))])
+    cut = [F.substring(bits, a + 1, b - a) for a, b in zip(cuts, cuts[1:])]
+    bands = F.array(*[F.xxhash64(F.lit(k), *(cut[i] for i in some)) for k, some in enumerate(combinations(range(n), agree))])
     keyed = rows.groupBy("hash").agg(F.min("id").alias("id")).withColumn("band", F.explode(bands))
     left, right = keyed.select("band", F.col("id").alias("a"), F.col("hash").alias("ha")), keyed.select("band", F.col("id").alias("b"), F.col("hash").alias("hb"))
     return left.join(right, "band").where((F.col("a") < F.col("b")) & (hamming(F.col("ha"), F.col("hb")) <= most)).select("a", "b").distinct()

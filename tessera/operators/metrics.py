@@ -29,21 +29,62 @@ def retrieval_metrics(ranks: DataFrame, *by: str) -> DataFrame:
     )
 
 
+def cumulated(values: DataFrame, order: str, columns: Sequence[str], by: Sequence[str] = (), buckets: int = 256) -> DataFrame:
+    """Adds before_<column>, the sum of a column over the rows of smaller `order` (one row for each value and group), and
+    total_<column>.  Values fall into ranges cut by approximate quantiles; sums of ranges are cumulated first, then the
+    rows inside each range, so no task gets all values of a group."""
+    cuts = values.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 10_000).alias("_cuts"))
+    same = lambda left, right: [F.col(f"{left}{c}").eqNullSafe(F.col(f"{right}{c}")) for c in by]
+    rows = values.join(cuts, same("", "_")) if by else values.crossJoin(cuts)
+    rows = rows.withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(order)))).drop("_cuts", *[f"_{c}" for c in by])
+    sums = rows.groupBy(*[F.col(c).alias(f"_{c}") for c in by], F.col("_range").alias("_r")).agg(*[F.sum(c).alias(f"_s_{c}") for c in columns])
+    whole = Window.partitionBy(*[f"_{c}" for c in by])  # at most `buckets` rows a group
+    ranges = sums.withColumns({f"_b_{c}": F.coalesce(F.sum(f"_s_{c}").over(whole.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) for c in columns} | {f"total_{c}": F.sum(f"_s_{c}").over(whole) for c in columns})
+    inside = Window.partitionBy(*by, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.join(ranges, [*same("", "_"), F.col("_range") == F.col("_r")])
+    rows = rows.withColumns({f"before_{c}": F.col(f"_b_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in columns})
+    return rows.select(*values.columns, *[f"{x}_{c}" for c in columns for x in ("before", "total")])
+
+
+def at_place(place: Column, order: str = "value", n: str = "n") -> Column:
+    """The value at a place, from 0, of the sorted list; an aggregate over rows of `cumulated`."""
+    return F.max(F.when((F.col(f"before_{n}") <= place) & (place < F.col(f"before_{n}") + F.col(n)), F.col(order)))
+
+
+def percentiles(rows: DataFrame, column: str, shares: Sequence[float]) -> DataFrame:
+    """(share, value): exact percentiles, interpolated between neighbours; nulls don't count."""
+    counts = cumulated(rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n")), "value", ["n"])
+    at = F.col("share") * (F.col("total_n") - 1)
+    places = counts.withColumn("share", F.explode(F.array(*map(F.lit, shares)))).withColumn("at", at).groupBy("share", "at").agg(at_place(F.floor("at")).alias("low"), at_place(F.ceil("at")).alias("high"))
+    return places.select("share", (F.col("low") + (F.col("at") - F.floor("at")) * (F.col("high") - F.col("low"))).alias("value"))
+
+
+def score_stats(rows: DataFrame, by: str, column: str, share: float, gate: float) -> DataFrame:
+    """Per group the number of rows, the median, the value at position int(share * n) - 1 of the sorted list (the last
+    one where that is below 0), and how many rows lie below the gate."""
+    values = rows.groupBy(by, F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    total = F.col("total_n")
+    place = F.floor(share * total).cast("long")
+    place = F.when(place >= 1, place - 1).otherwise(total - 1)
+    median = [at_place(f((total - 1) / 2)) for f in (F.floor, F.ceil)]
+    return cumulated(values, "value", ["n"], (by,)).groupBy(by).agg(
+        F.sum("n").alias("n"), ((median[0] + median[1]) / 2).alias("median"), at_place(place).alias("at_share"), F.coalesce(F.sum(F.when(F.col("value") < gate, F.col("n"))), F.lit(0)).alias("gate_fails"),
+    )
+
+
 def auroc(scores: DataFrame, *by: str) -> DataFrame:
     """Mann-Whitney with ties counted half; null where a class is missing.  Scores are counted by value first,
     and a value's rank comes from the cumulated counts, so no list of all scores is held anywhere."""
     values = scores.groupBy(*by, "score").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wins = values.withColumn("wins", F.col("p") * (before + F.col("n") / 2))
+    wins = cumulated(values, "score", ["n"], by).withColumn("wins", F.col("p") * (F.col("before_n") + F.col("n") / 2))
     total = F.sum("p") * F.sum("n")
     return wins.groupBy(*by).agg(F.when(total > 0, F.sum("wins") / total).alias("auroc"))
 
 
-def operating_table(scores: DataFrame, percentiles: Sequence[int] = (1, 2, 5, 10, 20, 30, 50)) -> DataFrame:
+def operating_table(scores: DataFrame, shares: Sequence[int] = (1, 2, 5, 10, 20, 30, 50)) -> DataFrame:
     """Thresholds at percentiles of the positives, with the shares rejected and accepted wrongly."""
-    cut = scores.where("positive").agg(F.percentile("score", [p / 100 for p in percentiles]).alias("t"))
-    cut = cut.select(F.explode(F.arrays_zip(F.array(*map(F.lit, percentiles)).alias("q"), F.col("t"))).alias("x")).select(F.col("x.q").alias("percentile"), F.col("x.t").alias("threshold"))
-    return scores.crossJoin(F.broadcast(cut)).groupBy("percentile", "threshold").agg(
+    cut = percentiles(scores.where("positive"), "score", [q / 100 for q in shares]).select(F.round(F.col("share") * 100).cast("int").alias("percentile"), F.col("value").alias("threshold"))
+    return scores.crossJoin(cut).groupBy("percentile", "threshold").agg(
         (F.count_if(F.col("positive") & (F.col("score") < F.col("threshold"))) / F.count_if("positive")).alias("false_reject"),
         (F.count_if(~F.col("positive") & (F.col("score") >= F.col("threshold"))) / F.count_if(~F.col("positive"))).alias("false_accept"),
     )
@@ -51,9 +92,8 @@ def operating_table(scores: DataFrame, percentiles: Sequence[int] = (1, 2, 5, 10
 
 def best_threshold(scores: DataFrame) -> DataFrame:
     """The observed score of least false-reject plus false-accept share, the smallest of equals."""
-    values = scores.groupBy("score").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("n"))
-    below, all_rows = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    cost = F.coalesce(F.sum("p").over(below), F.lit(0)) / F.sum("p").over(all_rows) + 1 - F.coalesce(F.sum("n").over(below), F.lit(0)) / F.sum("n").over(all_rows)
+    values = cumulated(scores.groupBy("score").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("n")), "score", ["p", "n"])
+    cost = F.col("before_p") / F.col("total_p") + 1 - F.col("before_n") / F.col("total_n")
     return values.withColumn("cost", F.round(cost, 12)).orderBy("cost", "score").limit(1).select(F.col("score").alias("threshold"), "cost")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.text import indel_ratio
+
 
 def section_excluded(source: Column, section: Column, sources: tuple[str, ...] = (), words: tuple[str, ...] = ()) -> Column:
     """The row's source is listed, or its section (lower case) contains one of the words."""
@@ -71,9 +73,23 @@ def best_overlap(left: DataFrame, right: DataFrame, on: str, min_iou: float) ->
 
 
 def last_of_path(paths: DataFrame, terms: DataFrame, key: str = "code") -> DataFrame:
-    """Of each row's path the category of the last entry that the term table knows."""
-    steps = paths.select(key, F.posexplode("path").alias("pos", "term"))
-    return steps.join(terms, "term").groupBy(key).agg(F.max_by("category", "pos").alias("category"))
+    """Of each row's path the values of the last entry that the term table knows; entries are compared trimmed
+    and in lower case; paths: (key, path), terms: (term, values ...)."""
+    values = [c for c in terms.columns if c != "term"]
+    steps = paths.select(key, F.posexplode("path").alias("pos", "term")).withColumn("term", F.lower(F.trim("term")))
+    known = terms.withColumn("term", F.lower(F.trim("term")))
+    return steps.join(known, "term").groupBy(key).agg(F.max_by(F.struct(*values), "pos").alias("v")).select(key, "v.*")
+
+
+def fuzzy_match(words: DataFrame, aliases: DataFrame, short: int = 5, floor_short: float = 90, floor: float = 80) -> DataFrame:
+    """(word, alias, ratio) pairs whose similarity reaches the floor, a higher one for short aliases; words:
+    (word), aliases: (alias).  Floors of 80 and more leave a pair two neighbouring letters in common (90 for aliases of
+    up to five), so pairs meet by these and by the lengths that the floor allows, and only they are compared."""
+    pair = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(2))))).alias("two")
+    least = F.when(F.length("alias") <= short, floor_short).otherwise(floor)
+    fits = 200 * F.least(F.length("word"), F.length("alias")) >= least * (F.length("word") + F.length("alias"))
+    near = words.select("word", pair("word")).join(aliases.select("alias", pair("alias")), "two").where(fits).select("word", "alias").distinct()
+    return near.withColumn("ratio", indel_ratio("word", "alias")).where(F.col("ratio") >= least)
 
 
 def renormalised(scores: DataFrame, allowed: DataFrame) -> DataFrame:
@@ -135,13 +151,6 @@ def pooled_class(probs: DataFrame, key: str, pool: str = "mean") -> DataFrame:
     return p.groupBy(key).agg(F.max_by("cls", F.struct("p", "cls")).alias("cls"), F.max("p").alias("p"))
 
 
-def index_percentile(column: str, q: float) -> Column:
-    """The value at position int(q n) - 1 of the sorted list, the last one where that is below 0."""
-    values = F.array_sort(F.collect_list(column))
-    at = F.floor(q * F.count(column)).cast("int")
-    return F.when(at >= 1, F.element_at(values, F.greatest(at, F.lit(1)))).otherwise(F.array_max(values))
-
-
 def micro_macro(rows: DataFrame, *by: str) -> DataFrame:
     """micro = hits / judged over all, macro = mean of each row's share."""
     return rows.groupBy(*by).agg((F.sum("hits") / F.greatest(F.sum("judged"), F.lit(1))).alias("micro"), F.avg(F.col("hits") / F.greatest(F.col("judged"), F.lit(1))).alias("macro"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.vectors import dot
+from tessera.functions.vectors import dot, top_k
 from tessera.operators.relational import box_iou
 
 
@@ -38,6 +38,14 @@ def max_sim(query_patches: DataFrame, candidate_patches: DataFrame) -> DataFrame
     return pairs.groupBy("query_id", "code", "patch").agg(F.max("s").alias("s")).groupBy("query_id", "code").agg(F.avg("s").alias("score"))
 
 
+def nearest_of_group(vectors: DataFrame, key: str, group: str, k: int) -> DataFrame:
+    """(query_id, code, score, k) of each row's k nearest other rows of its group."""
+    rows = vectors.select(F.col(key).alias("query_id"), "embedding", group)
+    found = top_k(rows, vectors.select(F.col(key).alias("key"), "embedding", group), k + 1, group=group).where("query_id <> key")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "key")
+    return found.withColumn("k", F.row_number().over(order)).where(F.col("k") <= k).select("query_id", F.col("key").alias("code"), "score", "k")
+
+
 def window_rerank(hits: DataFrame, score: str, window: int = 10) -> DataFrame:
     """The first `window` rows of each query in the order of another score, the rest as they were."""
     inside = F.col("rank") <= window

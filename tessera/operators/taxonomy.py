@@ -27,10 +27,10 @@ def closure(paths: DataFrame, root: str = "root") -> DataFrame:
 def climb(probs: DataFrame, tree: DataFrame, threshold: float = 0.5) -> DataFrame:
     """H1: (query_id, leaf, p) rows -> the node nearest to the best leaf whose leaves reach the threshold, else the root.
 
-    Node probabilities are sums over the closure, which is small and broadcast; leaves are few to a query."""
-    below = F.broadcast(tree.select("ancestor", "leaf", "level"))
+    Node probabilities are sums over the closure (Spark broadcasts it where it is small); leaves are few to a query."""
+    below = tree.select("ancestor", "leaf", "level")
     mass = probs.join(below, "leaf").groupBy("query_id", "ancestor", "level").agg(F.round(F.sum("p"), 12).alias("p"))
     best = probs.withColumn("_k", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("p"), "leaf"))).where("_k = 1").select("query_id", F.col("leaf").alias("best"))
-    path = best.join(F.broadcast(tree.select(F.col("leaf").alias("best"), F.col("ancestor").alias("node"))), "best").join(mass, (mass.ancestor == F.col("node")) & (mass.query_id == best.query_id)).select(best.query_id, "best", "node", "level", "p")
+    path = best.join(tree.select(F.col("leaf").alias("best"), F.col("ancestor").alias("node")), "best").join(mass, (mass.ancestor == F.col("node")) & (mass.query_id == best.query_id)).select(best.query_id, "best", "node", "level", "p")
     stop = F.min_by(F.struct("node", "level", "p"), F.when((F.col("p") >= threshold) | (F.col("level") == 0), -F.col("level")))
     return path.groupBy("query_id", "best").agg(stop.alias("s")).select("query_id", "best", F.col("s.node").alias("node"), F.col("s.level").alias("level"), F.col("s.p").alias("p"))

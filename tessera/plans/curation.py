@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.operators import curation as K
 from tessera.operators import taxonomy as H
 from tessera.plans.catalog import register
+from tessera.sources.store import replace, shared_folder
 from tessera.sources.tables import ITEMS_SQL, POSTS_SQL, items, posts, table
 
 W = f"WITH {ITEMS_SQL}, {POSTS_SQL} "
@@ -48,6 +51,17 @@ _T = lambda s, d: table(s, d, "orders").select(F.col("o_orderkey").alias("key"),
 _S = lambda s, d: _T(s, d).where("key % 3 = 0").select(F.when(F.col("key") % 2 == 0, F.col("key")).otherwise(F.col("key") + 10_000_000).alias("key"), F.when(F.col("key") % 4 == 0, F.col("price") + 1).otherwise(F.col("price")).alias("price"), "status")
 _M = "WITH t AS (SELECT o_orderkey AS key, o_totalprice price, o_orderstatus status FROM orders), s AS (SELECT CASE WHEN key % 2 = 0 THEN key ELSE key + 10000000 END AS key, CASE WHEN key % 4 = 0 THEN price + 1 ELSE price END price, status FROM t WHERE key % 3 = 0)"
 register("U1_upsert", lambda s, d: K.upsert(_T(s, d), _S(s, d), ["key"]), _M + " SELECT * FROM t WHERE key NOT IN (SELECT key FROM s) UNION ALL SELECT * FROM s")
+
+
+def _replaced(s, d):
+    """A table written, then replaced by its merge with newer rows, under a lock."""
+    path = f"{shared_folder(s)}/tables/replaced-{uuid.uuid4().hex}"
+    replace(_T(s, d), path)
+    replace(K.upsert(s.read.parquet(path), _S(s, d), ["key"]), path)
+    return s.read.parquet(path)
+
+
+register("U2_atomic_replace", _replaced, _M + " SELECT * FROM t WHERE key NOT IN (SELECT key FROM s) UNION ALL SELECT * FROM s")
 register("U3_update_columns", lambda s, d: K.update_columns(_T(s, d), _S(s, d), ["key"], ["price"]).select("key", "price", "status"), _M + " SELECT t.key, coalesce(s.price, t.price) price, t.status FROM t LEFT JOIN s USING (key)")
 register("U4_merge_counts", lambda s, d: K.merge_counts(_T(s, d), _S(s, d), ["key"], ["price", "status"]), _M + " SELECT CASE WHEN t.key IS NULL THEN 'missing' WHEN t.price = s.price AND t.status = s.status THEN 'unchanged' ELSE 'updated' END outcome, count(*) n FROM s LEFT JOIN t USING (key) GROUP BY 1")
 register("U5_delete_and_edit", lambda s, d: K.upsert(_T(s, d).join(_T(s, d).where("status = 'P'").select("key"), "key", "left_anti"), _S(s, d).where("status <> 'P'"), ["key"]).groupBy("status").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("price")).alias("price")).withColumn("price", F.round("price", 2)), _M + " SELECT status, count(*) n, round(sum(price), 2) price FROM (SELECT * FROM t WHERE status <> 'P' AND key NOT IN (SELECT key FROM s WHERE status <> 'P') UNION ALL SELECT * FROM s WHERE status <> 'P') GROUP BY 1")

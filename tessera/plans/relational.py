@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.operators import metrics as M
 from tessera.operators import relational as R
 from tessera.plans.catalog import register
 from tessera.sources.tables import ITEMS_SQL, POSTS_SQL, items, posts, table
@@ -56,7 +57,7 @@ register("J8_rare_class_drop", lambda s, d: _one(s, d).where("reason = 'kept'").
 _BOX = lambda x: F.array((x % 7).cast("double"), (x % 5).cast("double"), (x % 7 + 4).cast("double"), (x % 5 + 6).cast("double"))
 register("J9_box_equality", lambda s, d: items(s, d).select("post", "ix", _BOX(F.col("code")).alias("box")).join(items(s, d).select("post", F.col("ix").alias("ix2"), _BOX(F.col("code")).alias("box2")), "post").where("box = box2 AND ix < ix2").groupBy("post").agg(F.count(F.lit(1)).alias("n")), W + "SELECT a.post, count(*) n FROM items a JOIN items b ON a.post = b.post AND a.ix < b.ix AND a.code % 7 = b.code % 7 AND a.code % 5 = b.code % 5 GROUP BY 1")
 register("J10_best_iou", lambda s, d: R.best_overlap(items(s, d).where("source = 'R'").select("post", F.col("code").alias("id"), _BOX(F.col("code")).alias("box")).distinct(), items(s, d).where("source = 'N'").select("post", F.col("code").alias("other"), _BOX(F.col("code")).alias("other_box")).distinct(), "post", 0.3).withColumn("iou", r6("iou")), W + ", l AS (SELECT DISTINCT post, code id, (code % 7)::DOUBLE x, (code % 5)::DOUBLE y FROM items WHERE source = 'R'), r AS (SELECT DISTINCT post, code other, (code % 7)::DOUBLE u, (code % 5)::DOUBLE v FROM items WHERE source = 'N'), p AS (SELECT post, id, other, greatest(least(x, u) + 4 - greatest(x, u), 0) * greatest(least(y, v) + 6 - greatest(y, v), 0) i FROM l JOIN r USING (post)) SELECT post, id, other, round(i / (48 - i), 6) iou FROM (SELECT *, row_number() OVER (PARTITION BY post, id ORDER BY i / (48 - i) DESC, other) k FROM p WHERE i / (48 - i) > 0.3) WHERE k = 1")
-register("J11_substring_either_way", lambda s, d: table(s, d, "part").select(F.lower("p_name").alias("label")).distinct().join(F.broadcast(table(s, d, "part").select(F.split("p_name", " ")[1].alias("query")).distinct()), F.contains("label", "query") | F.contains("query", "label")).groupBy("query").agg(F.count(F.lit(1)).alias("n")), "SELECT query, count(*) n FROM (SELECT DISTINCT lower(p_name) AS label FROM part) JOIN (SELECT DISTINCT split_part(p_name, ' ', 2) query FROM part) ON contains(label, query) OR contains(query, label) GROUP BY 1")
+register("J11_substring_either_way", lambda s, d: table(s, d, "part").select(F.lower("p_name").alias("label")).distinct().join(table(s, d, "part").select(F.split("p_name", " ")[1].alias("query")).distinct(), F.contains("label", "query") | F.contains("query", "label")).groupBy("query").agg(F.count(F.lit(1)).alias("n")), "SELECT query, count(*) n FROM (SELECT DISTINCT lower(p_name) AS label FROM part) JOIN (SELECT DISTINCT split_part(p_name, ' ', 2) query FROM part) ON contains(label, query) OR contains(query, label) GROUP BY 1")
 register("J14_alias_subtraction", lambda s, d: table(s, d, "part").select(F.lower("p_brand").alias("alias")).distinct().join(items(s, d).where("confidence >= 0.9 AND category = 'gear' AND colour = 'red'").select(F.lower("brand").alias("alias")), "alias", "left_anti"), W + "SELECT DISTINCT lower(p_brand) AS alias FROM part WHERE lower(p_brand) NOT IN (SELECT lower(brand) FROM items WHERE confidence >= 0.9 AND category = 'gear' AND colour = 'red')")
 register("J15_cross_dot", lambda s, d: table(s, d, "embeddings").select("vec_id", "embedding").crossJoin(F.broadcast(table(s, d, "embeddings").where("label = 0").orderBy("vec_id").limit(10).select(F.col("vec_id").alias("text_id"), F.col("embedding").alias("e2")))).select("vec_id", "text_id", r6(dot("embedding", "e2")).alias("score")), f"SELECT a.vec_id, b.vec_id AS text_id, round({SIM}, 6) score FROM embeddings a CROSS JOIN (SELECT * FROM embeddings WHERE label = 0 ORDER BY vec_id LIMIT 10) b")
 register("J18_judged_pool", lambda s, d: items(s, d).withColumn("judged", F.col("source") != "N").where("judged").withColumn("k", F.row_number().over(R.Window.partitionBy("category").orderBy(F.desc("confidence"), "post", "ix", "code"))).where("k <= 15").select("category", "post", "code", "k"), W + "SELECT category, post, code, k FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY confidence DESC, post, ix, code) k FROM items WHERE source <> 'N') WHERE k <= 15")
@@ -77,7 +78,7 @@ _LABELS = lambda: [F.lower("p_name"), F.split("p_name", " ")[1], F.concat_ws(" "
 register("A8_label_index", lambda s, d: R.label_index(table(s, d, "part").withColumn("code", F.col("p_partkey")), _LABELS()).groupBy("label").agg(F.count(F.lit(1)).alias("n_codes"), F.min("code").alias("first_code")), "SELECT label, count(*) n_codes, min(code) first_code FROM (SELECT DISTINCT p_partkey code, unnest([lower(p_name), split_part(p_name, ' ', 2), lower(p_brand) || ' ' || split_part(p_name, ' ', 2), lower(p_brand) || ' ' || lower(p_name)]) AS label FROM part) GROUP BY 1")
 register("A9_training_labels", lambda s, d: R.training_labels(table(s, d, "part").withColumn("code", F.col("p_partkey")), [F.col("p_name"), F.split("p_name", " ")[1], F.col("p_brand"), F.split("p_name", " ")[1], F.col("p_type")]).groupBy("kind", "i").agg(F.countDistinct("label").alias("labels"), F.count(F.lit(1)).alias("n")), "SELECT kind, i, count(DISTINCT label) labels, count(*) n FROM (SELECT p_partkey, unnest([{'i': 0, 'kind': 'model', 'label': p_name}, {'i': 1, 'kind': 'attribute', 'label': split_part(p_name, ' ', 2)}, {'i': 2, 'kind': 'attribute', 'label': p_brand}, {'i': 4, 'kind': 'generic', 'label': p_type}], recursive := true) FROM part) GROUP BY 1, 2")
 register("A11_query_support", lambda s, d: items(s, d).groupBy("category", "colour").agg(F.count(F.lit(1)).alias("n_pairs"), F.countDistinct("post").alias("n_posts")).where("n_posts >= 900"), W + "SELECT category, colour, count(*) n_pairs, count(DISTINCT post) n_posts FROM items GROUP BY 1, 2 HAVING count(DISTINCT post) >= 900")
-register("A12_score_stats", lambda s, d: items(s, d).groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.median("confidence").alias("median"), R.index_percentile("confidence", 0.9).alias("p90"), F.count_if(F.col("confidence") < 0.1).alias("gate_fails")), W + "SELECT category, count(*) n, median(confidence) median, list_sort(list(confidence))[greatest(floor(0.9 * count(*))::INT, 1)] p90, count(*) FILTER (WHERE confidence < 0.1) gate_fails FROM items GROUP BY 1")
+register("A12_score_stats", lambda s, d: M.score_stats(items(s, d), "category", "confidence", 0.9, 0.1).withColumnRenamed("at_share", "p90"), W + "SELECT category, count(*) n, median(confidence) median, list_sort(list(confidence))[greatest(floor(0.9 * count(*))::INT, 1)] p90, count(*) FILTER (WHERE confidence < 0.1) gate_fails FROM items GROUP BY 1")
 _FOLD = W + ", f AS (SELECT category, brand, post FROM items), k AS (SELECT brand FROM f GROUP BY 1 HAVING count(*) FILTER (WHERE post % 10 < 7) >= 1650)"
 _fold = lambda s, d: R.fold_rare(items(s, d), "brand", F.col("post") % 10 < 7, 1650)
 register("A13_fold_rare", lambda s, d: _fold(s, d).groupBy("folded").agg(F.count(F.lit(1)).alias("n")), _FOLD + " SELECT CASE WHEN brand IN (FROM k) THEN brand ELSE 'other' END folded, count(*) n FROM f GROUP BY 1")

@@ -48,7 +48,7 @@ def _patches(s, d):
 register("V5_max_sim", lambda s, d: _patches(s, d).withColumn("score", r6("score")), f"SELECT query_id, code, round(avg(s), 6) score FROM (SELECT a.vec_id % 100 AS query_id, a.vec_id, b.label AS code, max({SIM}) s FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = b.vec_id % 5 * 20 WHERE a.vec_id % 20 = 0 AND b.vec_id % 20 <> 0 GROUP BY ALL) GROUP BY 1, 2")
 register("V6_window_merge", lambda s, d: V.window_rerank(_AB(s, d).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("a"), "code"))), "b").select("query_id", "code", "new_rank"), _AB_SQL + ", r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY a DESC, code) k FROM ab) SELECT query_id, code, row_number() OVER (PARTITION BY query_id ORDER BY k <= 10 DESC, CASE WHEN k <= 10 THEN b END DESC NULLS LAST, k) new_rank FROM r")
 register("V7_softmax", lambda s, d: _top(s, d).withColumn("p", V.softmax(F.col("score"), 0.05, "query_id")).groupBy("query_id").agg(F.max_by("code", F.struct("p", -F.col("code"))).alias("code"), r6(F.max("p")).alias("p")), TOP + " SELECT query_id, arg_max(code, (p, -code)) code, round(max(p), 6) p FROM (SELECT query_id, code, exp((s - max(s) OVER w) / 0.05) / sum(exp((s - m) / 0.05)) OVER w p FROM (SELECT *, max(s) OVER (PARTITION BY query_id) m FROM top) WINDOW w AS (PARTITION BY query_id)) GROUP BY 1")
-register("V8_group_prototype", lambda s, d: _queries(s, d).crossJoin(F.broadcast(_protos(s, d))).withColumn("sim", dot("embedding", "prototype")).groupBy("query_id").agg(F.max_by("label", "sim").alias("label"), r6(F.max("sim")).alias("sim")), f"WITH u AS (SELECT label, unnest(embedding)::DOUBLE x, generate_subscripts(embedding, 1) i FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) k FROM embeddings) WHERE k <= 6), m AS (SELECT label, i, avg(x) x FROM u GROUP BY 1, 2), b AS (SELECT label, list(x / n ORDER BY i) embedding FROM m JOIN (SELECT label, sqrt(sum(x * x)) n FROM m GROUP BY 1) USING (label) GROUP BY 1) SELECT a.vec_id AS query_id, arg_max(b.label, {SIM}) AS label, round(max({SIM}), 6) sim FROM embeddings a CROSS JOIN b WHERE a.vec_id % 20 = 0 GROUP BY 1")
+register("V8_group_prototype", lambda s, d: top_k(_queries(s, d), _protos(s, d).select(F.col("label").cast("long").alias("key"), F.col("prototype").alias("embedding")), 1).select("query_id", F.col("key").cast("int").alias("label"), r6("score").alias("sim")), f"WITH u AS (SELECT label, unnest(embedding)::DOUBLE x, generate_subscripts(embedding, 1) i FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) k FROM embeddings) WHERE k <= 6), m AS (SELECT label, i, avg(x) x FROM u GROUP BY 1, 2), b AS (SELECT label, list(x / n ORDER BY i) embedding FROM m JOIN (SELECT label, sqrt(sum(x * x)) n FROM m GROUP BY 1) USING (label) GROUP BY 1) SELECT a.vec_id AS query_id, arg_max(b.label, {SIM}) AS label, round(max({SIM}), 6) sim FROM embeddings a CROSS JOIN b WHERE a.vec_id % 20 = 0 GROUP BY 1")
 
 
 def _protos(s, d):
@@ -75,7 +75,7 @@ def _identify(s, d):
 
 
 register("V16_identify", _identify, _AB_SQL + ", g AS (SELECT * FROM (SELECT *, bool_or(label = query_id % 10) OVER (PARTITION BY query_id) f FROM ab) WHERE label = query_id % 10 OR NOT f), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY b DESC, code) k FROM g) SELECT x.query_id, x.code, x.b < 0.5 rejected, coalesce(x.label = y.label AND abs(x.b - y.b) < 0.03, false) ambiguous FROM r x LEFT JOIN r y ON x.query_id = y.query_id AND y.k = 2 WHERE x.k = 1")
-register("V18_hard_negatives", lambda s, d: table(s, d, "embeddings").select(F.col("vec_id").alias("query_id"), "label", "embedding").join(table(s, d, "embeddings").select(F.col("vec_id").alias("code"), "label", F.col("embedding").alias("other")), "label").where("query_id <> code").withColumn("s", dot("embedding", "other")).withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "code"))).where("k <= 15").select("query_id", "code", "k"), f"SELECT query_id, code, k FROM (SELECT a.vec_id AS query_id, b.vec_id AS code, row_number() OVER (PARTITION BY a.vec_id ORDER BY {SIM} DESC, b.vec_id) k FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id) WHERE k <= 15")
+register("V18_hard_negatives", lambda s, d: V.nearest_of_group(table(s, d, "embeddings"), "vec_id", "label", 15).select("query_id", "code", "k"), f"SELECT query_id, code, k FROM (SELECT a.vec_id AS query_id, b.vec_id AS code, row_number() OVER (PARTITION BY a.vec_id ORDER BY {SIM} DESC, b.vec_id) k FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id) WHERE k <= 15")
 
 
 def _parts(s, d):
@@ -99,7 +99,12 @@ register("V19_multi_part_search", lambda s, d: _parts(s, d).withColumn("total",
 register("V20_colour_bonus", lambda s, d: items(s, d).groupBy("category", "colour").agg(r6(F.sum(V.colour_bonus(F.col("colour"), F.element_at(F.split("grp", " "), -1), F.lit("red"), F.col("code") % 50))).alias("bonus")), f"WITH {ITEMS_SQL} SELECT category, colour, round(sum(greatest((colour = 'red')::INT, 0.5 * (split_part(grp, ' ', -1) = 'red')::INT, exp(-power((code % 50) / 25, 2)))), 6) bonus FROM items GROUP BY 1, 2")
 register("V21_reference_bonus", lambda s, d: table(s, d, "embeddings").select("vec_id", r6(V.reference_bonus(F.col("embedding")[0].cast("double") * 50, F.col("embedding")[1].cast("double") * 50, F.col("embedding")[2].cast("double") * 50, (1.0, 2.0, 3.0))).alias("bonus")), "SELECT vec_id, round(exp(-power(sqrt(power((embedding[1]::DOUBLE * 50 - 1) * 0.4, 2) + power(embedding[2]::DOUBLE * 50 - 2, 2) + power(embedding[3]::DOUBLE * 50 - 3, 2)) / 12, 2)), 6) bonus FROM embeddings")
 register("V22_top_posts", lambda s, d: _parts(s, d).withColumn("total", r6("total")).orderBy(F.desc("total"), "post").limit(24), _PARTS_SQL + " ORDER BY total DESC, post LIMIT 24")
-register("V24_suppression", lambda s, d: V.suppress(items(s, d).groupBy(F.col("post").alias("photo"), F.col("code").alias("id"), "category").agg(F.max("confidence").alias("confidence")).withColumn("box", F.transform(F.array(F.col("id") % 7, F.col("id") % 5, F.col("id") % 7 + 4, F.col("id") % 5 + 6), lambda x: x.cast("double")))))
+register("V24_suppression", lambda s, d: V.suppress(items(s, d).groupBy(F.col("post").alias("photo"), F.col("code").alias("id"), "category").agg(F.max("confidence").alias("confidence")).withColumn("box", F.transform(F.array(F.col("id") % 7, F.col("id") % 5, F.col("id") % 7 + 4, F.col("id") % 5 + 6), lambda x: x.cast("double")))), f"""WITH RECURSIVE {ITEMS_SQL}, g AS (SELECT post AS photo, code AS id, category, max(confidence) confidence FROM items GROUP BY ALL),
+ b AS (SELECT *, (id % 7)::DOUBLE x, (id % 5)::DOUBLE y, row_number() OVER (PARTITION BY photo ORDER BY confidence DESC, id, category) k FROM g),
+ r AS (SELECT photo, k, [{{'k': k, 'x': x, 'y': y}}] AS kept FROM b WHERE k = 1
+  UNION ALL SELECT r.photo, b.k, CASE WHEN len(list_filter(kept, lambda q: greatest(4 - abs(q.x - b.x), 0) * greatest(6 - abs(q.y - b.y), 0) / (48 - greatest(4 - abs(q.x - b.x), 0) * greatest(6 - abs(q.y - b.y), 0)) > 0.5)) > 0 THEN kept ELSE list_append(kept, {{'k': b.k, 'x': b.x, 'y': b.y}}) END FROM r JOIN b ON b.photo = r.photo AND b.k = r.k + 1),
+ l AS (SELECT photo, unnest(arg_max(kept, k)).k k FROM r GROUP BY 1)
+SELECT photo, arg_min(id, k) id, category, arg_min(confidence, k) confidence FROM l JOIN b USING (photo, k) GROUP BY photo, category""")
 register("V25_best_crop", lambda s, d: items(s, d).where("confidence >= 0.4 AND code % 100 BETWEEN 2 AND 55").groupBy("category").agg(F.max_by("code", F.struct("confidence", -F.col("code"))).alias("code")), f"WITH {ITEMS_SQL} SELECT category, arg_max(code, (confidence, -code)) code FROM items WHERE confidence >= 0.4 AND code % 100 BETWEEN 2 AND 55 GROUP BY 1")
 
 # Metrics.  A query's targets are the vectors of its label.
@@ -128,12 +133,12 @@ _SWEEP = lambda s, d: items(s, d).select(F.col("colour").alias("truth"), F.when(
 register("W19_abstain_sweep", lambda s, d: M.abstain_sweep(_SWEEP(s, d), [0.0, 0.25, 0.5, 0.75, 1.0]).withColumns({c: r6(c) for c in ("fire_rate", "precision", "recall")}), f"WITH {ITEMS_SQL}, t AS (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0])::DOUBLE threshold), r AS (SELECT *, code % 3 <> 0 OR colour = 'red' AS ok FROM items) SELECT threshold, round(avg((confidence >= threshold)::INT), 6) fire_rate, round(count(*) FILTER (WHERE ok AND confidence >= threshold) / greatest(count(*) FILTER (WHERE confidence >= threshold), 1), 6) AS precision, round(count(*) FILTER (WHERE ok AND confidence >= threshold) / count(*), 6) recall FROM r CROSS JOIN t GROUP BY 1")
 register("W22_overlap", lambda s, d: _LAB(s, d).select("*", F.max(F.when(~F.col("positive"), F.col("score"))).over(Window.partitionBy("lang")).alias("top_n"), F.min(F.when(F.col("positive"), F.col("score"))).over(Window.partitionBy("lang")).alias("low_p")).groupBy("lang").agg(F.count_if(F.col("positive") & (F.col("score") < F.col("top_n"))).alias("pos_below"), F.count_if(~F.col("positive") & (F.col("score") > F.col("low_p"))).alias("neg_above")), _LAB_SQL + " SELECT lang, count(*) FILTER (WHERE positive AND score < tn) pos_below, count(*) FILTER (WHERE NOT positive AND score > lp) neg_above FROM (SELECT *, max(score) FILTER (WHERE NOT positive) OVER (PARTITION BY lang) tn, min(score) FILTER (WHERE positive) OVER (PARTITION BY lang) lp FROM l) GROUP BY 1")
 register("W23_precision_at_k", lambda s, d: items(s, d).where("source <> 'N'").withColumn("k", F.row_number().over(Window.partitionBy("category").orderBy(F.desc("confidence"), "post", "ix", "code"))).where("k <= 15").groupBy("category").agg(r6(F.avg((F.col("source") == "R").cast("int"))).alias("precision")), f"WITH {ITEMS_SQL} SELECT category, round(avg((source = 'R')::INT), 6) AS precision FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY confidence DESC, post, ix, code) k FROM items WHERE source <> 'N') WHERE k <= 15 GROUP BY 1")
-register("W24_quantile_recall", lambda s, d: _LAB(s, d).where("positive").agg(F.min("score").alias("lowest"), r6(F.percentile("score", 0.01)).alias("q01")), _LAB_SQL + " SELECT min(score) lowest, round(quantile_cont(score, 0.01), 6) q01 FROM l WHERE positive")
+register("W24_quantile_recall", lambda s, d: _LAB(s, d).where("positive").agg(F.min("score").alias("lowest")).crossJoin(M.percentiles(_LAB(s, d).where("positive"), "score", [0.01]).select(r6("value").alias("q01"))), _LAB_SQL + " SELECT min(score) lowest, round(quantile_cont(score, 0.01), 6) q01 FROM l WHERE positive")
 register("W25_paired_agreement", lambda s, d: table(s, d, "documents").join(table(s, d, "labels"), "doc_id").groupBy("lang").agg(r6(F.avg((F.col("quality") == F.col("toxic")).cast("int"))).alias("agreement"), F.count(F.lit(1)).alias("n")), "SELECT lang, round(avg((quality = toxic)::INT), 6) agreement, count(*) n FROM documents JOIN labels USING (doc_id) GROUP BY 1")
 register("W26_enrollment_gap", lambda s, d: M.rank_positional(_SC(s, d)).groupBy((F.col("query_id") % 40 == 0).alias("unseen")).agg(r6(F.avg((F.col("rank") <= 1).cast("int"))).alias("r_at_1"), F.count(F.lit(1)).alias("n")), _SC_SQL + " SELECT query_id % 40 = 0 AS unseen, round(avg((rank <= 1)::INT), 6) r_at_1, count(*) n FROM rp GROUP BY 1")
 register("W27_deep_diff", lambda s, d: M.deep_diff(*[table(s, d, "events").select(F.col("event_id").alias("id"), F.explode(F.create_map(F.lit("type"), "event_type", F.lit("k"), F.get_json_object("props", "$.k") if i else F.when(F.col("event_id") % 50 == 0, "x").otherwise(F.get_json_object("props", "$.k")), F.lit("latency"), F.lit(str(i))))).toDF("id", "path", "value") for i in (0, 1)], ["latency"]), "SELECT event_id AS id, 'k' AS path, 'x' AS \"left\", json_extract_string(props, '$.k') AS \"right\" FROM events WHERE event_id % 50 = 0 AND 'x' IS DISTINCT FROM json_extract_string(props, '$.k')")
 register("V17_fixed_gallery", lambda s, d: table(s, d, "embeddings").select("vec_id", "label").orderBy(F.sha1(F.concat_ws(":", F.lit("42"), F.col("vec_id").cast("string"))), "vec_id").limit(100), "SELECT vec_id, label FROM embeddings ORDER BY sha1('42:' || vec_id), vec_id LIMIT 100")
-register("J16_within_category", lambda s, d: table(s, d, "embeddings").alias("a").select(F.col("vec_id").alias("query_id"), "label", "embedding").join(table(s, d, "embeddings").select(F.col("vec_id").alias("code"), "label", F.col("embedding").alias("other")), "label").where("query_id <> code").withColumn("s", dot("embedding", "other")).groupBy("query_id").agg(F.max_by("code", F.struct("s", -F.col("code"))).alias("nearest"), F.count(F.lit(1)).alias("n")), f"SELECT a.vec_id AS query_id, arg_max(b.vec_id, ({SIM}, -b.vec_id)) nearest, count(*) n FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY 1")
+register("J16_within_category", lambda s, d: V.nearest_of_group(table(s, d, "embeddings"), "vec_id", "label", 1).select("query_id", F.col("code").alias("nearest")).join(table(s, d, "embeddings").select(F.col("vec_id").alias("query_id"), "label"), "query_id").join(table(s, d, "embeddings").groupBy("label").agg((F.count(F.lit(1)) - 1).alias("n")), "label").select("query_id", "nearest", "n"), f"SELECT a.vec_id AS query_id, arg_max(b.vec_id, ({SIM}, -b.vec_id)) nearest, count(*) n FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY 1")
 register("W4_multi_positive_rank", lambda s, d: M.rank_strict(_top(s, d).where("code <> query_id").select("query_id", F.col("code").alias("key"), "score", F.col("label").isin(1, 4, 7).alias("is_target"))), TOP + " SELECT query_id, count(*) FILTER (WHERE s > m) + 1 AS rank FROM (SELECT *, max(s) FILTER (WHERE label IN (1, 4, 7)) OVER (PARTITION BY query_id) m FROM top WHERE code <> query_id) WHERE m IS NOT NULL GROUP BY 1")
 register("W6_lower_median", lambda s, d: M.retrieval_metrics(M.rank_positional(_SC(s, d)).withColumn("g", F.col("query_id") % 3), "g").select("g", "lower_median", "median"), _SC_SQL + " SELECT query_id % 3 g, quantile_disc(rank, 0.5)::DOUBLE lower_median, median(rank) median FROM rp GROUP BY 1")
 register("W11_auroc_toxic", lambda s, d: M.auroc(_LAB(s, d).withColumn("positive", F.col("toxic") == 1)).select(r6("auroc").alias("auroc")), _LAB_SQL + f" SELECT round({_AUC}, 6) auroc FROM l a JOIN l b ON a.toxic = 1 AND b.toxic = 0")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessera.functions import colour as C
 from tessera.functions import text as T
-from tessera.functions.vectors import l2
+from tessera.functions.vectors import embed_rows, encoder, l2
 from tessera.operators import relational as R
 from tessera.plans.catalog import register
 from tessera.sources import extract as X
+from tessera.sources.store import shared_folder
 from tessera.sources.tables import ITEMS_SQL, items, table
 
 W = f"WITH {ITEMS_SQL} "
@@ -45,7 +48,8 @@ register("S13_embedded_json", lambda s, d: table(s, d, "events").select("event_i
 register("S14_variants", lambda s, d: X.variants(_product_pages(s, d)).select("p_partkey", "name", "sku", "color"), "SELECT p_partkey, p_name AS name, p_partkey || '-' || i AS sku, split_part(p_name, ' ', 1) color FROM part CROSS JOIN (SELECT unnest(['a', 'b']) i) WHERE p_partkey % 5 > 0")
 register("S15_list_items", lambda s, d: table(s, d, "pages").select("page_id", F.posexplode(X.list_items(F.col("html"))).alias("k", "item")), r"SELECT page_id, (k - 1)::INT k, item FROM (SELECT page_id, unnest(x) item, generate_subscripts(x, 1) k FROM (SELECT page_id, [y FOR y IN [trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(t, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '" + '"' + r"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) FOR t IN regexp_extract_all(regexp_extract(html, '(?s)<ul>(.*?)</ul>', 1), '(?s)<li>(.*?)</li>', 1)] IF length(y) > 0] x FROM pages))")
 register("S17_image_urls", lambda s, d: table(s, d, "pages").select("page_id", F.array_join(X.image_urls(F.when(F.col("page_id") % 3 == 0, F.array(F.lit("g1"), F.lit("g2"))).otherwise(F.expr("CAST(array() AS ARRAY<STRING>)")), F.when(F.col("page_id") % 2 == 0, F.concat("url", F.lit(".jpg"))).otherwise(F.col("url")), F.when(F.col("page_id") % 5 == 0, F.lit("p"))), ",").alias("urls")), "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'g1,g2' WHEN page_id % 2 = 0 THEN url || '.jpg' WHEN page_id % 5 = 0 THEN 'p' ELSE '' END urls FROM pages")
-register("S18_group_by_link", lambda s, d: items(s, d).groupBy(F.coalesce(F.when(F.col("code") % 3 == 0, F.col("brand")), F.col("category")).alias("link")).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.slice(F.array_sort(F.collect_set(F.struct("post", "ix", "code"))), 1, 3), lambda x: x["code"].cast("string")), ",").alias("first")), W + "SELECT link, count(*) n, (SELECT string_agg(code::VARCHAR, ',' ORDER BY post, ix, code) FROM (SELECT DISTINCT post, ix, code FROM items i WHERE coalesce(CASE WHEN i.code % 3 = 0 THEN i.brand END, i.category) = link ORDER BY ALL LIMIT 3)) AS first FROM (SELECT coalesce(CASE WHEN code % 3 = 0 THEN brand END, category) link FROM items) GROUP BY 1")
+_LINKED = lambda s, d: items(s, d).withColumn("link", F.coalesce(F.when(F.col("code") % 3 == 0, F.col("brand")), F.col("category")))
+register("S18_group_by_link", lambda s, d: _LINKED(s, d).groupBy("link").agg(F.count(F.lit(1)).alias("n")).join(X.first_of_link(_LINKED(s, d), "link", ["post", "ix", "code"], 3).groupBy("link").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", "code"))), lambda x: x["code"].cast("string")), ",").alias("first")), "link"), W + "SELECT link, count(*) n, (SELECT string_agg(code::VARCHAR, ',' ORDER BY post, ix, code) FROM (SELECT DISTINCT post, ix, code FROM items i WHERE coalesce(CASE WHEN i.code % 3 = 0 THEN i.brand END, i.category) = link ORDER BY ALL LIMIT 3)) AS first FROM (SELECT coalesce(CASE WHEN code % 3 = 0 THEN brand END, category) link FROM items) GROUP BY 1")
 _HOST_ID = lambda: [c.alias(n) for c, n in zip(X.host_and_id(F.col("url"), (r"/item/(\d+)", r"/p/([a-z0-9]+)")), ("host", "id"))]
 register("S19_host_and_id", lambda s, d: table(s, d, "pages").select("page_id", *_HOST_ID()), r"SELECT page_id, regexp_replace(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1), '^www\.', '') host, coalesce(nullif(regexp_extract(url, '/item/(\d+)', 1), ''), nullif(regexp_extract(url, '/p/([a-z0-9]+)', 1), ''), substr(sha1(url), 1, 16)) id FROM pages")
 register("S20_upgrades", lambda s, d: table(s, d, "pages").select("page_id", F.array_join(X.upgrades(F.col("url"), (("^http:", "https:"), (r"\d+$", "0"))), " ").alias("tries")), r"SELECT page_id, concat_ws(' ', a, CASE WHEN b <> a THEN b END, CASE WHEN url <> a AND url <> b THEN url END) tries FROM (SELECT *, regexp_replace(url, '^http:', 'https:', 'g') a, regexp_replace(url, '\d+$', '0', 'g') b FROM pages)")
@@ -78,18 +82,35 @@ def _lab_sql(m):
 for _n, _m in (("F6", C.SRGB_7), ("F7", C.SRGB_4)):
     register(f"{_n}_lab", lambda s, d, m=_m: table(s, d, "part").select("p_partkey", C.rgb_to_lab(*_RGB(), m).alias("x")).select("p_partkey", *[r6(f"x.{c}").alias(c) for c in "Lab"]), _lab_sql(_m) + " SELECT p_partkey, round(L, 6) \"L\", round(a, 6) a, round(b, 6) b FROM lab")
 register("F9_colour_similarity", lambda s, d: table(s, d, "part").select("p_partkey", r6(C.similarity(_LAB(), F.struct(F.lit(50.0).alias("L"), F.lit(10.0).alias("a"), F.lit(-5.0).alias("b")))).alias("sim")), _lab_sql(C.SRGB_7) + " SELECT p_partkey, round(exp(-power(sqrt(power(L - 50, 2) + power(a - 10, 2) + power(b + 5, 2)) / 25, 2)), 6) sim FROM lab")
-register("F5_ciede2000", lambda s, d: table(s, d, "part").select("p_partkey", _LAB().alias("x")).select("p_partkey", r6(C.ciede2000(F.col("x"), F.struct(F.lit(50.0).alias("L"), F.lit(10.0).alias("a"), F.lit(-5.0).alias("b")))).alias("delta")))
+_DE_SQL = _lab_sql(C.SRGB_7) + """, q AS (SELECT p_partkey, L, a, b, 0.5 * (1 - sqrt(power((sqrt(a * a + b * b) + sqrt(125)) / 2, 7) / (power((sqrt(a * a + b * b) + sqrt(125)) / 2, 7) + power(25.0, 7)))) g FROM lab),
+ c AS (SELECT *, sqrt(power((1 + g) * a, 2) + b * b) c1, sqrt(power((1 + g) * 10, 2) + 25) c2, CASE WHEN (1 + g) * a = 0 AND b = 0 THEN 0 ELSE (degrees(atan2(b, (1 + g) * a)) + 360) % 360 END h1, (degrees(atan2(-5, (1 + g) * 10)) + 360) % 360 h2 FROM q),
+ t AS (SELECT *, CASE WHEN c1 * c2 = 0 THEN 0 WHEN h2 - h1 > 180 THEN h2 - h1 - 360 WHEN h2 - h1 < -180 THEN h2 - h1 + 360 ELSE h2 - h1 END dh, CASE WHEN c1 * c2 = 0 THEN h1 + h2 WHEN abs(h2 - h1) <= 180 THEN (h1 + h2) / 2 WHEN h1 + h2 < 360 THEN (h1 + h2 + 360) / 2 ELSE (h1 + h2 - 360) / 2 END hm, (L + 50) / 2 lm, (c1 + c2) / 2 cm FROM c),
+ k AS (SELECT *, (50 - L) / (1 + 0.015 * power(lm - 50, 2) / sqrt(20 + power(lm - 50, 2))) kl, (c2 - c1) / (1 + 0.045 * cm) kc, 2 * sqrt(c1 * c2) * sin(radians(dh / 2)) / (1 + 0.015 * cm * (1 - 0.17 * cos(radians(hm - 30)) + 0.24 * cos(radians(2 * hm)) + 0.32 * cos(radians(3 * hm + 6)) - 0.2 * cos(radians(4 * hm - 63)))) kh FROM t),
+ de AS (SELECT p_partkey, L, a, b, sqrt(kl * kl + kc * kc + kh * kh - 2 * sqrt(power(cm, 7) / (power(cm, 7) + power(25.0, 7))) * sin(radians(60 * exp(-power((hm - 275) / 25, 2)))) * kc * kh) d FROM k)"""
+register("F5_ciede2000", lambda s, d: table(s, d, "part").select("p_partkey", _LAB().alias("x")).select("p_partkey", r6(C.ciede2000(F.col("x"), F.struct(F.lit(50.0).alias("L"), F.lit(10.0).alias("a"), F.lit(-5.0).alias("b")))).alias("delta")), _DE_SQL + " SELECT p_partkey, round(d, 6) \"delta\" FROM de")
 register("F8_hex", lambda s, d: table(s, d, "part").select("p_partkey", _LAB().alias("x")).select("p_partkey", C.lab_to_hex(F.col("x")).alias("hex")), "SELECT p_partkey, printf('#%02x%02x%02x', p_partkey * 7 % 256, p_partkey * 11 % 256, p_partkey * 13 % 256) hex FROM part")
-register("F10_nearest_swatch", lambda s, d: table(s, d, "part").select("p_partkey", _LAB().alias("x")).select("p_partkey", C.nearest_swatch(F.col("x")).alias("swatch")).groupBy("swatch").agg(F.count(F.lit(1)).alias("n")))
-register("V23_colour_search", lambda s, d: table(s, d, "part").select("p_partkey", _LAB().alias("x"), F.struct(F.lit(50.0).alias("L"), F.lit(10.0).alias("a"), F.lit(-5.0).alias("b")).alias("q")).orderBy(C.delta_76(F.col("x"), F.col("q")), "p_partkey").limit(50).select("p_partkey", r6(C.ciede2000(F.col("x"), F.col("q"))).alias("delta")).orderBy("delta", "p_partkey").limit(10))
+_SWATCHES = "(VALUES " + ", ".join("({}, '{}', {!r}::DOUBLE, {!r}::DOUBLE, {!r}::DOUBLE)".format(k, n, *C._lab(rgb)) for k, (n, rgb) in enumerate(C.PALETTE.items())) + ") v(i, name, l, a, b)"
+register("F10_nearest_swatch", lambda s, d: table(s, d, "part").select("p_partkey", _LAB().alias("x")).select("p_partkey", C.nearest_swatch(F.col("x")).alias("swatch")).groupBy("swatch").agg(F.count(F.lit(1)).alias("n")), _lab_sql(C.SRGB_7) + f", n AS (SELECT p_partkey, arg_min(name, {{'d': power(lab.L - v.l, 2) + power(lab.a - v.a, 2) + power(lab.b - v.b, 2), 'i': i}}) swatch FROM lab CROSS JOIN {_SWATCHES} GROUP BY 1) SELECT swatch, count(*) n FROM n GROUP BY 1")
+register("V23_colour_search", lambda s, d: table(s, d, "part").select("p_partkey", _LAB().alias("x"), F.struct(F.lit(50.0).alias("L"), F.lit(10.0).alias("a"), F.lit(-5.0).alias("b")).alias("q")).orderBy(C.delta_76(F.col("x"), F.col("q")), "p_partkey").limit(50).select("p_partkey", r6(C.ciede2000(F.col("x"), F.col("q"))).alias("delta")).orderBy("delta", "p_partkey").limit(10), _DE_SQL + " SELECT p_partkey, round(d, 6) \"delta\" FROM (SELECT * FROM de ORDER BY sqrt(power(L - 50, 2) + power(a - 10, 2) + power(b + 5, 2)), p_partkey LIMIT 50) ORDER BY round(d, 6), p_partkey LIMIT 10")
 register("F14_canonical_colour", lambda s, d: table(s, d, "part").select("p_partkey", T.canonical_colour(F.concat(F.lit("Dusty "), "p_name")).alias("colour")).groupBy("colour").agg(F.count(F.lit(1)).alias("n")), "SELECT colour, count(*) n FROM (SELECT CASE WHEN contains(p_name, 'blue') THEN 'blue' WHEN contains(p_name, 'red') THEN 'red' WHEN contains(lower(p_name), 'gold') THEN 'gold' END colour FROM part) GROUP BY 1")
+_SHADES = ("Sail", " pearl grey", "TAUPE", "Wolf Grey", "off white", "tangerine heat", "tangerine", "plain")
+register("F14_exact_names", lambda s, d: table(s, d, "part").select("p_partkey", T.canonical_colour(F.element_at(F.array(*map(F.lit, _SHADES)), (F.col("p_partkey") % 8 + 1).cast("int"))).alias("colour")), "SELECT p_partkey, ['cream', 'gray', 'tan', 'gray', 'cream', 'orange', 'tan', NULL][p_partkey % 8 + 1] colour FROM part")
+register("F15_canonical_taxonomy", lambda s, d: R.last_of_path(table(s, d, "part").select(F.col("p_partkey").alias("code"), F.array(F.lit("all"), F.upper(F.split("p_name", " ")[0]), F.concat(F.lit(" "), F.split("p_name", " ")[1])).alias("path")), table(s, d, "part").select(F.split("p_name", " ")[0].alias("term"), F.lit("by look").alias("root"), F.split("p_name", " ")[0].alias("category"), F.lit(None).cast("string").alias("leaf")).union(table(s, d, "part").where("p_name LIKE '%g%'").select(F.split("p_name", " ")[1], F.lit("by kind"), F.upper(F.split("p_name", " ")[1]), F.split("p_name", " ")[1])).distinct().where("term NOT IN ('bolt', 'rod', 'plate', 'anvil')")), "SELECT p_partkey AS code, CASE WHEN n IN ('bolt', 'rod', 'plate', 'anvil') THEN 'by look' ELSE 'by kind' END root, CASE WHEN n IN ('bolt', 'rod', 'plate', 'anvil') THEN split_part(p_name, ' ', 1) ELSE upper(n) END category, CASE WHEN n NOT IN ('bolt', 'rod', 'plate', 'anvil') THEN n END leaf FROM (SELECT *, split_part(p_name, ' ', 2) n FROM part)")
+register("F32_strict_json", lambda s, d: table(s, d, "events").select("event_id", F.get_json_object(T.strict_json(F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).when(F.col("event_id") % 3 == 1, F.col("props")).otherwise(F.concat(F.lit("Here: "), "props"))), "$.k").alias("k")), "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN json_extract_string(props, '$.k') END k FROM events")
+register("S29_first_graph", lambda s, d: table(s, d, "part").select("p_partkey", F.posexplode(X.first_graph(F.concat(F.lit('<script type="application/ld+json">{broken</script><script type="application/ld+json">{"@type": "Thing"}</script><script type="application/ld+json">{"@graph": [{"name": "'), "p_name", F.lit('"}, {"name": "'), "p_brand", F.lit('"}]}</script><script type="application/ld+json">{"@graph": [{"name": "later"}]}</script>')))).alias("pos", "entry")).select("p_partkey", "pos", F.get_json_object("entry", "$.name").alias("name")), "SELECT p_partkey, 0 pos, p_name AS name FROM part UNION ALL SELECT p_partkey, 1, p_brand FROM part")
 register("F16_canonical_facet", lambda s, d: table(s, d, "part").select("p_partkey", T.canonical_facet(F.concat(F.col("p_size").cast("string"), F.lit(" inch inseam")), "length").alias("length")), "SELECT p_partkey, CASE WHEN p_size <= 20 THEN 'short inseam' ELSE 'full length' END AS length FROM part")
 register("F17_primary", lambda s, d: table(s, d, "part").select("p_partkey", T.primary(F.split("p_name", " ")).alias("label")), "SELECT p_partkey, split_part(p_name, ' ', 1) AS label FROM part")
-register("F18_fold_accents", lambda s, d: table(s, d, "documents").select("doc_id", T.fold_accents(F.col("text")).alias("t")).select("doc_id", F.length("t").alias("chars")))
+register("F18_fold_accents", lambda s, d: table(s, d, "documents").select("doc_id", F.md5(T.fold_accents(F.col("text"))).alias("md5")), "SELECT doc_id, md5(trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g'))) \"md5\" FROM documents")
 register("F19_candidates", lambda s, d: table(s, d, "part").select("p_partkey", F.array_join(T.candidates(F.lower("p_name")), "|").alias("c")), "SELECT p_partkey, lower(p_name) || '|' || split_part(lower(p_name), ' ', 1) || CASE WHEN split_part(p_name, ' ', 1) <> split_part(p_name, ' ', 2) THEN '|' || split_part(lower(p_name), ' ', 2) ELSE '' END c FROM part")
-_ALIAS = lambda s, d: F.broadcast(table(s, d, "part").select(F.split("p_name", " ")[1].alias("alias")).distinct())
-register("F20_J12_fuzzy_match", lambda s, d: table(s, d, "part").select(F.split("p_name", " ")[0].alias("w")).distinct().crossJoin(_ALIAS(s, d)).withColumn("ratio", r6(T.indel_ratio("w", "alias"))).withColumn("hit", F.col("ratio") >= F.when(F.length("alias") <= 5, 90).otherwise(80)))
-register("J13_two_vocabularies", lambda s, d: table(s, d, "part").select(F.split("p_name", " ")[1].alias("w")).distinct().crossJoin(_ALIAS(s, d)).withColumn("ratio", T.indel_ratio("w", "alias")).groupBy("w").agg(F.max(F.when(F.col("alias") < "h", F.col("ratio"))).alias("stocked"), F.max(F.when(F.col("alias") >= "h", F.col("ratio"))).alias("other")).select("w", F.when(F.col("stocked") >= 90, "stocked").when(F.col("other") >= 95, "off catalog").otherwise("none").alias("verdict")), "SELECT DISTINCT split_part(p_name, ' ', 2) w, CASE WHEN split_part(p_name, ' ', 2) < 'h' THEN 'stocked' ELSE 'off catalog' END verdict FROM part")
+_ALIAS = lambda s, d: table(s, d, "part").select(F.split("p_name", " ")[1].alias("alias")).distinct()
+_WORDS = lambda s, d: table(s, d, "part").select(F.concat(F.split("p_name", " ")[1], F.when(F.col("p_size") % 2 == 0, "s").when(F.col("p_size") % 3 == 0, "et").otherwise("")).alias("word")).distinct()
+_LCS_SQL = """WITH RECURSIVE w AS (SELECT DISTINCT split_part(p_name, ' ', 2) || CASE WHEN p_size % 2 = 0 THEN 's' WHEN p_size % 3 = 0 THEN 'et' ELSE '' END word FROM part), a AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS alias FROM part),
+ r AS (SELECT word, alias, 0 i, [0 FOR x IN range(0, len(alias) + 1)] AS line FROM w CROSS JOIN a
+  UNION ALL SELECT word, alias, i + 1, [list_max([CASE WHEN k = 0 THEN 0 WHEN alias[k] = word[i + 1] THEN line[k] + 1 ELSE line[k + 1] END FOR k IN range(0, j + 1)]) FOR j IN range(0, len(alias) + 1)] FROM r WHERE i < len(word))
+ SELECT word, alias, round(200.0 * line[len(alias) + 1] / (len(word) + len(alias)), 6) ratio FROM r WHERE i = len(word) AND 200.0 * line[len(alias) + 1] / (len(word) + len(alias)) >= CASE WHEN len(alias) <= 5 THEN 90 ELSE 80 END"""
+register("F20_J12_fuzzy_match", lambda s, d: R.fuzzy_match(_WORDS(s, d), _ALIAS(s, d)).withColumn("ratio", r6("ratio")), _LCS_SQL)
+_NOUNS = lambda s, d: table(s, d, "part").select(F.split("p_name", " ")[1].alias("word")).distinct()
+register("J13_two_vocabularies", lambda s, d: _NOUNS(s, d).join(R.fuzzy_match(_NOUNS(s, d), _ALIAS(s, d), floor=90).groupBy("word").agg(F.max(F.when(F.col("alias") < "h", F.col("ratio"))).alias("stocked"), F.max(F.when(F.col("alias") >= "h", F.col("ratio"))).alias("other")), "word", "left").select(F.col("word").alias("w"), F.when(F.col("stocked") >= 90, "stocked").when(F.col("other") >= 95, "off catalog").otherwise("none").alias("verdict")), "SELECT DISTINCT split_part(p_name, ' ', 2) w, CASE WHEN split_part(p_name, ' ', 2) < 'h' THEN 'stocked' ELSE 'off catalog' END verdict FROM part")
 register("F21_tokens", lambda s, d: table(s, d, "conversations").select("conv_id", "turn", F.size(T.tokens(F.col("text"))).alias("n")), r"SELECT conv_id, turn, len(regexp_extract_all(lower(text), '[a-z][a-z\-'']+'))::INT n FROM conversations")
 register("F22_has_term", lambda s, d: table(s, d, "part").groupBy(T.has_term(F.concat("p_name", F.lit("s")), "ring").alias("hit")).agg(F.count(F.lit(1)).alias("n")), "SELECT split_part(p_name, ' ', 2) = 'ring' hit, count(*) n FROM part GROUP BY 1")
 register("F23_category_match", lambda s, d: table(s, d, "part").select("p_partkey", F.lower("p_name").alias("q")).join(_ALIAS(s, d), F.contains("q", "alias")).groupBy("p_partkey").agg(F.max_by("alias", F.struct(F.length("alias"), "alias")).alias("term")), "SELECT p_partkey, split_part(p_name, ' ', 2) term FROM part")
@@ -139,17 +160,43 @@ register("F43_reference", lambda s, d: table(s, d, "pages").select("page_id", F.
 register("S30_blob_by_marker", lambda s, d: _product_pages(s, d).select("p_partkey", F.get_json_object(F.get(F.filter(X.linked_data(F.col("html")), lambda b: F.contains(b, F.lit("ProductGroup"))), F.lit(0)), "$.name").alias("name")), "SELECT p_partkey, p_name AS name FROM part")
 
 
-def _head(s, d):
-    """A linear head over vectors, trained by Spark; agreement on rows that it wasn't fitted on."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
+_VECTORS = lambda s, d: table(s, d, "embeddings").select("vec_id", F.col("embedding").alias("features"), (F.get("embedding", F.lit(0)) > 0).cast("int").alias("label"))
+
+
+def _head(mlp):
+    """A head over vectors for a label that they tell; accuracy on rows that neither fit nor choice has seen."""
+
+    def run(s, d):
+        from tessera.operators import heads as H
+
+        rows = _VECTORS(s, d)
+        model, chosen = H.train_head(rows.where("vec_id % 5 > 1"), rows.where("vec_id % 5 = 1"), 2, mlp)
+        test = rows.where("vec_id % 5 = 0").select(H.array_to_vector(F.transform("features", lambda x: x.cast("double"))).alias("features"), F.col("label").cast("double").alias("label"))
+        return model.transform(test).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("prediction") == F.col("label")).cast("int")).alias("accuracy")).withColumn("chosen_at", F.lit(chosen))
+
+    return run
+
+
+register("X8_hidden_head", _head(True))
+register("X9_X10_linear_head", _head(False))
+
+
+def _letters(texts):
+    return [[float(len(t)), float(t.count("e"))] for t in texts]
+
+
+register("X3_encode_text", lambda s, d: table(s, d, "part").select("p_partkey", encoder(_letters)("p_name").alias("v")).select("p_partkey", F.get("v", F.lit(0)).cast("int").alias("chars"), F.get("v", F.lit(1)).cast("int").alias("es")), "SELECT p_partkey, len(p_name)::INT chars, (len(p_name) - len(replace(p_name, 'e', '')))::INT es FROM part")
+register("X4_embed_readable", lambda s, d: embed_rows(table(s, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 7 > 0, F.col("p_name")).alias("image")), "p_partkey", "image", lambda xs: [None if x is None else _letters([x])[0] for x in xs]).select("p_partkey", F.get("embedding", F.lit(0)).cast("int").alias("chars")), "SELECT p_partkey, len(p_name)::INT chars FROM part WHERE p_partkey % 7 > 0")
+
 
-    rows = table(s, d, "embeddings").select("vec_id", F.col("label").cast("double").alias("label"), array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"))
-    model = LogisticRegression(maxIter=20, regParam=0.1).fit(rows.where("vec_id % 5 > 0"))
-    return model.transform(rows.where("vec_id % 5 = 0")).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("prediction") == F.col("label")).cast("int")).alias("accuracy"))
+def _csv(s, d):
+    """Written as CSV with a header and read again."""
+    path = f"{shared_folder(s)}/tables/csv-{uuid.uuid4().hex}"
+    table(s, d, "part").select("p_partkey", "p_name", F.when(F.col("p_size") > 9, F.concat(F.lit('a "quoted", '), "p_brand")).alias("note")).write.option("header", True).option("escape", '"').csv(path)
+    return s.read.schema("p_partkey long, p_name string, note string").option("header", True).option("escape", '"').csv(path)
 
 
-register("X8_X10_linear_head", _head)
+register("S12_csv_sink", _csv, """SELECT p_partkey, p_name, CASE WHEN p_size > 9 THEN 'a "quoted", ' || p_brand END note FROM part""")
 
 
 def _hourly(s, d):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,17 +89,37 @@ def quota(rows: DataFrame, theme: str, key: str, order: str, target: int, risky:
 
 
 def bins(files: DataFrame, budget: int, group: str = "folder") -> DataFrame:
-    """Files of a folder in order, a new bin where the next one would pass the budget (sequential, so folded over a
-    folder's sorted sizes)."""
-    start = F.struct(F.lit(0).cast("long").alias("bin"), F.lit(0).cast("long").alias("used"), F.expr("CAST(array() AS ARRAY<STRUCT<name: STRING, bin: BIGINT>>)").alias("out"))
-
-    def put(s: Column, f: Column) -> Column:
-        new = (s["used"] > 0) & (s["used"] + f["size"] > budget)
-        at = s["bin"] + new.cast("long")
-        return F.struct(at.alias("bin"), F.when(new, f["size"]).otherwise(s["used"] + f["size"]).alias("used"), F.concat(s["out"], F.array(F.struct(f["name"].alias("name"), at.alias("bin")))).alias("out"))
-
-    rows = files.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("name", F.col("size").cast("long").alias("size")))).alias("fs"))
-    return rows.select(group, F.inline(F.aggregate("fs", start, put)["out"]))
+    """Files of a folder in order, a new bin where the next one would pass the budget.  The rule looks at one file
+    after another, so a folder streams through its task, which holds a batch of it; (group, name, bin)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folder, begun, at, used = None, False, 0, 0
+        for batch in batches:
+            out = []
+            for g, size in zip(batch.column(group).to_pylist(), batch.column("size").to_pylist()):
+                size = size or 0
+                if not begun or g != folder:
+                    folder, begun, at, used = g, True, 0, 0
+                elif used > 0 and used + size > budget:
+                    at, used = at + 1, 0
+                used += size
+                out.append(at)
+            yield pa.RecordBatch.from_arrays([batch.column(group), batch.column("name"), pa.array(out, pa.int64())], [group, "name", "bin"])
+
+    rows = files.select(group, "name", F.col("size").cast("long").alias("size")).repartition(group).sortWithinPartitions(group, "name", "size")
+    return rows.mapInArrow(run, f"`{group}` {files.schema[group].dataType.simpleString()}, name string, bin long")
+
+
+def first_graph(html: Column) -> Column:
+    """The entries, as JSON texts, of the first block of linked data that can be parsed and has a @graph."""
+    graphs = F.filter(F.transform(linked_data(html), lambda b: F.get_json_object(b, "$['@graph']")), lambda g: g.isNotNull())
+    return F.transform(F.coalesce(F.from_json(F.get(graphs, F.lit(0)), "array<variant>"), F.expr("CAST(array() AS ARRAY<VARIANT>)")), lambda v: F.to_json(v))
+
+
+def first_of_link(rows: DataFrame, link: str, order: list[str], k: int) -> DataFrame:
+    """The first k distinct rows of each link; a hot link sends k rows a task."""
+    w = Window.partitionBy(link).orderBy(*order)
+    return rows.select(link, *order).distinct().withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= k)
 
 
 def best_per_position(images: DataFrame) -> DataFrame:

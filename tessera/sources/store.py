@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -28,3 +29,31 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def single_writer(spark: SparkSession, path: str):
+    """Holds `path`.lock, which only one writer can create; another one gets a FileExistsError."""
+    lock = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.lock")
+    fs = lock.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.createNewFile(lock):
+        raise FileExistsError(f"{path} is being written")
+    try:
+        yield fs
+    finally:
+        fs.delete(lock, False)
+
+
+def replace(df: DataFrame, path: str) -> None:
+    """Writes df beside the table at `path` and then puts it in its place, so that readers see the old table or the
+    new one; one writer at a time."""
+    spark = df.sparkSession
+    as_path = spark._jvm.org.apache.hadoop.fs.Path
+    with single_writer(spark, path) as fs:
+        new, old = as_path(f"{path}.new-{uuid.uuid4().hex}"), as_path(f"{path}.old-{uuid.uuid4().hex}")
+        df.write.parquet(new.toString())
+        there = fs.exists(as_path(path))
+        if there and not fs.rename(as_path(path), old) or not fs.rename(new, as_path(path)):
+            raise OSError(f"{path} can't be replaced")
+        if there:
+            fs.delete(old, True)
