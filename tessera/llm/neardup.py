@@ -76,13 +76,11 @@ def shingles(texts: pa.Array, size: int = WORDS) -> tuple[np.ndarray, np.ndarray
 
 
 def _shingles(w: T.Words, size: int, *more: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Row and hash of each shingle, row by row, and its hash over the other word hashes given."""
+    """Row and hash of each shingle, and its hash over the other word hashes given."""
     rows, counts = w.rows(), w.counts()
     at = T.starts(w.bounds, size)
     short = np.flatnonzero((counts > 0) & (counts < size))
-    row = np.concatenate([rows[at], short])
-    order = np.argsort(row, kind="stable")
-    return row[order], *(np.concatenate([T.grams(h, size, at), T.grams(h, counts[short], w.bounds[short])])[order] for h in (w.hash, *more))
+    return np.concatenate([rows[at], short]), *(np.concatenate([T.grams(h, size, at), T.grams(h, counts[short], w.bounds[short])]) for h in (w.hash, *more))
 
 
 def signatures(h: np.ndarray, offsets: np.ndarray, hashes: int) -> np.ndarray:
@@ -107,8 +105,11 @@ def sketches(documents: DataFrame, least: int = 85) -> DataFrame:
             for part in T.slices(batch, "text"):
                 w = T.words(part.column("text"), lower=True)
                 row, h, g = _shingles(w, WORDS, w.other())
-                order = np.lexsort((g, h, row))
+                order = T.by_row(row, h)
                 row, h, g = row[order], h[order], g[order]
+                if ((row[1:] == row[:-1]) & (h[1:] == h[:-1]) & (g[1:] != g[:-1])).any():
+                    order = np.lexsort((g, h, row))
+                    row, h, g = row[order], h[order], g[order]
                 new = np.ones(len(row), bool)
                 new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1]) | (g[1:] != g[:-1])
                 row, h, g = row[new], h[new], g[new]
@@ -244,6 +245,7 @@ def rare_pairs(texts: DataFrame, least: int = 85) -> DataFrame:
     place = F.col("k") + F.col("n") - F.col("all")
     prefix = kept(shared.where(place <= F.col("n") - F.ceil(F.col("n") * least / 100) + 1).select("h", "doc_id", "component", "n", place.alias("place")), "prefixes")
     groups = prefix.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("blocks")).where("x <> y").select(F.col("h").alias("_h"), "blocks")
+    groups = kept(groups, "prefix-groups")  # a plain table, so that Spark can split a shingle that very many hold
     dealt = prefix.join(groups.hint("merge"), F.col("h") == F.col("_h")).withColumn("block", F.pmod(F.xxhash64("doc_id", "h"), F.col("blocks")).cast("int"))
     side = lambda x, cells: dealt.select(F.col("h").alias(f"h{x}"), F.col("block").alias(f"block{x}"), F.explode(cells).alias(f"with{x}"), *(F.col(c).alias(f"{c}{x}") for c in ("doc_id", "component", "n", "place")))
     one, two = side(1, F.sequence("block", F.col("blocks") - 1)), side(2, F.sequence(F.lit(0), "block"))

@@ -176,11 +176,19 @@ def starts(bounds: np.ndarray, size: int) -> np.ndarray:
     return np.flatnonzero(np.arange(n) + size <= ends)
 
 
+def by_row(row: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The order by row, then by hash."""
+    order = np.argsort(h)
+    of = row[order]
+    # Numpy sorts numbers of 16 bits by counting.
+    return order[np.argsort(of.astype(np.uint16) if int(row.max(initial=0)) < 1 << 16 else of, kind="stable")]
+
+
 def distinct(row: np.ndarray, h: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes of each row, sorted, and n_rows + 1 offsets.  `row` has to be sorted."""
+    """Distinct hashes of each row, sorted, and n_rows + 1 offsets."""
     if not len(h):
         return h, np.zeros(n_rows + 1, np.int64)
-    order = np.lexsort((h, row))
+    order = by_row(row, h)
     row, h = row[order], h[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
