@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept; the columns of documents go
 through all stages but the last, which returns the encoded documents.
+
+Defined results: a null or empty text is a document like any other for each stage (scored, never a duplicate, clean,
+without secrets, without ids); repeated rows share each verdict, but for near-duplicates, where rows of one doc_id stay
+or go together; a null doc_id is kept by the dedup stage; an empty table gives an empty result; columns beside those of
+documents go through.
 """
 
 from __future__ import annotations
@@ -19,8 +24,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first document of each group of near-duplicates."""
-    return neardup.keep_one(docs)
+    """Keeps the first document of each group of near-duplicates: five words, a similarity of 0.8 or more."""
+    return neardup.keep_one(docs, 80)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
