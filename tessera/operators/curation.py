@@ -83,9 +83,10 @@ def near_pairs(rows: DataFrame, most: int = 6, agree: int = 3) -> DataFrame:
     bits = F.concat(*[F.lpad(F.conv(F.substring("hash", i, 8), 16, 2), 32, "0") for i in (1, 9)])
     n = most + agree
     cuts = [round(64 * i / n) for i in range(n + 1)]
-    cut = [F.substring(bits, a + 1, b - a) for a, b in zip(cuts, cuts[1:])]
-    bands = F.array(*[F.xxhash64(F.lit(k), *(cut[i] for i in some)) for k, some in enumerate(combinations(range(n), agree))])
-    keyed = rows.groupBy("hash").agg(F.min("id").alias("id")).withColumn("band", F.explode(bands))
+    cut = F.array(*[F.substring(bits, a + 1, b - a) for a, b in zip(cuts, cuts[1:])])
+    choices = F.array(*[F.array(*map(F.lit, some)) for some in combinations(range(n), agree)])
+    bands = F.transform(choices, lambda some: F.xxhash64(some, F.transform(some, lambda i: F.get("cut", i))))
+    keyed = rows.groupBy("hash").agg(F.min("id").alias("id")).withColumn("cut", cut).withColumn("band", F.explode(bands))
     left, right = keyed.select("band", F.col("id").alias("a"), F.col("hash").alias("ha")), keyed.select("band", F.col("id").alias("b"), F.col("hash").alias("hb"))
     return left.join(right, "band").where((F.col("a") < F.col("b")) & (hamming(F.col("ha"), F.col("hb")) <= most)).select("a", "b").distinct()
 
