@@ -1,4 +1,8 @@
-"""Connected components of an edge table."""
+"""Connected components of an edge table.
+
+Defined results: an edge with a null end or of a node with itself joins nothing; repeated and turned edges count once; an
+empty table has no components.
+"""
 
 from __future__ import annotations
 

@@ -24,6 +24,8 @@ FEATURES = ("log_words", "word_length", "word_length_spread", "upper", "digits",
 #: Labelled documents that a fit reads at most; chosen by the hash of doc_id.
 MAX_ROWS = 20_000
 POOLED, RIDGE = 0.1, 0.05
+#: Variance that the identity's multiple stands for at least, where a class's documents are all alike.
+LEAST_VARIANCE = 1e-6
 
 _KIND = np.full(256, 0, np.uint8)  # 0: other
 _KIND[0x61:0x7B] = 1
@@ -96,7 +98,7 @@ class QuadraticDiscriminant:
         both = sum(((y == c).sum() - 1) * own[c] for c in (0, 1)) / (len(y) - 2)
         for c in (0, 1):
             cov = (1 - pooled) * own[c] + pooled * both
-            cov = (1 - ridge) * cov + ridge * np.trace(cov) / len(cov) * np.eye(len(cov))
+            cov = (1 - ridge) * cov + ridge * max(np.trace(cov) / len(cov), LEAST_VARIANCE) * np.eye(len(cov))
             chol = np.linalg.cholesky(cov)
             self.parts.append((z[y == c].mean(0), np.linalg.inv(chol).T, float(2 * np.log(np.diag(chol)).sum() - 2 * np.log((y == c).mean()))))
         self.slope, self.offset = _calibrated(self.difference(x), y)

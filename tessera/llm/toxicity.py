@@ -76,18 +76,25 @@ def compose(*parts: Transducer) -> dict[tuple[int, int], tuple[int, float]]:
     return arcs
 
 
-def grammar() -> dict[tuple[int, int], tuple[int, float]]:
-    """The composed clause grammar."""
+def transducers() -> list[Transducer]:
+    """What reads a clause, each part for itself."""
     kinds = (INSULT, THREAT)
-    # A target named earlier in the clause aims what follows; a threat without one hardly counts.
-    target = Transducer(0, {(0, TARGET): (1, 1.0), (0, THREAT): (0, 0.1), (1, INSULT): (1, 1.25), (1, THREAT): (1, 0.8)})
+    # A word that adds to an insult counts more than the first.
+    insult = Transducer(0, {(0, INSULT): (1, 1.0), (1, INSULT): (1, 1.2)})
+    # A threat hardly counts until the clause has named whom it is for.
+    threat = Transducer(0, {(0, TARGET): (1, 1.0), (0, THREAT): (0, 0.1), (1, THREAT): (1, 0.8)})
+    # An insult counts more once the clause has a target.
+    target = Transducer(0, {(0, TARGET): (1, 1.0), (1, INSULT): (1, 1.25)})
     # Negation reaches over the next three words.
     negation = Transducer(0, {(s, NEGATION): (3, 1.0) for s in range(4)} | {(s, k): (s - 1, 0.6) for s in (1, 2, 3) for k in kinds}, rest=lambda s: max(0, s - 1))
     # What follows a verb of speaking is someone else's.
     reported = Transducer(0, {(0, REPORTED): (1, 1.0)} | {(1, k): (1, 0.7) for k in kinds})
-    # A word that adds to an insult counts more than the first.
-    chain = Transducer(0, {(0, INSULT): (1, 1.0), (1, INSULT): (1, 1.2)})
-    return compose(target, negation, reported, chain)
+    return [insult, threat, target, negation, reported]
+
+
+def grammar() -> dict[tuple[int, int], tuple[int, float]]:
+    """The composed clause grammar."""
+    return compose(*transducers())
 
 
 class Reader:

@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import chat, decontaminate, graph, licences, media, neardup, pieces, quality, queries, repeats, secrets, toxicity
+from tessera.llm import labels as learn
 from tests.compare import duck_rows, spark_rows
 
 LOWER = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
@@ -380,6 +381,48 @@ def test_classifiers_odd_rows(spark, odd, empty):
         assert quality.classify(empty, model).count() == toxicity.score(empty, scorer).count() == 0
 
 
+def test_samples_keep_their_bound(spark):
+    docs = spark.createDataFrame([(i % 4, f"text {i % 7}") for i in range(5000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i % 3, i % 2, i % 2) for i in range(300)] + [(3, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    for most in (4, 1000):
+        rows = learn.labelled_sample(docs, labels, "quality", 5, -1, most).collect()
+        assert len(rows) == min(most, 4 * 7 * 2 - 7) and len(set(rows)) == len(rows)
+        assert len(quality.fit(docs, labels, held_out=-1, max_rows=most).parts) in (0, 2)
+    assert {r.y for r in learn.labelled_sample(docs, labels, "toxic", 5, -1, 1000).where("doc_id = 3").collect()} == set()
+
+
+def test_discriminant_is_the_formula(spark):
+    """Scores against the two Gaussians' densities, written out."""
+    rng = np.random.default_rng(2)
+    y = (rng.random(300) < 0.3).astype(int)
+    x = rng.normal(size=(300, 5)) @ rng.normal(size=(5, 5)) + y[:, None] * np.arange(5) * 0.4
+    model = quality.QuadraticDiscriminant(x, y, 0.1, 0.05)
+    z = (x - x.mean(0)) / (x.std(0) + 1e-6)
+    covs = [np.cov(z[y == c].T) for c in (0, 1)]
+    pooled = (covs[0] * ((y == 0).sum() - 1) + covs[1] * ((y == 1).sum() - 1)) / (len(y) - 2)
+    density = []
+    for c in (0, 1):
+        cov = 0.9 * covs[c] + 0.1 * pooled
+        cov = 0.95 * cov + 0.05 * np.trace(cov) / 5 * np.eye(5)
+        d = z - z[y == c].mean(0)
+        density.append(-0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d) - 0.5 * np.log(np.linalg.det(cov)) + np.log((y == c).mean()))
+    assert np.allclose(model.difference(x), density[1] - density[0])
+
+
+def test_composed_grammar_is_its_parts():
+    """The composed machine gives each word the product of what its transducers give one by one."""
+    parts = toxicity.transducers()
+    arcs = toxicity.compose(*parts)
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        state, own = 0, [p.start for p in parts]
+        for kind in rng.integers(0, 6, 12).tolist():
+            state, factor = arcs[state, kind]
+            steps = [p.step(s, kind) for p, s in zip(parts, own)]
+            own = [s for s, _ in steps]
+            assert factor == pytest.approx(float(np.prod([f for _, f in steps])))
+
+
 def test_clauses_are_more_than_words():
     lexicon = toxicity.Lexicon({})
     scores = toxicity.clause_features(pa.array(["you idiot", "an idiot", "not an idiot", "she said idiot", "they kill you", "kill time", "nothing", None]), lexicon, toxicity.grammar())[:, 1]
@@ -389,7 +432,7 @@ def test_clauses_are_more_than_words():
 # 9
 
 
-def brute_components(rows):
+def brute_components(rows, least=85):
     sets, link = {}, {}
     for i, t in rows:
         w = [x for x in re.split(r"[\x20\x09-\x0D]+", (t or "").translate(LOWER)) if x]
@@ -404,7 +447,7 @@ def brute_components(rows):
         for a, b in itertools.combinations(ids, 2):
             shared[a, b] += 1
     for (a, b), n in shared.items():
-        if 100 * n >= 85 * (len(sets[a]) + len(sets[b]) - n):
+        if 100 * n >= least * (len(sets[a]) + len(sets[b]) - n):
             x, y = find(a), find(b)
             link[max(x, y)] = min(x, y)
     return {i: (len(s), find(i)) for i, s in sets.items()}
@@ -455,6 +498,59 @@ def test_near_duplicates_of_near_originals(spark):
     assert got == {i: c for i, (_, c) in brute_components(rows).items()} and set(got.values()) == {0}
 
 
+def form_letters(n=500, links=60, slots=80, gap=17, seed=8):
+    """Letters of one form: each slot has one of two wordings, so strangers are at 0.746 and every shingle is common; a
+    link differs in 22 slots from its original, which is 0.852."""
+    rng = np.random.default_rng(seed)
+    bits = rng.random((n, slots)) < 0.5
+    for k in range(links):
+        bits[n - links + k] = bits[k]
+        flip = rng.choice(slots, 22, replace=False)
+        bits[n - links + k, flip] ^= True
+    fixed = [f"f{i}" for i in range(slots * gap + 19)]
+    rows = []
+    for i in range(n):
+        words = list(fixed)
+        for s in range(slots):
+            words[8 + s * gap] = f"{'ab'[int(bits[i, s])]}{s}"
+        rows.append((i, " ".join(words)))
+    differ = (bits[:, None, :] != bits[None, :, :]).sum(2)
+    size = slots * gap + 15
+    return rows, [(i, j) for i in range(n) for j in range(i + 1, n) if 100 * (size - 5 * differ[i, j]) >= 85 * (size + 5 * differ[i, j])]
+
+
+def test_near_duplicates_of_form_letters(spark):
+    rows, links = form_letters()
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows[:3] + rows[-60:]}
+    for i, j in itertools.combinations(sets, 2):
+        both = len(sets[i] & sets[j])
+        assert ((i, j) in set(links)) == (100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both))
+    find = list(range(len(rows)))
+    for i, j in links:  # smaller ends first, so a few passes settle it
+        find[j] = min(find[i], find[j])
+    while any(find[i] != find[j] for i, j in links):
+        for i, j in links:
+            find[i] = find[j] = min(find[i], find[j])
+    assert len(links) >= 60
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(find))
+
+
+@pytest.mark.parametrize("least", [70, 80, 95])
+def test_other_thresholds(spark, least):
+    rng = np.random.default_rng(least)
+    rows = []
+    for g in range(40):
+        base = [f"g{g}w{i}" for i in range(120)]
+        for k in range(int(rng.integers(1, 60 if g == 0 else 6))):
+            words = list(base)
+            for i in rng.choice(120, int(rng.integers(0, 7)), replace=False):
+                words[i] = f"x{g}-{k}-{i}"
+            rows.append((len(rows), " ".join(words)))
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), least).collect()}
+    assert got == {i: c for i, (_, c) in brute_components(rows, least).items()}
+
+
 def test_near_duplicates_odd_rows(odd, empty):
     rows = neardup.near_duplicates(odd).collect()
     want = brute_components(pairs_of(odd))

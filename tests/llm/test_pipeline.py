@@ -17,7 +17,7 @@ def test_stages(spark, sf_dir, documents):
     assert good.columns == columns and {r.doc_id for r in good.collect()} == {r.doc_id for r in scores.where("predicted = 1").collect()}
 
     one = by_name["MinHash near-dedup"](spark, good, sf_dir)
-    assert one.columns == columns and {r.doc_id for r in one.collect()} == {i for i, (_, c) in brute_components(pairs_of(good)).items() if c == i}
+    assert one.columns == columns and {r.doc_id for r in one.collect()} == {i for i, (_, c) in brute_components(pairs_of(good), 80).items() if c == i}
 
     clean = by_name["benchmark decontamination"](spark, one, sf_dir)
     items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]
