@@ -284,12 +284,19 @@ class Forest:
         return votes / max(len(self.roots), 1) if self.roots else np.ones(len(x))
 
 
+_MADE: list[Forest] = []
+
+
 def train(spark: SparkSession, findings: list[tuple[str, str, str, str, int]] | None = None) -> Forest:
-    """A forest from labelled findings, which are a bounded, hand-labelled set and not a corpus."""
+    """A forest from labelled findings, which are a bounded, hand-labelled set and not a corpus.  The one from the findings
+    made here is the same each time, so a driver fits it once."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.linalg import Vectors
 
-    findings = labelled_findings() if findings is None else findings
+    if findings is None:
+        if not _MADE:
+            _MADE.append(train(spark, labelled_findings()))
+        return _MADE[0]
     if len({y for *_, y in findings}) < 2:
         return Forest("", 0)
     rows = [(float(y), Vectors.dense(features(*x))) for *x, y in findings]

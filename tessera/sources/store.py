@@ -25,12 +25,22 @@ def shared_folder(spark: SparkSession) -> str:
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: later jobs start from the files, also after an
-    executor is lost.  The files stay until the caller clears the shared folder."""
-    path = f"{shared_folder(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
+    executor is lost.  The files stay until `clear` or the owner of the shared folder removes them."""
+    path = f"{_tables(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _tables(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/tables/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes the tables that this application has saved; results that are still to be computed from them are lost."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_tables(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @contextlib.contextmanager
 def single_writer(spark: SparkSession, path: str):
     """Holds `path`.lock, which only one writer can create; another one gets a FileExistsError."""

@@ -141,6 +141,57 @@ def test_secrets_of_many_forms(forest):
     assert not any(found)
 
 
+RUN = "A-Za-z0-9+/_.-"
+
+
+def brute_candidates(text):
+    """Runs, one by one: (start, end) in bytes.  Private keys aside."""
+    raw, out = text.encode(), []
+    for m in re.finditer(rb"[%s]+" % RUN.encode(), raw):
+        a, b = m.span()
+        b = a + len(raw[a:b].rstrip(b".-"))
+        for pad in (b"==", b"="):
+            if raw[b : b + len(pad)] == pad and (b + len(pad) - a) % 4 == 0 and not re.match(rb"[%s=]" % RUN.encode(), raw[b + len(pad) :]):
+                b += len(pad)
+                break
+        before = raw[max(0, a - 64) : a].decode(errors="ignore")
+        assigned = re.search(r"(=>|[=:])\s*[\"'`]?$", before)
+        words = [x.lower() for x in re.findall("[A-Za-z0-9]+", re.sub("(?<=[a-z0-9])(?=[A-Z])", " ", before))[-3:]]
+        named = any(w in secrets.SECRET_WORDS or w.endswith(("token", "secret", "apikey", "password", "passwd", "passphrase")) for w in words)
+        if b - a >= (8 if assigned else 16) and (re.search(rb"[0-9]", m[0]) or assigned or named):
+            out.append((a, b))
+    return out
+
+
+def test_candidates_are_all_runs_of_that_shape():
+    rng = np.random.default_rng(12)
+    bits = ["abcdefgh", "Zk39qPw7Lm2xVt5R", "====", "=", '= "', "token", " ", "\n", ":", "=>", "'", '"', "é", ".", "-", "/usr/lib/x1", "password", "QUJD", "0123456789", "key ", "`"]
+    texts = ["".join(bits[i] for i in rng.integers(0, len(bits), rng.integers(1, 30))) for _ in range(3000)]
+    rows, found = secrets.candidates(pa.array(texts))
+    got = defaultdict(list)
+    for r, c in zip(rows.tolist(), found):
+        assert texts[r].encode()[c.start : c.end].decode() == c.text
+        got[r].append((c.start, c.end))
+    assert sum(map(len, got.values())) > 2000
+    for r, text in enumerate(texts):
+        assert got[r] == brute_candidates(text), text
+
+
+def test_forest_votes_as_spark_s(spark):
+    """The forest's arrays against the model that Spark trained, and the redacted text against the findings' places."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.linalg import Vectors
+
+    rows = secrets.labelled_findings(400, seed=3)
+    data = spark.createDataFrame([(float(y), Vectors.dense(secrets.features(*x))) for *x, y in rows], ["label", "features"]).coalesce(1)
+    model = RandomForestClassifier(numTrees=5, maxDepth=secrets.DEPTH, seed=1).fit(data)
+    own = secrets.Forest(model.toDebugString, 5)
+    # Each tree votes for its leaf's label there, with its leaf's share in Spark's probability.
+    x = np.array([r.features.toArray() for r in data.collect()])
+    votes = np.mean([[t.predict(Vectors.dense(v)) for v in x] for t in model.trees], axis=0)
+    assert np.allclose(own.score(x), votes)
+
+
 # 3
 
 

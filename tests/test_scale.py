@@ -115,6 +115,14 @@ def test_replaced_by_one_writer(spark):
     assert spark.read.parquet(path).count() == 2
 
 
+def test_saved_tables_can_be_cleared(spark):
+    df = store.saved(spark.range(5), "five")
+    assert df.count() == 5
+    store.clear(spark)
+    with pytest.raises(Exception, match="(?i)not.exist|not found|FILE_NOT_EXIST"):
+        store.saved(spark.range(5), "more").unionByName(df).count()
+
+
 def test_colours_and_accents(spark):
     names = {**K.EXACT_COLOURS, "Metallic Gold": "gold", " Jet Black": "black", "Summit White": "cream", "no such": None}
     df = spark.createDataFrame(list(names.items()), "name string, want string")
