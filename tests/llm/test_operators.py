@@ -151,7 +151,7 @@ def brute_candidates(text):
         a, b = m.span()
         b = a + len(raw[a:b].rstrip(b".-"))
         for pad in (b"==", b"="):
-            if raw[b : b + len(pad)] == pad and (b + len(pad) - a) % 4 == 0 and not re.match(rb"[%s=]" % RUN.encode(), raw[b + len(pad) :]):
+            if raw[b : b + len(pad)] == pad and (b + len(pad) - a) % 4 == 0 and not re.match(rb"[=%s]" % RUN.encode(), raw[b + len(pad) :]):
                 b += len(pad)
                 break
         before = raw[max(0, a - 64) : a].decode(errors="ignore")
