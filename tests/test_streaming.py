@@ -25,6 +25,7 @@ def test_upserts_from_files(spark, sf_dir, tmp_path):
 
 def test_later_batches_win(spark, tmp_path):
     rows = lambda *x: spark.createDataFrame(x, "k long, v string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    (tmp_path / "in").mkdir()
     stream = spark.readStream.schema("k long, v string").parquet(f"{tmp_path}/in")
     run = lambda: upsert_stream(stream, f"{tmp_path}/out", ["k"], ["v"], f"{tmp_path}/checkpoint").awaitTermination()
     rows((1, "z"), (1, "y"), (2, "a"))
