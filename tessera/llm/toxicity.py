@@ -34,7 +34,10 @@ MAX_ROWS = 20_000
 #: Terms that a lexicon holds at most, the most telling first.
 MAX_TERMS = 50_000
 STEMS = (4, 5, 6, 7, 8)
-LEAST_DOCS, LEAST_WEIGHT, FULL_WEIGHT = 4, 2.5, 7.0
+#: Toxic documents that hold a term at least, the log of how much oftener they do than others at least, and the one of a
+#: full weight.  In three-fold cross-validation over the training folds at sf0.1 a least log of 2 found 0.918 of the toxic
+#: ones at a precision of 0.969 (2.5: 0.889 and 0.982; 1: 0.905 and 0.923).
+LEAST_DOCS, LEAST_WEIGHT, FULL_WEIGHT = 4, 2.0, 7.0
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORTED = range(6)
 WORDS = {
