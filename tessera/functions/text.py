@@ -186,3 +186,33 @@ def shorten(brand: Column, name: Column, limit: int = 52) -> Column:
     rest = F.when(F.startswith(F.lower(name), F.lower(brand)), F.trim(F.substr(name, F.length(brand) + 1))).otherwise(name)
     full = F.trim(F.concat_ws(" ", brand, rest))
     return F.when(F.length(full) <= limit, full).otherwise(F.regexp_replace(F.substring(full, 1, limit), r"\s+\S*$", ""))
+
+
+def fingerprint(*columns: Column | str) -> Column:
+    """What tells whether a row's metadata changed; nulls are passed over."""
+    return F.md5(F.concat_ws("|", *columns))
+
+
+def description(*columns: Column | str, most: int = 2000) -> Column:
+    """the texts that are there, a line each, cut at `most` characters as the format has it."""
+    return F.substring(F.concat_ws("\n", *columns), 1, most)
+
+
+def flair(c: Column) -> Column:
+    """F37."""
+    return F.lower(F.trim(c))
+
+
+def decision(confidence: Column, hedge: Column, reject: float = 0.2, sure: float = 0.8) -> Column:
+    """what is said of an answer: the first rule that holds."""
+    return F.when(confidence < reject, "rejected").when(hedge, "hedged").when(confidence >= sure, "sure").otherwise("likely")
+
+
+def first_present(*columns: Column, default: str | None = None) -> Column:
+    """the first value that is there."""
+    return F.coalesce(*columns, F.lit(default))
+
+
+def reference(address: Column, base: str) -> Column:
+    """an address as it is, anything else below `base`."""
+    return F.when(address.rlike("^https?://"), address).otherwise(F.concat(F.lit(base), address))

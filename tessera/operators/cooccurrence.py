@@ -49,8 +49,9 @@ def examples(observations: DataFrame, most: int = 5) -> DataFrame:
 
 def colour_pairs(observations: DataFrame, most: int = 40, min_count: int = 3) -> DataFrame:
     """C4: (category, colour) with each category it meets, both directions: the top `most`, of those the frequent."""
-    other = observations.select("post", F.col("category").alias("b"), F.col("colour").alias("b_colour"))
-    n = observations.join(other, "post").where("category <> b").groupBy("category", "colour", "b", "b_colour").agg(F.count(F.lit(1)).alias("n"))
+    sets = observations.groupBy("post").agg(F.collect_list(F.struct("category", "colour")).alias("cs"))
+    met = F.explode(F.expr("flatten(transform(cs, x -> transform(filter(cs, y -> y.category <> x.category), y -> struct(x.category, x.colour, y.category AS b, y.colour AS b_colour))))"))
+    n = sets.where(F.size("cs") > 1).select(met.alias("p")).groupBy("p.category", "p.colour", "p.b", "p.b_colour").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("category", "colour").orderBy(F.desc("n"), "b", "b_colour")
     return n.withColumn("k", F.row_number().over(w)).where((F.col("k") <= most) & (F.col("n") >= min_count))
 

@@ -143,3 +143,50 @@ def training_batches(rows: DataFrame, product: str, key: str, n_batches: int, pe
     batch = F.floor(unit_hash(F.concat_ws(":", F.lit(str(seed)), F.col(product).cast("string"))) * n_batches).cast("long")
     w = Window.partitionBy(product).orderBy(seeded(F.col(key), seed), key)
     return rows.withColumns({"batch": F.least(batch, F.lit(n_batches - 1).cast("long")), "k": F.row_number().over(w)}).where(F.col("k") <= per_product)
+
+
+def last_write_wins(rows: DataFrame, keys: list[str], value: str, order: list[str]) -> DataFrame:
+    """Each key's value of the last write."""
+    return rows.groupBy(*keys).agg(F.max_by(value, F.struct(*order)).alias(value))
+
+
+def cache_check(rows: DataFrame, key: str, vector: str, size: int) -> DataFrame:
+    """One row: keys, vectors of the right size, and whether the cache can be used (as many of the one as the other)."""
+    return rows.agg(F.count(key).alias("keys"), F.count_if(F.size(vector) == size).alias("vectors")).withColumn("usable", F.col("keys") == F.col("vectors"))
+
+
+# Orders and sets
+
+
+def top(rows: DataFrame, by: str, key: str, k: int) -> DataFrame:
+    """O1: the k rows of highest value, ties by key; each task sends k rows."""
+    return rows.orderBy(F.desc(by), key).limit(k)
+
+
+def most_common(rows: DataFrame, columns: list[str], place: Column, k: int) -> DataFrame:
+    """O2: the k most frequent values; of equals the one seen first."""
+    return rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).orderBy(F.desc("n"), "first", *columns).limit(k)
+
+
+def union_views(*views: DataFrame) -> DataFrame:
+    """Rows of all views; columns that a view lacks are null."""
+    out = views[0]
+    for view in views[1:]:
+        out = out.unionByName(view, allowMissingColumns=True)
+    return out
+
+
+def in_both(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The distinct rows of both."""
+    return left.intersect(right)
+
+
+def only_left(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The distinct rows that the left side holds oftener than the right."""
+    return left.exceptAll(right).distinct()
+
+
+def ordered_distinct(rows: DataFrame, by: str, order: list[str], value: str) -> DataFrame:
+    """Each group's values in the order of their first places; groups are small (a post's items)."""
+    lists = rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(*order, value))).alias("_x"))
+    return lists.select(by, F.array_distinct(F.transform("_x", lambda x: x[value])).alias("values"))

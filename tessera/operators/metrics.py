@@ -131,3 +131,48 @@ def deep_diff(left: DataFrame, right: DataFrame, ignored: Sequence[str] = ()) ->
     a, b = left.withColumnRenamed("value", "left"), right.withColumnRenamed("value", "right")
     rows = a.where(~F.col("path").isin(*ignored)).withColumn("_a", F.lit(1)).join(b.where(~F.col("path").isin(*ignored)).withColumn("_b", F.lit(1)), ["id", "path"], "full")
     return rows.where(~F.col("left").eqNullSafe(F.col("right")) | F.col("_a").isNull() | F.col("_b").isNull()).select("id", "path", "left", "right")
+
+
+def first_of(hits: DataFrame, *order: str | Column) -> DataFrame:
+    """The first hit of each query."""
+    return hits.withColumn("_k", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where("_k = 1").drop("_k")
+
+
+def top_one_split(firsts: DataFrame, same: Column) -> DataFrame:
+    """Shares of first hits of the same model and of unrelated ones."""
+    return firsts.agg(F.avg(same.cast("int")).alias("same_model"), F.avg((~same).cast("int")).alias("unrelated"))
+
+
+def miss_rate(scores: DataFrame) -> DataFrame:
+    """The share of queries whose shortlist holds no target."""
+    return scores.groupBy("query_id").agg(F.max("is_target").alias("found")).agg(F.avg((~F.col("found")).cast("int")).alias("miss_rate"))
+
+
+def overlap(scores: DataFrame, by: str) -> DataFrame:
+    """Per group how many positives lie below its highest negative, and negatives above its lowest positive; the
+    edges are aggregates, so no group is gathered."""
+    edges = scores.groupBy(F.col(by).alias("_by")).agg(F.max(F.when(~F.col("positive"), F.col("score"))).alias("_high"), F.min(F.when(F.col("positive"), F.col("score"))).alias("_low"))
+    rows = scores.join(edges, F.col(by).eqNullSafe(F.col("_by")))
+    return rows.groupBy(by).agg(F.count_if(F.col("positive") & (F.col("score") < F.col("_high"))).alias("pos_below"), F.count_if(~F.col("positive") & (F.col("score") > F.col("_low"))).alias("neg_above"))
+
+
+def precision_at(judged: DataFrame, by: str, order: list[Column | str], right: Column, k: int = 15) -> DataFrame:
+    """The share of right ones among each group's first k judged rows."""
+    first = judged.withColumn("_k", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("_k") <= k)
+    return first.groupBy(by).agg(F.avg(right.cast("int")).alias("precision"))
+
+
+def positive_floor(scores: DataFrame, share: float = 0.01) -> DataFrame:
+    """One row: the lowest positive score (no false reject), and the one that rejects `share` of the positives."""
+    positives = scores.where("positive")
+    return positives.agg(F.min("score").alias("lowest")).crossJoin(percentiles(positives, "score", [share]).select(F.col("value").alias("at_share")))
+
+
+def agreement(pairs: DataFrame, by: str, a: str, b: str) -> DataFrame:
+    """The share of each group's rows whose two verdicts agree."""
+    return pairs.groupBy(by).agg(F.avg((F.col(a) == F.col(b)).cast("int")).alias("agreement"), F.count(F.lit(1)).alias("n"))
+
+
+def recall_by_cohort(ranks: DataFrame, cohort: Column, k: int = 1) -> DataFrame:
+    """Recall at k of unseen products and of the control group."""
+    return ranks.groupBy(cohort.alias("unseen")).agg(F.avg((F.col("rank") <= k).cast("int")).alias("r_at_1"), F.count(F.lit(1)).alias("n"))

@@ -154,3 +154,19 @@ def pooled_class(probs: DataFrame, key: str, pool: str = "mean") -> DataFrame:
 def micro_macro(rows: DataFrame, *by: str) -> DataFrame:
     """micro = hits / judged over all, macro = mean of each row's share."""
     return rows.groupBy(*by).agg((F.sum("hits") / F.greatest(F.sum("judged"), F.lit(1))).alias("micro"), F.avg(F.col("hits") / F.greatest(F.col("judged"), F.lit(1))).alias("macro"))
+
+
+def vocabulary(rows: DataFrame, canonical: Column, raw: str, unmapped: Column) -> DataFrame:
+    """A5: each canonical value with the raw ones that stand for it, and how many rows weren't mapped."""
+    return rows.groupBy(canonical.alias("canonical")).agg(F.array_sort(F.collect_set(raw)).alias("raw"), F.count_if(unmapped).alias("unmapped"))
+
+
+def bucket_coverage(rows: DataFrame, raw: str, folded: str = "folded", other: str = "other") -> DataFrame:
+    """One row: raw values, values kept, and the share of rows that were folded."""
+    return rows.agg(F.countDistinct(raw).alias("raw"), F.countDistinct(folded).alias("kept"), F.avg((F.col(folded) == other).cast("int")).alias("folded_share"))
+
+
+def nested_counts(rows: DataFrame, by: str, inner: str) -> DataFrame:
+    """Each group's total, and its rows by an inner value as JSON; counted before anything is collected."""
+    counts = rows.groupBy(by, inner).agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy(by).agg(F.sum("n").alias("total"), F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(inner, "n"))))).alias("counts"))

@@ -114,3 +114,9 @@ def suppress(boxes: DataFrame, photo: str = "photo", most_iou: float = 0.5) -> D
     kept = F.aggregate("bs", F.filter("bs", lambda x: F.lit(False)), lambda kept, x: F.when(F.exists(kept, lambda k: box_iou(k["box"], x["box"]) > most_iou), kept).otherwise(F.concat(kept, F.array(x))))
     rows = boxes.groupBy(photo).agg(ordered.alias("bs")).select(photo, F.posexplode(kept).alias("k", "x"))
     return rows.groupBy(photo, "x.category").agg(F.min_by("x", "k").alias("x")).select(photo, F.col("x.id").alias("id"), "category", (-F.col("x.minus")).alias("confidence"))
+
+
+def best_crop(crops: DataFrame, by: str, key: str, area: Column, least: float = 0.4, band: tuple[float, float] = (2, 55)) -> DataFrame:
+    """Of each category's crops that are sure enough and whose area lies in the band the surest, the first of equals."""
+    some = crops.where((F.col("confidence") >= least) & area.between(*band))
+    return some.groupBy(by).agg(F.max_by(key, F.struct("confidence", -F.col(key))).alias(key))

@@ -34,3 +34,9 @@ def climb(probs: DataFrame, tree: DataFrame, threshold: float = 0.5) -> DataFram
     path = best.join(tree.select(F.col("leaf").alias("best"), F.col("ancestor").alias("node")), "best").join(mass, (mass.ancestor == F.col("node")) & (mass.query_id == best.query_id)).select(best.query_id, "best", "node", "level", "p")
     stop = F.min_by(F.struct("node", "level", "p"), F.when((F.col("p") >= threshold) | (F.col("level") == 0), -F.col("level")))
     return path.groupBy("query_id", "best").agg(stop.alias("s")).select("query_id", "best", F.col("s.node").alias("node"), F.col("s.level").alias("level"), F.col("s.p").alias("p"))
+
+
+def tree(rows: DataFrame, group: str, category: str, leaf: str) -> DataFrame:
+    """Per group the number of its categories, and each with its distinct leaves, both in order."""
+    leaves = rows.groupBy(group, category).agg(F.array_sort(F.collect_set(leaf)).alias("leaves"))
+    return leaves.groupBy(group).agg(F.count(F.lit(1)).alias("n_categories"), F.array_sort(F.collect_list(F.struct(F.col(category).alias("category"), "leaves"))).alias("categories"))

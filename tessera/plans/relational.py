@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions.vectors import dot
 from tessera.operators import metrics as M
 from tessera.operators import relational as R
+from tessera.operators import taxonomy as H
 from tessera.plans.catalog import register
 from tessera.sources.tables import ITEMS_SQL, POSTS_SQL, items, posts, table
 
@@ -14,10 +16,6 @@ SIM = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 r6 = lambda c: F.round(c, 6)
 
 
-def dot(a: str, b: str):
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
 register("P1_section_excluded", lambda s, d: posts(s, d).where(~R.section_excluded(F.col("status"), F.col("section"), ("P",), ("build", "house"))).select("post", "section", "status"), W + "SELECT post, section, status FROM posts WHERE NOT (status = 'P' OR contains(lower(section), 'build') OR contains(lower(section), 'house'))")
 register("P2_matchable", lambda s, d: posts(s, d).where(~R.section_excluded(F.col("status"), F.col("section"), (), ("machinery",))).groupBy("section").agg(F.count(F.lit(1)).alias("n")), W + "SELECT section, count(*) n FROM posts WHERE NOT contains(lower(section), 'machinery') GROUP BY 1")
 register("P3_matchable_sections", lambda s, d: posts(s, d).withColumn("ok", ~R.section_excluded(F.col("status"), F.col("section"), ("F",), ("auto",))).groupBy("ok").agg(F.count(F.lit(1)).alias("n")), W + "SELECT NOT (status = 'F' OR contains(lower(section), 'auto')) ok, count(*) n FROM posts GROUP BY 1")
@@ -71,8 +69,8 @@ _VIEWS = lambda s, d: items(s, d).select(F.col("category").alias("query"), F.col
 register("A3_score_by_product", lambda s, d: R.by_product(_VIEWS(s, d)), W + "SELECT category AS query, code AS product, max(confidence) score, arg_max(post, (confidence, -post)) best_view, count(*) matched_views FROM items GROUP BY 1, 2")
 register("A3_mean_by_product", lambda s, d: R.by_product(_VIEWS(s, d), "mean").select("query", "product", r6("score").alias("score")), W + "SELECT category AS query, code AS product, round(avg(confidence), 6) score FROM items GROUP BY 1, 2")
 register("A4_best_image", lambda s, d: R.by_product(_VIEWS(s, d)).withColumn("k", F.row_number().over(R.Window.partitionBy("query").orderBy(F.desc("score"), "product"))).where("k <= 10").select("query", "product", "k"), W + "SELECT query, product, k FROM (SELECT category AS query, code AS product, row_number() OVER (PARTITION BY category ORDER BY max(confidence) DESC, code) k FROM items GROUP BY 1, 2) WHERE k <= 10")
-register("A5_vocabulary", lambda s, d: items(s, d).groupBy(F.substring("colour", 1, 1).alias("canonical")).agg(F.array_join(F.array_sort(F.collect_set("colour")), ",").alias("raw"), F.count_if(F.col("confidence") < 0.1).alias("unmapped")), W + "SELECT substr(colour, 1, 1) canonical, string_agg(DISTINCT colour, ',' ORDER BY colour) raw, count(*) FILTER (WHERE confidence < 0.1) unmapped FROM items GROUP BY 1")
-register("A6_taxonomy_tree", lambda s, d: items(s, d).groupBy("grp", "category").agg(F.array_join(F.array_sort(F.collect_set("colour")), ",").alias("leaves")).groupBy("grp").agg(F.count(F.lit(1)).alias("n_categories"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("category", "leaves"))), lambda x: F.concat(x["category"], F.lit(":"), x["leaves"])), ";").alias("tree")), W + "SELECT grp, count(*) n_categories, string_agg(category || ':' || leaves, ';' ORDER BY category) tree FROM (SELECT grp, category, string_agg(DISTINCT colour, ',' ORDER BY colour) leaves FROM items GROUP BY 1, 2) GROUP BY 1")
+register("A5_vocabulary", lambda s, d: R.vocabulary(items(s, d), F.substring("colour", 1, 1), "colour", F.col("confidence") < 0.1).withColumn("raw", F.array_join("raw", ",")), W + "SELECT substr(colour, 1, 1) canonical, string_agg(DISTINCT colour, ',' ORDER BY colour) raw, count(*) FILTER (WHERE confidence < 0.1) unmapped FROM items GROUP BY 1")
+register("A6_taxonomy_tree", lambda s, d: H.tree(items(s, d), "grp", "category", "colour").select("grp", "n_categories", F.array_join(F.transform("categories", lambda x: F.concat(x["category"], F.lit(":"), F.array_join(x["leaves"], ","))), ";").alias("tree")), W + "SELECT grp, count(*) n_categories, string_agg(category || ':' || leaves, ';' ORDER BY category) tree FROM (SELECT grp, category, string_agg(DISTINCT colour, ',' ORDER BY colour) leaves FROM items GROUP BY 1, 2) GROUP BY 1")
 register("A7_token_index", lambda s, d: R.token_index(table(s, d, "part"), ["p_name", "p_brand", "p_type"], ("the", "and", "new")), r"SELECT token, field, value, count(*) n FROM (SELECT field, value, unnest(regexp_extract_all(lower(value), '[a-z][a-z\-'']+')) token FROM (SELECT 'p_name' field, p_name AS value FROM part UNION ALL SELECT 'p_brand', p_brand FROM part UNION ALL SELECT 'p_type', p_type FROM part)) WHERE length(token) >= 3 AND token NOT IN ('the', 'and', 'new') GROUP BY ALL")
 _LABELS = lambda: [F.lower("p_name"), F.split("p_name", " ")[1], F.concat_ws(" ", F.lower("p_brand"), F.split("p_name", " ")[1]), F.concat_ws(" ", F.lower("p_brand"), F.lower("p_name"))]
 register("A8_label_index", lambda s, d: R.label_index(table(s, d, "part").withColumn("code", F.col("p_partkey")), _LABELS()).groupBy("label").agg(F.count(F.lit(1)).alias("n_codes"), F.min("code").alias("first_code")), "SELECT label, count(*) n_codes, min(code) first_code FROM (SELECT DISTINCT p_partkey code, unnest([lower(p_name), split_part(p_name, ' ', 2), lower(p_brand) || ' ' || split_part(p_name, ' ', 2), lower(p_brand) || ' ' || lower(p_name)]) AS label FROM part) GROUP BY 1")
@@ -82,7 +80,7 @@ register("A12_score_stats", lambda s, d: M.score_stats(items(s, d), "category",
 _FOLD = W + ", f AS (SELECT category, brand, post FROM items), k AS (SELECT brand FROM f GROUP BY 1 HAVING count(*) FILTER (WHERE post % 10 < 7) >= 1650)"
 _fold = lambda s, d: R.fold_rare(items(s, d), "brand", F.col("post") % 10 < 7, 1650)
 register("A13_fold_rare", lambda s, d: _fold(s, d).groupBy("folded").agg(F.count(F.lit(1)).alias("n")), _FOLD + " SELECT CASE WHEN brand IN (FROM k) THEN brand ELSE 'other' END folded, count(*) n FROM f GROUP BY 1")
-register("A14_bucket_coverage", lambda s, d: _fold(s, d).agg(F.countDistinct("brand").alias("raw"), F.countDistinct("folded").alias("kept"), r6(F.avg((F.col("folded") == "other").cast("int"))).alias("folded_share")), _FOLD + " SELECT count(DISTINCT brand) raw, count(DISTINCT CASE WHEN brand IN (FROM k) THEN brand ELSE 'other' END) kept, round(avg((brand NOT IN (FROM k))::INT), 6) folded_share FROM f")
+register("A14_bucket_coverage", lambda s, d: R.bucket_coverage(_fold(s, d), "brand").withColumn("folded_share", r6("folded_share")), _FOLD + " SELECT count(DISTINCT brand) raw, count(DISTINCT CASE WHEN brand IN (FROM k) THEN brand ELSE 'other' END) kept, round(avg((brand NOT IN (FROM k))::INT), 6) folded_share FROM f")
 _PROBS = lambda s, d: items(s, d).select(F.col("code"), F.col("source").alias("cls"), F.col("confidence").alias("p"))
 for _pool, _fn in (("mean", "avg"), ("max", "max")):
     register(f"A{15 if _pool == 'mean' else 16}_pooled_{_pool}", lambda s, d, p=_pool: R.pooled_class(_PROBS(s, d), "code", p).withColumn("p", F.round("p", 9)), W + f", a AS (SELECT code, source cls, {_fn}(confidence) p FROM items GROUP BY 1, 2), b AS (SELECT code, cls, p / sum(p) OVER (PARTITION BY code) p FROM a) SELECT code, cls, round(p, 9) p FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY p DESC, cls DESC) k FROM b) WHERE k = 1")
@@ -90,4 +88,4 @@ register("A17_reason_counters", lambda s, d: items(s, d).groupBy("source", F.whe
 register("A18_ratios", lambda s, d: items(s, d).groupBy("grp").agg(r6(F.count_if(F.col("confidence") > 0.5) / F.greatest(F.count_if(F.col("source") == "X"), F.lit(1))).alias("ratio"), r6(F.count(F.lit(1)) / F.greatest(F.countDistinct("post"), F.lit(1))).alias("per_post")), W + "SELECT grp, round(count(*) FILTER (WHERE confidence > 0.5) / greatest(count(*) FILTER (WHERE source = 'X'), 1), 6) ratio, round(count(*) / greatest(count(DISTINCT post), 1), 6) per_post FROM items GROUP BY 1")
 _HITS = lambda s, d: items(s, d).groupBy("source", "category").agg(F.count_if(F.col("confidence") > 0.5).alias("hits"), F.count(F.lit(1)).alias("judged"))
 register("A19_micro_macro", lambda s, d: R.micro_macro(_HITS(s, d), "source").withColumns({"micro": r6("micro"), "macro": r6("macro")}), W + "SELECT source, round(sum(hits) / sum(judged), 6) micro, round(avg(hits / judged), 6) macro FROM (SELECT source, category, count(*) FILTER (WHERE confidence > 0.5) hits, count(*) judged FROM items GROUP BY 1, 2) GROUP BY 1")
-register("A20_nested_counters", lambda s, d: items(s, d).groupBy("source", "category").agg(F.count(F.lit(1)).alias("n")).groupBy("source").agg(F.sum("n").alias("total"), F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "n"))))).alias("counts")), W + "SELECT source, sum(n)::BIGINT total, '{' || string_agg('\"' || category || '\":' || n, ',' ORDER BY category) || '}' counts FROM (SELECT source, category, count(*) n FROM items GROUP BY 1, 2) GROUP BY 1")
+register("A20_nested_counters", lambda s, d: R.nested_counts(items(s, d), "source", "category"), W + "SELECT source, sum(n)::BIGINT total, '{' || string_agg('\"' || category || '\":' || n, ',' ORDER BY category) || '}' counts FROM (SELECT source, category, count(*) n FROM items GROUP BY 1, 2) GROUP BY 1")

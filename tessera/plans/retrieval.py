@@ -40,12 +40,14 @@ register("V4_fused", lambda s, d: V.rerank(_AB(s, d), (0.8, 0.2), 0.1 * (F.col("
 
 
 def _patches(s, d):
-    q = table(s, d, "embeddings").where("vec_id % 20 = 0").select((F.col("vec_id") % 100).alias("query_id"), F.col("vec_id").alias("patch"), "embedding")
-    c = table(s, d, "embeddings").where("vec_id % 20 <> 0").select((F.col("vec_id") % 5 * 20).alias("query_id"), F.col("label").alias("code"), F.col("embedding").alias("other"))
+    """A query is a hundred of vectors: those divisible by 20 are its patches, the others its shortlist's, by label."""
+    v = table(s, d, "embeddings").withColumn("query_id", F.floor(F.col("vec_id") / 100))
+    q = v.where("vec_id % 20 = 0").select("query_id", F.col("vec_id").alias("patch"), "embedding")
+    c = v.where("vec_id % 20 <> 0").select("query_id", F.col("label").alias("code"), F.col("embedding").alias("other"))
     return V.max_sim(q, c)
 
 
-register("V5_max_sim", lambda s, d: _patches(s, d).withColumn("score", r6("score")), f"SELECT query_id, code, round(avg(s), 6) score FROM (SELECT a.vec_id % 100 AS query_id, a.vec_id, b.label AS code, max({SIM}) s FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = b.vec_id % 5 * 20 WHERE a.vec_id % 20 = 0 AND b.vec_id % 20 <> 0 GROUP BY ALL) GROUP BY 1, 2")
+register("V5_max_sim", lambda s, d: _patches(s, d).withColumn("score", r6("score")), f"SELECT query_id, code, round(avg(s), 6) score FROM (SELECT a.vec_id // 100 AS query_id, a.vec_id, b.label AS code, max({SIM}) s FROM embeddings a JOIN embeddings b ON a.vec_id // 100 = b.vec_id // 100 WHERE a.vec_id % 20 = 0 AND b.vec_id % 20 <> 0 GROUP BY ALL) GROUP BY 1, 2")
 register("V6_window_merge", lambda s, d: V.window_rerank(_AB(s, d).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("a"), "code"))), "b").select("query_id", "code", "new_rank"), _AB_SQL + ", r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY a DESC, code) k FROM ab) SELECT query_id, code, row_number() OVER (PARTITION BY query_id ORDER BY k <= 10 DESC, CASE WHEN k <= 10 THEN b END DESC NULLS LAST, k) new_rank FROM r")
 register("V7_softmax", lambda s, d: _top(s, d).withColumn("p", V.softmax(F.col("score"), 0.05, "query_id")).groupBy("query_id").agg(F.max_by("code", F.struct("p", -F.col("code"))).alias("code"), r6(F.max("p")).alias("p")), TOP + " SELECT query_id, arg_max(code, (p, -code)) code, round(max(p), 6) p FROM (SELECT query_id, code, exp((s - max(s) OVER w) / 0.05) / sum(exp((s - m) / 0.05)) OVER w p FROM (SELECT *, max(s) OVER (PARTITION BY query_id) m FROM top) WINDOW w AS (PARTITION BY query_id)) GROUP BY 1")
 register("V8_group_prototype", lambda s, d: top_k(_queries(s, d), _protos(s, d).select(F.col("label").cast("long").alias("key"), F.col("prototype").alias("embedding")), 1).select("query_id", F.col("key").cast("int").alias("label"), r6("score").alias("sim")), f"WITH u AS (SELECT label, unnest(embedding)::DOUBLE x, generate_subscripts(embedding, 1) i FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) k FROM embeddings) WHERE k <= 6), m AS (SELECT label, i, avg(x) x FROM u GROUP BY 1, 2), b AS (SELECT label, list(x / n ORDER BY i) embedding FROM m JOIN (SELECT label, sqrt(sum(x * x)) n FROM m GROUP BY 1) USING (label) GROUP BY 1) SELECT a.vec_id AS query_id, arg_max(b.label, {SIM}) AS label, round(max({SIM}), 6) sim FROM embeddings a CROSS JOIN b WHERE a.vec_id % 20 = 0 GROUP BY 1")
@@ -105,7 +107,7 @@ register("V24_suppression", lambda s, d: V.suppress(items(s, d).groupBy(F.col("p
   UNION ALL SELECT r.photo, b.k, CASE WHEN len(list_filter(kept, lambda q: greatest(4 - abs(q.x - b.x), 0) * greatest(6 - abs(q.y - b.y), 0) / (48 - greatest(4 - abs(q.x - b.x), 0) * greatest(6 - abs(q.y - b.y), 0)) > 0.5)) > 0 THEN kept ELSE list_append(kept, {{'k': b.k, 'x': b.x, 'y': b.y}}) END FROM r JOIN b ON b.photo = r.photo AND b.k = r.k + 1),
  l AS (SELECT photo, unnest(arg_max(kept, k)).k k FROM r GROUP BY 1)
 SELECT photo, arg_min(id, k) id, category, arg_min(confidence, k) confidence FROM l JOIN b USING (photo, k) GROUP BY photo, category""")
-register("V25_best_crop", lambda s, d: items(s, d).where("confidence >= 0.4 AND code % 100 BETWEEN 2 AND 55").groupBy("category").agg(F.max_by("code", F.struct("confidence", -F.col("code"))).alias("code")), f"WITH {ITEMS_SQL} SELECT category, arg_max(code, (confidence, -code)) code FROM items WHERE confidence >= 0.4 AND code % 100 BETWEEN 2 AND 55 GROUP BY 1")
+register("V25_best_crop", lambda s, d: V.best_crop(items(s, d), "category", "code", F.col("code") % 100), f"WITH {ITEMS_SQL} SELECT category, arg_max(code, (confidence, -code)) code FROM items WHERE confidence >= 0.4 AND code % 100 BETWEEN 2 AND 55 GROUP BY 1")
 
 # Metrics.  A query's targets are the vectors of its label.
 _SC = lambda s, d: _top(s, d).where("code <> query_id").select("query_id", F.col("code").alias("key"), "score", (F.col("label") == F.col("query_id") % 10).alias("is_target"))
@@ -115,8 +117,8 @@ register("W2_rank_positional", lambda s, d: M.rank_positional(_SC(s, d)), _SC_SQ
 register("W3_scoped_rank", lambda s, d: M.rank_strict(_SC(s, d).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("query_id", F.col("key") % 3))).where("n >= 2 AND key % 3 = query_id % 3").select("query_id", "key", "score", "is_target")), _SC_SQL + " SELECT query_id, count(*) FILTER (WHERE s > m) + 1 AS rank FROM (SELECT *, max(s) FILTER (WHERE t) OVER (PARTITION BY query_id) m FROM (SELECT *, count(*) OVER (PARTITION BY query_id, code % 3) n FROM sc) WHERE n >= 2 AND code % 3 = query_id % 3) WHERE m IS NOT NULL GROUP BY 1")
 _METRICS = "round(avg((rank <= 1)::INT), 6) r_at_1, round(avg((rank <= 5)::INT), 6) r_at_5, round(avg((rank <= 10)::INT), 6) r_at_10, round(avg(1 / rank), 6) mrr, median(rank) median, quantile_disc(rank, 0.5)::DOUBLE lower_median, round(avg(rank), 6) mean_rank"
 register("W5_retrieval_metrics", lambda s, d: M.retrieval_metrics(M.rank_positional(_SC(s, d))).withColumns({c: r6(c) for c in ("r_at_1", "r_at_5", "r_at_10", "mrr", "mean_rank")}), _SC_SQL + f" SELECT {_METRICS} FROM rp")
-register("W7_confusion_split", lambda s, d: _top(s, d).where("code <> query_id").withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where("k = 1").agg(r6(F.avg((F.col("label") == F.col("query_id") % 10).cast("int"))).alias("same_model"), r6(F.avg((F.col("label") != F.col("query_id") % 10).cast("int"))).alias("unrelated")), _SC_SQL + " SELECT round(avg(t::INT), 6) same_model, round(avg((NOT t)::INT), 6) unrelated FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, code) k FROM sc) WHERE k = 1")
-register("W8_shortlist_miss", lambda s, d: _SC(s, d).groupBy("query_id").agg(F.max("is_target").alias("found")).agg(r6(F.avg((~F.col("found")).cast("int"))).alias("miss_rate")), _SC_SQL + " SELECT round(avg((NOT f)::INT), 6) miss_rate FROM (SELECT bool_or(t) f FROM sc GROUP BY query_id)")
+register("W7_confusion_split", lambda s, d: M.top_one_split(M.first_of(_top(s, d).where("code <> query_id"), "rank"), F.col("label") == F.col("query_id") % 10).select(r6("same_model").alias("same_model"), r6("unrelated").alias("unrelated")), _SC_SQL + " SELECT round(avg(t::INT), 6) same_model, round(avg((NOT t)::INT), 6) unrelated FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, code) k FROM sc) WHERE k = 1")
+register("W8_shortlist_miss", lambda s, d: M.miss_rate(_SC(s, d)).select(r6("miss_rate").alias("miss_rate")), _SC_SQL + " SELECT round(avg((NOT f)::INT), 6) miss_rate FROM (SELECT bool_or(t) f FROM sc GROUP BY query_id)")
 _LAB = lambda s, d: table(s, d, "documents").join(table(s, d, "labels"), "doc_id").select(F.col("n_chars").cast("double").alias("score"), (F.col("quality") == 1).alias("positive"), "lang", "toxic")
 _LAB_SQL = "WITH l AS (SELECT n_chars::DOUBLE score, quality = 1 AS positive, lang, toxic FROM documents JOIN labels USING (doc_id))"
 _AUC = "sum(CASE WHEN a.score > b.score THEN 1 WHEN a.score = b.score THEN 0.5 ELSE 0 END) / count(*)"
@@ -131,11 +133,11 @@ register("W17_macro_f1", lambda s, d: M.macro_f1(_CLS(s, d)).select(r6("macro_f1
 register("W18_confusion", lambda s, d: table(s, d, "labels").groupBy("quality").pivot("toxic", [0, 1]).agg(F.count(F.lit(1))).na.fill(0).select("quality", F.col("0").alias("clean"), F.col("1").alias("toxic")), "SELECT quality, count(*) FILTER (WHERE toxic = 0) clean, count(*) FILTER (WHERE toxic = 1) toxic FROM labels GROUP BY 1")
 _SWEEP = lambda s, d: items(s, d).select(F.col("colour").alias("truth"), F.when(F.col("code") % 3 == 0, "red").otherwise(F.col("colour")).alias("predicted"), F.col("confidence").alias("score"))
 register("W19_abstain_sweep", lambda s, d: M.abstain_sweep(_SWEEP(s, d), [0.0, 0.25, 0.5, 0.75, 1.0]).withColumns({c: r6(c) for c in ("fire_rate", "precision", "recall")}), f"WITH {ITEMS_SQL}, t AS (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0])::DOUBLE threshold), r AS (SELECT *, code % 3 <> 0 OR colour = 'red' AS ok FROM items) SELECT threshold, round(avg((confidence >= threshold)::INT), 6) fire_rate, round(count(*) FILTER (WHERE ok AND confidence >= threshold) / greatest(count(*) FILTER (WHERE confidence >= threshold), 1), 6) AS precision, round(count(*) FILTER (WHERE ok AND confidence >= threshold) / count(*), 6) recall FROM r CROSS JOIN t GROUP BY 1")
-register("W22_overlap", lambda s, d: _LAB(s, d).select("*", F.max(F.when(~F.col("positive"), F.col("score"))).over(Window.partitionBy("lang")).alias("top_n"), F.min(F.when(F.col("positive"), F.col("score"))).over(Window.partitionBy("lang")).alias("low_p")).groupBy("lang").agg(F.count_if(F.col("positive") & (F.col("score") < F.col("top_n"))).alias("pos_below"), F.count_if(~F.col("positive") & (F.col("score") > F.col("low_p"))).alias("neg_above")), _LAB_SQL + " SELECT lang, count(*) FILTER (WHERE positive AND score < tn) pos_below, count(*) FILTER (WHERE NOT positive AND score > lp) neg_above FROM (SELECT *, max(score) FILTER (WHERE NOT positive) OVER (PARTITION BY lang) tn, min(score) FILTER (WHERE positive) OVER (PARTITION BY lang) lp FROM l) GROUP BY 1")
-register("W23_precision_at_k", lambda s, d: items(s, d).where("source <> 'N'").withColumn("k", F.row_number().over(Window.partitionBy("category").orderBy(F.desc("confidence"), "post", "ix", "code"))).where("k <= 15").groupBy("category").agg(r6(F.avg((F.col("source") == "R").cast("int"))).alias("precision")), f"WITH {ITEMS_SQL} SELECT category, round(avg((source = 'R')::INT), 6) AS precision FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY confidence DESC, post, ix, code) k FROM items WHERE source <> 'N') WHERE k <= 15 GROUP BY 1")
-register("W24_quantile_recall", lambda s, d: _LAB(s, d).where("positive").agg(F.min("score").alias("lowest")).crossJoin(M.percentiles(_LAB(s, d).where("positive"), "score", [0.01]).select(r6("value").alias("q01"))), _LAB_SQL + " SELECT min(score) lowest, round(quantile_cont(score, 0.01), 6) q01 FROM l WHERE positive")
-register("W25_paired_agreement", lambda s, d: table(s, d, "documents").join(table(s, d, "labels"), "doc_id").groupBy("lang").agg(r6(F.avg((F.col("quality") == F.col("toxic")).cast("int"))).alias("agreement"), F.count(F.lit(1)).alias("n")), "SELECT lang, round(avg((quality = toxic)::INT), 6) agreement, count(*) n FROM documents JOIN labels USING (doc_id) GROUP BY 1")
-register("W26_enrollment_gap", lambda s, d: M.rank_positional(_SC(s, d)).groupBy((F.col("query_id") % 40 == 0).alias("unseen")).agg(r6(F.avg((F.col("rank") <= 1).cast("int"))).alias("r_at_1"), F.count(F.lit(1)).alias("n")), _SC_SQL + " SELECT query_id % 40 = 0 AS unseen, round(avg((rank <= 1)::INT), 6) r_at_1, count(*) n FROM rp GROUP BY 1")
+register("W22_overlap", lambda s, d: M.overlap(_LAB(s, d), "lang"), _LAB_SQL + " SELECT lang, count(*) FILTER (WHERE positive AND score < tn) pos_below, count(*) FILTER (WHERE NOT positive AND score > lp) neg_above FROM (SELECT *, max(score) FILTER (WHERE NOT positive) OVER (PARTITION BY lang) tn, min(score) FILTER (WHERE positive) OVER (PARTITION BY lang) lp FROM l) GROUP BY 1")
+register("W23_precision_at_k", lambda s, d: M.precision_at(items(s, d).where("source <> 'N'"), "category", [F.desc("confidence"), "post", "ix", "code"], F.col("source") == "R").withColumn("precision", r6("precision")), f"WITH {ITEMS_SQL} SELECT category, round(avg((source = 'R')::INT), 6) AS precision FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY confidence DESC, post, ix, code) k FROM items WHERE source <> 'N') WHERE k <= 15 GROUP BY 1")
+register("W24_quantile_recall", lambda s, d: M.positive_floor(_LAB(s, d)).select("lowest", r6("at_share").alias("q01")), _LAB_SQL + " SELECT min(score) lowest, round(quantile_cont(score, 0.01), 6) q01 FROM l WHERE positive")
+register("W25_paired_agreement", lambda s, d: M.agreement(table(s, d, "documents").join(table(s, d, "labels"), "doc_id"), "lang", "quality", "toxic").withColumn("agreement", r6("agreement")), "SELECT lang, round(avg((quality = toxic)::INT), 6) agreement, count(*) n FROM documents JOIN labels USING (doc_id) GROUP BY 1")
+register("W26_enrollment_gap", lambda s, d: M.recall_by_cohort(M.rank_positional(_SC(s, d)), F.col("query_id") % 40 == 0).withColumn("r_at_1", r6("r_at_1")), _SC_SQL + " SELECT query_id % 40 = 0 AS unseen, round(avg((rank <= 1)::INT), 6) r_at_1, count(*) n FROM rp GROUP BY 1")
 register("W27_deep_diff", lambda s, d: M.deep_diff(*[table(s, d, "events").select(F.col("event_id").alias("id"), F.explode(F.create_map(F.lit("type"), "event_type", F.lit("k"), F.get_json_object("props", "$.k") if i else F.when(F.col("event_id") % 50 == 0, "x").otherwise(F.get_json_object("props", "$.k")), F.lit("latency"), F.lit(str(i))))).toDF("id", "path", "value") for i in (0, 1)], ["latency"]), "SELECT event_id AS id, 'k' AS path, 'x' AS \"left\", json_extract_string(props, '$.k') AS \"right\" FROM events WHERE event_id % 50 = 0 AND 'x' IS DISTINCT FROM json_extract_string(props, '$.k')")
 register("V17_fixed_gallery", lambda s, d: table(s, d, "embeddings").select("vec_id", "label").orderBy(F.sha1(F.concat_ws(":", F.lit("42"), F.col("vec_id").cast("string"))), "vec_id").limit(100), "SELECT vec_id, label FROM embeddings ORDER BY sha1('42:' || vec_id), vec_id LIMIT 100")
 register("J16_within_category", lambda s, d: V.nearest_of_group(table(s, d, "embeddings"), "vec_id", "label", 1).select("query_id", F.col("code").alias("nearest")).join(table(s, d, "embeddings").select(F.col("vec_id").alias("query_id"), "label"), "query_id").join(table(s, d, "embeddings").groupBy("label").agg((F.count(F.lit(1)) - 1).alias("n")), "label").select("query_id", "nearest", "n"), f"SELECT a.vec_id AS query_id, arg_max(b.vec_id, ({SIM}, -b.vec_id)) nearest, count(*) n FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY 1")

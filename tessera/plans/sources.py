@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tessera.functions import colour as C
 from tessera.functions import text as T
 from tessera.functions.vectors import embed_rows, encoder, l2
+from tessera.operators import curation as K
 from tessera.operators import relational as R
 from tessera.plans.catalog import register
 from tessera.sources import extract as X
@@ -40,9 +41,9 @@ register("S4_item_rows", lambda s, d: X.item_rows(_posts(s, d)).select("post", "
 register("S5_flagged_items", lambda s, d: X.item_rows(_posts(s, d)).join(table(s, d, "part").where("p_size > 25").select(F.col("p_partkey").alias("code"), F.lit(True).alias("f")), "code", "left").groupBy(F.coalesce("f", F.lit(False)).alias("on_disk")).agg(F.count(F.lit(1)).alias("n")), W + "SELECT p_size > 25 AS on_disk, count(*) n FROM items JOIN part ON code = p_partkey WHERE code % 10 > 0 GROUP BY 1")
 register("S6_first_image", lambda s, d: X.variants(_product_pages(s, d)).groupBy("p_partkey").agg(F.min("image").alias("image")), "SELECT p_partkey, 'imga' image FROM part WHERE p_partkey % 5 > 0")
 register("S7_first_found", lambda s, d: X.first_found(table(s, d, "part").select(F.col("p_partkey").alias("key"), F.array(F.concat(F.lit("a/"), "p_name"), F.concat(F.lit("b/"), "p_brand"), F.concat(F.lit("c/"), "p_type")).alias("paths")), table(s, d, "part").where("p_size < 5").select(F.concat(F.lit("a/"), "p_name").alias("path")).union(table(s, d, "part").where("p_size < 2").select(F.concat(F.lit("b/"), "p_brand")))), "SELECT * FROM (SELECT p_partkey AS key, CASE WHEN p_name IN (SELECT p_name FROM part WHERE p_size < 5) THEN 'a/' || p_name WHEN p_brand IN (SELECT p_brand FROM part WHERE p_size < 2) THEN 'b/' || p_brand END AS path FROM part) WHERE path IS NOT NULL")
-register("S8_fingerprint", lambda s, d: table(s, d, "part").select("p_partkey", F.md5(F.concat_ws("|", "p_name", "p_brand", "p_size")).alias("fingerprint")), "SELECT p_partkey, md5(concat_ws('|', p_name, p_brand, p_size)) fingerprint FROM part")
-register("S9_cache_consistent", lambda s, d: table(s, d, "embeddings").agg(F.count("vec_id").alias("keys"), F.count_if(F.size("embedding") == 64).alias("vectors")).withColumn("usable", F.col("keys") == F.col("vectors")), "SELECT count(vec_id) AS keys, count(*) FILTER (WHERE len(embedding) = 64) vectors, count(vec_id) = count(*) FILTER (WHERE len(embedding) = 64) usable FROM embeddings")
-register("S10_last_write_wins", lambda s, d: table(s, d, "events").groupBy("user_id", "event_type").agg(F.max_by("value", F.struct("ts", "event_id")).alias("value")), "SELECT user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) k FROM events) WHERE k = 1")
+register("S8_fingerprint", lambda s, d: table(s, d, "part").select("p_partkey", T.fingerprint("p_name", "p_brand", "p_size").alias("fingerprint")), "SELECT p_partkey, md5(concat_ws('|', p_name, p_brand, p_size)) fingerprint FROM part")
+register("S9_cache_consistent", lambda s, d: K.cache_check(table(s, d, "embeddings"), "vec_id", "embedding", 64), "SELECT count(vec_id) AS keys, count(*) FILTER (WHERE len(embedding) = 64) vectors, count(vec_id) = count(*) FILTER (WHERE len(embedding) = 64) usable FROM embeddings")
+register("S10_last_write_wins", lambda s, d: K.last_write_wins(table(s, d, "events"), ["user_id", "event_type"], "value", ["ts", "event_id"]), "SELECT user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) k FROM events) WHERE k = 1")
 register("S11_append_new", lambda s, d: table(s, d, "events").select("event_id").join(table(s, d, "events").where("event_id % 3 = 0").select("event_id"), "event_id", "left_anti"), "SELECT event_id FROM events WHERE event_id % 3 <> 0")
 register("S13_embedded_json", lambda s, d: table(s, d, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k")), "SELECT event_id, json_extract(props, '$.k')::INT k FROM events")
 register("S14_variants", lambda s, d: X.variants(_product_pages(s, d)).select("p_partkey", "name", "sku", "color"), "SELECT p_partkey, p_name AS name, p_partkey || '-' || i AS sku, split_part(p_name, ' ', 1) color FROM part CROSS JOIN (SELECT unnest(['a', 'b']) i) WHERE p_partkey % 5 > 0")
@@ -121,17 +122,17 @@ _ASK = lambda: F.concat_ws(" ", F.element_at(F.array(*map(F.lit, ["what brand is
 register("F29_router", lambda s, d: table(s, d, "part").select(T.route(F.col("p_partkey") % 7 > 0, _ASK(), ("gear", "bolt")).alias("r")).groupBy("r.intent").agg(F.count(F.lit(1)).alias("n"), F.count("r.exactness_cue").alias("exact"), F.count("r.similarity_cue").alias("similar")), "SELECT intent, count(*) n, count(*) FILTER (WHERE i AND k = 2) exact, count(*) FILTER (WHERE i AND k = 3) \"similar\" FROM (SELECT p_partkey % 7 > 0 i, p_partkey % 6 k, CASE WHEN NOT i AND k = 5 THEN 'unroutable' WHEN NOT i THEN 'search' WHEN k = 0 THEN 'brand' WHEN k = 1 THEN 'compose' WHEN k = 4 AND split_part(p_name, ' ', 2) IN ('gear', 'bolt') THEN 'compose' ELSE 'identify' END intent FROM part) GROUP BY 1")
 register("F30_normal_query", lambda s, d: table(s, d, "conversations").select("conv_id", "turn", F.md5(T.normal_query(F.col("text"))).alias("h")), r"SELECT conv_id, turn, md5(trim(regexp_replace(trim(lower(coalesce(text, ''))), '\s+', ' ', 'g'), ' .!?,;:')) h FROM conversations")
 register("F31_json_in", lambda s, d: table(s, d, "events").select("event_id", F.get_json_object(T.json_in(F.concat(F.lit("Here:\n```json\n"), "props", F.lit("\n```"))), "$.k").alias("k")), "SELECT event_id, json_extract_string(props, '$.k') k FROM events")
-register("F33_description", lambda s, d: table(s, d, "documents").select("doc_id", F.length(F.substring(F.concat_ws("\n", "source", "lang", "text"), 1, 2000)).alias("n")), "SELECT doc_id, length(substr(concat_ws(chr(10), source, lang, text), 1, 2000))::INT n FROM documents")
+register("F33_description", lambda s, d: table(s, d, "documents").select("doc_id", F.length(T.description("source", "lang", "text")).alias("n")), "SELECT doc_id, length(substr(concat_ws(chr(10), source, lang, text), 1, 2000))::INT n FROM documents")
 register("F34_slug", lambda s, d: table(s, d, "part").select("p_partkey", T.slugify(F.concat_ws(" / ", "p_brand", "p_name")).alias("slug")), "SELECT p_partkey, substr(trim(regexp_replace(lower(p_brand || ' / ' || p_name), '[^a-z0-9]+', '-', 'g'), '-'), 1, 60) slug FROM part")
 register("F35_price", lambda s, d: table(s, d, "part").select("p_partkey", T.parse_price(F.concat(F.lit("from $1,"), F.format_string("%06.2f", "p_retailprice"))).cast("double").alias("price")), "SELECT p_partkey, regexp_extract(replace('1,' || printf('%06.2f', p_retailprice), ',', ''), '[0-9.]+')::DOUBLE price FROM part")
 register("F36_stable_id", lambda s, d: table(s, d, "pages").select("page_id", T.stable_id(F.col("url")).alias("id")), "SELECT page_id, substr(sha1(url), 1, 16) id FROM pages")
-register("F37_flair", lambda s, d: table(s, d, "customer").groupBy(F.lower(F.trim(F.concat(F.lit("  "), "c_mktsegment"))).alias("flair")).agg(F.count(F.lit(1)).alias("n")), "SELECT lower(trim(c_mktsegment)) flair, count(*) n FROM customer GROUP BY 1")
+register("F37_flair", lambda s, d: table(s, d, "customer").groupBy(T.flair(F.concat(F.lit("  "), "c_mktsegment")).alias("flair")).agg(F.count(F.lit(1)).alias("n")), "SELECT lower(trim(c_mktsegment)) flair, count(*) n FROM customer GROUP BY 1")
 _B = lambda k: F.transform(F.array(F.col("p_partkey") % k, F.col("p_size") % k, F.col("p_partkey") % k + 5, F.col("p_size") % k + 5), lambda x: x.cast("double"))
 register("F38_box_iou", lambda s, d: table(s, d, "part").select("p_partkey", r6(R.box_iou(_B(7), _B(5))).alias("iou")), "SELECT p_partkey, round(i / (50 - i), 6) iou FROM (SELECT p_partkey, greatest(least(p_partkey % 7, p_partkey % 5) + 5 - greatest(p_partkey % 7, p_partkey % 5), 0) * greatest(least(p_size % 7, p_size % 5) + 5 - greatest(p_size % 7, p_size % 5), 0) i FROM part)")
 register("F39_l2", lambda s, d: table(s, d, "embeddings").select("vec_id", r6(F.aggregate(l2("embedding"), F.lit(0.0), lambda a, x: a + x)).alias("total")), "SELECT vec_id, round(list_sum(embedding::DOUBLE[]) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) total FROM embeddings")
 register("F40_shorten", lambda s, d: table(s, d, "part").select("p_partkey", T.shorten(F.split("p_name", " ")[0], F.concat_ws(" ", "p_name", "p_type"), 15).alias("label")), "SELECT p_partkey, CASE WHEN length(f) <= 15 THEN f ELSE regexp_replace(substr(f, 1, 15), '\\s+\\S*$', '') END AS label FROM (SELECT p_partkey, p_name || ' ' || p_type f FROM part)")
-register("F41_decision_ladder", lambda s, d: items(s, d).groupBy(F.when(F.col("confidence") < 0.2, "rejected").when(F.col("source") == "R", "hedged").when(F.col("confidence") >= 0.8, "sure").otherwise("likely").alias("said")).agg(F.count(F.lit(1)).alias("n")), W + "SELECT CASE WHEN confidence < 0.2 THEN 'rejected' WHEN source = 'R' THEN 'hedged' WHEN confidence >= 0.8 THEN 'sure' ELSE 'likely' END said, count(*) n FROM items GROUP BY 1")
-register("F42_first_present", lambda s, d: table(s, d, "part").select("p_partkey", F.coalesce(F.when(F.col("p_size") > 40, F.col("p_brand")), F.when(F.col("p_size") > 20, F.col("p_type")), F.lit("none")).alias("v")), "SELECT p_partkey, coalesce(CASE WHEN p_size > 40 THEN p_brand END, CASE WHEN p_size > 20 THEN p_type END, 'none') v FROM part")
+register("F41_decision_ladder", lambda s, d: items(s, d).groupBy(T.decision(F.col("confidence"), F.col("source") == "R").alias("said")).agg(F.count(F.lit(1)).alias("n")), W + "SELECT CASE WHEN confidence < 0.2 THEN 'rejected' WHEN source = 'R' THEN 'hedged' WHEN confidence >= 0.8 THEN 'sure' ELSE 'likely' END said, count(*) n FROM items GROUP BY 1")
+register("F42_first_present", lambda s, d: table(s, d, "part").select("p_partkey", T.first_present(F.when(F.col("p_size") > 40, F.col("p_brand")), F.when(F.col("p_size") > 20, F.col("p_type")), default="none").alias("v")), "SELECT p_partkey, coalesce(CASE WHEN p_size > 40 THEN p_brand END, CASE WHEN p_size > 20 THEN p_type END, 'none') v FROM part")
 register("F44_hash_halves", lambda s, d: table(s, d, "part").select("p_partkey", *[F.conv(F.substring(F.md5("p_name"), i, 8), 16, 10).cast("long").alias(n) for i, n in ((1, "high"), (9, "low"))]), "SELECT p_partkey, ('0x' || substr(md5(p_name), 1, 8))::BIGINT high, ('0x' || substr(md5(p_name), 9, 8))::BIGINT low FROM part")
 _PALETTE_SQL = "(VALUES " + ", ".join(f"('{n}', {i}, {r}, {g}, {b})" for i, (n, (r, g, b)) in enumerate(C.PALETTE.items())) + ") pal(name, i, r, g, b)"
 
@@ -156,7 +157,7 @@ def _dominant(s, d):
 
 register("F12_F13_dominant_colours", _dominant)
 register("F28_filters_from_text", lambda s, d: table(s, d, "part").select("p_partkey", F.array_join(F.slice(F.filter(T.tokens(F.col("p_name")), lambda t: t.isin("red", "blue", "new")), 1, 2), ",").alias("colours"), F.element_at(T.tokens(F.col("p_name")), -1).alias("category")), "SELECT p_partkey, CASE WHEN split_part(p_name, ' ', 1) IN ('red', 'blue', 'new') THEN split_part(p_name, ' ', 1) ELSE '' END colours, split_part(p_name, ' ', 2) category FROM part")
-register("F43_reference", lambda s, d: table(s, d, "pages").select("page_id", F.when(F.col("url").rlike("^https?://"), F.col("url")).otherwise(F.concat(F.lit("https://base/"), "url")).alias("link")), "SELECT page_id, CASE WHEN regexp_matches(url, '^https?://') THEN url ELSE 'https://base/' || url END link FROM pages")
+register("F43_reference", lambda s, d: table(s, d, "pages").select("page_id", T.reference(F.col("url"), "https://base/").alias("link")), "SELECT page_id, CASE WHEN regexp_matches(url, '^https?://') THEN url ELSE 'https://base/' || url END link FROM pages")
 register("S30_blob_by_marker", lambda s, d: _product_pages(s, d).select("p_partkey", F.get_json_object(F.get(F.filter(X.linked_data(F.col("html")), lambda b: F.contains(b, F.lit("ProductGroup"))), F.lit(0)), "$.name").alias("name")), "SELECT p_partkey, p_name AS name FROM part")
 
 
