@@ -1,9 +1,14 @@
-"""The corpus pipeline, stage by stage, against brute force."""
+"""The corpus pipeline, stage by stage and as a whole, against brute force."""
 
+import hashlib
 import re
 
+import numpy as np
+import pyarrow as pa
+import sentencepiece
+
 import corpus_pipeline
-from tessera.llm import quality
+from tessera.llm import pieces, quality, secrets
 from tests.llm.test_operators import brute_components, brute_contamination, pairs_of
 
 
@@ -34,6 +39,37 @@ def test_stages(spark, sf_dir, documents):
     assert last.count() == safe.count() and last.where("NOT exact").count() == 0
 
 
-def test_run(spark, sf_dir):
-    assert corpus_pipeline.run(spark, sf_dir).count() > 0
+def brute_redacted(text, source, forest):
+    """Candidates one by one, each with its own vote; a secret's characters become the mark."""
+    _, found = secrets.candidates(pa.array([text], pa.string()))
+    raw, out, at = (text or "").encode(), b"", 0
+    for c in found:
+        if forest.score(np.array([secrets.features(c.text, c.before, c.after, source or "")]))[0] >= 0.5:
+            out, at = out + raw[at : c.start] + secrets.MARK.encode(), c.end
+    return (out + raw[at:]).decode()
+
+
+def test_run(spark, sf_dir, documents):
+    """Row by row: scores of one text at a time, components and windows by brute force, ids from the library."""
+    model = quality.fit(documents, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    rows = {r.doc_id: r for r in documents.collect()}
+    good = [i for i, r in rows.items() if model.score(quality.statistics(pa.array([r.text], pa.string())))[0] >= 0.3]
+    one = [i for i, (_, c) in brute_components([(i, rows[i].text) for i in good], 80).items() if c == i]
+    items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]
+    clean = [i for i, n, h, _ in brute_contamination([(i, rows[i].text) for i in one], items) if not (h and 20 * h >= n)]
+    forest, lib = secrets.train(spark), sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    want = {}
+    for i in clean:
+        text = brute_redacted(rows[i].text, rows[i].source, forest)
+        ids = lib.encode(text)
+        want[i] = (len(ids), hashlib.sha256(b"".join(x.to_bytes(4, "little") for x in ids)).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+    assert 0 < len(clean) < len(one) < len(good) < len(rows)
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, sf_dir).collect()}
+    assert got == want
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_run_on_an_empty_table(spark, sf_dir, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
