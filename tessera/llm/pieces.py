@@ -40,6 +40,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MASKED = 62
 #: Words of the broadcast table, at most; with MASKED characters each that bounds its size (typically 10 MB).
 FREQUENT = 1 << 18
+#: Tasks of the lattice: words are few bytes, their substrings many rows, so Spark would give them too few tasks by size.
+TASKS = 32
 #: Text that a task takes at a time.
 SLICE = 4 << 20
 _U1 = np.uint64(1)
@@ -369,7 +371,7 @@ def lattice(words: DataFrame, table: DataFrame, longest: int) -> DataFrame:
     """word and edges (rank, from, chars, id, score) of (word) rows of up to MASKED characters.  The words' partitioning
     carries through, so grouping back needs no second shuffle."""
     cut = (
-        words.select("word").repartition("word")
+        words.select("word").repartition(TASKS, "word")
         .select("word", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("from"))
         .select("word", "from", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("from")))).alias("chars"))
         .withColumn("piece", F.expr("substring(word, from + 1, chars)"))
