@@ -93,9 +93,10 @@ def fuzzy_match(words: DataFrame, aliases: DataFrame, short: int = 5, floor_shor
 
 
 def renormalised(scores: DataFrame, allowed: DataFrame) -> DataFrame:
-    """(region, cls, p) with the groups each class may be, renormalised per region; the best group."""
-    mass = scores.join(allowed, "cls").groupBy("region", "grp").agg(F.sum("p").alias("mass"))
-    mass = mass.withColumn("share", F.col("mass") / F.sum("mass").over(Window.partitionBy("region")))
+    """(region, cls, p) with the groups each class may be, renormalised per region; the best group.  Sums are rounded
+    to nine places, so that shares don't depend on the order in which Spark adds."""
+    mass = scores.join(allowed, "cls").groupBy("region", "grp").agg(F.round(F.sum("p"), 9).alias("mass"))
+    mass = mass.withColumn("share", F.col("mass") / F.round(F.sum("mass").over(Window.partitionBy("region")), 9))
     return mass.groupBy("region").agg(F.max_by("grp", F.struct("share", "grp")).alias("grp"), F.max("share").alias("share"))
 
 
