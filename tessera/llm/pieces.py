@@ -43,7 +43,7 @@ FREQUENT = 1 << 18
 #: Tasks of the lattice: words are few bytes, their substrings many rows, so Spark would give them too few tasks by size.
 TASKS = 32
 #: Text that a task takes at a time.
-SLICE = 4 << 20
+SLICE = 2 << 20
 _U1 = np.uint64(1)
 
 
