@@ -422,6 +422,16 @@ def test_classifiers_held_out(spark, query, label, threshold, least):
     assert (known.predicted == known[label]).mean() >= least
 
 
+def test_toxicity_finds_what_is_toxic(spark):
+    """Held-out rows only: recall and precision, which answering 0 to all can't reach, and AUC."""
+    folder = "/root/testdata/sf0.1"
+    rows = toxicity.op7_toxicity(spark, folder).where("held_out").toPandas().merge(spark.read.parquet(f"{folder}/labels.parquet").toPandas(), on="doc_id")
+    toxic, said = rows.toxic == 1, rows.predicted == 1
+    assert toxic.sum() > 100 and (toxic & said).sum() >= 0.9 * toxic.sum() and (toxic & said).sum() >= 0.95 * said.sum()
+    ranks = rows.score.rank()[toxic].sum() - toxic.sum() * (toxic.sum() + 1) / 2
+    assert ranks / toxic.sum() / (~toxic).sum() >= 0.95
+
+
 def test_classifiers_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (3, None, None), (8, 0, 1), (9, 0, 1), (99, 1, 1)], "doc_id long, quality int, toxic int")
     for labelled in (labels, labels.where("quality = 1"), labels.limit(0)):
