@@ -57,7 +57,6 @@ register("J9_box_equality", lambda s, d: items(s, d).select("post", "ix", _BOX(F
 register("J10_best_iou", lambda s, d: R.best_overlap(items(s, d).where("source = 'R'").select("post", F.col("code").alias("id"), _BOX(F.col("code")).alias("box")).distinct(), items(s, d).where("source = 'N'").select("post", F.col("code").alias("other"), _BOX(F.col("code")).alias("other_box")).distinct(), "post", 0.3).withColumn("iou", r6("iou")), W + ", l AS (SELECT DISTINCT post, code id, (code % 7)::DOUBLE x, (code % 5)::DOUBLE y FROM items WHERE source = 'R'), r AS (SELECT DISTINCT post, code other, (code % 7)::DOUBLE u, (code % 5)::DOUBLE v FROM items WHERE source = 'N'), p AS (SELECT post, id, other, greatest(least(x, u) + 4 - greatest(x, u), 0) * greatest(least(y, v) + 6 - greatest(y, v), 0) i FROM l JOIN r USING (post)) SELECT post, id, other, round(i / (48 - i), 6) iou FROM (SELECT *, row_number() OVER (PARTITION BY post, id ORDER BY i / (48 - i) DESC, other) k FROM p WHERE i / (48 - i) > 0.3) WHERE k = 1")
 register("J11_substring_either_way", lambda s, d: table(s, d, "part").select(F.lower("p_name").alias("label")).distinct().join(table(s, d, "part").select(F.split("p_name", " ")[1].alias("query")).distinct(), F.contains("label", "query") | F.contains("query", "label")).groupBy("query").agg(F.count(F.lit(1)).alias("n")), "SELECT query, count(*) n FROM (SELECT DISTINCT lower(p_name) AS label FROM part) JOIN (SELECT DISTINCT split_part(p_name, ' ', 2) query FROM part) ON contains(label, query) OR contains(query, label) GROUP BY 1")
 register("J14_alias_subtraction", lambda s, d: table(s, d, "part").select(F.lower("p_brand").alias("alias")).distinct().join(items(s, d).where("confidence >= 0.9 AND category = 'gear' AND colour = 'red'").select(F.lower("brand").alias("alias")), "alias", "left_anti"), W + "SELECT DISTINCT lower(p_brand) AS alias FROM part WHERE lower(p_brand) NOT IN (SELECT lower(brand) FROM items WHERE confidence >= 0.9 AND category = 'gear' AND colour = 'red')")
-register("J15_cross_dot", lambda s, d: table(s, d, "embeddings").select("vec_id", "embedding").crossJoin(F.broadcast(table(s, d, "embeddings").where("label = 0").orderBy("vec_id").limit(10).select(F.col("vec_id").alias("text_id"), F.col("embedding").alias("e2")))).select("vec_id", "text_id", r6(dot("embedding", "e2")).alias("score")), f"SELECT a.vec_id, b.vec_id AS text_id, round({SIM}, 6) score FROM embeddings a CROSS JOIN (SELECT * FROM embeddings WHERE label = 0 ORDER BY vec_id LIMIT 10) b")
 register("J18_judged_pool", lambda s, d: items(s, d).withColumn("judged", F.col("source") != "N").where("judged").withColumn("k", F.row_number().over(R.Window.partitionBy("category").orderBy(F.desc("confidence"), "post", "ix", "code"))).where("k <= 15").select("category", "post", "code", "k"), W + "SELECT category, post, code, k FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY confidence DESC, post, ix, code) k FROM items WHERE source <> 'N') WHERE k <= 15")
 register("J19_manifest_labels", lambda s, d: table(s, d, "documents").select("doc_id", "lang").join(table(s, d, "labels"), "doc_id").groupBy("lang", "quality", "toxic").agg(F.count(F.lit(1)).alias("n")), "SELECT lang, quality, toxic, count(*) n FROM documents JOIN labels USING (doc_id) GROUP BY ALL")
 register("J20_last_path_term", lambda s, d: R.last_of_path(table(s, d, "part").select(F.col("p_partkey").alias("code"), F.split("p_name", " ").alias("path")), table(s, d, "part").select(F.split("p_name", " ")[0].alias("term")).distinct().withColumn("category", F.upper("term")).union(table(s, d, "part").where("p_size > 25").select(F.split("p_name", " ")[1].alias("term"), F.upper(F.split("p_name", " ")[1])).distinct())), "WITH t AS (SELECT DISTINCT split_part(p_name, ' ', 1) term FROM part UNION SELECT DISTINCT split_part(p_name, ' ', 2) FROM part WHERE p_size > 25) SELECT p_partkey AS code, upper(coalesce((SELECT term FROM t WHERE term = split_part(p_name, ' ', 2)), split_part(p_name, ' ', 1))) category FROM part")

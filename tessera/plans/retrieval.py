@@ -50,7 +50,8 @@ def _patches(s, d):
 register("V5_max_sim", lambda s, d: _patches(s, d).withColumn("score", r6("score")), f"SELECT query_id, code, round(avg(s), 6) score FROM (SELECT a.vec_id // 100 AS query_id, a.vec_id, b.label AS code, max({SIM}) s FROM embeddings a JOIN embeddings b ON a.vec_id // 100 = b.vec_id // 100 WHERE a.vec_id % 20 = 0 AND b.vec_id % 20 <> 0 GROUP BY ALL) GROUP BY 1, 2")
 register("V6_window_merge", lambda s, d: V.window_rerank(_AB(s, d).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("a"), "code"))), "b").select("query_id", "code", "new_rank"), _AB_SQL + ", r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY a DESC, code) k FROM ab) SELECT query_id, code, row_number() OVER (PARTITION BY query_id ORDER BY k <= 10 DESC, CASE WHEN k <= 10 THEN b END DESC NULLS LAST, k) new_rank FROM r")
 register("V7_softmax", lambda s, d: _top(s, d).withColumn("p", V.softmax(F.col("score"), 0.05, "query_id")).groupBy("query_id").agg(F.max_by("code", F.struct("p", -F.col("code"))).alias("code"), r6(F.max("p")).alias("p")), TOP + " SELECT query_id, arg_max(code, (p, -code)) code, round(max(p), 6) p FROM (SELECT query_id, code, exp((s - max(s) OVER w) / 0.05) / sum(exp((s - m) / 0.05)) OVER w p FROM (SELECT *, max(s) OVER (PARTITION BY query_id) m FROM top) WINDOW w AS (PARTITION BY query_id)) GROUP BY 1")
-register("V8_group_prototype", lambda s, d: top_k(_queries(s, d), _protos(s, d).select(F.col("label").cast("long").alias("key"), F.col("prototype").alias("embedding")), 1).select("query_id", F.col("key").cast("int").alias("label"), r6("score").alias("sim")), f"WITH u AS (SELECT label, unnest(embedding)::DOUBLE x, generate_subscripts(embedding, 1) i FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) k FROM embeddings) WHERE k <= 6), m AS (SELECT label, i, avg(x) x FROM u GROUP BY 1, 2), b AS (SELECT label, list(x / n ORDER BY i) embedding FROM m JOIN (SELECT label, sqrt(sum(x * x)) n FROM m GROUP BY 1) USING (label) GROUP BY 1) SELECT a.vec_id AS query_id, arg_max(b.label, {SIM}) AS label, round(max({SIM}), 6) sim FROM embeddings a CROSS JOIN b WHERE a.vec_id % 20 = 0 GROUP BY 1")
+_PROTO_SQL = "WITH u AS (SELECT label, unnest(embedding)::DOUBLE x, generate_subscripts(embedding, 1) i FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) k FROM embeddings) WHERE k <= 6), m AS (SELECT label, i, avg(x) x FROM u GROUP BY 1, 2), b AS (SELECT label, list(x / n ORDER BY i) embedding FROM m JOIN (SELECT label, sqrt(sum(x * x)) n FROM m GROUP BY 1) USING (label) GROUP BY 1)"
+register("V8_group_prototype", lambda s, d: top_k(_queries(s, d), _protos(s, d).select(F.col("label").cast("long").alias("key"), F.col("prototype").alias("embedding")), 1).select("query_id", F.col("key").cast("int").alias("label"), r6("score").alias("sim")), f"{_PROTO_SQL} SELECT a.vec_id AS query_id, arg_max(b.label, {SIM}) AS label, round(max({SIM}), 6) sim FROM embeddings a CROSS JOIN b WHERE a.vec_id % 20 = 0 GROUP BY 1")
 
 
 def _protos(s, d):
@@ -59,6 +60,7 @@ def _protos(s, d):
     return prototypes(table(s, d, "embeddings"), "label", "vec_id")
 
 
+register("J15_cross_dot", lambda s, d: top_k(_queries(s, d), _protos(s, d).select(F.col("label").cast("long").alias("key"), F.col("prototype").alias("embedding")), 10).select("query_id", F.col("key").alias("text_id"), r6("score").alias("score"), "rank"), f"{_PROTO_SQL} SELECT * FROM (SELECT a.vec_id AS query_id, b.label::BIGINT AS text_id, round({SIM}, 6) score, row_number() OVER (PARTITION BY a.vec_id ORDER BY {SIM} DESC, b.label) rank FROM embeddings a CROSS JOIN b WHERE a.vec_id % 20 = 0) WHERE rank <= 10")
 register("V9_top5_mean", lambda s, d: _top(s, d).withColumn("k", F.row_number().over(Window.partitionBy("query_id", "label").orderBy(F.desc("score"), "code"))).where("k <= 5").groupBy("query_id", "label").agg(r6(F.avg("score")).alias("score")), TOP + " SELECT query_id, label, round(avg(s), 6) score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY s DESC, code) j FROM top) WHERE j <= 5 GROUP BY 1, 2")
 register("V10_backfill", lambda s, d: V.fill_up(_top(s, d, 5).where("label < 5").select("query_id", "code", "rank"), _top(s, d, 25).select("query_id", "code", "rank"), 15).select("query_id", "code", "stage", "place"), TOP + ", r AS (SELECT query_id, code, k, 0 stage FROM top WHERE k <= 5 AND label < 5 UNION ALL SELECT query_id, code, k, 1 FROM top), o AS (SELECT query_id, code, min((stage, k)) m FROM r GROUP BY 1, 2) SELECT query_id, code, m[1] AS stage, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY m, code) place FROM o) WHERE place <= 15".replace("min((stage, k)) m", "min(stage * 1000 + k) m").replace("m[1] AS stage", "m // 1000 AS stage"))
 register("V11_attribute_boost", lambda s, d: V.window_rerank(_top(s, d).withColumn("boosted", F.col("score") + 0.03 * (F.col("label") % 2)), "boosted").select("query_id", "code", "new_rank"), TOP + " SELECT query_id, code, row_number() OVER (PARTITION BY query_id ORDER BY k <= 10 DESC, CASE WHEN k <= 10 THEN s + 0.03 * (label % 2) END DESC NULLS LAST, k) new_rank FROM top")

@@ -61,7 +61,7 @@ register("S24_collection_record", lambda s, d: table(s, d, "pages").select("page
 register("S25_nested_unnest", lambda s, d: items(s, d).groupBy("brand", "category").agg(F.collect_set("colour").alias("colours")).groupBy("brand").agg(F.collect_list(F.struct("category", "colours")).alias("styles")).select("brand", F.explode("styles").alias("st")).select("brand", F.col("st.category").alias("category"), F.explode("st.colours").alias("colour")).where("colour <> 'old'"), W + "SELECT DISTINCT brand, category, colour FROM items WHERE colour <> 'old'")
 register("S26_best_per_position", lambda s, d: X.best_per_position(items(s, d).select(F.col("code").alias("product"), F.col("ix").alias("position"), (F.col("confidence") > 0.9).alias("zoom"), F.col("post").alias("ord"), F.col("post").cast("string").alias("url"))).select("product", F.array_join("urls", ",").alias("urls")), W + "SELECT code AS product, string_agg(post::VARCHAR, ',' ORDER BY ix) urls FROM (SELECT *, row_number() OVER (PARTITION BY code, ix ORDER BY confidence > 0.9 DESC, post) k FROM items) WHERE k = 1 GROUP BY 1")
 register("S27_map_lookup", lambda s, d: items(s, d).groupBy("brand").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("colour", "colour")))).alias("m")).select("brand", F.element_at("m", F.lit("red")).alias("red"), F.try_element_at("m", F.lit("plaid")).alias("plaid")), W + "SELECT brand, max(colour) FILTER (WHERE colour = 'red') red, NULL plaid FROM items GROUP BY 1")
-register("S28_details", lambda s, d: table(s, d, "documents").select("doc_id", F.length(X.details(F.substring("text", 1, 30), F.col("text"))).alias("chars")), "SELECT doc_id, length(CASE WHEN length(substr(coalesce(text, ''), 1, 30)) < 40 AND length(text) > 30 THEN text ELSE substr(coalesce(text, ''), 1, 30) END)::INT chars FROM documents")
+register("S28_details", lambda s, d: table(s, d, "documents").select("doc_id", F.length(X.details(F.col("source"), F.col("text"))).alias("chars")), "SELECT doc_id, length(CASE WHEN length(coalesce(source, '')) < 40 AND length(coalesce(text, '')) > length(coalesce(source, '')) THEN text ELSE coalesce(source, '') END)::INT chars FROM documents")
 register("S31_same_shot", lambda s, d: table(s, d, "embeddings").alias("a").join(table(s, d, "embeddings").select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("e2")), "vec_id").select("vec_id", r6(X.mean_difference(F.transform("embedding", lambda x: x.cast("double")), F.transform("e2", lambda x: x.cast("double")))).alias("diff")), "SELECT a.vec_id, round(list_avg([abs(a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) FOR i IN range(1, 65)]), 6) \"diff\" FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 
 # Functions
