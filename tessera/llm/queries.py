@@ -10,6 +10,7 @@ from tessera.llm.media import op1_media
 from tessera.llm.neardup import OP9_SQL, op9_neardup
 from tessera.llm.pieces import op6_sentencepiece
 from tessera.llm.quality import op8_quality
+from tessera.llm.repair import OP12_SQL, op12_repair
 from tessera.llm.repeats import OP3_SQL, op3_substrings
 from tessera.llm.secrets import op2_secrets
 from tessera.llm.toxicity import op7_toxicity
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_neardup": op9_neardup,
     "op10_licenses": op10_licenses,
+    "op12_repair": op12_repair,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {"op3_substrings": OP3_SQL, "op4_chat": OP4_SQL, "op5_decontaminate": OP5_SQL, "op9_neardup": OP9_SQL}
+ORACLES: dict[str, str] = {"op3_substrings": OP3_SQL, "op4_chat": OP4_SQL, "op5_decontaminate": OP5_SQL, "op9_neardup": OP9_SQL, "op12_repair": OP12_SQL}
