@@ -14,6 +14,7 @@ from tessera.llm.repair import OP12_SQL, op12_repair
 from tessera.llm.repeats import OP3_SQL, op3_substrings
 from tessera.llm.secrets import op2_secrets
 from tessera.llm.toxicity import op7_toxicity
+from tessera.llm.warc import OP13_SQL, op13_warc
 
 QUERIES = {
     "op1_media": op1_media,
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_neardup": op9_neardup,
     "op10_licenses": op10_licenses,
     "op12_repair": op12_repair,
+    "op13_warc": op13_warc,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {"op3_substrings": OP3_SQL, "op4_chat": OP4_SQL, "op5_decontaminate": OP5_SQL, "op9_neardup": OP9_SQL, "op12_repair": OP12_SQL}
+ORACLES: dict[str, str] = {"op3_substrings": OP3_SQL, "op4_chat": OP4_SQL, "op5_decontaminate": OP5_SQL, "op9_neardup": OP9_SQL, "op12_repair": OP12_SQL, "op13_warc": OP13_SQL}
