@@ -8,6 +8,7 @@ from tessera.llm.decontaminate import OP5_SQL, op5_decontaminate
 from tessera.llm.licences import op10_licenses
 from tessera.llm.media import op1_media
 from tessera.llm.neardup import OP9_SQL, op9_neardup
+from tessera.llm.negatives import OP11_SQL, op11_negatives
 from tessera.llm.pieces import op6_sentencepiece
 from tessera.llm.quality import op8_quality
 from tessera.llm.repair import OP12_SQL, op12_repair
@@ -27,8 +28,9 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_neardup": op9_neardup,
     "op10_licenses": op10_licenses,
+    "op11_negatives": op11_negatives,
     "op12_repair": op12_repair,
     "op13_warc": op13_warc,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {"op3_substrings": OP3_SQL, "op4_chat": OP4_SQL, "op5_decontaminate": OP5_SQL, "op9_neardup": OP9_SQL, "op12_repair": OP12_SQL, "op13_warc": OP13_SQL}
+ORACLES: dict[str, str] = {"op3_substrings": OP3_SQL, "op4_chat": OP4_SQL, "op5_decontaminate": OP5_SQL, "op9_neardup": OP9_SQL, "op11_negatives": OP11_SQL, "op12_repair": OP12_SQL, "op13_warc": OP13_SQL}
