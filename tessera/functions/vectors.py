@@ -10,10 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.sources.store import saved
-
-#: Bytes of vectors that a broadcast block of queries may take.
+#: Bytes of vectors that a block of queries may take.
 BLOCK_BYTES = 64 << 20
+#: Queries that are multiplied with a batch at once.
+STEP = 512
 
 
 def dot(a, b) -> Column:
@@ -56,56 +56,100 @@ def top_k(queries: DataFrame, gallery: DataFrame, k: int, block_bytes: int = BLO
     """V1: (query_id, key, score, rank) of the k gallery rows of largest dot product, ties by key; queries: (query_id,
     embedding), gallery: (key, embedding).  With `group`, a column of both, only rows of the query's group count.
 
-    Queries travel, in blocks of a checked size, and the gallery stays where it is: each task multiplies a block with its
-    rows as matrices and keeps its own k best, so only k rows a query and task are shuffled.  A block more is a pass more;
-    its rows are written before the next block is read, so the driver holds one block at a time."""
-    spark, parts = gallery.sparkSession, []
-    kept = [c for c in ("query_id", "embedding", group) if c]
-    for block, last in _blocks(queries.select(*kept), block_bytes):
-        columns = np.array([b[0] for b in block]), np.array([b[1] for b in block], np.float64), np.array([b[2] for b in block]) if group else None
-        shared = spark.sparkContext.broadcast(columns)
-        part = _block_top_k(gallery, shared, k, group)
-        if not last or parts:
-            part = saved(part, "block-top-k")
-            shared.unpersist()
-        parts.append(part)
-    if not parts:
-        return spark.createDataFrame([], "query_id long, key long, score double, rank int")
-    best = parts[0]
-    for part in parts[1:]:
-        best = best.unionByName(part)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "key")
-    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def _blocks(rows: DataFrame, most: int) -> Iterator[tuple[list, bool]]:
-    """Rows in blocks of vectors of about `most` bytes, and whether a block is the last."""
-    block, size = [], 0
-    for row in rows.toLocalIterator():
-        if size >= most:
-            yield block, False
-            block, size = [], 0
-        block.append(row)
-        size += 8 * len(row.embedding)
-    if block:
-        yield block, True
+    Queries are dealt to blocks of about `block_bytes`, with `group` those of a group to as few as hold them, and a block's
+    part of the gallery to lanes at random.  A task gets the block first, then streams its lane past it, multiplies both as
+    matrices and keeps k rows a query.  Nothing passes through the driver but counts, and no group decides a task's size.
+
+    A null id, key, group or embedding takes no part, nor does one with a component that is null or NaN; vectors of different lengths don't meet."""
+    spark = gallery.sparkSession
+    kept, of = (["_group"], [F.col(group).alias("_group")]) if group else ([], [])
+    sound = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x))
+    queries, gallery = (rows.where(F.col(name).isNotNull() & sound).select(F.col(name).alias("name"), "embedding", *of) for rows, name in ((queries, "query_id"), (gallery, "key")))
+    sizes = queries.groupBy(*kept).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("embedding")), F.lit(1)).alias("size"))
+    a_block = F.greatest(F.lit(1), F.floor(F.lit(block_bytes) / (8 * F.greatest("size", F.lit(1)))))
+    sizes = sizes.withColumn("wide", F.greatest(F.lit(1), F.ceil(F.col("n") / a_block)).cast("int"))
+    n_blocks = max(1, sizes.agg(F.ceil(F.sum(F.col("n") / a_block))).first()[0] or 1)
+    lanes = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // n_blocks))
+    if group:
+        # A group's queries fill as many blocks as they need, one after another; where these begin follows from the group.
+        sizes = sizes.select("_group", "wide")
+        queries, gallery = queries.join(sizes, "_group"), gallery.join(sizes, "_group")
+        begin = F.xxhash64("_group")
+    else:
+        queries, gallery, begin = queries.withColumn("wide", F.lit(n_blocks)), gallery.withColumn("wide", F.lit(n_blocks)), F.lit(0).cast("long")
+
+    def block(offset: Column) -> Column:
+        return F.pmod(begin + offset, F.lit(n_blocks)).cast("int")
+
+    cell = (F.col("block") * lanes + F.col("lane")).cast("int").alias("cell")
+    held = queries.withColumn("block", block(F.pmod(F.xxhash64("name"), "wide"))).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))).select(cell, F.lit(0).alias("kind"), "name", "embedding", *kept)
+    blocks = F.array_distinct(F.transform(F.sequence(F.lit(0), F.col("wide") - 1), block))
+    streamed = gallery.withColumn("block", F.explode(blocks)).withColumn("lane", F.pmod(F.xxhash64("name", F.lit(lanes)), F.lit(lanes))).select(cell, F.lit(1).alias("kind"), "name", "embedding", *kept)
+    met = held.unionByName(streamed).repartitionById(n_blocks * lanes, F.col("cell")).sortWithinPartitions("kind")
 
-
-def _block_top_k(gallery: DataFrame, shared, k: int, group: str | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q, of = shared.value
-        keys, scores = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
+        waiting: list[pa.RecordBatch] = []
+        best: dict[int, _Best] | None = None
         for batch in batches:
-            if not batch.num_rows:
+            split = int(np.searchsorted(batch.column("kind").to_numpy(), 1))
+            if split:
+                waiting.append(batch.slice(0, split))
+            if split == batch.num_rows:
+                continue
+            if best is None:
+                best = {size: _Best(*columns, k) for size, columns in _by_length(pa.Table.from_batches(waiting).combine_chunks().to_batches() if waiting else [])}
+                waiting = []
+            for size, (names, vectors, groups) in _by_length([batch.slice(split)]):
+                if size in best:
+                    best[size].meet(names, vectors, groups)
+        for b in (best or {}).values():
+            yield b.found()
+
+    found = met.mapInArrow(run, "query_id long, key long, score double")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "key")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _by_length(batches: list[pa.RecordBatch]) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray, np.ndarray | None]]]:
+    """Names, vectors as a matrix and groups of the rows of each length."""
+    for batch in batches:
+        vectors = batch.column("embedding")
+        lengths = vectors.value_lengths().to_numpy()
+        for size in np.unique(lengths).tolist():
+            some = np.flatnonzero(lengths == size)
+            matrix = vectors.take(pa.array(some)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(some), size)
+            yield size, (batch.column("name").to_numpy(zero_copy_only=False)[some], matrix, batch.column("_group").to_numpy(zero_copy_only=False)[some] if "_group" in batch.schema.names else None)
+
+
+class _Best:
+    """The k best rows so far of each query of a block."""
+
+    def __init__(self, names: np.ndarray, vectors: np.ndarray, groups: np.ndarray | None, k: int) -> None:
+        self.names, self.vectors, self.groups, self.k = names, vectors, groups, k
+        self.keys, self.scores = np.zeros((len(names), k), np.int64), np.full((len(names), k), -np.inf)
+        self.filled = np.zeros((len(names), k), bool)
+
+    def meet(self, keys: np.ndarray, vectors: np.ndarray, groups: np.ndarray | None) -> None:
+        for at in range(0, len(self.names), STEP):
+            some = slice(at, at + STEP)
+            scores = self.vectors[some] @ vectors.T
+            enters = (scores >= self.scores[some, -1:]) | ~self.filled[some, -1:]
+            if groups is not None:
+                enters &= self.groups[some][:, None] == groups[None, :]
+            row, column = np.nonzero(enters)
+            if not len(row):
                 continue
-            v = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-            new, near = np.broadcast_to(batch.column("key").to_numpy(zero_copy_only=False), (len(ids), batch.num_rows)), q @ v.T
-            if group:
-                near[of[:, None] != batch.column(group).to_numpy(zero_copy_only=False)[None, :]] = -np.inf
-            keys, scores = np.concatenate([keys, new], 1), np.concatenate([scores, near], 1)
-            order = np.lexsort((keys, -scores), axis=1)[:, :k]
-            keys, scores = np.take_along_axis(keys, order, 1), np.take_along_axis(scores, order, 1)
-        found = pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, keys.shape[1])), pa.array(keys.ravel()), pa.array(scores.ravel())], ["query_id", "key", "score"])
-        yield found.filter(pa.array(np.isfinite(scores.ravel()))) if group else found
-
-    return gallery.select("key", "embedding", *([group] if group else [])).mapInArrow(run, "query_id long, key long, score double")
+            touched, of = np.unique(row, return_inverse=True)
+            mine = touched + at
+            n, old = len(touched), self.filled[mine].ravel()
+            of = np.concatenate([np.repeat(np.arange(n), self.k)[old], of])
+            score = np.concatenate([self.scores[mine].ravel()[old], scores[row, column]])
+            key = np.concatenate([self.keys[mine].ravel()[old], keys[column]])
+            order = np.lexsort((key, -score, of))
+            rank = np.arange(len(of)) - np.searchsorted(of[order], of[order])
+            order, rank = order[rank < self.k], rank[rank < self.k]
+            self.keys[mine[of[order]], rank], self.scores[mine[of[order]], rank], self.filled[mine[of[order]], rank] = key[order], score[order], True
+
+    def found(self) -> pa.RecordBatch:
+        query, place = np.nonzero(self.filled)
+        return pa.RecordBatch.from_arrays([pa.array(self.names[query]), pa.array(self.keys[query, place]), pa.array(self.scores[query, place])], ["query_id", "key", "score"])

@@ -69,7 +69,19 @@ def test_top_k_in_blocks_and_groups(spark, block):
         for q in range(0, 40, 5):
             near = [i for i in np.argsort(-v @ v[q], kind="stable").tolist() if group is None or label[i] == label[q]][:6]
             assert [got.get((q, k + 1)) for k in range(len(near))] == near and (q, len(near) + 1) not in got
-    assert top_k(queries.limit(0), df, 3).count() == 0
+    assert top_k(queries.limit(0), df, 3).count() == 0 and top_k(queries, df.limit(0), 3).count() == 0
+
+
+def test_top_k_leaves_out_what_has_no_score(spark):
+    """Nulls and NaN anywhere, other lengths, ties, and a group of nearly all rows beyond one block."""
+    rows = [(1, [1.0, 0.0], "a"), (2, None, "a"), (3, [1.0, None], "a"), (4, [float("nan"), 1.0], "a"), (None, [9.0, 9.0], "a"), (5, [1.0], "a"), (6, [2.0, 1.0], None), (7, [1.0, 1.0], "b")] + [(i, [1.0, 2.0], "a") for i in range(10, 300)]
+    df = spark.createDataFrame(rows, "key long, embedding array<double>, kind string").repartition(3)
+    queries = df.where("key IS NULL OR key < 100").withColumnRenamed("key", "query_id")
+    for block in (64 << 20, 64):
+        got = {}
+        for r in top_k(queries, df, 3, block, "kind").collect():
+            got.setdefault(r.query_id, []).append(r.key)
+        assert got == {1: [1, 10, 11], 5: [5], 7: [7]} | {i: [10, 11, 12] for i in range(10, 100)}
 
 
 def test_fuzzy_match_finds_all_pairs(spark):
