@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessera.operators import batches as B
 from tessera.operators import curation as K
 from tessera.operators import taxonomy as H
 from tessera.plans.catalog import register
@@ -79,3 +80,39 @@ register("H3_descendant_leaves", lambda s, d: H.closure(_TREE(s, d)).groupBy("an
 register("H4_categories_under", lambda s, d: H.closure(_TREE(s, d)).groupBy("ancestor").agg(F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories")), _TREE_SQL + " SELECT ancestor, string_agg(DISTINCT category, ',' ORDER BY category) categories FROM cl GROUP BY 1")
 register("O13_identity_sample", lambda s, d: table(s, d, "part").withColumn("identity", F.concat_ws(" ", "p_brand", "p_name")).withColumn("k", F.row_number().over(Window.partitionBy("identity").orderBy(K.seeded(F.col("p_partkey"), 4), "p_partkey"))).where("k <= 2").select("identity", "p_partkey"), "SELECT identity, p_partkey FROM (SELECT *, concat_ws(' ', p_brand, p_name) AS identity, row_number() OVER (PARTITION BY concat_ws(' ', p_brand, p_name) ORDER BY sha1('4:' || p_partkey), p_partkey) k FROM part) WHERE k <= 2")
 register("O16_O17_batches", lambda s, d: K.training_batches(_PARTS(s, d), "product", "key", 16, 2, 11).select("key", "batch", "k"), _PARTS_SQL + f" SELECT key, batch, k FROM (SELECT key, least(floor({UNIT.format(chr(39) + '11:' + chr(39) + ' || product')} * 16), 15)::BIGINT batch, row_number() OVER (PARTITION BY product ORDER BY sha1('11:' || key), key) k FROM p) WHERE k <= 2")
+
+# Batches: products of `part` (brand and name), their category the first of their types, their identity the name; hard negatives
+# are up to 15 products of the same category and noun.
+_PRODUCTS = lambda s, d: table(s, d, "part").groupBy(F.concat_ws(" ", "p_brand", "p_name").alias("product")).agg(F.min("p_type").alias("category"), F.min("p_name").alias("identity"), F.count(F.lit(1)).alias("n_rows")).withColumn("noun", F.substring_index("identity", " ", -1))
+
+
+def _negatives(s, d):
+    p = _PRODUCTS(s, d)
+    both = p.select(F.col("product").alias("code"), "category", "noun").join(p.select("product", "category", "noun"), ["category", "noun"]).where("code <> product")
+    return both.withColumn("k", F.row_number().over(Window.partitionBy("code").orderBy(K.seeded(F.col("product"), 5), "product"))).where("k <= 15").select("code", "product")
+
+
+_BATCH_SQL = """WITH p AS (SELECT concat_ws(' ', p_brand, p_name) AS product, min(p_type) AS category, min(p_name) AS identity, count(*) AS n_rows FROM part GROUP BY 1),
+neg AS (SELECT a.product AS code, b.product FROM p a JOIN p b ON a.category = b.category AND split_part(a.identity, ' ', -1) = split_part(b.identity, ' ', -1) AND a.product <> b.product QUALIFY row_number() OVER (PARTITION BY a.product ORDER BY sha1('5:' || b.product), b.product) <= 15),
+fit AS (SELECT * FROM p WHERE {fit}), n AS (SELECT ceil(count(*) / {size})::BIGINT AS b FROM fit),
+seeds AS (SELECT *, row_number() OVER (ORDER BY sha1('{seed}:' || product), product) - 1 AS place, count(*) OVER () AS size FROM fit WHERE {may}),
+heads AS (SELECT r.b AS batch, seeds.* FROM (SELECT unnest(range(b)) AS b FROM n) r JOIN seeds ON seeds.place = r.b % seeds.size),
+t0 AS (SELECT batch, 0 AS tier, 0 AS step, product FROM heads), {tiers}
+SELECT t.batch, ['seed', {names}][t.tier + 1] AS tier, t.product, r.k, r.p_partkey FROM {final} t JOIN LATERAL (
+  SELECT * FROM (SELECT p_partkey, row_number() OVER (ORDER BY sha1('3:' || t.batch || ':' || p_partkey), p_partkey) AS k0, count(*) OVER () AS n FROM part WHERE concat_ws(' ', p_brand, p_name) = t.product), LATERAL (SELECT unnest({repeat}) AS k) WHERE k0 <= 2) r ON true"""
+
+
+def _tier_sql(i: int, pool: str, members: str, quota: int, room: str, seed: int) -> str:
+    return f"""m{i} AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY sha1('{seed + i}:' || product), product) - 1 AS place, count(*) OVER (PARTITION BY pool) AS size FROM ({members})),
+    a{i} AS (SELECT h.batch, {pool} AS pool, row_number() OVER (PARTITION BY {pool} ORDER BY sha1('{seed}:' || h.batch), h.batch) - 1 AS turn, (SELECT count(*) FROM t{i - 1} t WHERE t.batch = h.batch) AS had FROM heads h),
+    r{i} AS (SELECT a.*, s.size, {room} AS room FROM a{i} a JOIN (SELECT DISTINCT pool, size FROM m{i}) s USING (pool)),
+    d{i} AS (SELECT *, unnest(range(least(room + had, size))) AS step FROM r{i} WHERE room > 0),
+    f{i} AS (SELECT d.batch, d.step, m.product FROM d{i} d JOIN m{i} m ON m.pool = d.pool AND m.place = (d.turn * {quota} + d.step) % d.size WHERE NOT EXISTS (SELECT 1 FROM t{i - 1} t WHERE t.batch = d.batch AND t.product = m.product) QUALIFY row_number() OVER (PARTITION BY d.batch ORDER BY d.step) <= d.room),
+    t{i} AS (SELECT * FROM t{i - 1} UNION ALL SELECT batch, {i}, step, product FROM f{i})"""
+
+
+_O16_TIERS = ", ".join([_tier_sql(1, "h.product", "SELECT code AS pool, product FROM neg", 6, "least(16 - had, 6)", 11), _tier_sql(2, "h.category", "SELECT category AS pool, product FROM p", 5, "least(16 - had, 5)", 11), _tier_sql(3, "'all'", "SELECT 'all' AS pool, product FROM p", 16, "16 - had", 11)])
+_O17_TIERS = ", ".join([_tier_sql(1, "h.identity", "SELECT identity AS pool, product FROM fit", 6, "7 - had", 12), _tier_sql(2, "h.category", "SELECT category AS pool, product FROM fit", 6, "13 - had", 12), _tier_sql(3, "'all'", "SELECT 'all' AS pool, product FROM fit", 16, "16 - had", 12)])
+_ROWS = lambda s, d: table(s, d, "part").select(F.concat_ws(" ", "p_brand", "p_name").alias("product"), "p_partkey")
+register("O16_hard_negative_batches", lambda s, d: B.with_rows(B.hard_negative_batches(_PRODUCTS(s, d).select("product", "category"), _negatives(s, d), 16, 11), _ROWS(s, d), "p_partkey", 2, 3, True), _BATCH_SQL.format(fit="true", size=16, seed=11, may="product IN (SELECT code FROM neg)", tiers=_O16_TIERS, names="'hard', 'category', 'random'", final="t3", repeat="range(k0, 3, n)"))
+register("O17_identity_batches", lambda s, d: B.with_rows(B.identity_batches(_PRODUCTS(s, d), 16, 12), _ROWS(s, d), "p_partkey", 2, 3, False), _BATCH_SQL.format(fit="n_rows >= 2", size=16, seed=12, may="true", tiers=_O17_TIERS, names="'sibling', 'category', 'random'", final="t3", repeat="[k0]"))

@@ -11,6 +11,7 @@ from tessera.functions import text as T
 from tessera.functions.vectors import embed_rows, encoder, l2
 from tessera.operators import curation as K
 from tessera.operators import relational as R
+from tessera.operators.dominant import dominant_colours
 from tessera.plans.catalog import register
 from tessera.sources import extract as X
 from tessera.sources.store import shared_folder
@@ -145,17 +146,80 @@ def _palette_vote(s, d):
 register("F11_palette_vote", _palette_vote, f"WITH v AS (SELECT p_brand, arg_min(name, power(p_partkey * 7 % 256 - r, 2) + power(p_partkey * 11 % 256 - g, 2) + power(p_partkey * 13 % 256 - b, 2) + i * 1e-6) name FROM part CROSS JOIN {_PALETTE_SQL} GROUP BY p_brand, p_partkey), c AS (SELECT p_brand, name, count(*) n FROM v GROUP BY 1, 2) SELECT p_brand, arg_max(name, (n, name)) name, round(max(n) / sum(n), 6) \"share\" FROM c GROUP BY 1")
 
 
-def _dominant(s, d):
-    """k-means in Lab, clusters of 3 % and more, largest first."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+def _images(s, d):
+    """Two images of 6 by 6 pixels of each part: the one a figure on a plain ground, the other a texture or, of every fifth part, a
+    crop of few pixels."""
+    key = F.col("p_partkey")
+    pixel = lambda red, green, blue: (F.pmod(red, F.lit(256)) * 65536 + F.pmod(green, F.lit(256)) * 256 + F.pmod(blue, F.lit(256))).cast("int")
+    cell = lambda i: (i % 6, F.floor(i / 6))
+
+    def figure(i):
+        x, y = cell(i)
+        inside = x.between(1, 4) & y.between(1, 4)
+        return F.when(inside, pixel(key * 7 + x * 40, key * 11 + y * 30, key * 13 + x * y)).otherwise(pixel(key * 3, key * 3, key * 3))
 
-    lab = table(s, d, "part").select("p_partkey", _LAB().alias("x")).select("p_partkey", array_to_vector(F.array("x.L", "x.a", "x.b")).alias("features"))
-    found = KMeans(k=5, maxIter=15, tol=1e-3, seed=1).fit(lab).transform(lab)
-    return found.groupBy("prediction").agg(F.count(F.lit(1)).alias("n")).withColumn("share", F.col("n") / F.sum("n").over(R.Window.partitionBy())).where("share >= 0.03").withColumn("k", F.row_number().over(R.Window.orderBy(F.desc("n"), "prediction")))
+    def texture(i):
+        x, y = cell(i)
+        return pixel(key * 17 + x * x * 9, key * 19 + y * 50, key * 23 + x * 31 + y)
 
+    rows = table(s, d, "part").select("p_partkey")
+    first = rows.select("p_partkey", F.lit(0).alias("at"), F.lit(6).alias("width"), F.transform(F.sequence(F.lit(0), F.lit(35)), figure).alias("pixels"), F.lit(False).alias("cropped"))
+    few = F.when(key % 5 == 0, F.lit(3)).otherwise(F.lit(35))
+    second = rows.where("p_partkey % 2 = 0").select("p_partkey", F.lit(1).alias("at"), F.lit(6).alias("width"), F.transform(F.sequence(F.lit(0), few), texture).alias("pixels"), (key % 5 == 0).alias("cropped"))
+    return first.unionByName(second)
 
-register("F12_F13_dominant_colours", _dominant)
+
+def _dominant(s, d):
+    found = dominant_colours(_images(s, d), "p_partkey")
+    return found.select("p_partkey", "rank", *[F.round(F.col("lab")[c], 4).alias(c.lower()) for c in ("L", "a", "b")], r6("share").alias("share"))
+
+
+_DOMINANT_SQL = """WITH RECURSIVE px AS (
+  SELECT p_partkey AS key, 0 AS img, i, i % 6 AS x, i // 6 AS y, CASE WHEN i % 6 BETWEEN 1 AND 4 AND i // 6 BETWEEN 1 AND 4 THEN [key * 7 + (i % 6) * 40, key * 11 + (i // 6) * 30, key * 13 + (i % 6) * (i // 6)] ELSE [key * 3, key * 3, key * 3] END AS c, false AS cropped
+  FROM part CROSS JOIN (SELECT unnest(range(36)) AS i)
+  UNION ALL SELECT p_partkey, 1, i, i % 6, i // 6, [p_partkey * 17 + (i % 6) * (i % 6) * 9, p_partkey * 19 + (i // 6) * 50, p_partkey * 23 + (i % 6) * 31 + i // 6], p_partkey % 5 = 0
+  FROM part CROSS JOIN (SELECT unnest(range(36)) AS i) WHERE p_partkey % 2 = 0 AND (p_partkey % 5 > 0 OR i < 4)
+), line AS (
+  SELECT *, list_transform(c, lambda v: CASE WHEN (v % 256) / 255.0::DOUBLE > 0.04045 THEN power(((v % 256) / 255.0::DOUBLE + 0.055) / 1.055, 2.4) ELSE (v % 256) / 255.0::DOUBLE / 12.92 END) AS l FROM px
+), f AS (
+  SELECT *, list_transform([(0.4124564 * l[1] + 0.3575761 * l[2] + 0.1804375 * l[3]) / 0.95047, 0.2126729 * l[1] + 0.7151522 * l[2] + 0.0721750 * l[3], (0.0193339 * l[1] + 0.1191920 * l[2] + 0.9503041 * l[3]) / 1.08883], lambda t: CASE WHEN t > power(6.0 / 29, 3) THEN cbrt(t) ELSE t * power(29.0 / 6, 2) / 3 + 4.0 / 29 END) AS g FROM line
+), lab AS (
+  SELECT key, img, i, x, y, cropped, 116 * g[2] - 16 AS "L", 500 * (g[1] - g[2]) AS a, 200 * (g[2] - g[3]) AS b FROM f
+), ring AS (
+  SELECT key, img, median("L") AS "L", median(a) AS a, median(b) AS b FROM (SELECT * FROM lab WHERE x = 0 UNION ALL SELECT * FROM lab WHERE x = 5 UNION ALL SELECT * FROM lab WHERE y = 0 UNION ALL SELECT * FROM lab WHERE y = 5) GROUP BY ALL
+), far AS (
+  SELECT lab.*, sqrt(power(lab."L" - ring."L", 2) + power(lab.a - ring.a, 2) + power(lab.b - ring.b, 2)) > 12 AS far FROM lab JOIN ring USING (key, img)
+), kept AS (
+  SELECT * FROM (SELECT *, avg(far::INT) OVER (PARTITION BY key, img) AS share FROM far) WHERE cropped OR share < 0.05 OR far
+), pixels AS (
+  SELECT key, row_number() OVER (PARTITION BY key ORDER BY img, i) - 1 AS p, count(*) OVER (PARTITION BY key) AS n, "L", a, b FROM kept
+), chosen AS (
+  SELECT *, row_number() OVER (PARTITION BY key ORDER BY sha1('0:' || p)) AS r FROM pixels
+), rounds AS (
+  SELECT key, 0 AS it, list([ "L", a, b ] ORDER BY r) AS c, NULL::DOUBLE[][] AS before, false AS done FROM chosen WHERE n > 5 AND r <= 5 GROUP BY key
+  UNION ALL
+  SELECT key, it + 1, moved, c, list_bool_and(list_transform(range(1, 6), lambda j: list_bool_and(list_transform(range(1, 4), lambda d: abs(moved[j][d] - c[j][d]) <= 1e-3 + 1e-5 * abs(c[j][d])))))
+  FROM (
+    SELECT key, it, c, list_transform(range(0, 5), lambda j: CASE WHEN len(list_filter(m, lambda e: e.near = j)) > 0 THEN [list_avg(list_transform(list_filter(m, lambda e: e.near = j), lambda e: e.v[1])), list_avg(list_transform(list_filter(m, lambda e: e.near = j), lambda e: e.v[2])), list_avg(list_transform(list_filter(m, lambda e: e.near = j), lambda e: e.v[3]))] ELSE c[j + 1] END) AS moved
+    FROM (
+      SELECT r.key, r.it, r.c, list({'v': [p."L", p.a, p.b], 'near': list_sort(list_transform(range(0, 5), lambda j: {'d': power(p."L" - r.c[j + 1][1], 2) + power(p.a - r.c[j + 1][2], 2) + power(p.b - r.c[j + 1][3], 2), 'j': j}))[1].j}) AS m
+      FROM rounds AS r JOIN pixels AS p USING (key) WHERE NOT r.done AND r.it < 15 GROUP BY r.key, r.it, r.c
+    )
+  )
+), final AS (
+  SELECT * FROM rounds QUALIFY row_number() OVER (PARTITION BY key ORDER BY it DESC) = 1
+), sized AS (
+  SELECT key, j, any_value(c[j + 1]) AS v, count(*) / any_value(n) AS "share" FROM (
+    SELECT f.key, f.c, p.n, list_sort(list_transform(range(0, 5), lambda j: {'d': power(p."L" - f.before[j + 1][1], 2) + power(p.a - f.before[j + 1][2], 2) + power(p.b - f.before[j + 1][3], 2), 'j': j}))[1].j AS j FROM final AS f JOIN pixels AS p USING (key)
+  ) GROUP BY key, j
+  UNION ALL SELECT key, p, ["L", a, b], 1.0 / n FROM pixels WHERE n <= 5
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY key ORDER BY "share" DESC, j)::INT AS rank FROM sized WHERE "share" >= 0.03
+)
+SELECT key AS p_partkey, rank, round(v[1], 4) AS l, round(v[2], 4) AS a, round(v[3], 4) AS b, round("share", 6) AS "share" FROM ranked WHERE rank <= 3"""
+
+
+register("F12_F13_dominant_colours", _dominant, _DOMINANT_SQL)
 register("F28_filters_from_text", lambda s, d: table(s, d, "part").select("p_partkey", F.array_join(F.slice(F.filter(T.tokens(F.col("p_name")), lambda t: t.isin("red", "blue", "new")), 1, 2), ",").alias("colours"), F.element_at(T.tokens(F.col("p_name")), -1).alias("category")), "SELECT p_partkey, CASE WHEN split_part(p_name, ' ', 1) IN ('red', 'blue', 'new') THEN split_part(p_name, ' ', 1) ELSE '' END colours, split_part(p_name, ' ', 2) category FROM part")
 register("F43_reference", lambda s, d: table(s, d, "pages").select("page_id", T.reference(F.col("url"), "https://base/").alias("link")), "SELECT page_id, CASE WHEN regexp_matches(url, '^https?://') THEN url ELSE 'https://base/' || url END link FROM pages")
 register("S30_blob_by_marker", lambda s, d: _product_pages(s, d).select("p_partkey", F.get_json_object(F.get(F.filter(X.linked_data(F.col("html")), lambda b: F.contains(b, F.lit("ProductGroup"))), F.lit(0)), "$.name").alias("name")), "SELECT p_partkey, p_name AS name FROM part")
