@@ -23,11 +23,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: later jobs start from the files, also after an
-    executor is lost.  The files stay until `clear` or the owner of the shared folder removes them."""
+    executor is lost; options are the writer's.  The files stay until `clear` or the owner of the shared folder removes them."""
     path = f"{_tables(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(**({"compression": "zstd"} | options)).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
