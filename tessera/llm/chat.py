@@ -16,7 +16,7 @@ time, so a conversation of any length needs the memory of its longest turn.
 
 Defined results: a null text, content or part is empty; a null role is an empty role; turns of one number are ordered by role
 and text, null turns come first; repeated rows are turns of their own; rows with a null conv_id form one conversation
-of their own; an empty table gives only what was added to it; other columns are passed over.
+of their own; a size that isn't positive and finite (or is 2^31 or more) is unknown; an empty table gives only what was added to it; other columns are passed over.
 """
 
 from __future__ import annotations
@@ -49,6 +49,12 @@ def unescape(text: str) -> str:
     return _PLAIN.sub(r"\1", text)
 
 
+def _size(part: dict, name: str) -> float | None:
+    """A size that is known: positive, finite, and small enough to count tokens by."""
+    x = part.get(name)
+    return x if x is not None and 0 < x < 1 << 31 else None
+
+
 class Attachment(NamedTuple):
     turn: int
     position: int
@@ -74,14 +80,14 @@ class Visitor:
         self.out.append(escape(part.get("text") or ""))
 
     def visit_image(self, part: dict) -> None:
-        sides = part.get("width"), part.get("height")
+        sides = _size(part, "width"), _size(part, "height")
         self.place("image", part, ceil(sides[0] / PATCH) * ceil(sides[1] / PATCH) if all(sides) else None)
 
     def visit_audio(self, part: dict) -> None:
-        self.place("audio", part, ceil(part["seconds"] * PER_SECOND) if part.get("seconds") else None)
+        self.place("audio", part, ceil(seconds * PER_SECOND) if (seconds := _size(part, "seconds")) else None)
 
     def visit_document(self, part: dict) -> None:
-        self.place("document", part, part["pages"] * PER_PAGE if part.get("pages") else None)
+        self.place("document", part, pages * PER_PAGE if (pages := _size(part, "pages")) else None)
 
     def place(self, kind: str, part: dict, n_tokens: int | None) -> None:
         # A bare bracket can't come from a text: those are escaped.
