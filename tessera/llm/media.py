@@ -5,7 +5,10 @@ the SHA-256 of the bytes) and its caption (the figure's, before or after it, els
 lie in other pages of the Parquet file than the sequence.  `resolve` joins payloads back by digest; positions and
 captions stay those of the sequence.
 
-Defined results: a null page has no parts; a part without text isn't kept, nor what stands in `noscript` or `template`; inline media that can't be decoded keep
+Defined results: a null page has no parts; a part without text isn't kept, nor what stands in `noscript` or `template`; a
+marked section (`<![...]>`) is a comment, as in browsers; a caption ends where its figure, a heading or another section
+does, and one that nothing ends is text; of an element's addresses `src` or `data` counts, or `data-src` or the first of
+`srcset` where there is none or only an inline stand-in for it; a video's poster is an image of its own; inline media that can't be decoded keep
 their reference and have no payload; equal media have one digest, and a digest that is asked for many times (a third of
 all rows, say) is split by Spark's skew join, with small rows on that side; an empty table gives an empty result; other
 columns are passed over.
@@ -27,12 +30,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import text as T
-from tessera.llm.store import kept
+from tessera.llm.store import arrow_batches, kept
 
 WIDTH = 64
 MEDIA_TAGS = {"img": "image", "audio": "audio", "video": "video", "source": "media", "embed": "media", "object": "media"}
 _BLOCKS = {"p", "div", "br", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "article", "section", "table", "tr", "td", "th", "blockquote", "pre", "figure", "header", "footer", "nav", "main", "aside", "hr", "title", "body"}
 _HIDDEN = {"script", "style", "template", "noscript"}
+#: Start tags that end a caption which has no end tag.
+_ENDS_CAPTION = {"figure", "article", "section", "header", "footer", "nav", "main", "aside", "h1", "h2", "h3", "h4", "h5", "h6"}
+#: Bytes of an Arrow batch of pages, and of a row group of media.
+BATCH, ROW_GROUP = 8 << 20, 16 << 20
 
 
 class _Sequence(HTMLParser):
@@ -48,19 +55,45 @@ class _Sequence(HTMLParser):
         if text:
             self.parts.append({"kind": "text", "text": text, "caption": None, "ref": None, "media": None})
 
+    def parse_html_declaration(self, i: int) -> int:
+        return self.parse_bogus_comment(i) if self.rawdata.startswith("<![", i) else super().parse_html_declaration(i)
+
+    def end_caption(self) -> None:
+        text = " ".join("".join(self.caption).split())
+        self.caption = None
+        if self.figure is not None:  # for media of the figure that come after it
+            self.figure_caption = text or None
+        for part in self.parts[self.figure if self.figure is not None else len(self.parts) :]:
+            if part["kind"] != "text":
+                part["caption"] = text or part["caption"]
+
+    def end_page(self) -> None:
+        if self.caption is not None:
+            self.texts, self.caption = self.caption, None
+        self.flush()
+
+    def place(self, kind: str, ref: str, alt: str | None) -> None:
+        self.flush()
+        media = _inline(ref)
+        self.parts.append({"kind": kind, "text": None, "caption": self.figure_caption or alt or None, "ref": hashlib.sha256(media).hexdigest() if media is not None else ref, "media": media})
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if self.caption is not None and tag in _ENDS_CAPTION:
+            self.end_caption()
         if tag in _HIDDEN:
             self.hidden += 1
         elif tag == "figcaption":
+            if self.caption is not None:
+                self.end_caption()
             self.flush()
             self.caption = []
         elif tag in MEDIA_TAGS and not self.hidden:
             given = dict(attrs)
-            ref = given.get("src") or given.get("data")
+            ref = _address(given)
+            if tag == "video" and given.get("poster"):
+                self.place("image", given["poster"], None)
             if ref:
-                self.flush()
-                media = _inline(ref)
-                self.parts.append({"kind": MEDIA_TAGS[tag], "text": None, "caption": self.figure_caption or given.get("alt") or None, "ref": hashlib.sha256(media).hexdigest() if media is not None else ref, "media": media})
+                self.place(MEDIA_TAGS[tag], ref, given.get("alt"))
         elif tag in _BLOCKS:
             self.flush()
             if tag == "figure":
@@ -69,15 +102,9 @@ class _Sequence(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in _HIDDEN:
             self.hidden = max(0, self.hidden - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            text = " ".join("".join(self.caption).split())
-            self.caption = None
-            if self.figure is not None:  # for media of the figure that come after it
-                self.figure_caption = text or None
-            for part in self.parts[self.figure if self.figure is not None else len(self.parts) :]:
-                if part["kind"] != "text":
-                    part["caption"] = text or part["caption"]
-        elif tag in _BLOCKS:
+        elif tag in ("figcaption", "figure") and self.caption is not None:
+            self.end_caption()
+        if tag in _BLOCKS:
             self.flush()
             if tag == "figure":
                 self.figure = self.figure_caption = None
@@ -87,6 +114,15 @@ class _Sequence(HTMLParser):
             (self.texts if self.caption is None else self.caption).append(data)
 
 
+def _address(given: dict) -> str | None:
+    """An element's address, of the attributes in the order that the module's docstring gives."""
+    ref = given.get("src") or given.get("data")
+    if ref and not ref.startswith("data:"):
+        return ref
+    listed = (given.get("srcset") or "").strip().split(None, 1)
+    return given.get("data-src") or (listed[0].rstrip(",") if listed and not ref else None) or ref
+
+
 def _inline(ref: str) -> bytes | None:
     """The bytes of a data address; None for other addresses and for what isn't base64 (white space and missing padding
     are allowed, as in browsers)."""
@@ -110,7 +146,7 @@ def parse(html: str | None) -> list[dict]:
     reader = _Sequence()
     reader.feed(html or "")
     reader.close()
-    reader.flush()
+    reader.end_page()
     return reader.parts
 
 
@@ -187,6 +223,7 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     page = F.concat(F.lit('<article><h1>document</h1><figure><img alt="bytes" src="data:image/x-portable-graymap;base64,'), F.base64(graymap(F.col("text"))), F.lit('"><figcaption>text of the document</figcaption></figure></article>'))
     n_bytes = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
-    stored = kept(sequences(documents.select("doc_id", n_bytes.alias("n_bytes"), page.alias("html")), "html", ("doc_id", "n_bytes")), "media").where("kind = 'image'")
-    media = kept(measured(stored), "media-features")
+    with arrow_batches(spark, BATCH):
+        stored = kept(sequences(documents.select("doc_id", n_bytes.alias("n_bytes"), page.alias("html")), "html", ("doc_id", "n_bytes")), "media", **{"parquet.block.size": str(ROW_GROUP)}).where("kind = 'image'")
+        media = kept(measured(stored), "media-features")
     return resolve(stored.select("doc_id", "n_bytes", "position", "caption", "ref"), media).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")

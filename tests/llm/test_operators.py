@@ -77,6 +77,32 @@ def test_references_captions_and_broken_media():
     assert got == [(long + "1", "first", None), (long + "2", "a", None), ("data:;base64,@@", None, None), (sha(b"hi"), None, b"hi"), (sha(b"a b"), None, b"a b")]
 
 
+def test_marked_sections_and_captions_without_end():
+    texts = lambda page: [p["text"] or (p["ref"], p["caption"]) for p in media.parse(page)]
+    assert texts("a<![foo[ x ]]>b") == ["ab"] and texts("a<![if IE]>b<![endif]>c<![CDATA[d]]>e<!x>f<![") == ["abcef<!["]
+    assert texts('<figure><img src="u"><figcaption>cap</figure><p>after</p>') == [("u", "cap"), "after"]
+    assert texts('<figure><img src="u"><figcaption>cap<h2>head</h2>after') == [("u", "cap"), "head", "after"]
+    assert texts("<p>before</p><figcaption>never <b>closed") == ["before", "never closed"]
+    assert texts("<figcaption>one<figcaption>two</figcaption>three") == ["three"]
+
+
+def test_addresses_of_media():
+    refs = lambda page: [(p["kind"], p["ref"]) for p in media.parse(page)]
+    stand_in = "data:image/gif;base64,R0lGODlhAQABAAAAACw="
+    assert refs('<img srcset="a.png 1x, b.png 2x">') == [("image", "a.png")] and refs('<img src="s.png" data-src="d.png" srcset="a.png">') == [("image", "s.png")]
+    assert refs(f'<img src="{stand_in}" data-src="real.png">') == [("image", "real.png")] and refs('<img data-src="d.png">') == [("image", "d.png")]
+    assert refs('<video poster="p.jpg" src="v.mp4"></video>') == [("image", "p.jpg"), ("video", "v.mp4")] and refs('<video poster="p.jpg"></video>') == [("image", "p.jpg")]
+    assert refs('<picture><source srcset="x.webp"><img src="x.png"></picture>') == [("media", "x.webp"), ("image", "x.png")]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_no_page_stops_the_reader(seed):
+    rng = np.random.default_rng(seed)
+    bits = ["<", ">", "<!", "<![", "]]>", "<!--", "-->", "--", "<figure>", "<figcaption>", "</figure>", "</figcaption>", "<img src=", '"', "data:;base64,", "a", " ", "&", "&#x;", "&#99999999;", "<?", "</", "<script>", "</script", "<!DOCTYPE [", "\0", "é"]
+    for _ in range(1500):
+        assert isinstance(media.parse("".join(rng.choice(bits, rng.integers(1, 25)))), list)
+
+
 def test_sequences_keep_order_and_captions(spark):
     page = '<p>one <b>two</b></p><figure><img src="data:;base64,aGk=" alt="alt"><figcaption>the <i>caption</i></figcaption></figure><script>no</script>three<img src="http://x/y.png" alt="why"><img>'
     pages = spark.createDataFrame([(1, page), (2, None), (3, ""), (4, page)], "page_id long, html string")
@@ -288,6 +314,12 @@ def test_parts_become_placeholders():
     assert list(chat.parse_parts(formatted)) == [("user", back)] and list(chat.parse(formatted)) == [("user", "see [x] [IMAGE:5]")]
 
 
+@pytest.mark.parametrize("size", [float("nan"), float("inf"), -float("inf"), -1.0, 0.0, 1e300])
+def test_sizes_that_say_nothing(size):
+    _, found = chat.format_turn("user", [{"kind": "audio", "seconds": size}, {"kind": "image", "width": size, "height": 28}, {"kind": "image", "width": 28, "height": -28}, {"kind": "document", "pages": size}, {"kind": "document", "pages": -1}])
+    assert [a.n_tokens for a in found] == [250, 576, 576, 1024, 1024]
+
+
 def test_attachments_of_a_conversation(spark):
     part = lambda kind, text=None, ref=None, pages=None: (kind, text, ref, None, None, None, pages)
     rows = [(1, 0, "user", [part("text", "look"), part("image", ref="a"), None]), (1, 1, "assistant", [part("text", "seen")]), (1, 2, "user", [part("document", ref="b", pages=2)]), (2, 0, "user", None)]
