@@ -33,6 +33,8 @@ from tessera.llm.store import kept
 
 #: Candidates whose scores are computed at once, anchors that they are computed for at once, anchors of a block.
 BUCKET, STEP, ANCHORS = 2048, 512, 16_384
+#: Candidates that a lane should have at least: more lanes give more rows to merge, and less to prune by.
+LANE = 8192
 _LEAST, _MOST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
 
@@ -111,13 +113,13 @@ class _Block:
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (self.anchor[self.of[window]], self.number[window].astype(np.int32), self.keys[window, place], self.scores[window, place])], ["anchor", "number", "key", "score"])
 
 
-def search(anchors: DataFrame, candidates: DataFrame, k: int, same: bool, n_blocks: int) -> DataFrame:
-    """(anchor, number, key, score, rank) of the k best candidates of each window, ties by key.
+def search(anchors: DataFrame, candidates: DataFrame, k: int, same: bool, n_blocks: int, n_rows: int) -> DataFrame:
+    """(anchor, number, key, score, rank) of the k best candidates, n_rows in all, of each window, ties by key.
 
     anchors: (block, row, key, label, norm, vector, windows), candidates: the same but block's values in `blocks`, an array,
     and no windows; a candidate meets the anchors of its blocks whose label is the same, or another one."""
     spark = candidates.sparkSession
-    lanes = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // n_blocks))
+    lanes = max(1, min(-(-int(spark.conf.get("spark.sql.shuffle.partitions")) // n_blocks), -(-n_rows // LANE)))
     cell = F.col("block") * lanes + F.col("lane")
     rows = ["row", "key", "label", "norm", "vector"]
     held = anchors.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))).select(cell.cast("int").alias("cell"), F.lit(0).alias("kind"), *rows, "windows")
@@ -164,6 +166,7 @@ def mine(vectors: DataFrame, anchor: Column, positives: int = 5, negatives: int
     from `low` to `high` percent of that row's."""
     some = vectors.where(F.col("key").isNotNull() & F.col("label").isNotNull() & F.col("vector").isNotNull())
     rows = kept(some.select(F.monotonically_increasing_id().alias("row"), F.col("key").cast("long").alias("key"), F.col("label").cast("long").alias("label"), _norm(F.col("vector")).alias("norm"), "vector", F.coalesce(anchor, F.lit(False)).alias("chosen")), "vectors")
+    n_rows = rows.count()
     anchors = rows.where("chosen").drop("chosen")
     # A label's anchors fill as many blocks as they need, one after another; where these begin follows from the label.
     labels = kept(anchors.groupBy("label").count().select("label", F.ceil(F.col("count") / ANCHORS).cast("int").alias("wide"), "count"), "anchor-labels")
@@ -174,7 +177,7 @@ def mine(vectors: DataFrame, anchor: Column, positives: int = 5, negatives: int
 
     mine = anchors.join(labels, "label").withColumn("block", block(F.pmod(F.xxhash64("row"), F.col("wide")))).withColumn("windows", F.array(_windows(F.lit(0), F.lit(_LEAST), F.lit(_MOST))))
     theirs = rows.join(labels, "label").withColumn("blocks", F.array_distinct(F.transform(F.sequence(F.lit(0), F.col("wide") - 1), block)))
-    first = kept(search(mine, theirs, positives, True, n_blocks).select("anchor", F.col("rank").alias("number"), F.col("key").alias("positive_id"), F.col("score").alias("positive_score")), "positives")
+    first = kept(search(mine, theirs, positives, True, n_blocks, n_rows).select("anchor", F.col("rank").alias("number"), F.col("key").alias("positive_id"), F.col("score").alias("positive_score")), "positives")
 
     share = F.col("positive_score").cast("decimal(19,0)")
     limits = _windows(F.col("number"), F.ceil(share * low / 100), F.floor(share * high / 100))
@@ -184,7 +187,7 @@ def mine(vectors: DataFrame, anchor: Column, positives: int = 5, negatives: int
     least = F.coalesce(F.try_divide(F.array_min(F.transform("windows", lambda w: w["low"])), F.col("norm")), F.lit(0.0))
     reach = mine.groupBy("block").agg((F.min(least) * (1 - 1e-8)).alias("reach"))
     theirs = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(F.broadcast(reach), "block").where("norm >= reach").withColumn("blocks", F.array("block")).drop("block")
-    second = search(mine, theirs, negatives, False, n_blocks)
+    second = search(mine, theirs, negatives, False, n_blocks, n_rows)
     named = second.join(first, ["anchor", "number"]).join(anchors.select(F.col("row").alias("anchor"), F.col("key").alias("anchor_id")), "anchor")
     return named.select("anchor_id", "positive_id", "rank", F.col("key").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
 

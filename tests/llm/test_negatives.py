@@ -47,6 +47,7 @@ def rows():
 @pytest.mark.parametrize(("anchors", "partitions"), [(16_384, 4), (16_384, 1), (20, 4), (3, 7)])
 def test_all_pairs(spark, monkeypatch, rows, anchors, partitions):
     monkeypatch.setattr(negatives, "ANCHORS", anchors)
+    monkeypatch.setattr(negatives, "LANE", 100)
     spark.conf.set("spark.sql.shuffle.partitions", partitions)
     try:
         want = brute(rows, 9)
@@ -133,8 +134,9 @@ def test_empty_and_alone(spark, tmp_path):
         assert negatives.op11_negatives(spark, f"{tmp_path}/{name}").count() == 0
 
 
-def test_lanes_share_the_candidates(spark):
+def test_lanes_share_the_candidates(spark, monkeypatch):
     """A label, norm and vector that nearly all rows have is dealt to all lanes."""
+    monkeypatch.setattr(negatives, "LANE", 1000)
     rows = [(i, 1 if i % 10 else 2, [3, 4]) for i in range(4000)]
     counts = defaultdict(int)
     for r in mined(spark, rows, 1000):
