@@ -504,22 +504,135 @@ def test_discriminant_is_the_formula(spark):
 
 def test_composed_grammar_is_its_parts():
     """The composed machine gives each word the product of what its transducers give one by one."""
-    parts = toxicity.transducers()
-    arcs = toxicity.compose(*parts)
+    parts, factors = toxicity.transducers(), {n: 0.3 + 0.1 * i for i, n in enumerate(toxicity.NAMES)}
+    arcs = toxicity.compose(parts, factors)
     rng = np.random.default_rng(3)
     for _ in range(200):
         state, own = 0, [p.start for p in parts]
-        for kind in rng.integers(0, 6, 12).tolist():
-            state, factor = arcs[state, kind]
+        for kind in rng.integers(0, 8, 12).tolist():
+            state, factor, bits = arcs[state, kind]
             steps = [p.step(s, kind) for p, s in zip(parts, own)]
             own = [s for s, _ in steps]
-            assert factor == pytest.approx(float(np.prod([f for _, f in steps])))
+            fired = {n for _, n in steps if n}
+            assert factor == pytest.approx(float(np.prod([factors[n] for n in fired]))) and {n for i, n in enumerate(toxicity.NAMES) if bits >> i & 1} == fired
 
 
 def test_clauses_are_more_than_words():
     lexicon = toxicity.Lexicon({})
-    scores = toxicity.clause_features(pa.array(["you idiot", "an idiot", "not an idiot", "she said idiot", "they kill you", "kill time", "nothing", None]), lexicon, toxicity.grammar())[:, 1]
-    assert scores[0] > scores[1] > scores[2] > 0 and scores[1] > scores[3] > 0 and scores[4] > scores[5] and scores[6] == scores[7] == 0
+    texts = ["you idiot", "an idiot", "not an idiot", "she said idiot", "i kill you", "kill time", "nothing", None, "you they", "they killed it", "never! idiot", "said " + "word " * 12 + "idiot", "you idiot moron"]
+    x, inside = toxicity.read_clauses(pa.array(texts), lexicon, toxicity.grammar())
+    best = x[:, 1].tolist()
+    assert best == pytest.approx([0.625, 0.5, 0.025, 0.0625, 1.55, 0.05, 0, 0, 0, 0.05, 0.5, 0.5, 0.625 + 0.5 * 1.2 * 1.25])
+    alone = lambda i: {n for bit, n in enumerate(toxicity.NAMES) if inside[i] >= 0 and inside[i] >> bit & 1}
+    assert [alone(i) for i in range(8)] == [{"targeted"}, set(), {"negated"}, {"targeted", "reported"}, set(), {"loose"}, set(), set()]
+
+
+def test_factors_follow_labels():
+    bit = lambda name: 1 << toxicity.NAMES.index(name)
+    inside = np.array([bit("negated")] * 300 + [bit("reported")] * 300 + [0] * 100 + [-1] * 100)
+    y = np.array([1] * 270 + [0] * 30 + [0] * 300 + [1] * 100 + [0] * 100)
+    got = toxicity.learn_factors(inside, y)
+    assert 0.8 < got["negated"] < 0.9 and 0 < got["reported"] < 0.01 and got["aimed"] == toxicity.FACTORS["aimed"]
+
+
+@pytest.fixture(scope="module")
+def scorer(spark):
+    documents, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    return toxicity.fit(documents, labels)
+
+
+def test_meaning_of_clauses(scorer):
+    """Insults and threats within invented prose, and the same words denied, told of others or without anybody in mind: the
+    grammar tells them apart, its words alone don't."""
+    rng = np.random.default_rng(7)
+    words = "thonet erand ofwhed ingrea stheth tionle andre atin hesou whing".split()
+    insults, threats = "idiot moron loser clown scum trash".split(), "kill hurt destroy crush".split()
+    bad = ["you are a {i}", "you {i}", "what a {i} you are", "i will {t} you", "they are {i}", "we will {t} them all", "you stupid {i}"]
+    fine = ["you are not a {i}", "he said you are a {i}", "she called them {i}", "time to {t} the process", "nobody is a {i}", "it was never {i}", "she wrote that they {t} you", "{t} some time"]
+    texts, toxic = [], []
+    for n in range(400):
+        pick = (bad, fine)[n % 2]
+        clause = pick[rng.integers(len(pick))].format(i=insults[rng.integers(6)], t=threats[rng.integers(4)])
+        around = [" ".join(words[k] for k in rng.integers(0, 10, rng.integers(4, 15))) for _ in range(rng.integers(0, 4))]
+        texts.append(". ".join([*around, clause]))
+        toxic.append(n % 2 == 0)
+    toxic = np.array(toxic)
+
+    def measured(factors):
+        plain = toxicity.Scorer.__new__(toxicity.Scorer)
+        plain.__dict__ = scorer.__dict__ | {"arcs": toxicity.grammar(factors)}
+        score = plain.score(pa.array(texts))
+        auc = (score[toxic][:, None] > score[~toxic][None]).mean() + (score[toxic][:, None] == score[~toxic][None]).mean() / 2
+        return auc, ((score >= 0.7) == toxic).mean()
+
+    auc, right = measured(scorer.factors)
+    assert auc >= 0.97 and right >= 0.95
+    auc, right = measured(dict.fromkeys(toxicity.NAMES, 1.0))
+    assert auc <= 0.75 and right <= 0.6
+    one = dict(zip(said := ["I will kill you tonight", "Te voy a matar", "you are not an idiot", "you are an idiot", "he said you are an idiot", "kill time"], scorer.score(pa.array(said))))
+    assert one[said[0]] > 0.7 and one[said[1]] > 0.7 and one[said[3]] > 0.7 and max(one[said[2]], one[said[4]], one[said[5]]) < 0.5
+
+
+def brute_features(text, lexicon, factors):
+    """A text's features by loops: a clause's words are looked at one by one, with what stands before them."""
+    kinds = {w: k for k, listed in toxicity.WORDS.items() for w in listed.split()}
+    terms = dict(zip(lexicon.terms.tolist(), lexicon.weights.tolist()))
+    total, best, clauses, n = 0.0, 0.0, 0, 0
+    for clause in re.split("[.!?;\n\r]", (text or "").lower()):
+        words = [w for w in re.split(r"[\x00-\x60\x7b-\x7f]+", clause) if w]
+        n += len(words)
+        tags = []
+        for w in words:
+            hashes = {int(h[0]) for _, h in toxicity.Reader(pa.array([w])).stems() if len(h)}
+            weight = max((terms.get(h, 0.0) for h in hashes), default=0.0)
+            tags.append((kinds.get(w, toxicity.INSULT if weight else toxicity.OTHER), weight))
+        if not any(k in (toxicity.INSULT, toxicity.THREAT) for k, _ in tags):
+            continue
+        score, since_said, since_threat, denied, insulted, addressed, meant = 0.0, 99, 99, False, False, False, False
+        for k, weight in tags:
+            factor, counts = 1.0, k in (toxicity.INSULT, toxicity.THREAT)
+            pronoun = k in (toxicity.TARGET, toxicity.THIRD)
+            since_said, since_threat = since_said + 1, since_threat + 1
+            if k == toxicity.INSULT:
+                weight = weight or 0.5
+                factor *= (factors["again"] if insulted else 1) * (factors["targeted"] if addressed else 1)
+                insulted = True
+            elif k == toxicity.THREAT:
+                weight, factor = 1.0, factors["aimed" if meant else "loose"]
+                since_threat = 0
+            elif pronoun:
+                weight, factor, counts = 1.0, factors["aimed"], not meant and since_threat <= toxicity.AIM
+                addressed = True
+                if k == toxicity.TARGET or counts:
+                    meant = True
+            scores = counts or pronoun
+            if scores and denied:
+                factor *= factors["negated"]
+            if scores and since_said <= toxicity.QUOTED:
+                factor *= factors["reported"]
+            if counts:
+                score += weight * factor
+            denied = k == toxicity.NEGATION or denied and k == toxicity.FILLER
+            if k == toxicity.REPORTED:
+                since_said = 0
+        total += score
+        best = max(best, score)
+        clauses += score > 0.2
+    return [np.log1p(total), min(best, 4), np.log1p(clauses), np.log1p(100 * total / (n + 20))]
+
+
+def test_toxicity_query_against_brute_force(spark, sf_dir, documents, scorer):
+    """Random clauses of all classes by lexicon and factors learned, then every document of the query by its own model."""
+    rng = np.random.default_rng(5)
+    pool = [w for listed in toxicity.WORDS.values() for w in listed.split()[:6]] + ["word", "réeuxan", "achlichte", "clown", ".", "\n", "!"]
+    texts = [" ".join(rng.choice(pool, rng.integers(0, 40))) for _ in range(300)]
+    got, _ = toxicity.read_clauses(pa.array(texts), scorer.lexicon, scorer.arcs)
+    assert np.allclose(got, [brute_features(t, scorer.lexicon, scorer.factors) for t in texts])
+    own = toxicity.fit(documents, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    rows = by_id(toxicity.op7_toxicity(spark, sf_dir))
+    for i, text in pairs_of(documents):
+        z = np.concatenate([[1.0], (np.array(brute_features(text, own.lexicon, own.factors)) - own.shift) / own.scale])
+        assert rows[i].score == pytest.approx(1 / (1 + np.exp(-np.clip(z @ own.beta, -36, 36)))) and rows[i].predicted == (rows[i].score >= 0.7)
 
 
 # 9
