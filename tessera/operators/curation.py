@@ -76,17 +76,23 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(half(a, 1).bitwiseXOR(half(b, 1))) + F.bit_count(half(a, 9).bitwiseXOR(half(b, 9)))
 
 
-def near_pairs(rows: DataFrame, most: int = 6, agree: int = 3) -> DataFrame:
-    """(a, b) pairs, a < b, of (id, hash) rows at most `most` bits apart.  64 bits are cut into most + `agree` bands;
-    two such hashes agree on `agree` of them at least, so an equi-join on each choice of so many bands loses nothing, and
-    its keys are of 64 * agree / (most + agree) bits.  Equal hashes are one row."""
+def banded(rows: DataFrame, most: int = 6, agree: int = 3) -> DataFrame:
+    """(id, hash, band) of (id, hash) rows, a row for each band of each hash.  64 bits are cut into most + `agree` pieces; two
+    hashes at most `most` bits apart agree on `agree` of them at least, so with a band for each choice of so many pieces
+    they share one.  A band has 64 * agree / (most + agree) bits."""
     bits = F.concat(*[F.lpad(F.conv(F.substring("hash", i, 8), 16, 2), 32, "0") for i in (1, 9)])
     n = most + agree
     cuts = [round(64 * i / n) for i in range(n + 1)]
     cut = F.array(*[F.substring(bits, a + 1, b - a) for a, b in zip(cuts, cuts[1:])])
     choices = F.array(*[F.array(*map(F.lit, some)) for some in combinations(range(n), agree)])
     bands = F.transform(choices, lambda some: F.xxhash64(some, F.transform(some, lambda i: F.get("cut", i))))
-    keyed = rows.groupBy("hash").agg(F.min("id").alias("id")).withColumn("cut", cut).withColumn("band", F.explode(bands))
+    return rows.withColumn("cut", cut).withColumn("band", F.explode(bands)).drop("cut")
+
+
+def near_pairs(rows: DataFrame, most: int = 6, agree: int = 3) -> DataFrame:
+    """(a, b) pairs, a < b, of (id, hash) rows at most `most` bits apart, by an equi-join on their bands, which loses
+    nothing.  Equal hashes are one row."""
+    keyed = banded(rows.groupBy("hash").agg(F.min("id").alias("id")), most, agree)
     left, right = keyed.select("band", F.col("id").alias("a"), F.col("hash").alias("ha")), keyed.select("band", F.col("id").alias("b"), F.col("hash").alias("hb"))
     return left.join(right, "band").where((F.col("a") < F.col("b")) & (hamming(F.col("ha"), F.col("hb")) <= most)).select("a", "b").distinct()
 

@@ -171,3 +171,35 @@ def nested_counts(rows: DataFrame, by: str, inner: str) -> DataFrame:
     """Each group's total, and its rows by an inner value as JSON; counted before anything is collected."""
     counts = rows.groupBy(by, inner).agg(F.count(F.lit(1)).alias("n"))
     return counts.groupBy(by).agg(F.sum("n").alias("total"), F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(inner, "n"))))).alias("counts"))
+
+
+def _grams(text: Column, size: int) -> Column:
+    """A text's distinct runs of `size` characters; none of a shorter one."""
+    n = F.char_length(text)
+    return F.when(n >= size, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(size))))).otherwise(F.array().cast("array<string>"))
+
+
+def _inside(short: DataFrame, long: DataFrame, size: int) -> DataFrame:
+    """(a, b): the distinct texts of short and long where a lies in b."""
+    # A text of fewer characters than a gram is looked for by grams of its own size.
+    sizes = range(1, size + 1)
+    filed = F.array(*[F.struct(F.lit(k).alias("k"), _grams(F.col("b"), k).alias("grams")) for k in sizes])
+    held = long.select("b", F.explode(filed).alias("x")).select("b", "x.k", F.explode("x.grams").alias("gram"))
+    own = F.least(F.char_length("a"), F.lit(size))
+    grams = _grams(F.col("a"), size)
+    asked = short.where(own > 0).select("a", own.alias("k"), F.explode(F.when(own < size, F.array("a")).otherwise(grams)).alias("gram"))
+    counts = held.groupBy("k", "gram").agg(F.count(F.lit(1)).alias("n"))
+    # Its rarest gram stands for a text; one that no long text has rules it out.
+    known = asked.join(counts, ["k", "gram"], "left").groupBy("a", "k").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("x")).where("x.n > 0").select("a", "k", "x.gram")
+    return known.join(held, ["k", "gram"]).where(F.contains("b", "a")).select("a", "b")
+
+
+def substring_pairs(queries: DataFrame, labels: DataFrame, size: int = 3) -> DataFrame:
+    """(query, label) of the distinct texts of which one lies in the other.
+
+    A text is filed under its grams of `size` characters; the other side is joined by its rarest gram alone and then
+    verified, so no pair is formed that doesn't share a rare gram.  Null and empty texts lie in none."""
+    q, b = queries.select("query").where("query IS NOT NULL").distinct(), labels.select("label").where("label IS NOT NULL").distinct()
+    one = _inside(q.select(F.col("query").alias("a")), b.select(F.col("label").alias("b")), size).select(F.col("a").alias("query"), F.col("b").alias("label"))
+    other = _inside(b.select(F.col("label").alias("a")), q.select(F.col("query").alias("b")), size).select(F.col("b").alias("query"), F.col("a").alias("label"))
+    return one.union(other).distinct()

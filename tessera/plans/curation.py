@@ -11,8 +11,10 @@ from tessera.operators import batches as B
 from tessera.operators import curation as K
 from tessera.operators import taxonomy as H
 from tessera.plans.catalog import register
+from tessera.sources import index
 from tessera.sources.store import replace, shared_folder
 from tessera.sources.tables import ITEMS_SQL, POSTS_SQL, items, posts, table
+from tessera.streaming.near import decisions, dedup_stream
 
 W = f"WITH {ITEMS_SQL}, {POSTS_SQL} "
 r6 = lambda c: F.round(c, 6)
@@ -116,3 +118,48 @@ _O17_TIERS = ", ".join([_tier_sql(1, "h.identity", "SELECT identity AS pool, pro
 _ROWS = lambda s, d: table(s, d, "part").select(F.concat_ws(" ", "p_brand", "p_name").alias("product"), "p_partkey")
 register("O16_hard_negative_batches", lambda s, d: B.with_rows(B.hard_negative_batches(_PRODUCTS(s, d).select("product", "category"), _negatives(s, d), 16, 11), _ROWS(s, d), "p_partkey", 2, 3, True), _BATCH_SQL.format(fit="true", size=16, seed=11, may="product IN (SELECT code FROM neg)", tiers=_O16_TIERS, names="'hard', 'category', 'random'", final="t3", repeat="range(k0, 3, n)"))
 register("O17_identity_batches", lambda s, d: B.with_rows(B.identity_batches(_PRODUCTS(s, d), 16, 12), _ROWS(s, d), "p_partkey", 2, 3, False), _BATCH_SQL.format(fit="n_rows >= 2", size=16, seed=12, may="true", tiers=_O17_TIERS, names="'sibling', 'category', 'random'", final="t3", repeat="[k0]"))
+
+
+def _named(s, d, changed: bool):
+    """Parts as products with an image each; a third of them changes, a fifth goes and new ones come."""
+    rows = table(s, d, "part").select(F.col("p_partkey").alias("key"), "p_name")
+    return rows.where("key % 5 > 0").withColumn("image", F.when(F.col("key") % 11 == 0, F.lit(None)).when(F.col("key") % 3 == 0, F.concat("p_name", F.lit("!"))).otherwise(F.col("p_name"))) if changed else rows.where("key % 7 > 0").withColumn("image", F.col("p_name"))
+
+
+def _lengths(images: list) -> list:
+    """An encoder that can't read what is missing."""
+    return [None if x is None else [float(len(x)), float(x.count("e"))] for x in images]
+
+
+def _indexed(s, d, settings: dict):
+    """An index of the parts as they were, brought up to date with those of now under `settings`."""
+    root = f"{shared_folder(s)}/tables/index-{uuid.uuid4().hex}"
+    signed = lambda changed: _named(s, d, changed).withColumn("signature", F.md5(F.coalesce("image", F.lit(""))))
+    index.update(signed(False), root, "key", "signature", "image", {"model": 1}, _lengths)
+    old = index.manifest(s, root).select("part").first()
+    counts = index.update(signed(True), root, "key", "signature", "image", settings, _lengths)
+    return index.vectors(s, root).select("key", F.get("embedding", F.lit(0)).cast("int").alias("chars"), F.get("embedding", F.lit(1)).cast("int").alias("es"), (F.col("part") == (old.part if old else "")).alias("reused")), counts
+
+
+_INDEX_SQL = "WITH b AS (SELECT p_partkey AS key, p_name AS image FROM part WHERE p_partkey % 7 > 0), n AS (SELECT p_partkey AS key, CASE WHEN p_partkey % 11 = 0 THEN NULL WHEN p_partkey % 3 = 0 THEN p_name || '!' ELSE p_name END AS image FROM part WHERE p_partkey % 5 > 0), v AS (SELECT n.key, n.image, coalesce(b.image = n.image, false) AND {same} AS reused FROM n LEFT JOIN b USING (key) WHERE n.image IS NOT NULL) "
+_INDEX_ROWS = "SELECT key, len(image)::INT AS chars, (len(image) - len(replace(image, 'e', '')))::INT AS es, reused FROM v"
+register("U7_incremental_index", lambda s, d: _indexed(s, d, {"model": 1})[0], _INDEX_SQL.format(same="true") + _INDEX_ROWS)
+register("U8_rebuilt_index", lambda s, d: _indexed(s, d, {"model": 2})[0], _INDEX_SQL.format(same="false") + _INDEX_ROWS)
+register("U7_index_counts", lambda s, d: _indexed(s, d, {"model": 1})[1], _INDEX_SQL.format(same="true") + "SELECT count(*) FILTER (WHERE reused) AS reused, count(*) FILTER (WHERE NOT reused) AS embedded, (SELECT count(*) FROM n WHERE image IS NULL) AS unreadable, (SELECT count(*) FROM b WHERE key NOT IN (SELECT key FROM n)) AS dropped FROM v")
+
+
+def _ingested(s, d):
+    """Parts in three batches of a stream, in order of their keys; hashes of one name differ in their last bits."""
+    root = f"{shared_folder(s)}/tables/ingest-{uuid.uuid4().hex}"
+    rows = table(s, d, "part").select(F.col("p_partkey").alias("id"), F.concat(F.substring(F.md5("p_name"), 1, 13), F.lpad(F.lower(F.hex(F.col("p_partkey") * 2654435761 % 4096)), 3, "0")).alias("hash"))
+    last = rows.agg(F.max("id")).first()[0] or 0
+    for k in range(3):
+        rows.where(F.floor(F.col("id") * 3 / (last + 1)) == k).coalesce(1).write.mode("append").parquet(f"{root}/in/{k}")
+        stream = s.readStream.schema("id long, hash string").option("recursiveFileLookup", "true").parquet(f"{root}/in")
+        dedup_stream(stream, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return decisions(s, f"{root}/out").select("id", "kept")
+
+
+register("N2_near_at_ingest", _ingested, """WITH h AS (SELECT p_partkey AS id, p_name, ('0x' || substr(md5(p_name), 1, 13) || printf('%03x', p_partkey * 2654435761 % 4096))::UBIGINT AS v FROM part),
+g AS (SELECT p_name, list_reduce(list(list_value({'id': id, 'v': v}) ORDER BY id), lambda kept, x: CASE WHEN len(list_filter(kept, lambda k: bit_count(xor(k.v, x[1].v)) <= 6)) > 0 THEN kept ELSE list_concat(kept, x) END) AS kept FROM h GROUP BY p_name)
+SELECT h.id, list_contains(list_transform(g.kept, lambda k: k.id), h.id) AS kept FROM h JOIN g USING (p_name)""")

@@ -55,7 +55,7 @@ register("J8_rare_class_drop", lambda s, d: _one(s, d).where("reason = 'kept'").
 _BOX = lambda x: F.array((x % 7).cast("double"), (x % 5).cast("double"), (x % 7 + 4).cast("double"), (x % 5 + 6).cast("double"))
 register("J9_box_equality", lambda s, d: items(s, d).select("post", "ix", _BOX(F.col("code")).alias("box")).join(items(s, d).select("post", F.col("ix").alias("ix2"), _BOX(F.col("code")).alias("box2")), "post").where("box = box2 AND ix < ix2").groupBy("post").agg(F.count(F.lit(1)).alias("n")), W + "SELECT a.post, count(*) n FROM items a JOIN items b ON a.post = b.post AND a.ix < b.ix AND a.code % 7 = b.code % 7 AND a.code % 5 = b.code % 5 GROUP BY 1")
 register("J10_best_iou", lambda s, d: R.best_overlap(items(s, d).where("source = 'R'").select("post", F.col("code").alias("id"), _BOX(F.col("code")).alias("box")).distinct(), items(s, d).where("source = 'N'").select("post", F.col("code").alias("other"), _BOX(F.col("code")).alias("other_box")).distinct(), "post", 0.3).withColumn("iou", r6("iou")), W + ", l AS (SELECT DISTINCT post, code id, (code % 7)::DOUBLE x, (code % 5)::DOUBLE y FROM items WHERE source = 'R'), r AS (SELECT DISTINCT post, code other, (code % 7)::DOUBLE u, (code % 5)::DOUBLE v FROM items WHERE source = 'N'), p AS (SELECT post, id, other, greatest(least(x, u) + 4 - greatest(x, u), 0) * greatest(least(y, v) + 6 - greatest(y, v), 0) i FROM l JOIN r USING (post)) SELECT post, id, other, round(i / (48 - i), 6) iou FROM (SELECT *, row_number() OVER (PARTITION BY post, id ORDER BY i / (48 - i) DESC, other) k FROM p WHERE i / (48 - i) > 0.3) WHERE k = 1")
-register("J11_substring_either_way", lambda s, d: table(s, d, "part").select(F.lower("p_name").alias("label")).distinct().join(table(s, d, "part").select(F.split("p_name", " ")[1].alias("query")).distinct(), F.contains("label", "query") | F.contains("query", "label")).groupBy("query").agg(F.count(F.lit(1)).alias("n")), "SELECT query, count(*) n FROM (SELECT DISTINCT lower(p_name) AS label FROM part) JOIN (SELECT DISTINCT split_part(p_name, ' ', 2) query FROM part) ON contains(label, query) OR contains(query, label) GROUP BY 1")
+register("J11_substring_either_way", lambda s, d: R.substring_pairs(table(s, d, "part").select(F.split("p_name", " ")[1].alias("query")), table(s, d, "part").select(F.lower("p_name").alias("label"))).groupBy("query").agg(F.count(F.lit(1)).alias("n")), "SELECT query, count(*) n FROM (SELECT DISTINCT lower(p_name) AS label FROM part) JOIN (SELECT DISTINCT split_part(p_name, ' ', 2) query FROM part) ON contains(label, query) OR contains(query, label) GROUP BY 1")
 register("J14_alias_subtraction", lambda s, d: table(s, d, "part").select(F.lower("p_brand").alias("alias")).distinct().join(items(s, d).where("confidence >= 0.9 AND category = 'gear' AND colour = 'red'").select(F.lower("brand").alias("alias")), "alias", "left_anti"), W + "SELECT DISTINCT lower(p_brand) AS alias FROM part WHERE lower(p_brand) NOT IN (SELECT lower(brand) FROM items WHERE confidence >= 0.9 AND category = 'gear' AND colour = 'red')")
 register("J18_judged_pool", lambda s, d: items(s, d).withColumn("judged", F.col("source") != "N").where("judged").withColumn("k", F.row_number().over(R.Window.partitionBy("category").orderBy(F.desc("confidence"), "post", "ix", "code"))).where("k <= 15").select("category", "post", "code", "k"), W + "SELECT category, post, code, k FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY confidence DESC, post, ix, code) k FROM items WHERE source <> 'N') WHERE k <= 15")
 register("J19_manifest_labels", lambda s, d: table(s, d, "documents").select("doc_id", "lang").join(table(s, d, "labels"), "doc_id").groupBy("lang", "quality", "toxic").agg(F.count(F.lit(1)).alias("n")), "SELECT lang, quality, toxic, count(*) n FROM documents JOIN labels USING (doc_id) GROUP BY ALL")
@@ -88,3 +88,4 @@ register("A18_ratios", lambda s, d: items(s, d).groupBy("grp").agg(r6(F.count_if
 _HITS = lambda s, d: items(s, d).groupBy("source", "category").agg(F.count_if(F.col("confidence") > 0.5).alias("hits"), F.count(F.lit(1)).alias("judged"))
 register("A19_micro_macro", lambda s, d: R.micro_macro(_HITS(s, d), "source").withColumns({"micro": r6("micro"), "macro": r6("macro")}), W + "SELECT source, round(sum(hits) / sum(judged), 6) micro, round(avg(hits / judged), 6) macro FROM (SELECT source, category, count(*) FILTER (WHERE confidence > 0.5) hits, count(*) judged FROM items GROUP BY 1, 2) GROUP BY 1")
 register("A20_nested_counters", lambda s, d: R.nested_counts(items(s, d), "source", "category"), W + "SELECT source, sum(n)::BIGINT total, '{' || string_agg('\"' || category || '\":' || n, ',' ORDER BY category) || '}' counts FROM (SELECT source, category, count(*) n FROM items GROUP BY 1, 2) GROUP BY 1")
+register("J11_substrings_of_names", lambda s, d: R.substring_pairs(table(s, d, "customer").select(F.substring(F.col("c_name"), -4, 4).alias("query")).unionByName(table(s, d, "part").select(F.substring_index("p_name", " ", 1).alias("query"))).unionByName(table(s, d, "nation").select(F.lower("n_name").alias("query"))), table(s, d, "part").select(F.concat_ws(" ", F.lower("p_name"), F.lpad((F.col("p_partkey") * 37 % 5000).cast("string"), 5, "0")).alias("label")).unionByName(table(s, d, "region").select(F.lower(F.substring("r_name", 1, 2)).alias("label")))), "WITH q AS (SELECT DISTINCT right(c_name, 4) AS query FROM customer UNION SELECT split_part(p_name, ' ', 1) FROM part UNION SELECT lower(n_name) FROM nation), l AS (SELECT DISTINCT lower(p_name) || ' ' || lpad((p_partkey * 37 % 5000)::VARCHAR, 5, '0') AS label FROM part UNION SELECT lower(left(r_name, 2)) FROM region) SELECT query, label FROM q JOIN l ON contains(label, query) OR contains(query, label)")
