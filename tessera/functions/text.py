@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Sequence
 
@@ -120,6 +121,33 @@ def clauses(c: Column) -> Column:
     return F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: F.length(p) > 0)
 
 
+def text_attributes(c: Column, colours: Sequence[str], groups: dict[str, str] = K.GROUP_WORDS, categories: dict[str, str] = K.CATEGORY_WORDS) -> Column:
+    """struct of group (of the first word, in reading order, that names one), colour (the longest that the text contains)
+    and category (of the longest word that names one); null where there is none."""
+    lower = F.lower(F.coalesce(c, F.lit("")))
+    table = F.create_map(*[F.lit(x) for pair in groups.items() for x in pair])
+    named = F.filter(F.transform(F.regexp_extract_all(lower, F.lit("[a-z][a-z-]*"), F.lit(0)), lambda w: F.try_element_at(table, w)), F.isnotnull)
+    longest = lambda words: sorted(words, key=len, reverse=True)
+    category = first_rule(lower, [(rf"\b{re.escape(w)}\b", categories[w]) for w in longest(categories)], regex=True)
+    colour = first_rule(lower, [(w, w) for w in longest(sorted(filter(None, colours)))])
+    return F.struct(F.get(named, F.lit(0)).alias("group"), colour.alias("colour"), category.alias("category"))
+
+
+def constraints(c: Column, colours: Sequence[str], groups: dict[str, str] = K.GROUP_WORDS, categories: dict[str, str] = K.CATEGORY_WORDS) -> Column:
+    """structs of phrase and attributes, one for each clause that names a group or a colour if two of them at least name
+    different groups, else one for the whole text: `a black and white jacket` is one garment."""
+    of = lambda x: F.struct(x.alias("phrase"), text_attributes(x, colours, groups, categories).alias("attributes"))
+    whole = F.coalesce(c, F.lit(""))
+    parts = F.filter(F.transform(F.split(whole, K.CLAUSE_SPLIT), lambda p: F.btrim(p, F.lit(" \t\n\x0b\x0c\r"))), lambda p: p != "")
+    telling = F.filter(F.transform(parts, of), lambda x: x["attributes"]["group"].isNotNull() | x["attributes"]["colour"].isNotNull())
+
+    def choose(x: Column) -> Column:
+        named = F.array_distinct(F.filter(F.transform(x, lambda y: y["attributes"]["group"]), F.isnotnull))
+        return F.when((F.size(x) > 1) & (F.size(named) > 1), x).otherwise(F.array(of(whole)))
+
+    return F.get(F.transform(F.array(telling), choose), F.lit(0))
+
+
 def normal_query(c: Column) -> Column:
     """lower case, white space collapsed, marks trimmed at both ends."""
     return F.btrim(F.regexp_replace(F.trim(F.lower(F.coalesce(c, F.lit("")))), r"\s+", " "), F.lit(" .!?,;:"))
@@ -163,7 +191,9 @@ def json_in(c: Column) -> Column:
 def strict_json(c: Column) -> Column:
     """F32: an answer that is JSON as a whole, in code fences or not; null for anything else around it."""
     bare = F.trim(F.regexp_replace(F.regexp_replace(F.trim(c), r"^```(?:json)?\s*", ""), r"\s*```$", ""))
-    return F.when(F.get_json_object(bare, "$").isNotNull(), bare)
+    # The parser stops behind the first value; only one whole value fits both into a list and behind a key.
+    whole = [F.try_parse_json(F.concat(F.lit(a), bare, F.lit(b))).isNotNull() for a, b in (("[", "]"), ('{"v":', "}"))]
+    return F.when(whole[0] & whole[1], bare)
 
 
 def slugify(c: Column, most: int = 60) -> Column:

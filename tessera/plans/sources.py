@@ -7,11 +7,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from tessera.functions import colour as C
+from tessera.functions import constants as K_
 from tessera.functions import text as T
 from tessera.functions.vectors import embed_rows, encoder, l2
 from tessera.operators import curation as K
 from tessera.operators import relational as R
 from tessera.operators.dominant import dominant_colours
+from tessera.operators.phrases import parse_fragments
 from tessera.plans.catalog import register
 from tessera.sources import extract as X
 from tessera.sources.store import shared_folder
@@ -272,3 +274,67 @@ def _hourly(s, d):
 
 
 register("T1_windowed_counts", _hourly, "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') \"hour\", event_type, count(*) n FROM events GROUP BY 1, 2")
+
+
+# Texts that name garments: two phrases and a word between them, dealt by the part's key.
+_GARMENTS = ["shirt", "red shirt", "Jacket", "blue t-shirt", "tank top", "shoes", "green hat", "denim jeans", "gold bag", "plain", "red", "off-white sneakers"]
+_JOINS = [" with ", " and ", ", ", " over ", " ", " + ", " And ", " worn with ", "\\n&"]
+_HUES = ["red", "blue", "gold", "green", "white", "off-white"]
+_TEXT = lambda: F.concat(*[F.element_at(F.array(*map(F.lit, words)), (F.floor(F.col("p_partkey") / size) % len(words) + 1).cast("int")) for words, size in ((_GARMENTS, 1), ([x.replace("\\n", "\n") for x in _JOINS], 12), (_GARMENTS, 108))])
+_SQL_LIST = lambda words: "[" + ", ".join("'" + w.replace("\\n", "' || chr(10) || '") + "'" for w in words) + "]"
+_SQL_MAP = lambda words: "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in words.items()) + "}"
+_LONGEST = lambda words: sorted(words, key=len, reverse=True)
+
+
+def _attributes_sql(text: str) -> str:
+    group = f"list_filter(list_transform(regexp_extract_all(lower({text}), '[a-z][a-z-]*'), lambda w: {_SQL_MAP(K_.GROUP_WORDS)}[w]), lambda g: g IS NOT NULL)[1]"
+    colour = f"list_filter({_SQL_LIST(_LONGEST(sorted(_HUES)))}, lambda c: contains(lower({text}), c))[1]"
+    category = f"{_SQL_MAP(K_.CATEGORY_WORDS)}[list_filter({_SQL_LIST(_LONGEST(K_.CATEGORY_WORDS))}, lambda c: regexp_matches(lower({text}), '\\b' || c || '\\b'))[1]]"
+    return "{'phrase': " + text + ", 'g': " + group + ", 'c': " + colour + ", 'k': " + category + "}"
+
+
+register(
+    "F26_F27_constraints",
+    lambda s, d: table(s, d, "part").select("p_partkey", F.posexplode(T.constraints(_TEXT(), _HUES)).alias("k", "x")).select("p_partkey", "k", "x.phrase", F.col("x.attributes.group").alias("grp"), "x.attributes.colour", "x.attributes.category"),
+    f"""WITH t AS (SELECT p_partkey, {_SQL_LIST(_GARMENTS)}[p_partkey % 12 + 1] || {_SQL_LIST(_JOINS)}[p_partkey // 12 % 9 + 1] || {_SQL_LIST(_GARMENTS)}[p_partkey // 108 % 12 + 1] AS text FROM part),
+    p AS (SELECT p_partkey, text, list_filter(list_transform(list_filter(list_transform(regexp_split_to_array(text, '{K_.CLAUSE_SPLIT}'), lambda f: trim(f, chr(10) || ' ')), lambda f: f <> ''), lambda f: {_attributes_sql("f")}), lambda x: x.g IS NOT NULL OR x.c IS NOT NULL) AS parsed FROM t),
+    c AS (SELECT p_partkey, CASE WHEN len(parsed) > 1 AND len(list_distinct(list_filter(list_transform(parsed, lambda x: x.g), lambda g: g IS NOT NULL))) > 1 THEN parsed ELSE [{_attributes_sql("text")}] END AS found FROM p)
+    SELECT p_partkey, (i - 1)::INT AS k, found[i].phrase AS phrase, found[i].g AS grp, found[i].c AS colour, found[i].k AS category FROM (SELECT p_partkey, found, unnest(range(1, len(found) + 1)) AS i FROM c)""",
+)
+
+# Fragments: a conversation's text and the words of a part; leaves are its names, categories their nouns, groups its types.
+_FRAGMENTS = lambda s, d: table(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("said"), (F.col("conv_id") * 7 + F.col("turn")).alias("n")).join(table(s, d, "part").select(F.col("p_partkey").alias("n"), "p_name", "p_type"), "n").select("id", F.concat_ws(" ", F.when(F.col("n") % 4 > 0, F.concat("p_name", F.when(F.col("n") % 3 == 0, "s!").otherwise(" of"))), F.lower("p_type"), F.when(F.col("n") % 5 == 0, "whatsits"), "said").alias("text"))
+
+
+def _terms(s, d):
+    p = table(s, d, "part").select("p_name", F.substring_index("p_name", " ", -1).alias("noun"), "p_type")
+    leaves = p.where("p_name >= 'h'").groupBy(F.col("p_name").alias("term")).agg(F.min("noun").alias("category"), F.min("p_type").alias("group")).withColumns({"leaf": F.col("term"), "place": F.lit(1)})
+    nouns = p.groupBy(F.col("noun").alias("term")).agg(F.min("p_type").alias("group")).withColumns({"leaf": F.lit(None).cast("string"), "category": F.col("term"), "place": F.lit(2)})
+    synonym = nouns.where("term = 'gizmo'").withColumn("term", F.lit("whatsit")).withColumn("place", F.lit(3))
+    return leaves.unionByName(nouns).unionByName(synonym)
+
+
+def _token_index(s, d):
+    cut = lambda c: table(s, d, "part").select(F.lit(c).alias("field"), F.lower(c).alias("value"), F.explode(T.tokens(F.col(c))).alias("token"))
+    return cut("p_name").unionByName(cut("p_type")).groupBy("token", "field", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _fragments(s, d):
+    found = parse_fragments(_FRAGMENTS(s, d), _terms(s, d), _token_index(s, d), 2)
+    words = F.array_join(F.transform("attributes", lambda a: F.concat_ws(":", a["keyword"], F.array_join(a["fields"], "+"), F.array_join(a["example_values"], "+"), a["evidence"].cast("string"))), "|")
+    return found.select("id", "term", "leaf", "category", F.col("group").alias("grp"), words.alias("attributes"))
+
+
+register("F23_F25_fragments", _fragments, r"""WITH x AS (SELECT conv_id * 1000 + turn AS id, concat_ws(' ', CASE WHEN p_partkey % 4 > 0 THEN p_name || CASE WHEN p_partkey % 3 = 0 THEN 's!' ELSE ' of' END END, lower(p_type), CASE WHEN p_partkey % 5 = 0 THEN 'whatsits' END, text) AS text FROM conversations JOIN part ON p_partkey = conv_id * 7 + turn),
+v AS (SELECT p_name AS term, p_name AS leaf, split_part(p_name, ' ', 2) AS category, min(p_type) AS grp, 1 AS place FROM part WHERE p_name >= 'h' GROUP BY ALL UNION ALL SELECT split_part(p_name, ' ', 2), NULL, split_part(p_name, ' ', 2), min(p_type), 2 FROM part GROUP BY 1, 3 UNION ALL SELECT 'whatsit', NULL, 'gizmo', min(p_type), 3 FROM part WHERE split_part(p_name, ' ', 2) = 'gizmo' HAVING count(*) > 0),
+m AS (SELECT id, {'term': term, 'leaf': leaf, 'category': category, 'grp': grp} AS m FROM x JOIN v ON regexp_matches(regexp_replace(lower(text), '[^a-z0-9\s]', ' ', 'g'), '\b' || term || 's?\b') QUALIFY row_number() OVER (PARTITION BY id ORDER BY leaf IS NOT NULL DESC, len(string_split(term, ' ')) DESC, place, term DESC) = 1),
+i AS (SELECT unnest(regexp_extract_all(lower(p_name), '[a-z][a-z\-'']+')) AS token, 'p_name' AS field, lower(p_name) AS value FROM part UNION ALL SELECT unnest(regexp_extract_all(lower(p_type), '[a-z][a-z\-'']+')), 'p_type', lower(p_type) FROM part),
+f AS (SELECT token, sum(n)::BIGINT AS evidence, string_agg(field, '+' ORDER BY n DESC, field) AS fields FROM (SELECT token, field, count(*) AS n FROM i GROUP BY ALL) GROUP BY 1),
+e AS (SELECT token, string_agg(value, '+' ORDER BY j) AS vals FROM (SELECT token, value, row_number() OVER (PARTITION BY token ORDER BY count(*) DESC, value) AS j FROM i GROUP BY token, value) WHERE j <= 3 GROUP BY 1),
+w AS (SELECT id, token, min(pos) AS pos FROM (SELECT id, m.m.term AS term, unnest(regexp_extract_all(lower(text), '[a-z][a-z\-'']+')) AS token, generate_subscripts(regexp_extract_all(lower(text), '[a-z][a-z\-'']+'), 1) AS pos FROM x LEFT JOIN m USING (id)) WHERE NOT list_contains(regexp_extract_all(coalesce(term, ''), '[a-z][a-z\-'']+'), token) AND token NOT IN ('a', 'an', 'the', 'with', 'and', 'in', 'for', 'of', 'on', 'some', 'this', 'that', 'these', 'those', 'wearing', 'worn', 'plus', 'also') GROUP BY ALL),
+a AS (SELECT id, string_agg(token || ':' || fields || ':' || vals || ':' || evidence, '|' ORDER BY k) AS attributes FROM (SELECT w.id, w.token, f.fields, e.vals, f.evidence, row_number() OVER (PARTITION BY id ORDER BY evidence DESC, pos) AS k FROM w JOIN f USING (token) JOIN e USING (token)) WHERE k <= 5 GROUP BY id)
+SELECT x.id, m.m.term AS term, m.m.leaf AS leaf, m.m.category AS category, m.m.grp AS grp, a.attributes FROM x LEFT JOIN m USING (id) LEFT JOIN a USING (id)""")
+for _facet, _words in (("material", ("cotton twill", "Faux-Leather", "recycled polyester", "merino wool", "unknown stuff")), ("closure", ("button-fly", "zip fly", "Lace up", "velcro strap", "slip-on"))):
+    _want = {"material": ("twill", "leather", "polyester", "wool", "unknown stuff"), "closure": ("button fly", "zip fly", "lace-up", "adjustable strap", "none")}[_facet]
+    register(f"F16_{_facet}", lambda s, d, words=_words, facet=_facet: table(s, d, "part").select("p_partkey", T.canonical_facet(F.element_at(F.array(*map(F.lit, words)), (F.col("p_partkey") % 5 + 1).cast("int")), facet).alias("value")), f"SELECT p_partkey, {_SQL_LIST(_want)}[p_partkey % 5 + 1] AS value FROM part")
+register("F32_whole_answers", lambda s, d: table(s, d, "events").select("event_id", T.strict_json(F.concat(F.when(F.col("event_id") % 4 == 0, "```json\n").when(F.col("event_id") % 4 == 1, "```\n").otherwise(""), "props", F.when(F.col("event_id") % 4 < 2, "\n```").otherwise(""), F.when(F.col("event_id") % 3 == 0, " bye").otherwise(""))).isNotNull().alias("strict")), "SELECT event_id, props IS NOT NULL AND event_id % 3 > 0 AS strict FROM events")
