@@ -1,12 +1,14 @@
 """License scans (operator 10): patience alignment of license templates with documents.
 
-A template's three-word runs point at regions of a text that may hold it.  Where words were put in or changed, so that no
-run is left, regions of up to `STRETCH` times a notice's length come from its single words: a finding matches all but a
-fifth of them, so it holds one of the longest fifth + 1 (the gate), and enough of the notice's words stand close together
-(the density); neither loses a finding of that length.  In a region, words that occur once in the
+A finding is a stretch of text, at most `STRETCH` times as long as a template, whose words match `LEAST_COVERAGE` of the
+template's in order; words strewn wider are no notice.  The template's three-word runs point at places that may hold it.
+Where words were put in or changed, so that no run is left, places come from single words: a finding matches all but a
+fifth of the template's, so it holds one of the longest fifth + 1 (the gate), enough of them stand within a stretch (the
+density), and enough of the template's neighbours stand near each other in their order, since only so many can be parted
+by what a stretch holds besides.  None of the three loses a finding.  In a place, words that occur once in the
 text part and once in the template part are anchors; the longest increasing subsequence of anchors is kept, equal words
 next to them are taken along, and the gaps between are aligned the same way.  Matched template words by all template
-words is the coverage; a finding needs `LEAST_COVERAGE`.  Where findings overlap, the one with most matched words
+words is the coverage.  Where findings overlap, the one with most matched words
 stays (then higher coverage, then the template's name).  A finding also needs its template's distinguishing words (a
 version, Lesser, Affero) among the matched ones, and none that tells another license (`OTHERS`) put in between.
 
@@ -31,9 +33,10 @@ from tessera.llm import text as T
 
 LEAST_COVERAGE = 0.8
 SEED_WORDS = 3
-#: Notices of LEAST_NOTICE words or more are also looked for in regions of up to STRETCH times their length.
-LEAST_NOTICE, STRETCH = 10, 2
-#: Templates of more words are first held against the words of the place, whatever their order.
+#: How many times as long as its template a finding may be; how far apart a template's neighbours count as near.
+STRETCH, NEAR = 2, 4
+#: Templates of more words are first held against the words of the place, whatever their order, and are looked for at every
+#: half of their length instead of every word.
 SMALL = 50
 
 #: License notices as their publishers word them (fixed values).
@@ -127,13 +130,19 @@ def _increasing(values: list[int]) -> list[int]:
     return out[::-1]
 
 
-def align(a: list, b: list, open_ends: bool = False) -> list[tuple[int, int]]:
+def align(a: list, b: list, open_ends: bool = False, least: int = 0) -> list[tuple[int, int]]:
     """Matched positions (in a, in b), increasing in both.  Equal words at an end are taken along, unless the end is
-    open: a may then go on into other text there."""
+    open: a may then go on into other text there.  Nothing, as soon as fewer than `least` can be matched: what is matched
+    and what the shorter sides of the gaps hold."""
     pairs: list[tuple[int, int]] = []
     todo = [(0, len(a), 0, len(b))]
+    can = min(len(a), len(b))
     while todo:
+        if can < least:
+            return []
         a0, a1, b0, b1 = todo.pop()
+        can -= min(a1 - a0, b1 - b0)
+        done = len(pairs)
         left, right = not (open_ends and a0 == 0), not (open_ends and a1 == len(a))
         while left and a0 < a1 and b0 < b1 and a[a0] == b[b0]:
             pairs.append((a0, b0))
@@ -141,20 +150,24 @@ def align(a: list, b: list, open_ends: bool = False) -> list[tuple[int, int]]:
         while right and a0 < a1 and b0 < b1 and a[a1 - 1] == b[b1 - 1]:
             a1, b1 = a1 - 1, b1 - 1
             pairs.append((a1, b1))
-        if a0 == a1 or b0 == b1:
-            continue
-        once = Counter(a[a0:a1])
-        in_b = Counter(b[b0:b1])
-        place = {w: j for j, w in enumerate(b[b0:b1], b0)}
-        anchors = [(i, place[w]) for i, w in enumerate(a[a0:a1], a0) if once[w] == 1 and in_b.get(w) == 1]
-        kept = [anchors[k] for k in _increasing([j for _, j in anchors])]
-        if not kept:
-            continue
-        pairs += kept
-        for (i, j), (k, m) in zip([(a0 - 1, b0 - 1), *kept], [*kept, (a1, b1)]):
-            if i + 1 < k and j + 1 < m:
-                todo.append((i + 1, k, j + 1, m))
-    return sorted(pairs)
+        if a0 < a1 and b0 < b1:
+            once = Counter(a[a0:a1])
+            in_b = Counter(b[b0:b1])
+            place = {w: j for j, w in enumerate(b[b0:b1], b0)}
+            anchors = [(i, place[w]) for i, w in enumerate(a[a0:a1], a0) if once[w] == 1 and in_b.get(w) == 1]
+            kept = [anchors[k] for k in _increasing([j for _, j in anchors])]
+            pairs += kept
+            if kept:
+                for (i, j), (k, m) in zip([(a0 - 1, b0 - 1), *kept], [*kept, (a1, b1)]):
+                    if i + 1 < k and j + 1 < m:
+                        todo.append((i + 1, k, j + 1, m))
+                        can += min(k - i, m - j) - 1
+        can += len(pairs) - done
+    return sorted(pairs) if can >= least else []
+
+
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return T.mix(a * np.uint64(0x9E3779B97F4A7C15) + b)
 
 
 class Scanner:
@@ -191,17 +204,21 @@ class Scanner:
         self.most = [int(np.ceil(self.least * n - 1e-9)) for n in self.sizes]
         gates = []
         for t, (a, b) in enumerate(zip(w.bounds[:-1].tolist(), w.bounds[1:].tolist())):
-            if b - a >= LEAST_NOTICE:
-                times = Counter(w.hash[a:b].tolist())
-                rare = sorted(range(a, b), key=lambda i: (times[int(w.hash[i])], w.start[i] - w.end[i], i))[: b - a - self.most[t] + 1]
-                gates += sorted({(int(w.hash[i]), t) for i in rare})
+            times = Counter(w.hash[a:b].tolist())
+            rare = sorted(range(a, b), key=lambda i: (times[int(w.hash[i])], w.start[i] - w.end[i], i))[: b - a - self.most[t] + 1]
+            gates += sorted({(int(w.hash[i]), t) for i in rare})
         gates.sort()
+        # Of a template's pairs of neighbours at most two are lost with each word that a finding lacks, and of the others those
+        # that stand apart fill the stretch between them.
+        self.pairs = [np.unique(_pair(w.hash[a : b - 1], w.hash[a + 1 : b])) for a, b in zip(w.bounds[:-1].tolist(), w.bounds[1:].tolist())]
+        self.near = [int(n) - 1 - 2 * (int(n) - m) - (STRETCH * int(n) - 1) // (NEAR + 1) for n, m in zip(self.sizes, self.most)]
         self.gate, self.gated = np.array([g for g, _ in gates], np.uint64), np.array([t for _, t in gates], np.int64)
         self.open = np.zeros(1 << 20, bool)
         self.open[self.gate & np.uint64(0xFFFFF)] = True
 
-    def dense(self, w: T.Words) -> Iterator[tuple[int, int, int, int]]:
-        """(row, template, first word, end) of the stretches that hold enough of a notice's words, whatever their order."""
+    def dense(self, w: T.Words, found: dict[tuple[int, int], list[tuple[int, int]]]) -> Iterator[tuple[int, int, int, int]]:
+        """(row, template, first word, end) of the stretches that may hold a template beside what is found already: (row,
+        template) to places."""
         at = np.flatnonzero(self.open[w.hash & np.uint64(0xFFFFF)])
         low, high = np.searchsorted(self.gate, w.hash[at]), np.searchsorted(self.gate, w.hash[at], "right")
         n = high - low
@@ -211,21 +228,30 @@ class Scanner:
             size, most = int(self.sizes[t]), self.most[t]
             if b - a < most:
                 continue
-            held = a + np.flatnonzero(np.isin(w.hash[a:b], self.vocabulary[t]))
+            mine = np.isin(w.hash[a:b], self.vocabulary[t])
+            for x, y in found.get((row, t), ()):
+                mine[x - a : y - a] = False
+            held = np.flatnonzero(mine)
             if len(held) < most:
                 continue
-            full = np.flatnonzero(held[most - 1 :] - held[: len(held) - most + 1] < STRETCH * size)
-            if not len(full):
-                continue
-            first, last = held[full], held[full + most - 1] + 1
-            new = np.ones(len(full), bool)
-            new[1:] = first[1:] > last[:-1]
-            begin = np.flatnonzero(new)
-            for x, y in zip(first[begin].tolist(), last[np.append(begin[1:], len(full)) - 1].tolist()):
-                # Several copies next to each other: half a notice further on for each try.
-                step = max(1, size // 2)
-                for start in range(x, max(x + 1, y - STRETCH * size + step), step) if y - x > STRETCH * size else (x,):
-                    yield row, t, start, min(start + STRETCH * size + step, y)
+            # How much each stretch holds, by its first word: a stretch is as long as a finding may be.
+            ends = np.minimum(np.arange(b - a) + STRETCH * size, b - a)
+            within = lambda flags: (sums := np.concatenate([[0], np.cumsum(flags)]))[ends] - sums[:-1]
+            full = within(mine) >= most
+            if self.near[t] > 0 and full.any():
+                near = np.zeros(b - a, bool)
+                for d in range(1, NEAR + 1):
+                    one = held[held + d < b - a]
+                    one = one[mine[one + d]]
+                    near[one] |= np.isin(_pair(w.hash[a + one], w.hash[a + one + d]), self.pairs[t])
+                full &= within(near) >= self.near[t]
+            # Longer templates are tried once a step, with room for what starts within it.
+            step = 1 if size <= SMALL else size // 2
+            before = -step
+            for x in np.flatnonzero(full).tolist():
+                if x - before >= step:
+                    before = x
+                    yield row, t, a + x, min(a + x + STRETCH * size + step - 1, b)
 
     def regions(self, w: T.Words) -> Iterator[tuple[int, int, int, int]]:
         """(row, template, first word, end) of the places that seeds point at, seeds near each other as one."""
@@ -256,6 +282,10 @@ class Scanner:
         for i in np.flatnonzero(room >= self.least * size).tolist():
             yield int(row[i]), int(t[i]), int(start[i]), int(end[i])
 
+    def _enough(self, t: int, a: list[int], pairs: list[tuple[int, int]]) -> bool:
+        """Whether the matches of a place are a finding."""
+        return len(pairs) >= max(1, self.most[t]) and pairs[-1][0] - pairs[0][0] < STRETCH * len(self.words[t]) and self._tells(t, a, pairs)
+
     def _tells(self, t: int, a: list[int], pairs: list[tuple[int, int]]) -> bool:
         """Whether the template's distinguishing words are matched, and no other license's stand in between."""
         if not self.required[t] and not self.others[t]:
@@ -278,24 +308,28 @@ class Scanner:
             for room in (slack, 0):
                 a, b = max(start - room, low), min(end + room, high)
                 part = w.hash[a:b].tolist()
-                pairs = align(part, self.words[t], room > 0)
-                if pairs and len(pairs) >= self.least * size and self._tells(t, part, pairs):
+                pairs = align(part, self.words[t], room > 0, self.most[t])
+                if self._enough(t, part, pairs):
                     all_found[row].append(Finding(self.names[t], a - low + pairs[0][0], a - low + pairs[-1][0] + 1, len(pairs), len(pairs) / size))
-        seen = [{(f.license, f.start // max(1, len(self.words[self.number[f.license]]))) for f in x} for x in all_found]
-        for row, t, start, end in self.dense(w):
+        places: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for row, found in enumerate(all_found):
+            for f in found:
+                places.setdefault((row, self.number[f.license]), []).append((f.start + int(w.bounds[row]), f.end + int(w.bounds[row])))
+        for row, t, start, end in self.dense(w, places):
             low, size = int(w.bounds[row]), len(self.words[t])
-            if any((self.names[t], k) in seen[row] for k in range((start - low) // size - 1, (end - low) // size + 1)):
-                continue  # found there by its runs
             part = w.hash[start:end].tolist()
-            pairs = align(part, self.words[t], True)
-            if pairs and len(pairs) >= self.least * size and self._tells(t, part, pairs):
+            pairs = align(part, self.words[t], True, self.most[t])
+            if self._enough(t, part, pairs):
                 all_found[row].append(Finding(self.names[t], start - low + pairs[0][0], start - low + pairs[-1][0] + 1, len(pairs), len(pairs) / size))
         for row, found in enumerate(all_found):
             kept: list[Finding] = []
-            for f in sorted(set(found), key=lambda f: (-f.matched, -f.coverage, f.license, f.start)):
-                if all(f.end <= k.start or k.end <= f.start for k in kept):
-                    kept.append(f)
-            all_found[row] = sorted(kept, key=lambda f: f.start)
+            starts: list[int] = []
+            for f in sorted(set(found), key=lambda f: (-f.matched, -f.coverage, f.license, f.end - f.start, f.start)):
+                at = bisect_left(starts, f.start)
+                if (not at or kept[at - 1].end <= f.start) and (at == len(kept) or f.end <= kept[at].start):
+                    kept.insert(at, f)
+                    starts.insert(at, f.start)
+            all_found[row] = kept
         return w.counts(), all_found
 
 

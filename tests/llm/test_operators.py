@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import chat, decontaminate, graph, licences, media, neardup, pieces, quality, queries, repeats, secrets, toxicity
 from tessera.llm import labels as learn
+from tessera.llm import text as T
 from tests.compare import duck_rows, spark_rows
 
 LOWER = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
@@ -801,8 +802,6 @@ def test_licenses_are_told_apart():
 
 def test_licenses_with_words_put_in_and_changed():
     """Against alignment with the whole text: notices of which words were dropped, changed and put in, in other words."""
-    from tessera.llm import text as T
-
     rng = np.random.default_rng(4)
     names = ["ISC", "MIT", "Apache-2.0", "Zlib", "BSD-2-Clause", "MPL-2.0", "Unlicense", "GPL-2.0-or-later"]
     scanner = licences.Scanner({n: licences.TEMPLATES[n] for n in names})
@@ -828,6 +827,90 @@ def test_licenses_with_words_put_in_and_changed():
     assert [f.license for f in scanner.scan(pa.array([spaced + " " + spaced]))[1][0]] == ["ISC", "ISC"]
 
 
+def test_scan_equals_alignment_at_all_places():
+    """Templates of 3 to 12 words in random texts: what the alignment of any stretch of twice their length finds is found, and
+    what is found is there: so many of the template's words stand in a stretch in order."""
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = list(itertools.accumulate(range(1, len(b) + 1), lambda left, j: max(left, row[j], row[j - 1] + 1 if x == b[j - 1] else 0), initial=0))
+        return row[-1]
+
+    rng = np.random.default_rng(10)
+    pool = [f"w{i}" for i in range(14)] + ["the", "of"]
+    hits = 0
+    for k in range(250):
+        template = [pool[i] for i in rng.integers(0, len(pool), rng.integers(3, 13))]
+        words = [pool[i] if rng.random() < 0.5 else f"x{i}" for i in rng.integers(0, len(pool), 60)]
+        if k % 2:
+            at = int(rng.integers(0, 40))
+            noisy = [x for w in template for x in ([w] if rng.random() > 0.1 else []) + ([f"in{at}"] if rng.random() < 0.3 else [])]
+            words[at : at + len(noisy)] = noisy
+        scanner = licences.Scanner({"t": " ".join(template)})
+        hashes = T.words(pa.array([" ".join(words)]), T.ALNUM, lower=True).hash.tolist()
+        want, most = [], 0
+        for start in range(len(hashes)):
+            part = hashes[start : start + licences.STRETCH * len(template)]
+            most = max(most, common(part, scanner.words[0]))
+            pairs = licences.align(part, scanner.words[0], True)
+            if scanner._enough(0, part, pairs):
+                want.append(len(pairs))
+        got = scanner.scan(pa.array([" ".join(words)]))[1][0]
+        assert max(want, default=0) <= max((f.matched for f in got), default=0) <= most
+        assert all(f.end - f.start <= licences.STRETCH * len(template) for f in got) and all(a.end <= b.start for a, b in itertools.pairwise(got))
+        hits += bool(want)
+    assert 60 < hits < 240
+
+
+def test_licenses_query(spark, sf_dir, documents):
+    """Every document's row against the alignment of all its stretches with the short notices, and its own findings."""
+    short = {n: x for n, x in licences.TEMPLATES.items() if len(x.split()) <= 12}
+    small, scanner = licences.Scanner(short), licences.Scanner(licences.TEMPLATES)
+    rows = by_id(licences.op10_licenses(spark, sf_dir))
+    for i, text in pairs_of(documents):
+        counts, (found,) = scanner.scan(pa.array([text]))
+        r = rows[i]
+        assert (r.n_words, r.n_findings, r.matched_words, r.places) == (counts[0], len(found), sum(f.matched for f in found), ",".join(f"{f.license}:{f.start}:{f.end}" for f in found))
+        assert r.licenses == ",".join(sorted({f.license for f in found})) and r.coverage == pytest.approx(max((f.coverage for f in found), default=0), abs=1e-6)
+        hashes = T.words(pa.array([text or ""]), T.ALNUM, lower=True).hash.tolist()
+        for t, (name, words) in enumerate(zip(small.names, small.words)):
+            known = [k for k, h in enumerate(hashes) if h in words]
+            for start in known:  # a finding starts with a word of the template
+                part = hashes[start : start + licences.STRETCH * len(words)]
+                if len(set(part) & set(words)) >= small.least * len(set(words)) and small._enough(t, part, licences.align(part, words, True)):
+                    assert any(f.start < start + licences.STRETCH * len(words) and start < f.end for f in found), (i, name)
+
+
+def test_short_notices_with_a_word_less_or_more():
+    scanner = licences.Scanner(licences.TEMPLATES)
+    found = lambda text: [f.license for f in scanner.scan(pa.array([text]))[1][0]]
+    assert found("Released under MIT License.") == ["MIT-line"] and found("All rights are reserved.") == found("all other rights reserved") == ["all-rights-reserved"]
+    assert found("Licensed under CC BY-NC, 4.0") == found("licensed, as said, under CC BY NC 4.0") == ["CC-BY-NC-4.0-line"]
+    assert not found("rights were reserved for all") and not found("All the seats of the theatre with rights are reserved.") and not found("released under some license")
+
+
+def test_long_texts_of_license_words_take_linear_time():
+    import time
+
+    scanner = licences.Scanner(licences.TEMPLATES)
+    words = licences.TEMPLATES["GPL-3.0-text"].split()
+    rng = np.random.default_rng(1)
+
+    def seconds(text):
+        began = time.process_time()
+        found = scanner.scan(pa.array([text]))[1][0]
+        return time.process_time() - began, len(found)
+
+    def shuffled(n):
+        return " ".join(" ".join(rng.permutation(words)) for _ in range(-(-n // len(words))))
+
+    lines = {n: seconds("All rights reserved.\n" * n) for n in (2000, 16_000)}
+    bags = {n: seconds(shuffled(n)) for n in (20_000, 80_000)}
+    assert [n for _, n in lines.values()] == list(lines) and lines[16_000][0] < 16 * lines[2000][0] + 2
+    assert bags[80_000][0] < 8 * bags[20_000][0] + 2
+
+
 def test_licenses_odd_rows(spark, odd, empty):
     mit = licences.TEMPLATES["MIT"]
     changed = mit.replace("free of charge", "at no charge").replace("sublicense", "relicense")
