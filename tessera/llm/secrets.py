@@ -1,9 +1,12 @@
 """Secret scans (operator 2): candidates by shape, false positives removed by a random forest.
 
-A candidate is a run of letters, digits and `+/_-.`, with `=` as base64 padding at its end only, that is `LEAST_CHARS`
+There are three kinds of candidates.  A value is what is assigned to a name that holds a secret word, whatever its
+characters: all between quotes, or up to the next blank or mark, or, where a line assigns an upper-case name, the rest of the
+line.  A run is a stretch of letters, digits and `+/_-.`, with `=` as base64 padding at its end only, that is `LEAST_CHARS`
 long, or half as long where an assignment mark stands before it; without a digit it needs such a mark or a secret word
-before it.  The body of a PEM private key is one candidate.  A random forest, trained by Spark from labelled findings (candidate, text
-before, text after, path, label), votes on its length, character transitions, dictionary coverage, path and
+before it; in an address each part of the path is a run of its own, and a parameter is an assignment only if its name holds a
+secret word.  The body of a PEM private key is one candidate.  A random forest, trained by Spark from labelled findings
+(candidate, text before, text after, path, label), votes on its length, character transitions, dictionary coverage, path and
 neighbouring words.  Findings of your own can be given; `labelled_findings` makes whole texts from published key
 formats and from look-alikes (digests, identifiers, card-like numbers, hosts, placeholders, code, certificates) and cuts
 them as the scan does.
@@ -18,6 +21,8 @@ from __future__ import annotations
 import math
 import random
 import re
+import uuid
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -28,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import text as T
+from tessera.llm.store import shared_folder
 
 LEAST_CHARS, CONTEXT = 16, 64
 TREES, DEPTH, SEED = 24, 8, 20_240_229
@@ -49,7 +55,16 @@ DICTIONARY = set(
 _WORD = re.compile(r"[A-Za-z0-9]+")
 _HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _ASSIGNED = re.compile(r"(=>|[=:])\s*[\"'`]?$")
-_USERINFO = re.compile(r"://[^\s/@:]*:$")
+#: A parameter of an address, and what stands before a part of one.
+_PARAMETER = re.compile(r"[?&;]([A-Za-z0-9_.\[\]-]{1,40})=$")
+_USERINFO = re.compile(r"://([^\s/@:]*:)?$")
+#: Names whose values are looked at whatever their characters, and what assigns them: a quoted value, or one up to the next
+#: blank or mark; or the rest of a line after an upper-case name.  A value may itself hold a name and an assignment.
+_NAMES = rb"(?:passw(?:or)?d|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|credential)"
+_VALUE = re.compile(rb"(?>(?i:" + _NAMES + rb""")[A-Za-z0-9_.-]{0,40}["'`]?\]?[ \t]{0,4}(?:=>|:=|[:=])[ \t]{0,4})(?=(?:"([^"\n]{4,256})"|'([^'\n]{4,256})'|`([^`\n]{4,256})`|([^\s"'`,;&<>(){}\[\]$]{6,256})(?=[\s"'`,;&<)}\]]|$)))""")
+_LINE = re.compile(rb"(?m)^(?:export[ \t]+)?[A-Z0-9_]{0,40}(?:PASSW(?:OR)?D|PWD|PASSPHRASE|SECRET|TOKEN|KEY)[A-Z0-9_]{0,40}=([^\s\"'`$][^\n\"'`]{4,199}[^\s\"'`])[ \t\r]*$")
+_MAY_NAME = re.compile(rb"(?i)passw|pwd|passphrase|secret|token|key|credential")
+_NAMED = re.compile(r"(?i)" + _NAMES.decode() + r"[A-Za-z0-9_.-]{0,40}[\"'`]?\]?[ \t]{0,4}(?:=>|:=|[:=])[ \t]{0,4}[\"'`]?$")
 #: What the last byte before a candidate may be, but for quotes and white space, where it is assigned.
 _MARKS = np.zeros(256, bool)
 _MARKS[[ord(c) for c in "=:>"]] = True
@@ -89,42 +104,75 @@ def candidates(texts: pa.Array) -> tuple[np.ndarray, list[Candidate]]:
     last = np.maximum.accumulate(np.where(_SKIPPED[w.data], -1, np.arange(n))) if n else np.zeros(0, np.int64)
     before = np.where(w.start > 0, last[w.start - 1], -1) if len(w.start) else w.start
     marked = (before >= 0) & _MARKS[w.data[before]] if n else has_digit
-    some = np.flatnonzero((length >= LEAST_CHARS // 2) & (has_digit | marked | (length >= LEAST_CHARS)))
+    # Two characters of padding may belong to a run.
+    some = np.flatnonzero((length >= LEAST_CHARS // 2 - 2) & (has_digit | marked | (length >= LEAST_CHARS - 2)))
     rows = w.rows()
     out = []
     raw = w.data.tobytes()
     text = lambda a, b: raw[a:b].decode(errors="ignore")
-    keys: dict[int, list[tuple[int, int]]] = {}
-    if b"PRIVATE KEY" in raw:
+    # Places of keys and values, which runs inside them are part of.
+    whole: dict[int, list[tuple[int, int]]] = {}
+
+    def add(row: int, a: int, b: int) -> None:
+        low, high = int(offsets[row]), int(offsets[row + 1])
+        out.append((row, Candidate(a - low, b - low, text(a, b), text(max(low, a - CONTEXT), a), text(b, min(high, b + CONTEXT)))))
+
+    if _MAY_NAME.search(raw):
         for row, (low, high) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
-            for m in _PEM.finditer(raw[low:high]):
-                body = m[1].rstrip()
-                if len(body) >= LEAST_CHARS:
-                    a, b = low + m.start(1), low + m.start(1) + len(body)
-                    keys.setdefault(row, []).append((a, b))
-                    out.append((row, Candidate(a - low, b - low, text(a, b), text(max(low, a - CONTEXT), a), text(b, min(high, b + CONTEXT)))))
+            own = raw[low:high]
+            spans = [(m.start(1), m.start(1) + len(m[1].rstrip())) for m in _PEM.finditer(own)]
+            spans = [(a, b) for a, b in spans if b - a >= LEAST_CHARS]
+            spans += [m.span(m.lastindex) for m in _VALUE.finditer(own)] + [m.span(1) for m in _LINE.finditer(own)]
+            # Of those that overlap the one that starts first and is longest.
+            end = 0
+            for a, b in sorted(spans, key=lambda s: (s[0], -s[1])):
+                if a >= end:
+                    whole.setdefault(row, []).append((low + a, low + b))
+                    add(row, low + a, low + b)
+                    end = b
     for i in some.tolist():
-        row, a, b = int(rows[i]), int(w.start[i]), int(w.end[i])
+        row = int(rows[i])
         low, high = int(offsets[row]), int(offsets[row + 1])
-        if any(x <= a < y for x, y in keys.get(row, ())):
-            continue
-        while b > a and raw[b - 1 : b] in (b".", b"-"):  # a sentence's end
-            b -= 1
-        for pad in (2, 1):  # base64 padding ends a run whose length it fills up to fours
-            end = b + pad
-            if end <= high and raw[b:end] == b"=" * pad and (end - a) % 4 == 0 and (end == high or not (_RUN[raw[end]] or raw[end : end + 1] == b"=")):
-                b = end
-                break
-        before = text(max(low, a - CONTEXT), a)
-        assigned = bool(_ASSIGNED.search(before))
-        if b - a < (LEAST_CHARS // 2 if assigned else LEAST_CHARS):
-            continue
-        if has_digit[i] or assigned or _secret_near(_near(before)):
-            out.append((row, Candidate(a - low, b - low, text(a, b), before, text(b, min(high, b + CONTEXT)))))
+        for a, b in _parts(raw, low, int(w.start[i]), int(w.end[i])):
+            spans = whole.get(row, ())
+            k = bisect_right(spans, a, key=lambda s: s[0]) - 1 if spans else -1
+            if k >= 0 and a < spans[k][1]:
+                continue
+            while b > a and raw[b - 1 : b] in (b".", b"-"):  # a sentence's end
+                b -= 1
+            for pad in (2, 1):  # base64 padding ends a run whose length it fills up to fours
+                end = b + pad
+                if end <= high and raw[b:end] == b"=" * pad and (end - a) % 4 == 0 and (end == high or not (_RUN[raw[end]] or raw[end : end + 1] == b"=")):
+                    b = end
+                    break
+            if k + 1 < len(spans) and spans[k + 1][0] < b:
+                continue
+            before = text(max(low, a - CONTEXT), a)
+            assigned = _assigned(before)
+            if b - a < (LEAST_CHARS // 2 if assigned else LEAST_CHARS):
+                continue
+            if any(0x30 <= x < 0x3A for x in raw[a:b]) or assigned or _secret_near(_near(before)):
+                add(row, a, b)
     out.sort(key=lambda x: (x[0], x[1].start))
     return np.array([r for r, _ in out], np.int64), [c for _, c in out]
 
 
+def _parts(raw: bytes, low: int, a: int, b: int) -> Iterator[tuple[int, int]]:
+    """A run, or the parts between slashes of one that is an address (`//` after a colon)."""
+    if raw[a : a + 2] != b"//" or a == low or raw[a - 1 : a] != b":":
+        yield a, b
+        return
+    for m in re.finditer(rb"[^/]+", raw[a:b]):
+        yield a + m.start(), a + m.end()
+
+
+def _assigned(before: str) -> bool:
+    """Whether an assignment stands before a candidate; a parameter's counts only if its name holds a secret word."""
+    if m := _PARAMETER.search(before):
+        return _secret_near(_near(m[1]))
+    return bool(_ASSIGNED.search(before))
+
+
 def _covered(text: str) -> float:
     """Share of the characters inside dictionary words, longest first from the left."""
     low, i, hit = text.lower(), 0, 0
@@ -135,7 +183,7 @@ def _covered(text: str) -> float:
     return hit / max(len(low), 1)
 
 
-FEATURES = ("length", "digits", "upper", "lower", "others", "transitions", "case_changes", "vowels", "entropy", "distinct", "hex", "dictionary", "assigned", "quoted", "secret_near", "digest_near", "example_near", "example_path", "longest_run", "separators", "called", "userinfo")
+FEATURES = ("length", "digits", "upper", "lower", "others", "transitions", "case_changes", "vowels", "entropy", "distinct", "hex", "dictionary", "assigned", "quoted", "secret_near", "digest_near", "example_near", "example_path", "longest_run", "separators", "called", "userinfo", "named", "spaces", "marks")
 
 
 def features(text: str, before: str, after: str, path: str) -> list[float]:
@@ -155,9 +203,10 @@ def features(text: str, before: str, after: str, path: str) -> list[float]:
         sum(a != b for a, b in zip(kinds, kinds[1:])) / max(n - 1, 1), sum({a, b} == {"u", "l"} for a, b in zip(kinds, kinds[1:])) / max(n - 1, 1),
         sum(c in "aeiou" for c in letters) / max(len(letters), 1), -sum(k / n * math.log2(k / n) for k in counts.values()), len(counts) / n,
         float(bool(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text)) and of["d"] < n), _covered(text),
-        float(bool(_ASSIGNED.search(before))), float(before[-1:] in ("'", '"', "`") and before != ""), float(_secret_near(near)), float(bool(DIGEST_WORDS & set(near))),
+        float(_assigned(before)), float(before[-1:] in ("'", '"', "`") and before != ""), float(_secret_near(near)), float(bool(DIGEST_WORDS & set(near))),
         float(bool(EXAMPLE_WORDS & around) or "example" in text.lower()), float(bool(_BAD_PATH.search(path or ""))), float(best), float(sum(c in "-_./" for c in text)),
         float(after[:1] in ("(", "[") and after != ""), float(bool(_USERINFO.search(before)) and after[:1] == "@"),
+        float(bool(_NAMED.search(before))), float(sum(c.isspace() for c in text)), float(sum(not c.isalnum() and not c.isspace() and c not in "-_./" for c in text)),
     ]
 
 
@@ -183,6 +232,42 @@ def labelled_findings(n: int = N_FINDINGS, seed: int = SEED) -> list[tuple[str,
             (" :" + name + ' => "', '" '), ("\n  " + name + ": ", "\n"), (speech(2) + " " + name + " = '", "' "), (speech(3) + " " + name + ' = "', '" '),
         ])
         joined = lambda mark: mark.join(speech(1) for _ in range(rng.randint(4, 5)))
+        if i % 8 == 7:
+            # Values of any characters: passwords with marks, short ones, several words; and what only looks assigned.
+            marked = base + "!@#%^*?+-_~|/.:=$&"
+            password = rng.choice(["password", "passwd", "pwd", "db_password", "PASSWORD", "user.password", "passphrase", "secret", "client_secret", "auth_token"])
+            kind = rng.randrange(13)
+            quote = rng.choice("\"'")
+            quoted = rng.choice([f"{password} = {quote}", f"{password}={quote}", f'"{password}": "', f"{password}: {quote}", f"  {password} => {quote}"])
+            close = quoted[-1]
+            clean = lambda s: s.replace(close, "x")
+            line = rng.choice(["", "export "]) + rng.choice(["DB_", "APP_", "ADMIN_", ""]) + rng.choice(["PASSWORD", "PASSPHRASE", "SECRET"]) + "="
+            text, before, after, label = [
+                (clean(pick(marked, rng.randint(8, 24))), quoted, close, 1), (clean(pick(marked, rng.randint(6, 9))), quoted, close, 1), (speech(rng.randint(3, 6)), line, "\n", 1), (clean(speech(rng.randint(3, 5))), quoted, close, 1),
+                (pick(base, rng.randint(6, 9)), rng.choice([line, quoted]), rng.choice(["\n"]), 1), (pick(base + "!#%*?~", rng.randint(10, 20)), line, "\n", 1),
+                (rng.choice(["your password", "changeme", "<password>", "********", "xxxxxxxx", "None", "null", "true", "string", "required", "****", "password", "enter password here", "todo", "secret", "...", "placeholder"]), quoted, close, 0),
+                (rng.choice(["${DB_PASSWORD}", "{{ password }}", "%(password)s", "$PASSWORD", "os.environ['PW']", "process.env.SECRET", "@Value(secret)"]).replace(close, ""), quoted, close, 0),
+                (rng.choice(["required", "getpass.getpass", "settings.password", "user.password", "required|min:8", "function", "required,", "optional"]), password + rng.choice([": ", " = ", "="]), rng.choice(["\n", "(", " "]), 0),
+                (speech(1) + rng.choice(["", ".", "!"]), speech(4) + " " + rng.choice(["password", "secret", "token"]) + ": ", " " + speech(3), 0),
+                (rng.choice(["must be at least 8 characters", "is required", "Enter your password", "Forgot your password?", "Password:", "The password is wrong."]), f"{password}_{rng.choice(['label', 'hint', 'error', 'help', 'text'])} = {quote}", quote, 0),
+                (pick(base, 11), f"https://{speech(1)}.com/{speech(1)}/{rng.randint(2000, 2030)}/{speech(1)}?{rng.choice(['v', 'id', 'q', 'page', 'ref', 'video'])}=", rng.choice([" ", "&t=3 "]), 0),
+                (pick(hexa, rng.choice([32, 40])), speech(2) + " " + rng.choice(["auth_token", "authToken", "auth token", "api_key", "client secret", "access key"]) + " ", " ", 1),
+            ][kind]
+            if before.startswith(line):
+                before = "\n" + before
+            rows.append((text, speech(2) + (" " if before[0] != "\n" else "") + before, after + " " + speech(4), path, label))
+            continue
+        if i % 8 == 3 and rng.random() < 0.6:
+            # Keys inside addresses: as a part of the path, before an @, as a parameter.
+            part = rng.choice(["", "_", "-"]).join(pick(base, rng.randint(16, 45)) for _ in range(rng.randint(1, 3)))
+            host = f"{speech(1)}.{rng.choice(['com', 'io', 'net'])}"
+            kind = rng.randrange(5)
+            text, before, after, label = [
+                (part, f"https://hooks.{host}/services/{pick(up + dig, 9)}/{pick(up + dig, 11)}/", " ", 1), (rng.choice(["ghp_", "glpat-", "", "key-", speech(1) + "_"]) + part, rng.choice(["https://", f"https://{speech(1)}:"]), f"@{host}/{speech(1)}.git ", 1), (part, f"https://{host}/api/{name}/", "/x ", 1),
+                ("-".join(speech(1) for _ in range(rng.randint(3, 6))), f"https://{host}/articles/{rng.randint(2000, 2030)}/", " ", 0), (f"{speech(1)}.{speech(1)}.{host}", "https://", "/index ", 0),
+            ][kind]
+            rows.append((text, speech(3) + " " + before, after + speech(4), path, label))
+            continue
         if i % 4 == 1:
             kind = rng.randrange(9)
             text = [pick(hexa, rng.choice([32, 40, 64])), pick(low + up, rng.randint(12, 40)), joined(""), joined("-"), pick(base, rng.randint(12, 48)), pick(base + "+/", rng.choice([43, 86])) + "=", pick(low + up, rng.randint(16, 40)), pick(base, rng.randint(10, 24)), lines][kind]
@@ -246,33 +331,28 @@ def labelled_findings(n: int = N_FINDINGS, seed: int = SEED) -> list[tuple[str,
 
 
 class Forest:
-    """Trees as arrays; score() is the share of votes for a secret."""
-
-    def __init__(self, debug: str, n_trees: int) -> None:
-        self.feature, self.threshold, self.left, self.right, self.vote, self.roots = [], [], [], [], [], []
-        lines = [x.strip() for x in debug.splitlines()[1:]]
-        at = 0
-
-        def node() -> int:
-            nonlocal at
-            i = len(self.feature)
-            for column in (self.feature, self.threshold, self.left, self.right, self.vote):
-                column.append(0)
-            if m := re.match(r"If \(feature (\d+) <= (.+)\)", lines[at]):
-                at += 1
-                self.feature[i], self.threshold[i] = int(m[1]), float(m[2])
-                self.left[i] = node()
-                at += 1  # Else
-                self.right[i] = node()
-            else:
-                self.vote[i], self.left[i], self.right[i] = float(lines[at].split()[-1]), i, i
-                at += 1
-            return i
-
-        for _ in range(n_trees):
-            at += 1  # Tree k
-            self.roots.append(node())
-        self.feature, self.threshold, self.left, self.right, self.vote = (np.array(x) for x in (self.feature, self.threshold, self.left, self.right, self.vote))
+    """Trees as arrays; score() is the share of votes for a secret.
+
+    nodes: (tree, id, prediction, left, right, feature, threshold) as Spark saves a model's; left is below 0 at leaves."""
+
+    def __init__(self, nodes: list[tuple]) -> None:
+        nodes = sorted(nodes)
+        at = {(tree, i): k for k, (tree, i, *_) in enumerate(nodes)}
+        leaf = [n[3] < 0 for n in nodes]
+        self.roots = [k for k, n in enumerate(nodes) if n[1] == 0]
+        self.feature = np.array([0 if end else n[5] for n, end in zip(nodes, leaf)], np.int64)
+        self.threshold = np.array([0.0 if end else n[6] for n, end in zip(nodes, leaf)])
+        self.left, self.right = (np.array([k if end else at[n[0], n[c]] for k, (n, end) in enumerate(zip(nodes, leaf))], np.int64) for c in (3, 4))
+        self.vote = np.array([float(n[2]) for n in nodes])
+
+    @classmethod
+    def of(cls, model) -> Forest:
+        """A model of Spark's, through the files that it is saved in."""
+        spark = SparkSession.getActiveSession()
+        path = f"{shared_folder(spark)}/tables/{spark.sparkContext.applicationId}/forest-{uuid.uuid4().hex}"
+        model.save(path)
+        rows = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.id", "nodeData.prediction", "nodeData.leftChild", "nodeData.rightChild", "nodeData.split.featureIndex", F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)))
+        return cls([tuple(r) for r in rows.collect()])
 
     def score(self, x: np.ndarray) -> np.ndarray:
         votes = np.zeros(len(x))
@@ -298,12 +378,12 @@ def train(spark: SparkSession, findings: list[tuple[str, str, str, str, int]] |
             _MADE.append(train(spark, labelled_findings()))
         return _MADE[0]
     if len({y for *_, y in findings}) < 2:
-        return Forest("", 0)
+        return Forest([])
     rows = [(float(y), Vectors.dense(features(*x))) for *x, y in findings]
     # One partition, so that the trees' samples don't depend on the number of cores.
     data = spark.createDataFrame(rows, ["label", "features"]).coalesce(1)
     model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, maxBins=64, minInstancesPerNode=3).fit(data)
-    return Forest(model.toDebugString, TREES)
+    return Forest.of(model)
 
 
 def find(part: pa.RecordBatch, forest: Forest, path: str = "source", threshold: float = 0.5) -> tuple[np.ndarray, list[list[Candidate]]]:
