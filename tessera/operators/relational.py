@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import indel_ratio
+from tessera.functions.text import candidates, indel_ratio
 
 
 def section_excluded(source: Column, section: Column, sources: tuple[str, ...] = (), words: tuple[str, ...] = ()) -> Column:
@@ -203,3 +203,34 @@ def substring_pairs(queries: DataFrame, labels: DataFrame, size: int = 3) -> Dat
     one = _inside(q.select(F.col("query").alias("a")), b.select(F.col("label").alias("b")), size).select(F.col("a").alias("query"), F.col("b").alias("label"))
     other = _inside(b.select(F.col("label").alias("a")), q.select(F.col("query").alias("b")), size).select(F.col("b").alias("query"), F.col("a").alias("label"))
     return one.union(other).distinct()
+
+
+def _best_reading(words: DataFrame, vocabulary: DataFrame, short: float, long: float) -> DataFrame:
+    """(id, brand, score) of each id's best fuzzy match of (id, word, conf) with (alias, brand); score: similarity times
+    confidence, ties by brand."""
+    near = fuzzy_match(words.select("word").distinct(), vocabulary.select("alias").distinct(), 5, short, long)
+    found = words.join(near, "word").join(vocabulary, "alias").select("id", "brand", (F.col("ratio") / 100 * F.col("conf")).alias("score"))
+    best = Window.partitionBy("id").orderBy(F.desc("score"), "brand")
+    return found.withColumn("_k", F.row_number().over(best)).where("_k = 1").drop("_k")
+
+
+def two_vocabularies(lines: DataFrame, catalog: DataFrame, others: DataFrame, parents: DataFrame, least_conf: float = 0.5, blocked: tuple[str, ...] = ()) -> DataFrame:
+    """(id, verdict, brand, score, reason) of read lines (id, text, conf).
+
+    A brand of the catalog (alias, brand) wins over any other, which has to be nearer (95 for aliases of up to five letters,
+    88 beyond).  One that belongs, by one or two links of parents (brand, parent), to a brand that the catalog has is no
+    evidence; nor is text without a brand, or none that is sure enough."""
+    kept = lines.where(F.col("conf") >= least_conf).withColumn("line", F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "))).where("line <> ''")
+    words = kept.select("id", "conf", F.explode(candidates(F.col("line"))).alias("word")).groupBy("id", "word").agg(F.max("conf").alias("conf"))
+    words = words.where(~F.col("word").isin(*blocked)) if blocked else words
+    mine = _best_reading(words, catalog, 90, 80).select("id", F.col("brand").alias("own"), F.col("score").alias("own_score"))
+    other = _best_reading(words.join(mine.select("id"), "id", "left_anti"), others, 95, 88)
+    stocked = catalog.select(F.lower("brand").alias("top")).distinct()
+    links = parents.select("brand", F.lower("parent").alias("top"))
+    links = links.unionByName(links.join(parents.select(F.lower("brand").alias("top"), F.lower("parent").alias("up")), "top").select("brand", F.col("up").alias("top"))).distinct()
+    other = other.join(links.join(stocked, "top", "left_semi").select("brand").distinct().withColumn("vetoed", F.lit(True)), "brand", "left")
+    all_ids = lines.select("id").distinct().join(kept.select("id").distinct().withColumn("readable", F.lit(True)), "id", "left")
+    rows = all_ids.join(mine, "id", "left").join(other, "id", "left")
+    own, found = F.col("own").isNotNull(), F.col("brand").isNotNull() & F.col("vetoed").isNull()
+    reason = F.when(own, "catalog_brand_read").when(F.col("readable").isNull(), "no_text").when(F.col("brand").isNull(), "text_but_no_brand").when(F.col("vetoed"), "sub_brand_of_stocked_parent").otherwise("known_brand_not_stocked")
+    return rows.select("id", F.when(own, "in_catalog").when(found, "off_catalog").otherwise("no_evidence").alias("verdict"), F.when(own, F.col("own")).when(found, F.col("brand")).alias("brand"), F.when(own, F.col("own_score")).when(found, F.col("score")).otherwise(0.0).alias("score"), reason.alias("reason"))

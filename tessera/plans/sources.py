@@ -13,9 +13,10 @@ from tessera.functions.vectors import embed_rows, encoder, l2
 from tessera.operators import curation as K
 from tessera.operators import relational as R
 from tessera.operators.dominant import dominant_colours
-from tessera.operators.phrases import parse_fragments
+from tessera.operators.phrases import match_terms, parse_fragments
 from tessera.plans.catalog import register
 from tessera.sources import extract as X
+from tessera.sources.records import append_new, records
 from tessera.sources.store import shared_folder
 from tessera.sources.tables import ITEMS_SQL, items, table
 
@@ -117,7 +118,7 @@ _NOUNS = lambda s, d: table(s, d, "part").select(F.split("p_name", " ")[1].alias
 register("J13_two_vocabularies", lambda s, d: _NOUNS(s, d).join(R.fuzzy_match(_NOUNS(s, d), _ALIAS(s, d), floor=90).groupBy("word").agg(F.max(F.when(F.col("alias") < "h", F.col("ratio"))).alias("stocked"), F.max(F.when(F.col("alias") >= "h", F.col("ratio"))).alias("other")), "word", "left").select(F.col("word").alias("w"), F.when(F.col("stocked") >= 90, "stocked").when(F.col("other") >= 95, "off catalog").otherwise("none").alias("verdict")), "SELECT DISTINCT split_part(p_name, ' ', 2) w, CASE WHEN split_part(p_name, ' ', 2) < 'h' THEN 'stocked' ELSE 'off catalog' END verdict FROM part")
 register("F21_tokens", lambda s, d: table(s, d, "conversations").select("conv_id", "turn", F.size(T.tokens(F.col("text"))).alias("n")), r"SELECT conv_id, turn, len(regexp_extract_all(lower(text), '[a-z][a-z\-'']+'))::INT n FROM conversations")
 register("F22_has_term", lambda s, d: table(s, d, "part").groupBy(T.has_term(F.concat("p_name", F.lit("s")), "ring").alias("hit")).agg(F.count(F.lit(1)).alias("n")), "SELECT split_part(p_name, ' ', 2) = 'ring' hit, count(*) n FROM part GROUP BY 1")
-register("F23_category_match", lambda s, d: table(s, d, "part").select("p_partkey", F.lower("p_name").alias("q")).join(_ALIAS(s, d), F.contains("q", "alias")).groupBy("p_partkey").agg(F.max_by("alias", F.struct(F.length("alias"), "alias")).alias("term")), "SELECT p_partkey, split_part(p_name, ' ', 2) term FROM part")
+register("F23_category_match", lambda s, d: match_terms(table(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text")), _ALIAS(s, d).select(F.col("alias").alias("term"), F.lit(None).cast("string").alias("leaf"), F.col("alias").alias("category"), F.lit("").alias("group"), F.lit(0).alias("place")), 1).select(F.col("id").alias("p_partkey"), "term"), "SELECT p_partkey, split_part(p_name, ' ', 2) term FROM part")
 register("F24_F25_attribute_match", lambda s, d: table(s, d, "part").select("p_partkey", F.explode(T.tokens(F.col("p_name"))).alias("token")).join(R.token_index(table(s, d, "part"), ["p_name"]).groupBy("token").agg(F.sum("n").alias("evidence")), "token").withColumn("k", F.row_number().over(R.Window.partitionBy("p_partkey").orderBy(F.desc("evidence"), "token"))).where("k <= 5").select("p_partkey", "token", "k"), "WITH t AS (SELECT p_partkey, unnest([split_part(p_name, ' ', 1), split_part(p_name, ' ', 2)]) token FROM part), e AS (SELECT token, count(*) evidence FROM t GROUP BY 1) SELECT p_partkey, token, row_number() OVER (PARTITION BY p_partkey ORDER BY evidence DESC, token) k FROM t JOIN e USING (token) WHERE length(token) >= 3")
 register("F26_clauses", lambda s, d: table(s, d, "part").select("p_partkey", F.array_join(T.clauses(F.concat_ws(" with ", F.concat_ws(" and ", "p_name", "p_type"), F.concat_ws(", ", "p_brand", "p_name"))), "|").alias("c")), "SELECT p_partkey, lower(concat_ws('|', p_name, p_type, p_brand, p_name)) c FROM part")
 register("F27_text_attributes", lambda s, d: table(s, d, "part").select("p_partkey", T.first_rule(F.col("p_name"), [(w, w.upper()) for w in ("widget", "plate", "gizmo", "anvil", "gear", "bolt", "ring", "rod")]).alias("category"), T.canonical_colour(F.col("p_name")).alias("colour")), "SELECT p_partkey, upper(split_part(p_name, ' ', 2)) category, CASE WHEN contains(p_name, 'blue') THEN 'blue' WHEN contains(p_name, 'red') THEN 'red' WHEN contains(lower(p_name), 'gold') THEN 'gold' END colour FROM part")
@@ -338,3 +339,45 @@ for _facet, _words in (("material", ("cotton twill", "Faux-Leather", "recycled p
     _want = {"material": ("twill", "leather", "polyester", "wool", "unknown stuff"), "closure": ("button fly", "zip fly", "lace-up", "adjustable strap", "none")}[_facet]
     register(f"F16_{_facet}", lambda s, d, words=_words, facet=_facet: table(s, d, "part").select("p_partkey", T.canonical_facet(F.element_at(F.array(*map(F.lit, words)), (F.col("p_partkey") % 5 + 1).cast("int")), facet).alias("value")), f"SELECT p_partkey, {_SQL_LIST(_want)}[p_partkey % 5 + 1] AS value FROM part")
 register("F32_whole_answers", lambda s, d: table(s, d, "events").select("event_id", T.strict_json(F.concat(F.when(F.col("event_id") % 4 == 0, "```json\n").when(F.col("event_id") % 4 == 1, "```\n").otherwise(""), "props", F.when(F.col("event_id") % 4 < 2, "\n```").otherwise(""), F.when(F.col("event_id") % 3 == 0, " bye").otherwise(""))).isNotNull().alias("strict")), "SELECT event_id, props IS NOT NULL AND event_id % 3 > 0 AS strict FROM events")
+
+
+def _states(s, d):
+    """A page's embedded state: two variants in the chosen group, or one product alone, some without titles, images or state."""
+    k, name = F.col("p_partkey").cast("string"), F.col("p_name")
+    image = lambda kind, side: F.concat(F.lit('{"cardType": "' + kind + '", "properties": {"' + side + '": {"url": "u/'), k, F.lit("/" + side + '"}}}'))
+    images = F.when(F.col("p_partkey") % 3 == 0, F.lit("null")).otherwise(F.concat(F.lit("["), image("image", "portrait"), F.lit(", "), image("video", "portrait"), F.lit(", "), image("image", "squarish"), F.lit("]")))
+    variant = lambda colour, title: F.concat(F.lit('{"productInfo": '), F.when(F.lit(title), F.concat(F.lit('{"title": "'), name, F.lit('"}'))).otherwise(F.lit("null")), F.lit(f', "colorDescription": "{colour}", "pdpUrl": {{"url": "/p/'), k, F.lit('"}, "contentImages": '), images, F.lit("}"))
+    group = F.concat(F.lit('{"products": {"'), k, F.lit('-a": '), variant("red", True), F.lit(', "'), k, F.lit('-b": '), variant("blue", False), F.lit("}}"))
+    chosen = F.concat(F.lit('{"groupIndex": 1, "styleColor": "'), k, F.lit('", "productInfo": {"title": "'), name, F.lit('"}}'))
+    groups = F.when(F.col("p_partkey") % 5 == 0, F.lit("[]")).otherwise(F.concat(F.lit('[{"products": {"no": {}}}, '), group, F.lit("]")))
+    state = F.concat(F.lit('{"props": {"pageProps": {"selectedProduct": '), chosen, F.lit(', "productGroups": '), groups, F.lit("}}}"))
+    state = F.when(F.col("p_partkey") % 7 == 0, F.lit('{"props": {}}')).when(F.col("p_partkey") % 11 == 0, F.lit("{broken")).otherwise(state)
+    return table(s, d, "part").select("p_partkey", F.concat(F.lit('<html><script>x</script><script id="__NEXT_DATA__" type="application/json">'), state, F.lit("</script></html>")).alias("html"))
+
+
+register("S13_embedded_variants", lambda s, d: X.embedded_variants(_states(s, d), "p_partkey", "html").select("p_partkey", "code", "name", "colour", "url", F.array_join("images", "|").alias("images")), """WITH p AS (SELECT *, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'u/' || p_partkey || '/portrait|u/' || p_partkey || '/squarish' END AS images FROM part WHERE p_partkey % 7 > 0 AND p_partkey % 11 > 0)
+SELECT p_partkey, p_partkey || '-a' AS code, p_name AS name, 'red' AS colour, '/p/' || p_partkey AS url, images FROM p WHERE p_partkey % 5 > 0 UNION ALL SELECT p_partkey, p_partkey || '-b', '', 'blue', '/p/' || p_partkey, images FROM p WHERE p_partkey % 5 > 0 UNION ALL SELECT p_partkey, p_partkey::VARCHAR, p_name, NULL, NULL, '' FROM p WHERE p_partkey % 5 = 0""")
+
+
+def _verdicts(s, d):
+    lines = table(s, d, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 6 == 0, "SIZE 42").otherwise(F.concat(F.lit("The "), F.upper("p_name"), F.lit("!"))).alias("text"), (F.col("p_size") / 50).alias("conf"))
+    nouns = table(s, d, "part").select(F.substring_index("p_name", " ", -1).alias("alias")).distinct().withColumn("brand", F.initcap("alias"))
+    parents = s.createDataFrame([("Widget", "Gizmo Group"), ("Gizmo Group", "ANVIL"), ("Rod", "Nobody"), ("Ring", "Bolt")], "brand string, parent string")
+    return R.two_vocabularies(lines, nouns.where("alias < 'h'"), nouns.where("alias >= 'h'"), parents).withColumn("score", F.round("score", 6))
+
+
+register("J13_verdicts", _verdicts, """SELECT p_partkey AS id, CASE WHEN noun IS NULL OR veto THEN 'no_evidence' WHEN noun < 'h' THEN 'in_catalog' ELSE 'off_catalog' END AS verdict, CASE WHEN noun IS NOT NULL AND NOT veto THEN upper(noun[1]) || noun[2:] END AS brand, CASE WHEN noun IS NULL OR veto THEN 0 ELSE round(p_size / 50, 6) END AS score,
+CASE WHEN p_size < 25 THEN 'no_text' WHEN noun IS NULL THEN 'text_but_no_brand' WHEN veto THEN 'sub_brand_of_stocked_parent' WHEN noun < 'h' THEN 'catalog_brand_read' ELSE 'known_brand_not_stocked' END AS reason
+FROM (SELECT *, coalesce(noun IN ('widget', 'ring'), false) AS veto FROM (SELECT *, CASE WHEN p_size >= 25 AND p_partkey % 6 > 0 THEN split_part(p_name, ' ', 2) END AS noun FROM part))""")
+
+
+def _resumed(s, d):
+    """Records written in two runs, of which the second finds half of its keys there, and read back."""
+    path = f"{shared_folder(s)}/tables/records-{uuid.uuid4().hex}"
+    rows = table(s, d, "part").select("p_partkey", F.lower("p_brand").alias("view"), "p_name")
+    append_new(rows.where("p_partkey % 3 = 0"), path, ["p_partkey", "view"])
+    append_new(rows.where("p_partkey % 2 = 0").withColumn("p_name", F.lit("second")).unionByName(rows.where("p_partkey % 4 = 0").withColumn("p_name", F.lit("second"))), path, ["p_partkey", "view"])
+    return records(s, path, "p_partkey long, view string, p_name string").unionByName(records(s, f"{path}/none", "p_partkey long, view string, p_name string"))
+
+
+register("S1_S11_records", _resumed, "SELECT p_partkey, lower(p_brand) AS \"view\", CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE 'second' END AS p_name FROM part WHERE p_partkey % 3 = 0 OR p_partkey % 2 = 0")

@@ -138,3 +138,25 @@ def details(main: Column, other: Column, least: int = 40) -> Column:
 def mean_difference(a: Column, b: Column) -> Column:
     """Mean absolute difference of two pixel lists."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x) / F.size(a)
+
+
+def embedded_variants(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """(key, code, name, colour, url, images) of the variants in a page's embedded state: the products of the chosen
+    group, whose codes are the keys of an object, or where there are no groups the chosen product alone.
+
+    The state is held as a variant, so that objects of unknown keys can be walked; a page without state, with one that isn't
+    JSON or lacks a branch has no variants, and a variant's missing fields are null.  An image is a card's portrait, else its
+    square one."""
+    blob = F.regexp_extract(html, r'(?s)<script[^>]*id="__NEXT_DATA__"[^>]*>(.*?)</script>', 1)
+    props = F.try_variant_get(F.try_parse_json(blob), "$.props.pageProps", "variant")
+    states = pages.select(F.col(key).alias("key"), props.alias("props")).where("props IS NOT NULL")
+    get = lambda v, path, kind: F.try_variant_get(v, path, kind)
+    states = states.select("key", get("props", "$.selectedProduct", "variant").alias("chosen"), get("props", "$.productGroups", "variant").alias("groups")).where("chosen IS NOT NULL")
+    states = states.withColumn("index", F.coalesce(get("chosen", "$.groupIndex", "int"), F.lit(0))).withColumn("n", F.coalesce(F.size(get("groups", "$", "array<variant>")), F.lit(0)))
+    grouped = states.where("n > 0").withColumn("products", F.try_variant_get(F.get(get("groups", "$", "array<variant>"), F.col("index")), "$.products", "variant"))
+    products = F.map_entries(get("products", "$", "map<string, variant>"))
+    each = grouped.select("key", F.explode(products).alias("x")).select("key", F.col("x.key").alias("code"), F.col("x.value").alias("p"))
+    alone = states.where("n <= 0").select("key", get("chosen", "$.styleColor", "string").alias("code"), F.col("chosen").alias("p")).where("code IS NOT NULL")
+    cards = get("p", "$.contentImages", "array<struct<cardType: string, properties: struct<portrait: struct<url: string>, squarish: struct<url: string>>>>")
+    shown = F.filter(F.transform(F.filter(cards, lambda c: c["cardType"] == "image"), lambda c: F.coalesce(F.nullif(c["properties"]["portrait"]["url"], F.lit("")), F.nullif(c["properties"]["squarish"]["url"], F.lit("")))), F.isnotnull)
+    return each.unionByName(alone).select(F.col("key").alias(key), "code", F.coalesce(get("p", "$.productInfo.title", "string"), F.lit("")).alias("name"), get("p", "$.colorDescription", "string").alias("colour"), get("p", "$.pdpUrl.url", "string").alias("url"), F.coalesce(shown, F.array().cast("array<string>")).alias("images"))
