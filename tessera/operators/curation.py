@@ -28,6 +28,14 @@ def view_split(rows: DataFrame, product: str, key: str, seed: int, held_out: int
     return rows.withColumn("split", F.when(k <= F.least(F.lit(held_out), n - 1), "test").otherwise("train"))
 
 
+def share_split(rows: DataFrame, product: str, key: str, seed: int, share: float = 0.2) -> DataFrame:
+    """Of each product's n rows max(1, round(n * share)) are test rows, halves rounded to even, but one at least stays."""
+    w = Window.partitionBy(product)
+    n = F.count(F.lit(1)).over(w)
+    most = F.least(F.greatest(F.lit(1), F.bround(n * share, 0).cast("long")), n - 1)
+    return rows.withColumn("split", F.when(F.row_number().over(w.orderBy(seeded(F.col(key), seed), key)) <= most, "test").otherwise("train"))
+
+
 def fraction_split(rows: DataFrame, key: str, seed: int, fractions: tuple[float, ...] = (0.7, 0.15, 0.15), names: tuple[str, ...] = ("train", "val", "test")) -> DataFrame:
     """Keys dealt by seeded hash, so a key's rows stay together and no order of all keys is formed."""
     u, edge, out = unit_hash(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), 0.0, F.lit(names[-1])
@@ -60,6 +68,13 @@ def balance(rows: DataFrame, label: str, key: str, seed: int, least: int, cap: i
     return some.join(ids, label)
 
 
+def fixed_gallery(products: DataFrame, queries: DataFrame, size: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A seeded sample of `size` products (code, identity), its identities with what is left of their products, and the
+    queries (query_id, code) that it can answer; everything, if there are fewer products."""
+    kept = products.orderBy(seeded(F.col("code"), seed), "code").limit(size)
+    return kept, kept.groupBy("identity").agg(F.count(F.lit(1)).alias("n")), queries.join(kept.select("code"), "code", "left_semi")
+
+
 def weighted_sample(rows: DataFrame, by: str, key: str, weight: Column, seed: int, k: int) -> DataFrame:
     """K rows of each group without replacement, likelier with weight (exponential race over hashed numbers)."""
     u = F.greatest(unit_hash(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), F.lit(1e-12))

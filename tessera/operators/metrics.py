@@ -176,3 +176,47 @@ def agreement(pairs: DataFrame, by: str, a: str, b: str) -> DataFrame:
 def recall_by_cohort(ranks: DataFrame, cohort: Column, k: int = 1) -> DataFrame:
     """Recall at k of unseen products and of the control group."""
     return ranks.groupBy(cohort.alias("unseen")).agg(F.avg((F.col("rank") <= k).cast("int")).alias("r_at_1"), F.count(F.lit(1)).alias("n"))
+
+
+def pair_recall(labels: DataFrame, ks: Sequence[int] = (1, 5, 10)) -> DataFrame:
+    """(k, hits, n, recall, low, high) of judged items (verdict, rank): of those that the catalog holds (`correct` or
+    `missed`) how many were right among the first k, with the Wilson interval; null recall of none."""
+    right = F.col("verdict") == "correct"
+    counts = labels.agg(F.count_if(F.col("verdict").isin("correct", "missed")).alias("n"), *[F.count_if(right & (F.col("rank") <= k)).alias(f"h{k}") for k in ks])
+    rows = counts.select("n", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"h{k}").alias("hits")) for k in ks])).alias("x")).select("x.k", "x.hits", "n")
+    low, high = wilson(F.col("hits"), F.col("n"))
+    return rows.select("k", "hits", "n", F.when(F.col("n") > 0, F.col("hits") / F.col("n")).alias("recall"), low.alias("low"), high.alias("high"))
+
+
+def open_set_table(labels: DataFrame) -> DataFrame:
+    """(threshold, false_reject, false_accept) at each first score of judged items (verdict, rank, top1), rounded to two
+    places: the share of items right at rank 1 that score below it, and of absent ones that don't.  Scores and thresholds are
+    counted by value, and shares come from the cumulated counts."""
+    score, right, absent = F.col("top1"), (F.col("verdict") == "correct") & (F.col("rank") == 1), F.col("verdict") == "absent"
+    judged = labels.where(score.isNotNull() & (right | absent))
+    values = judged.select(score.cast("double").alias("value"), right.cast("int").alias("p"), absent.cast("int").alias("a"), F.lit(0).alias("mark"))
+    marks = judged.select(F.bround(score.cast("double"), 2).alias("value"), F.lit(0).alias("p"), F.lit(0).alias("a"), F.lit(1).alias("mark"))
+    counted = values.unionByName(marks).groupBy("value").agg(F.sum("p").alias("p"), F.sum("a").alias("a"), F.max("mark").alias("mark"))
+    rows = cumulated(counted, "value", ["p", "a"]).where("mark = 1 AND total_p > 0 AND total_a > 0")
+    return rows.select(F.col("value").alias("threshold"), (F.col("before_p") / F.col("total_p")).alias("false_reject"), (1 - F.col("before_a") / F.col("total_a")).alias("false_accept"))
+
+
+def _asserted(threshold: float) -> Column:
+    return F.when(F.col("score") >= threshold, F.col("predicted"))
+
+
+def abstain_report(rows: DataFrame, threshold: float) -> DataFrame:
+    """Per true class of (truth, predicted, score), and `OVERALL`: support, right and wrong assertions of it, recall,
+    precision (null where it is never asserted) and the share of its rows where nothing was asserted."""
+    said = rows.select("truth", _asserted(threshold).alias("said"))
+    of = said.groupBy(F.col("truth").alias("cls")).agg(F.count(F.lit(1)).alias("support"), F.count_if(F.col("said").isNull()).alias("abstained"), F.count_if(F.col("said") == F.col("truth")).alias("tp"))
+    wrong = said.where("said <> truth").groupBy(F.col("said").alias("cls")).agg(F.count(F.lit(1)).alias("fp"))
+    each = of.join(wrong, "cls", "left").select("cls", "support", "abstained", "tp", F.coalesce("fp", F.lit(0)).alias("fp"))
+    whole = said.agg(F.lit("OVERALL").alias("cls"), F.count(F.lit(1)).alias("support"), F.count_if(F.col("said").isNull()).alias("abstained"), F.count_if(F.col("said") == F.col("truth")).alias("tp"), F.count_if(F.col("said") != F.col("truth")).alias("fp"))
+    both = each.unionByName(whole.where("support > 0"))
+    return both.select("cls", "support", "tp", "fp", (F.col("tp") / F.col("support")).alias("recall"), F.when(F.col("tp") + F.col("fp") > 0, F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), (F.col("abstained") / F.col("support")).alias("abstain"))
+
+
+def abstain_confusion(rows: DataFrame, threshold: float) -> DataFrame:
+    """(truth, said, n), where what wasn't asserted is `(abstain)`."""
+    return rows.groupBy("truth", F.coalesce(_asserted(threshold), F.lit("(abstain)")).alias("said")).agg(F.count(F.lit(1)).alias("n"))

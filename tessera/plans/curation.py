@@ -163,3 +163,16 @@ def _ingested(s, d):
 register("N2_near_at_ingest", _ingested, """WITH h AS (SELECT p_partkey AS id, p_name, ('0x' || substr(md5(p_name), 1, 13) || printf('%03x', p_partkey * 2654435761 % 4096))::UBIGINT AS v FROM part),
 g AS (SELECT p_name, list_reduce(list(list_value({'id': id, 'v': v}) ORDER BY id), lambda kept, x: CASE WHEN len(list_filter(kept, lambda k: bit_count(xor(k.v, x[1].v)) <= 6)) > 0 THEN kept ELSE list_concat(kept, x) END) AS kept FROM h GROUP BY p_name)
 SELECT h.id, list_contains(list_transform(g.kept, lambda k: k.id), h.id) AS kept FROM h JOIN g USING (p_name)""")
+register("O5_share_split", lambda s, d: K.share_split(_PARTS(s, d), "product", "key", 21).select("key", "split"), _PARTS_SQL + " SELECT key, CASE WHEN row_number() OVER (PARTITION BY product ORDER BY sha1('21:' || key), key) <= least(greatest(1, round_even(count(*) OVER (PARTITION BY product) * 0.2, 0)::BIGINT), count(*) OVER (PARTITION BY product) - 1) THEN 'test' ELSE 'train' END AS split FROM p")
+
+
+def _fixed(s, d):
+    """Products sampled, their identities, and the orders of which the product is there."""
+    products = table(s, d, "part").select(F.col("p_partkey").alias("code"), F.col("p_name").alias("identity"))
+    queries = table(s, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("query_id"), F.col("l_partkey").alias("code"))
+    gallery, identities, answerable = K.fixed_gallery(products, queries, 100, 42)
+    rows = lambda df, kind, key, n: df.select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("key"), n.cast("long").alias("n"))
+    return rows(gallery, "product", "code", F.lit(1)).unionByName(rows(identities, "identity", "identity", F.col("n"))).unionByName(rows(answerable.groupBy("code").agg(F.count(F.lit(1)).alias("n")), "queries", "code", F.col("n")))
+
+
+register("V17_gallery_and_queries", _fixed, "WITH g AS (SELECT p_partkey AS code, p_name AS identity FROM part ORDER BY sha1('42:' || p_partkey), p_partkey LIMIT 100) SELECT 'product' AS kind, code::VARCHAR AS key, 1::BIGINT AS n FROM g UNION ALL SELECT 'identity', identity, count(*) FROM g GROUP BY 2 UNION ALL SELECT 'queries', code::VARCHAR, count(*) FROM g JOIN lineitem ON l_partkey = code GROUP BY 2")

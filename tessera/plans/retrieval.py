@@ -158,3 +158,13 @@ def _pair_score(s, d):
 register("W15_pair_score", _pair_score, f"WITH {ITEMS_SQL}, g AS (SELECT brand, count(*) n, count(*) FILTER (WHERE source = 'R') correct, count(*) FILTER (WHERE source = 'A') missed FROM items GROUP BY 1) SELECT brand, n, correct, missed, round((correct / n + 3.8416 / (2 * n) - 1.96 * sqrt(correct / n * (1 - correct / n) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n), 6) low, round((correct / n + 3.8416 / (2 * n) + 1.96 * sqrt(correct / n * (1 - correct / n) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n), 6) high FROM g")
 register("W20_fire_rates", lambda s, d: M.abstain_sweep(_SWEEP(s, d), [0.1, 0.3, 0.9]).select("threshold", r6("fire_rate").alias("fire_rate")), f"WITH {ITEMS_SQL}, t AS (SELECT unnest([0.1, 0.3, 0.9])::DOUBLE threshold) SELECT threshold, round(avg((confidence >= threshold)::INT), 6) fire_rate FROM items CROSS JOIN t GROUP BY 1")
 register("W21_verdicts_by_brand", lambda s, d: M.class_report(items(s, d).select(F.col("colour").alias("truth"), F.when(F.col("code") % 3 == 0, "red").otherwise(F.col("colour")).alias("predicted"))).select("cls", "support", r6("precision").alias("precision"), r6("recall").alias("recall")), f"WITH {ITEMS_SQL}, p AS (SELECT colour t, CASE WHEN code % 3 = 0 THEN 'red' ELSE colour END p FROM items) SELECT x.c AS cls, count(*) FILTER (WHERE t = x.c) support, round(count(*) FILTER (WHERE t = x.c AND p = x.c) / greatest(count(*) FILTER (WHERE p = x.c), 1), 6) AS precision, round(count(*) FILTER (WHERE t = x.c AND p = x.c) / greatest(count(*) FILTER (WHERE t = x.c), 1), 6) recall FROM p CROSS JOIN (SELECT DISTINCT colour c FROM items) x GROUP BY 1")
+
+
+# Judged items: the verdict and the rank of the right candidate follow from the item's keys, the first score is its confidence.
+_JUDGED = lambda s, d: items(s, d).select(F.when(F.col("code") % 4 == 0, "absent").when(F.col("code") % 4 == 1, "missed").when(F.col("code") % 40 == 2, "skip").otherwise("correct").alias("verdict"), F.when((F.col("code") % 4 > 1) & (F.col("code") % 40 != 2), F.col("post") % 12 + 1).alias("rank"), F.when(F.col("ix") % 6 > 0, F.col("confidence") + F.when(F.col("code") % 4 > 1, 0.004).otherwise(0.0)).alias("top1"))
+_JUDGED_SQL = f"WITH {ITEMS_SQL}, j AS (SELECT CASE WHEN code % 4 = 0 THEN 'absent' WHEN code % 4 = 1 THEN 'missed' WHEN code % 40 = 2 THEN 'skip' ELSE 'correct' END AS verdict, CASE WHEN code % 4 > 1 AND code % 40 <> 2 THEN post % 12 + 1 END AS rank, CASE WHEN ix % 6 > 0 THEN confidence + CASE WHEN code % 4 > 1 THEN 0.004 ELSE 0 END END AS top1 FROM items)"
+register("W15_recall_at_k", lambda s, d: M.pair_recall(_JUDGED(s, d)).withColumns({c: r6(c) for c in ("recall", "low", "high")}), _JUDGED_SQL + ", n AS (SELECT k, count(*) FILTER (WHERE verdict = 'correct' AND rank <= k) AS hits, count(*) FILTER (WHERE verdict IN ('correct', 'missed')) AS n FROM j CROSS JOIN (SELECT unnest([1, 5, 10])::INT AS k) GROUP BY k) SELECT k, hits, n, round(hits / n, 6) AS recall, round((hits / n + 3.8416 / (2 * n) - 1.96 * sqrt(hits / n * (1 - hits / n) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n), 6) AS low, round((hits / n + 3.8416 / (2 * n) + 1.96 * sqrt(hits / n * (1 - hits / n) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n), 6) AS high FROM n")
+register("W15_open_set", lambda s, d: M.open_set_table(_JUDGED(s, d)).withColumns({c: r6(c) for c in ("false_reject", "false_accept")}), _JUDGED_SQL + ", c AS (SELECT top1 FROM j WHERE verdict = 'correct' AND rank = 1 AND top1 IS NOT NULL), a AS (SELECT top1 FROM j WHERE verdict = 'absent' AND top1 IS NOT NULL) SELECT threshold, round((SELECT avg((top1 < threshold)::INT) FROM c), 6) AS false_reject, round((SELECT avg((top1 >= threshold)::INT) FROM a), 6) AS false_accept FROM (SELECT DISTINCT round_even(top1, 2) AS threshold FROM (FROM c UNION ALL FROM a))")
+_SAID_SQL = f"WITH {ITEMS_SQL}, r AS (SELECT colour AS truth, CASE WHEN confidence >= 0.05 THEN CASE WHEN code % 3 = 0 THEN 'red' ELSE colour END END AS said FROM items)"
+register("W19_abstain_report", lambda s, d: M.abstain_report(_SWEEP(s, d), 0.05).withColumns({c: r6(c) for c in ("recall", "precision", "abstain")}), _SAID_SQL + ", e AS (SELECT c AS cls, count(*) FILTER (WHERE truth = c) AS support, count(*) FILTER (WHERE truth = c AND said IS NULL) AS abstained, count(*) FILTER (WHERE truth = c AND said = c) AS tp, count(*) FILTER (WHERE truth <> c AND said = c) AS fp FROM r CROSS JOIN (SELECT DISTINCT truth AS c FROM r) GROUP BY c UNION ALL SELECT 'OVERALL', count(*), count(*) FILTER (WHERE said IS NULL), count(*) FILTER (WHERE said = truth), count(*) FILTER (WHERE said <> truth) FROM r) SELECT cls, support, tp, fp, round(tp / support, 6) AS recall, CASE WHEN tp + fp > 0 THEN round(tp / (tp + fp), 6) END AS precision, round(abstained / support, 6) AS abstain FROM e")
+register("W19_abstain_confusion", lambda s, d: M.abstain_confusion(_SWEEP(s, d), 0.05), _SAID_SQL + " SELECT truth, coalesce(said, '(abstain)') AS said, count(*) AS n FROM r GROUP BY ALL")
