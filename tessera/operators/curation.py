@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.sources.store import saved
+from tessera.sources.store import forget, saved
 
 
 def unit_hash(c: Column) -> Column:
@@ -120,7 +120,9 @@ def first_wins(rows: DataFrame, most: int = 6) -> DataFrame:
     state = saved(firsts.select("id").join(pairs.select(F.col("b").alias("id")).distinct().withColumn("open", F.lit(True)), "id", "left").select("id", F.when(F.col("open"), F.lit(None).cast("boolean")).otherwise(True).alias("kept")), "state")
     while not state.where("kept IS NULL").isEmpty():
         seen = pairs.join(state.select(F.col("id").alias("a"), "kept"), "a").groupBy("b").agg(F.max(F.coalesce("kept", F.lit(False))).alias("hit"), F.max(F.col("kept").isNull()).alias("wait"))
-        state = saved(state.join(seen, F.col("id") == F.col("b"), "left").select("id", F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("hit"), False).when(~F.col("wait"), True).alias("kept")), "state")
+        new = saved(state.join(seen, F.col("id") == F.col("b"), "left").select("id", F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("hit"), False).when(~F.col("wait"), True).alias("kept")), "state")
+        forget(state)
+        state = new
     return rows.select("id").join(state, "id", "left").select("id", F.coalesce("kept", F.lit(False)).alias("kept"))
 
 

@@ -5,10 +5,15 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Where saved tables lie.
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, or one that was set on the context; a local session without any gets one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -28,7 +33,15 @@ def saved(df: DataFrame, name: str, **options: str) -> DataFrame:
     executor is lost; options are the writer's.  The files stay until `clear` or the owner of the shared folder removes them."""
     path = f"{_tables(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**({"compression": "zstd"} | options)).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def forget(table: DataFrame) -> None:
+    """Removes a saved table that nothing reads any more: one of the rounds before, say."""
+    path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(_PATHS.pop(table))
+    path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _tables(spark: SparkSession) -> str:
