@@ -12,6 +12,7 @@ from tessera.functions import text as T
 from tessera.functions.vectors import embed_rows, encoder, l2
 from tessera.operators import curation as K
 from tessera.operators import relational as R
+from tessera.operators.admission import admit
 from tessera.operators.dominant import dominant_colours
 from tessera.operators.phrases import match_terms, parse_fragments
 from tessera.plans.catalog import register
@@ -381,3 +382,15 @@ def _resumed(s, d):
 
 
 register("S1_S11_records", _resumed, "SELECT p_partkey, lower(p_brand) AS \"view\", CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE 'second' END AS p_name FROM part WHERE p_partkey % 3 = 0 OR p_partkey % 2 = 0")
+
+
+def _admitted(s, d):
+    """Documents as pictures of their language's theme; hashes of one family differ in their last bits."""
+    rows = table(s, d, "documents").select(F.col("doc_id").alias("place"), F.col("lang").alias("theme"), F.when(F.col("lang") == "de", 6).otherwise(12).alias("cap"), F.concat("source", F.lit(":"), (F.col("doc_id") % 50).cast("string")).alias("key"), F.when(F.col("doc_id") % 13 > 0, F.concat(F.substring(F.md5((F.col("doc_id") * 7 % 60).cast("string")), 1, 13), F.lpad(F.lower(F.hex(F.col("doc_id") * 2654435761 % 4096)), 3, "0"))).alias("hash"))
+    return admit(rows)
+
+
+register("S22_admission", _admitted, """WITH r AS (SELECT doc_id AS place, lang AS theme, CASE WHEN lang = 'de' THEN 6 ELSE 12 END AS cap, source || ':' || (doc_id % 50) AS key, ('0x' || substr(md5((doc_id * 7 % 60)::VARCHAR), 1, 13) || printf('%03x', doc_id * 2654435761 % 4096))::UBIGINT AS v, doc_id % 13 > 0 AS usable FROM documents),
+w AS (SELECT list(list_value({'place': place, 'theme': theme, 'cap': cap, 'key': key, 'v': v, 'outcome': 'kept'}) ORDER BY place) AS rows FROM r WHERE usable),
+g AS (SELECT list_reduce(rows, lambda acc, x: list_concat(acc, [struct_update(x[1], outcome := CASE WHEN len(list_filter(acc, lambda a: a.outcome = 'kept' AND a.theme = x[1].theme)) >= x[1].cap THEN 'full' WHEN len(list_filter(acc, lambda a: a.outcome = 'kept' AND (a.key = x[1].key OR bit_count(xor(a.v, x[1].v)) <= 6))) > 0 THEN 'near' ELSE 'kept' END)])) AS done FROM w)
+SELECT x.place, x.outcome FROM (SELECT unnest(done) AS x FROM g) UNION ALL SELECT place, 'unusable' FROM r WHERE NOT usable""")
