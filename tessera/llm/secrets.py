@@ -63,7 +63,8 @@ _USERINFO = re.compile(r"://([^\s/@:]*:)?$")
 _NAMES = rb"(?:passw(?:or)?d|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|credential)"
 _VALUE = re.compile(rb"(?>(?i:" + _NAMES + rb""")[A-Za-z0-9_.-]{0,40}["'`]?\]?[ \t]{0,4}(?:=>|:=|[:=])[ \t]{0,4})(?=(?:"([^"\n]{4,256})"|'([^'\n]{4,256})'|`([^`\n]{4,256})`|([^\s"'`,;&<>(){}\[\]$]{6,256})(?=[\s"'`,;&<)}\]]|$)))""")
 _LINE = re.compile(rb"(?m)^(?:export[ \t]+)?[A-Z0-9_]{0,40}(?:PASSW(?:OR)?D|PWD|PASSPHRASE|SECRET|TOKEN|KEY)[A-Z0-9_]{0,40}=([^\s\"'`$][^\n\"'`]{4,199}[^\s\"'`])[ \t\r]*$")
-_MAY_NAME = re.compile(rb"(?i)passw|pwd|passphrase|secret|token|key|credential")
+#: One of these is in each of the names, and in a key's header.
+_MAY_NAME = (b"passw", b"pwd", b"passphrase", b"secret", b"token", b"key", b"credential")
 _NAMED = re.compile(r"(?i)" + _NAMES.decode() + r"[A-Za-z0-9_.-]{0,40}[\"'`]?\]?[ \t]{0,4}(?:=>|:=|[:=])[ \t]{0,4}[\"'`]?$")
 #: What the last byte before a candidate may be, but for quotes and white space, where it is assigned.
 _MARKS = np.zeros(256, bool)
@@ -117,8 +118,11 @@ def candidates(texts: pa.Array) -> tuple[np.ndarray, list[Candidate]]:
         low, high = int(offsets[row]), int(offsets[row + 1])
         out.append((row, Candidate(a - low, b - low, text(a, b), text(max(low, a - CONTEXT), a), text(b, min(high, b + CONTEXT)))))
 
-    if _MAY_NAME.search(raw):
+    lowered = raw.lower()
+    if any(name in lowered for name in _MAY_NAME):
         for row, (low, high) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+            if all(lowered.find(name, low, high) < 0 for name in _MAY_NAME):
+                continue
             own = raw[low:high]
             spans = [(m.start(1), m.start(1) + len(m[1].rstrip())) for m in _PEM.finditer(own)]
             spans = [(a, b) for a, b in spans if b - a >= LEAST_CHARS]
