@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import text as T
 from tessera.llm.graph import components
-from tessera.llm.store import kept
+from tessera.llm.store import arrow_batches, kept
 
 WORDS = 5
 #: Values that a region shares at least, and the chance with which a pair at the threshold may be missed by all trees (and,
@@ -46,6 +46,8 @@ SMALL, BLOCK, HUBS, DEEP = 48, 4096, 3, 8
 PER_TASK = 1 << 14
 #: Holders of a shingle that meet in one cell; more are dealt to blocks, and every two blocks to a cell.
 CELL = 512
+#: Bytes of an Arrow batch: a task holds one on either side, and some of them at once.
+BATCH = 8 << 20
 
 
 class Forest(NamedTuple):
@@ -287,6 +289,11 @@ def confirmed(pairs: DataFrame, texts: DataFrame, least: int = 85) -> DataFrame:
 
 def near_duplicates(documents: DataFrame, least: int = 85) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable over links) of every row."""
+    with arrow_batches(documents.sparkSession, BATCH):
+        return _near_duplicates(documents, least)
+
+
+def _near_duplicates(documents: DataFrame, least: int) -> DataFrame:
     rows = kept(sketches(documents, least), "sketches")
     sets = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = kept(sets.groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
