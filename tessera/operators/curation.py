@@ -58,10 +58,12 @@ def round_robin(rows: DataFrame, stratum: str, photo: str, key: str, seed: int,
 
 def balance(rows: DataFrame, label: str, key: str, seed: int, least: int, cap: int) -> DataFrame:
     """Rare labels go, training rows are capped per label, weights are root inverse frequencies, ids are dense."""
-    train = F.col("split") == "train"
-    counted = rows.withColumn("n", F.count_if(train).over(Window.partitionBy(label))).where(F.col("n") >= least)
-    k = F.row_number().over(Window.partitionBy(label, "split").orderBy(seeded(F.col(key), seed), key))
-    some = counted.withColumn("_k", k).where(~train | (F.col("_k") <= cap)).drop("_k")
+    train = F.coalesce(F.col("split") == "train", F.lit(False))
+    counts = rows.groupBy(label).agg(F.count_if(train).alias("_n")).where(F.col("_n") >= least).select(label)
+    counted = rows.join(counts, label)
+    # The cap alone is asked of the window, so that each task sends `cap` rows of a label at most; other splits need none.
+    capped = counted.where(train).withColumn("_k", F.row_number().over(Window.partitionBy(label).orderBy(seeded(F.col(key), seed), key))).where(F.col("_k") <= cap).drop("_k")
+    some = capped.unionByName(counted.where(~train))
     sizes = some.where(train).groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     # Labels are few: their totals and ids are formed on one row each.
     ids = sizes.withColumns({"weight": F.round(F.sqrt(F.sum("_n").over(Window.partitionBy()) / F.col("_n")), 4), "text_id": F.dense_rank().over(Window.orderBy(label)) - 1}).drop("_n")
