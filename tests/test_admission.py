@@ -44,3 +44,14 @@ def test_a_near_duplicate_frees_its_theme_s_slot(spark):
     rows = [(1, "a", 2, None, "0" * 16), (2, "a", 2, None, "0" * 15 + "1"), (3, "a", 2, None, "f" * 16), (4, "a", 2, None, "0f" * 8), (5, "b", 1, None, "0f" * 8), (6, "b", 1, None, "33" * 8)]
     assert {r.place: r.outcome for r in admit(spark.createDataFrame(rows, SCHEMA)).collect()} == {1: "kept", 2: "near", 3: "kept", 4: "full", 5: "kept", 6: "full"}
     assert admit(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_a_family_of_many_near_hashes_forms_no_pairs(spark, monkeypatch):
+    from tessera.operators import curation
+
+    met = []
+    whole = curation.leaders
+    monkeypatch.setattr("tessera.operators.admission.leaders", lambda *a: (lambda out: met.append(out[1].count()) or out)(whole(*a)))
+    rows = [(i, "ab"[i % 2], 3, None, f"{'5' * 13}{i * 2654435761 % 4096:03x}") for i in range(700)]
+    got = {r.place: r.outcome for r in admit(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == loop(rows) and sum(met) < 60_000  # of 244,650 pairs, most of them near
