@@ -141,3 +141,36 @@ def test_colours_and_accents(spark):
     assert df.where(~canonical_colour(F.col("name")).eqNullSafe(F.col("want"))).count() == 0
     texts = spark.createDataFrame([("Crème  Brûlée™ №5",), ("ﬁancé́e",), (None,), ("日本",)], "t string").select(fold_accents("t").alias("t")).collect()
     assert [r.t for r in texts] == ["creme bruleetm no5", "fiancee", None, ""]
+
+
+def test_only_rows_of_a_group_are_multiplied(monkeypatch):
+    """Groups of any kind of name, in batches of any order; ties by key, also across parts of a batch."""
+    from tessera.functions import vectors
+
+    rng = np.random.default_rng(5)
+    rows = rng.integers(-2, 3, (900, 4)).astype(np.float64)
+    groups, keys = np.array([f"g{i}" for i in rng.integers(0, 6, 900)], object), rng.permutation(900)
+    met = []
+    monkeypatch.setattr(vectors, "WIDTH", 50)
+    whole = vectors._Best._enter
+    monkeypatch.setattr(vectors._Best, "_enter", lambda self, some, k, v: met.append((some.stop - some.start) * len(k)) or whole(self, some, k, v))
+    best = vectors._Best(keys, rows, groups, 4)
+    for some in np.array_split(np.arange(900), 7):
+        best.meet(keys[some], rows[some], groups[some])
+    got = {}
+    for query, key, score in zip(*(c.to_pylist() for c in best.found().columns)):
+        got.setdefault(query, []).append((-score, key))
+    want = {int(keys[q]): sorted((-float(rows[q] @ rows[i]), int(keys[i])) for i in range(900) if groups[i] == groups[q])[:4] for q in range(900)}
+    assert {q: sorted(x) for q, x in got.items()} == want
+    assert sum(met) == sum(int((groups == g).sum()) ** 2 for g in set(groups))  # a sixth of 810,000
+
+
+def test_members_of_groups_are_dealt_to_lanes(spark):
+    from tessera.operators.retrieval import members
+
+    chosen = spark.createDataFrame([(1, 5), (2, 5), (2, 6), (3, 9)], "query_id long, label int")
+    rows = spark.createDataFrame([(5 + i % 3, i) for i in range(300)], "label int, code long")
+    found = members(chosen, rows, "label", "code", 8)
+    want = sorted((q, c) for q, label in ((1, 5), (2, 5), (2, 6)) for c in range(300) if 5 + c % 3 == label)
+    assert sorted((r.query_id, r.code) for r in found.collect()) == want
+    assert found.rdd.getNumPartitions() == 8  # what is joined is small, but its partitions aren't put together
