@@ -2,24 +2,7 @@
 
 from __future__ import annotations
 
-import contextlib
-
-from pyspark.sql import SparkSession
-
+from tessera.sources.store import arrow_batches, shared_folder
 from tessera.sources.store import saved as kept
-from tessera.sources.store import shared_folder
 
 __all__ = ["arrow_batches", "kept", "shared_folder"]
-
-_SIZE = "spark.sql.execution.arrow.maxBytesPerBatch"
-
-
-@contextlib.contextmanager
-def arrow_batches(spark: SparkSession, n_bytes: int):
-    """Jobs that run inside get Arrow batches of so many bytes, or of one row; the session's own size holds again after."""
-    before = spark.conf.get(_SIZE)
-    spark.conf.set(_SIZE, str(n_bytes))
-    try:
-        yield
-    finally:
-        spark.conf.set(_SIZE, before)

@@ -174,3 +174,22 @@ def test_members_of_groups_are_dealt_to_lanes(spark):
     want = sorted((q, c) for q, label in ((1, 5), (2, 5), (2, 6)) for c in range(300) if 5 + c % 3 == label)
     assert sorted((r.query_id, r.code) for r in found.collect()) == want
     assert found.rdd.getNumPartitions() == 8  # what is joined is small, but its partitions aren't put together
+
+
+def test_long_texts_are_folded_in_batches_of_bytes(spark, tmp_path):
+    """The query's own job has the smaller batches, and the session's size holds again after it."""
+    from tessera.plans import catalog
+
+    catalog.load()
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, seen = spark.conf.get(size), []
+    spark.createDataFrame([(i, "É" * i) for i in range(9)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    whole = store.saved
+    import tessera.plans.sources as plans
+
+    plans.saved, kept = (lambda *a, **o: seen.append(spark.conf.get(size)) or whole(*a, **o)), plans.saved
+    try:
+        rows = catalog.QUERIES["F18_fold_accents"](spark, str(tmp_path)).count()
+    finally:
+        plans.saved = kept
+    assert rows == 9 and seen == [str(8 << 20)] and spark.conf.get(size) == before
