@@ -193,3 +193,10 @@ def test_long_texts_are_folded_in_batches_of_bytes(spark, tmp_path):
     finally:
         plans.saved = kept
     assert rows == 9 and seen == [str(8 << 20)] and spark.conf.get(size) == before
+
+
+def test_a_page_s_state_is_parsed_once(spark, tmp_path):
+    spark.createDataFrame([(1, '<script id="__NEXT_DATA__">{"props": {"pageProps": {"selectedProduct": {"styleColor": "c"}, "productGroups": []}}}</script>')], "k long, html string").write.parquet(f"{tmp_path}/pages")
+    found = extract.embedded_variants(spark.read.parquet(f"{tmp_path}/pages"), "k", "html")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r)[:2] for r in found.collect()] == [(1, "c")] and plan.count("FileScan") == 1
