@@ -97,3 +97,22 @@ def test_empty_cluster_keeps_its_centre():
     same = np.array([[1.0, 2, 3]] * 6 + [[50.0, 0, 0]])
     centres, of = D.clusters(same, 3)
     assert len(centres) == 3 and set(map(tuple, centres)) <= {(1.0, 2, 3), (50.0, 0, 0)} and len(set(of)) == len(np.unique(centres, axis=0))
+
+
+def test_many_keys_at_once(spark, monkeypatch):
+    """A key's colours are the same, to the last bit, alone and beside others, wherever the images of a task are cut."""
+    rng = random.Random(14)
+    keys = {key: [picture(rng, rng.choice(["figure", "noise", "flat", "crop"])) for _ in range(rng.randint(1, 3))] for key in range(40)}
+    rows = [(key, at, *image) for key, images in keys.items() for at, image in enumerate(images)] + [(40, 0, 3, [1, 2, 3, 4], False), (41, 0, 2, None, False)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    results = []
+    for most in (1, 60, 1000, 1 << 16):
+        monkeypatch.setattr(D, "PIXELS", most)
+        results.append(sorted((r.key, r["rank"], *r.lab, r.share) for r in D.dominant_colours(df, "key", colours=9).collect()))
+    assert results[0] == results[1] == results[2] == results[3] and {r[0] for r in results[0]} == set(keys)
+    runs = [np.array([lab(rng.randrange(1 << 24)) for _ in range(rng.randint(1, 60))]) for _ in range(50)]
+    centres, nearest = D.clusters_of(np.concatenate(runs), np.array([len(run) for run in runs]))
+    ends = np.cumsum([len(run) for run in runs])
+    for i, run in enumerate(runs):
+        alone, of = D.clusters(run)
+        assert np.array_equal(centres[i][: len(alone)], alone) and np.array_equal(nearest[ends[i] - len(run) : ends[i]], of)
